@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import packing, repair_store, token_counts
+from . import decontamination, language_id, media, packing, quality, repair_store, token_counts, warc
 from .common import read_table
 
 
@@ -21,6 +21,28 @@ def op2_repair_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repair_store.read_documents(blocks)
 
 
+def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.classify(read_table(spark, sf_dir, "documents"))
+
+
+def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.find(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+
+
+def op6_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media.describe(media.store_texts(read_table(spark, sf_dir, "documents")))
+
+
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    model = language_id.learn(language_id.training_rows(docs))
+    return language_id.predict(docs.withColumn("held_out", language_id.held_out()), model, keep=("doc_id", "held_out"))
+
+
+def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.read_records(warc.write_archives(read_table(spark, sf_dir, "pages")))
+
+
 def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(read_table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"), 2048)
 
@@ -32,10 +54,24 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
+        op1_quality_classifier,
         op2_repair_token_ids,
+        op4_decontamination,
+        op6_media_columns,
         op7_best_fit_packing,
+        op8_language_id,
+        op9_warc,
         op10_token_counts,
     )
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op9_warc": """
+WITH p AS (SELECT page_id, strlen(coalesce(html, '')) AS n, sha256(coalesce(html, '')) AS digest FROM pages),
+f AS (SELECT digest, min(page_id) AS first_id FROM p WHERE n >= 100 AND page_id IS NOT NULL GROUP BY digest)
+SELECT p.page_id, p.n AS payload_bytes, p.digest AS payload_digest,
+    CASE WHEN p.n >= 100 AND p.page_id > f.first_id THEN 'revisit' ELSE 'response' END AS record_type,
+    CASE WHEN p.n >= 100 AND p.page_id > f.first_id THEN f.first_id END AS refers_to
+FROM p LEFT JOIN f ON p.digest = f.digest
+""",
+}

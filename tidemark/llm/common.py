@@ -12,6 +12,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Code points handled at once inside a task; a longer text is one piece by itself.
 PIECE_CHARS = 6_000_000
@@ -114,3 +115,78 @@ def spread(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     if not len(ends) or not ends[-1]:
         return np.empty(0, np.int64)
     return np.repeat(starts - ends + lengths, lengths) + np.arange(ends[-1])
+
+
+def group_stream(batches: Iterator[pa.RecordBatch], keys: int, rows: int = 8192) -> Iterator[tuple[pa.Table, np.ndarray]]:
+    """Tables of whole groups of a stream sorted by its first `keys` columns, and the groups' bounds in each."""
+    held: list[pa.Table] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        held.append(pa.Table.from_batches([batch]))
+        if sum(t.num_rows for t in held) >= rows:
+            table = pa.concat_tables(held).combine_chunks()
+            bounds = _bounds(table, keys)
+            if len(bounds) > 2:
+                yield table.slice(0, int(bounds[-2])), bounds[:-1]
+                table = table.slice(int(bounds[-2]))
+            held = [table]
+    if held:
+        table = pa.concat_tables(held).combine_chunks()
+        yield table, _bounds(table, keys)
+
+
+def _bounds(table: pa.Table, keys: int) -> np.ndarray:
+    new = np.zeros(table.num_rows - 1, bool)
+    for k in range(keys):
+        column = table.column(k)
+        new |= pc.not_equal(column[1:], column[:-1]).to_numpy()
+    return np.concatenate([[0], np.flatnonzero(new) + 1, [table.num_rows]])
+
+
+def pairs_in_groups(bounds: np.ndarray, limit: int = 500_000) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """All pairs i < j of rows of one group, in portions: the rows a distance apart, one distance after the other."""
+    end = np.repeat(bounds[1:], np.diff(bounds))
+    i, apart = np.arange(bounds[-1]), 0
+    left, right, n = [], [], 0
+    while len(i):
+        apart += 1
+        i = i[i + apart < end[i]]
+        left.append(i)
+        right.append(i + apart)
+        n += len(i)
+        if n >= limit or not len(i):
+            yield np.concatenate(left), np.concatenate(right)
+            left, right, n = [], [], 0
+
+
+def local_components(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """The smallest row of each row's component."""
+    label = np.arange(n)
+    while True:
+        low = np.minimum(label[i], label[j])
+        new = label.copy()
+        np.minimum.at(new, i, low)
+        np.minimum.at(new, j, low)
+        new = new[new]
+        if (new == label).all():
+            return label
+        label = new
+
+
+def components(edges: DataFrame, tag: str) -> DataFrame:
+    """id, home: every vertex of edges (a, b) and the smallest vertex of its component.
+
+    Neighbours' smallest labels, then a jump along the labels, until nothing changes; each round is a table on
+    shared storage. Edges and labels stay distributed; a hot vertex is pre-aggregated before each shuffle.
+    """
+    both = materialize(edges.select("a", "b").unionAll(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), f"{tag}-edges")
+    labels = materialize(both.groupBy("a").agg(F.min("b").alias("b")).select(F.col("a").alias("id"), F.least("a", "b").alias("home")), f"{tag}-labels")
+    while True:
+        near = both.join(labels.select(F.col("id").alias("b"), F.col("home").alias("of")), "b").groupBy("a").agg(F.min("of").alias("near"))
+        low = labels.join(near.withColumnRenamed("a", "id"), "id").select("id", F.col("home").alias("before"), F.least("home", "near").alias("home"))
+        jump = labels.select(F.col("id").alias("home"), F.col("home").alias("next"))
+        new = materialize(low.join(jump, "home").select("id", "before", F.least("home", "next").alias("home")), f"{tag}-labels")
+        labels = new.select("id", "home")
+        if new.filter("before != home").isEmpty():
+            return labels

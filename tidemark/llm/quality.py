@@ -59,7 +59,8 @@ def labellers(text: Column) -> dict[str, Column]:
 
 
 def estimate(patterns: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Posterior chance of `good` for each vote pattern, and tables (label, labeller, vote + 1) of vote chances.
+    """Posterior chance of `good` for each vote pattern, and tables (label, labeller, vote + 1) of the chances of
+    each vote among those given.
 
     Labellers are taken as independent given the label. Starts from the votes' majority; ends when the
     likelihood stands still or after ROUNDS.
@@ -71,9 +72,11 @@ def estimate(patterns: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.n
     for _ in range(ROUNDS):
         weight = np.stack([counts * (1 - good), counts * good])
         prior = (weight.sum(axis=1) + 1) / (counts.sum() + 2)
-        for v in range(3):
+        for v in (0, 2):
             chance[:, :, v] = weight @ (patterns == v - 1) + 1
+        chance[:, :, 1] = 0
         chance /= chance.sum(axis=2, keepdims=True)
+        chance[:, :, 1] = 1  # no vote tells nothing
         logs = np.log(prior)[:, None] + np.stack([np.log(chance[y, np.arange(k), patterns + 1]).sum(axis=1) for y in range(2)])
         top = logs.max(axis=0)
         total = top + np.log(np.exp(logs - top).sum(axis=0))

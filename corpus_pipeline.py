@@ -1,3 +1,55 @@
-STAGES = []
+"""A training corpus from documents: each stage takes what its predecessor kept and gives documents back,
+the last one packed sequences. Rows with a null doc_id pass all stages but can't be matched to others."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tidemark.llm import decontamination, jaccard_join, language_id, packing, substring_dedup
+from tidemark.llm.common import materialize, read_table
+from tidemark.llm.queries import vocabulary
+
+
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with a language: those without a letter or without any known n-gram go."""
+    model = language_id.learn(language_id.training_rows(docs))
+    predicted = language_id.predict(docs, model, keep=tuple(docs.columns))
+    return predicted.filter((F.col("lang_pred") != language_id.NONE) & (F.col("score") > 0)).select(docs.columns)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each class of near duplicates: the one with the smallest doc_id, once."""
+    first = jaccard_join.near_duplicates(docs).filter("doc_id = class_id").select("doc_id")
+    kept = docs.join(first.distinct(), "doc_id", "left_semi").withColumn("_text", F.xxhash64("text")).dropDuplicates(["doc_id", "_text"]).drop("_text")
+    return kept.unionByName(docs.filter("doc_id is null")).select(docs.columns)
+
+
+def substrings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without the passages of 50 words and more that an earlier document has."""
+    left = substring_dedup.cut(docs, substring_dedup.repeated_passages(docs))
+    return left.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+
+
+def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold no passage of the benchmark."""
+    found = decontamination.find(docs, read_table(spark, sf_dir, "benchmark")).select("doc_id").distinct()
+    return docs.join(found, "doc_id", "left_anti").select(docs.columns)
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces in sequences of at most 2048 tokens."""
+    return packing.pack(docs, vocabulary("word_bpe_49k.json"), 2048)
+
+
+STAGES = [("language", language), ("near_duplicates", near_duplicates), ("substrings", substrings), ("decontamination", decontaminate), ("packing", pack)]
+
+#: SQL can't express n-gram models, min-hashes or the tokenizer; tests compare the stages with brute force.
 ORACLE_SQL = None
-run = None
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = materialize(stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)

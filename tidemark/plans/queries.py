@@ -12,6 +12,7 @@ from ..functions import text as X
 from ..operators import build, days, filters, goals, intervals, merge, phone, stats, validate
 from ..operators.filters import TimelineQuery
 from ..sources import adapter, readers
+from ..streaming import streams
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -865,3 +866,25 @@ def _(spark, d):
 def _(spark, d):
     m = days.typed_markers(adapter.day_markers(spark, d))
     return m.select("tenant_id", "day", F.to_json("habits").alias("habits"), F.to_json("people").alias("people"))
+
+
+# streams: the batch forms stay the authority, so there is no SQL
+
+
+@query("r1_stream_import")
+def _(spark, d):
+    e = streams.table_stream(spark, f"{d}/events.parquet")
+    return streams.run_available(streams.stream_import(adapter.events_of(e).withColumn("timestamp", F.col("timestamp").cast("timestamp"))), "import")
+
+
+@query("r2_stream_build_chunks")
+def _(spark, d):
+    e = adapter.events_of(streams.table_stream(spark, f"{d}/events.parquet")).withColumn("timestamp", F.col("timestamp").cast("timestamp"))
+    return streams.run_available(streams.stream_build_chunks(e), "chunks")
+
+
+@query("r3_stream_period_totals")
+def _(spark, d):
+    e = streams.table_stream(spark, f"{d}/events.parquet")
+    spans = e.select(F.col("ts").alias("start_timestamp"), F.timestamp_add("MINUTE", F.floor("value").cast("int"), F.col("ts")).alias("end_timestamp"), F.col("event_type").alias("name"))
+    return streams.run_available(streams.stream_period_totals(spans), "totals").select("window.start", "name", "total_seconds", "parts")

@@ -10,7 +10,10 @@ PHONE_EVENTS = ("SCREEN_INTERACTIVE", "SCREEN_NON_INTERACTIVE", "KEYGUARD_HIDDEN
 
 
 def _base(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = spark.read.parquet(f"{sf_dir}/events.parquet")
+    return _typed(spark.read.parquet(f"{sf_dir}/events.parquet"))
+
+
+def _typed(e: DataFrame) -> DataFrame:
     t = F.date_trunc("second", F.col("ts")).cast("timestamp_ntz")
     source = F.when(F.col("event_id") % 3 == 0, "embed").when(F.col("event_id") % 3 == 1, "pc").otherwise("phone")
     k = F.regexp_extract("props", r"(\d+)", 1).cast("long")
@@ -31,8 +34,13 @@ def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Start, end and point observations."""
+    return events_of(spark.read.parquet(f"{sf_dir}/events.parquet"))
+
+
+def events_of(clicks: DataFrame) -> DataFrame:
+    """events of a click-stream table, which may be a stream."""
     kind = F.when(F.col("event_type").isin("click", "view"), "interval_start").when(F.col("event_type").isin("purchase", "signup"), "interval_end").otherwise("point")
-    return _base(spark, sf_dir).select("tenant_id", "id", F.col("t").alias("timestamp"), F.col("source").alias("device_source"), kind.alias("event_kind"), F.lit("Work").alias("category"), F.concat(F.lit("A"), (F.col("k") % 3).cast("string")).alias("name"), F.lit(1).cast("long").alias("revision"))
+    return _typed(clicks).select("tenant_id", "id", F.col("t").alias("timestamp"), F.col("source").alias("device_source"), kind.alias("event_kind"), F.lit("Work").alias("category"), F.concat(F.lit("A"), (F.col("k") % 3).cast("string")).alias("name"), F.lit(1).cast("long").alias("revision"))
 
 
 def repeated_events(spark: SparkSession, sf_dir: str) -> DataFrame:

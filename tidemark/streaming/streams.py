@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import pandas as pd
@@ -11,6 +12,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..operators.intervals import split
 from ..operators.merge import EVENT_KEY
+from ..sources.shared import shared_dir
 
 CHUNKS = "tenant_id long, source string, start_event_id long, end_event_id long, start_timestamp timestamp, end_timestamp timestamp, category string, name string"
 EVENTS = "tenant_id long, id long, timestamp timestamp, device_source string, event_kind string, category string, name string"
@@ -20,6 +22,20 @@ def event_stream(spark: SparkSession, path: str, schema: str = EVENTS, files_per
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).parquet(path)
 
 
+def table_stream(spark: SparkSession, path: str) -> DataFrame:
+    """A stored table as a stream of its files, with the table's own schema."""
+    # as a pattern, the path may name a file as well as a folder
+    return spark.readStream.schema(spark.read.parquet(path).schema).parquet(f"{path[:-1]}[{path[-1]}]")
+
+
+def run_available(df: DataFrame, tag: str) -> DataFrame:
+    """Run a stream over what is there now and read its output; state and output lie in the shared folder."""
+    spark = df.sparkSession
+    place = f"{shared_dir(spark)}/streams/{tag}-{uuid.uuid4().hex}"
+    df.writeStream.format("parquet").outputMode("append").option("checkpointLocation", f"{place}/state").trigger(availableNow=True).start(f"{place}/rows").awaitTermination()
+    return spark.read.schema(df.schema).parquet(f"{place}/rows")
+
+
 def stream_import(events: DataFrame, delay: str = "2 hours") -> DataFrame:
     """Events once each, as far as repeats come within the delay."""
     keyed = events.withColumns({c: F.coalesce(c, F.lit("")) for c in ("category", "name")})

@@ -44,6 +44,11 @@ s0 AS (SELECT *,
     coalesce(last_value(CASE event WHEN 'DEVICE_SHUTDOWN' THEN true WHEN 'DEVICE_STARTUP' THEN false END IGNORE NULLS) OVER w, false) AS down
     FROM log WINDOW w AS (PARTITION BY tenant_id ORDER BY ts, seq ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
 s AS (SELECT *, CASE WHEN down THEN false WHEN screen IS NULL OR unlocked IS NULL THEN NULL ELSE screen AND unlocked END AS active FROM s0)"""
+_IS_SCREEN = "source = 'phone' AND category = 'Screen' AND name = 'Screen on'"
+_MARKERS = """
+m0 AS (SELECT tenant_id, CAST(t AS DATE) AS d0, min(id) AS id, min(k) AS k FROM e WHERE event_type = 'purchase' GROUP BY 1, 2),
+m AS (SELECT tenant_id, id, k, d0 AS day, CASE WHEN id % 53 <> 0 THEN CAST(k % 5 + 1 AS DOUBLE) END AS mood, id % 41 <> 0 AND k % 4 <> 0 AS has_note,
+    CASE WHEN k = 5 THEN ['Ann', '1'] WHEN k % 3 = 0 THEN [] ELSE ['Ann', 'B' || k] END AS people, k NOT IN (3, 4) AS sound FROM m0 WHERE id % 97 <> 0)"""
 _METRICS = "count(*) AS sessions, CAST(sum(d) AS BIGINT) AS total_seconds, round(avg(d), 6) AS mean_seconds, round(median(d), 6) AS median_seconds, min(d) AS min_seconds, max(d) AS max_seconds"
 
 
@@ -124,7 +129,7 @@ def _(spark, d):
     return readers.phone_rows(raw, F.col("tenant_id"))[0]
 
 
-@query("s4_scan_day_markers")
+@query("s4_scan_day_markers", f"WITH {_CHUNKS}, {_MARKERS} SELECT tenant_id, day, mood, array_to_string(people, ',') AS people FROM m WHERE day BETWEEN DATE '2024-01-05' AND DATE '2024-01-20'")
 def _(spark, d):
     m = readers.scan_day_markers(days.typed_markers(adapter.day_markers(spark, d)), "2024-01-05", "2024-01-20")
     return m.select("tenant_id", "day", "mood", F.array_join("people", ",").alias("people"))
@@ -191,14 +196,14 @@ def _(spark, d):
     return filters.activity_tree(_c(spark, d), "A1").withColumn("names", F.array_join("names", ","))
 
 
-@query("f17_chunk_by_event_ids")
+@query("f17_chunk_by_event_ids", None)
 def _(spark, d):
     built = build.chunks_of(build.build(adapter.events(spark, d)))
     picks = built.select(F.col("id").alias("selection_id"), "tenant_id", F.when(F.col("id") % 2 == 0, F.array("end_event_id")).otherwise(F.array("start_event_id", "end_event_id")).alias("ids"))
     return filters.chunk_by_event_ids(picks, built)
 
 
-@query("f18_events_of_chunks")
+@query("f18_events_of_chunks", None)
 def _(spark, d):
     e = adapter.events(spark, d)
     return filters.events_of_chunks(build.chunks_of(build.build(e)), e).select("tenant_id", "chunk_id", "id", "event_kind")
@@ -233,6 +238,10 @@ w AS (SELECT tenant_id, device_source AS source, kind, sid AS start_event_id, ei
     UNION ALL SELECT f.tenant_id, f.device_source, 'unclosed', f.oid, NULL FROM f JOIN last USING (tenant_id, device_source, pos) WHERE f.oid IS NOT NULL)"""
 
 
+ORACLES["f17_chunk_by_event_ids"] = f"{_FOLD} SELECT start_event_id AS selection_id, tenant_id, start_event_id AS chunk_id FROM w WHERE kind = 'chunk'"
+ORACLES["f18_events_of_chunks"] = f"{_FOLD} SELECT w.tenant_id, start_event_id AS chunk_id, v.id, v.event_kind FROM w JOIN v ON v.id IN (w.start_event_id, w.end_event_id) WHERE kind = 'chunk'"
+
+
 @query("i1_build_chunks", f"{_FOLD} SELECT w.tenant_id, w.start_event_id AS id, a.timestamp AS start_timestamp, z.timestamp AS end_timestamp, date_diff('second', a.timestamp, z.timestamp) AS duration_seconds, a.category, a.name, w.source, w.start_event_id, w.end_event_id FROM w JOIN v a ON a.id = w.start_event_id JOIN v z ON z.id = w.end_event_id WHERE w.kind = 'chunk'")
 def _(spark, d):
     return build.chunks_of(build.build(adapter.events(spark, d)))
@@ -359,7 +368,10 @@ def _(spark, d):
     return intervals.intersect_over_time(c.filter("source = 'embed'"), _screens(c), "day")
 
 
-@query("t6_subtract")
+@query("t6_subtract", f"""WITH {_CHUNKS}, a AS (SELECT * FROM c WHERE source = 'embed' AND d > 0), z AS (SELECT * FROM c WHERE source <> 'embed' AND d > 0),
+p AS (SELECT tenant_id, id, end_timestamp, start_timestamp AS s FROM a UNION SELECT a.tenant_id, a.id, a.end_timestamp, z.end_timestamp FROM a JOIN z ON a.tenant_id = z.tenant_id AND z.end_timestamp > a.start_timestamp AND z.end_timestamp < a.end_timestamp)
+SELECT p.tenant_id, p.id, p.s AS start_timestamp, least(p.end_timestamp, coalesce((SELECT min(z.start_timestamp) FROM z WHERE z.tenant_id = p.tenant_id AND z.start_timestamp > p.s), p.end_timestamp)) AS end_timestamp
+FROM p WHERE NOT EXISTS (SELECT 1 FROM z WHERE z.tenant_id = p.tenant_id AND z.start_timestamp <= p.s AND p.s < z.end_timestamp)""")
 def _(spark, d):
     c = _c(spark, d)
     return intervals.subtract(c.filter("source = 'embed'"), c.filter("source <> 'embed'"))
@@ -452,7 +464,10 @@ def _(spark, d):
     return stats.duration_audit(_c(spark, d), ["source", "category"])
 
 
-@query("a16_anomaly_counts")
+@query("a16_anomaly_counts", f"""WITH {_PHONE}, l AS (SELECT *, lag(screen) OVER w AS s1, lag(unlocked) OVER w AS u1, coalesce(lag(down) OVER w, false) AS d1 FROM s WINDOW w AS (PARTITION BY tenant_id ORDER BY ts, seq))
+SELECT 'state' AS source, CASE WHEN event = 'DEVICE_STARTUP' THEN 'startup_without_shutdown' ELSE 'repeated_state' END AS anomaly, count(*) AS n FROM l
+WHERE (event = 'DEVICE_STARTUP' AND NOT d1) OR (event = 'DEVICE_SHUTDOWN' AND d1) OR (event LIKE 'SCREEN%' AND s1 = screen) OR (event LIKE 'KEYGUARD%' AND u1 = unlocked) GROUP BY 1, 2
+UNION ALL SELECT 'screen', 'end', count(*) FROM log WHERE event = 'SCREEN_NON_INTERACTIVE'""")
 def _(spark, d):
     log = adapter.phone_log(spark, d)
     a = phone.anomalies(log).withColumn("source", F.lit("state"))
@@ -465,7 +480,6 @@ def _(spark, d):
     return stats.sessions_by_name(_c(spark, d))
 
 
-_IS_SCREEN = "source = 'phone' AND category = 'Screen' AND name = 'Screen on'"
 
 
 @query("a18_overview_metrics", f"WITH {_CHUNKS} SELECT tenant_id, CAST(coalesce(sum(d) FILTER (source = 'embed'), 0) AS BIGINT) AS tracked_seconds, count(*) FILTER (source = 'embed') AS sessions, round(coalesce(avg(d) FILTER (source = 'embed'), 0), 6) AS average_seconds, CAST(coalesce(sum(d) FILTER ({_IS_SCREEN}), 0) AS BIGINT) AS screen_seconds FROM c GROUP BY 1")
@@ -543,6 +557,7 @@ def _(spark, d):
     return stats.compare(TimelineQuery().after(half).persisted(c), TimelineQuery().before(half).persisted(c), ["category", "name"])
 
 
+_TOTALS = f"""dt AS (SELECT tenant_id, CAST(period AS DATE) AS day, CAST(coalesce(sum(d) FILTER (source = 'embed'), 0) AS BIGINT) AS tracked_seconds, CAST(coalesce(sum(d) FILTER ({_IS_SCREEN}), 0) AS BIGINT) AS screen_seconds, CAST(coalesce(sum(d) FILTER (source = 'embed' AND name = 'A0'), 0) AS BIGINT) AS sleep_seconds FROM p_c GROUP BY 1, 2)"""
 _EMBED_DAY = "y AS (SELECT tenant_id, CAST(period AS DATE) AS day, name, CAST(sum(d) AS BIGINT) AS total_seconds FROM p_c WHERE source = 'embed' GROUP BY ALL)"
 
 
@@ -598,7 +613,7 @@ def _(spark, d):
     return stats.screen_vs_activity(_c(spark, d), "week", 4)
 
 
-@query("j7_marker_join")
+@query("j7_marker_join", f"WITH {_CHUNKS}, {_split('day')}, {_TOTALS}, {_MARKERS} SELECT dt.*, mood, has_note, CAST(len(people) AS INTEGER) AS people, CAST(CASE WHEN sound THEN 1 + CAST(k % 2 = 0 AS INTEGER) WHEN m.id IS NOT NULL THEN 0 END AS INTEGER) AS habits_done, CAST(CASE WHEN sound THEN 2 WHEN k = 3 THEN 0 WHEN m.id IS NOT NULL THEN 0 END AS INTEGER) AS habits_total FROM dt LEFT JOIN m ON m.tenant_id = dt.tenant_id AND m.day = dt.day")
 def _(spark, d):
     return days.calendar_metrics(_c(spark, d), adapter.day_markers(spark, d))
 
@@ -733,7 +748,6 @@ def _(spark, d):
 
 # days
 
-_TOTALS = f"""dt AS (SELECT tenant_id, CAST(period AS DATE) AS day, CAST(coalesce(sum(d) FILTER (source = 'embed'), 0) AS BIGINT) AS tracked_seconds, CAST(coalesce(sum(d) FILTER ({_IS_SCREEN}), 0) AS BIGINT) AS screen_seconds, CAST(coalesce(sum(d) FILTER (source = 'embed' AND name = 'A0'), 0) AS BIGINT) AS sleep_seconds FROM p_c GROUP BY 1, 2)"""
 
 
 @query("d1_day_picture", f"WITH {_CHUNKS}, {_split('day')}, {_TOTALS}, {_EMBED_DAY}, tp AS (SELECT * FROM y WHERE name <> 'A0' QUALIFY row_number() OVER (PARTITION BY tenant_id, day ORDER BY total_seconds DESC, name) = 1) SELECT dt.*, tp.name AS top_activity, tp.total_seconds AS top_seconds, (SELECT count(*) FROM (SELECT DISTINCT category, name FROM p_c WHERE p_c.tenant_id = dt.tenant_id AND CAST(p_c.period AS DATE) = dt.day AND source = 'embed')) AS activities FROM dt LEFT JOIN tp USING (tenant_id, day)")
@@ -775,7 +789,11 @@ def _(spark, d):
     return days.daily_note(_c(spark, d), validate.event_fields(e).unionByName(build.state_issues(build.build(e))))
 
 
-@query("d7_period_kpis")
+_KPI = "CAST(coalesce(sum({0}) FILTER (source = 'embed'), 0) AS BIGINT) AS {1}tracked_seconds, count(*) FILTER (source = 'embed') AS {1}sessions, round(coalesce(avg({0}) FILTER (source = 'embed'), 0), 6) AS {1}average_seconds, CAST(coalesce(sum({0}) FILTER (" + _IS_SCREEN + "), 0) AS BIGINT) AS {1}screen_seconds"
+_WINDOW = "SELECT tenant_id, {2} FROM (SELECT *, date_diff('second', greatest(start_timestamp, TIMESTAMP '{0}'), least(end_timestamp, TIMESTAMP '{1}')) AS cut FROM c WHERE end_timestamp > TIMESTAMP '{0}' AND start_timestamp < TIMESTAMP '{1}') GROUP BY 1"
+
+
+@query("d7_period_kpis", f"WITH {_CHUNKS}, l AS ({_WINDOW.format('2024-01-15', '2024-01-22', _KPI.format('cut', ''))}), r AS ({_WINDOW.format('2024-01-08', '2024-01-15', _KPI.format('cut', 'previous_'))}), j AS (SELECT coalesce(l.tenant_id, r.tenant_id) AS tenant_id, " + ", ".join(f"coalesce({p}{c}, 0) AS {p}{c}" for p in ("", "previous_") for c in ("tracked_seconds", "sessions", "average_seconds", "screen_seconds")) + " FROM l FULL JOIN r ON l.tenant_id = r.tenant_id) SELECT *, CASE WHEN previous_tracked_seconds = 0 THEN 'no earlier data' ELSE printf('%+.1f%%', round((tracked_seconds - previous_tracked_seconds) * 100.0 / previous_tracked_seconds, 1)) END AS tracked_change FROM j")
 def _(spark, d):
     now = (datetime(2024, 1, 15), datetime(2024, 1, 22))
     return days.period_kpis(_c(spark, d), F.col("source") == "embed", now, filters.previous_range(*now))
@@ -804,7 +822,13 @@ def _(spark, d):
     return validate.chunk_checks(_c(spark, d).withColumn("source", F.lit("all")))
 
 
-@query("v5_marker_checks")
+@query("v5_marker_checks", f"""WITH {_CHUNKS}, {_MARKERS.split('m AS')[0].rstrip().rstrip(',')}
+SELECT tenant_id, 'ERROR' AS severity, 'day_markers' AS table, id AS object_id, message FROM (
+    SELECT *, 'day is not an ISO date' AS message FROM m0 WHERE id % 97 = 0
+    UNION ALL SELECT *, 'habits are not valid JSON' FROM m0 WHERE k = 4 UNION ALL SELECT *, 'habits are not an object of booleans' FROM m0 WHERE k = 3
+    UNION ALL SELECT *, 'people are not a list of strings' FROM m0 WHERE k = 5 UNION ALL SELECT *, 'note is missing' FROM m0 WHERE id % 41 = 0
+    UNION ALL SELECT *, 'mood is not a number' FROM m0 WHERE id % 53 = 0
+    UNION ALL SELECT *, 'day occurs twice' FROM (SELECT * FROM m0 WHERE id % 97 = 0 QUALIFY row_number() OVER (PARTITION BY tenant_id ORDER BY id) > 1))""")
 def _(spark, d):
     return validate.marker_checks(adapter.day_markers(spark, d))
 
@@ -817,7 +841,7 @@ def _(spark, d):
 # scalar functions
 
 
-@query("x1_human_duration")
+@query("x1_human_duration", f"WITH {_CHUNKS} SELECT tenant_id, id, coalesce(nullif(concat_ws(' ', CASE WHEN d >= 86400 THEN (d // 86400) || 'd' END, CASE WHEN d // 3600 % 24 > 0 THEN (d // 3600 % 24) || 'h' END, CASE WHEN d // 60 % 60 > 0 THEN (d // 60 % 60) || 'm' END, CASE WHEN d % 60 > 0 THEN (d % 60) || 's' END), ''), '0s') AS text FROM c")
 def _(spark, d):
     return _c(spark, d).select("tenant_id", "id", X.human_duration(F.col("duration_seconds")).alias("text"))
 
@@ -838,7 +862,7 @@ def _(spark, d):
     return _c(spark, d).select("tenant_id", "id", *[X.period_label(F.col("start_timestamp"), p).alias(p) for p in ("week", "month", "year", "day")])
 
 
-@query("x6_percent_change")
+@query("x6_percent_change", f"WITH {_CHUNKS}, q AS (SELECT tenant_id, id, d, lag(d) OVER (PARTITION BY tenant_id ORDER BY start_timestamp, id) AS p FROM c) SELECT tenant_id, id, printf('%+.1f%%', round(CASE WHEN p = 0 THEN CASE WHEN d = 0 THEN 0 ELSE 100 END ELSE (d - p) * 100.0 / p END, 1)) AS change FROM q WHERE p IS NOT NULL")
 def _(spark, d):
     c = stats.sequenced(_c(spark, d), ["name"])
     return c.filter("previous_duration_seconds is not null").select("tenant_id", "id", X.percent_change(F.col("duration_seconds"), F.col("previous_duration_seconds")).alias("change"))

@@ -175,18 +175,23 @@ def local_components(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
 
 
 def components(edges: DataFrame, tag: str) -> DataFrame:
-    """id, home: every vertex of edges (a, b) and the smallest vertex of its component.
+    """id, home: every vertex of edges (a, b) and one vertex of its component, the same for all of them.
 
-    Neighbours' smallest labels, then a jump along the labels, until nothing changes; each round is a table on
-    shared storage. Edges and labels stay distributed; a hot vertex is pre-aggregated before each shuffle.
+    Each round maps a vertex to the smallest of itself and its neighbours and contracts the edges, until none is left;
+    each round is a table on shared storage. Nothing is collected; a hot vertex is pre-aggregated before the shuffle.
     """
-    both = materialize(edges.select("a", "b").unionAll(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), f"{tag}-edges")
-    labels = materialize(both.groupBy("a").agg(F.min("b").alias("b")).select(F.col("a").alias("id"), F.least("a", "b").alias("home")), f"{tag}-labels")
+    edges = materialize(edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).filter("a < b").distinct(), f"{tag}-edges")
+    total = None
     while True:
-        near = both.join(labels.select(F.col("id").alias("b"), F.col("home").alias("of")), "b").groupBy("a").agg(F.min("of").alias("near"))
-        low = labels.join(near.withColumnRenamed("a", "id"), "id").select("id", F.col("home").alias("before"), F.least("home", "near").alias("home"))
-        jump = labels.select(F.col("id").alias("home"), F.col("home").alias("next"))
-        new = materialize(low.join(jump, "home").select("id", "before", F.least("home", "next").alias("home")), f"{tag}-labels")
-        labels = new.select("id", "home")
-        if new.filter("before != home").isEmpty():
-            return labels
+        ends = edges.select(F.col("a").alias("id"), F.col("b").alias("home")).unionAll(edges.select(F.col("b").alias("id"), F.col("a").alias("home")))
+        step = materialize(ends.groupBy("id").agg(F.min("home").alias("home")).select("id", F.least("id", "home").alias("home")), f"{tag}-step")
+        if total is None:
+            total = step
+        else:
+            following = step.select(F.col("id").alias("home"), F.col("home").alias("next"))
+            total = materialize(total.join(following, "home", "left").select("id", F.coalesce("next", "home").alias("home")), f"{tag}-homes")
+        to = lambda c: step.select(F.col("id").alias(c), F.col("home").alias(f"{c}_home"))  # noqa: B023, E731
+        moved = edges.join(to("a"), "a").join(to("b"), "b").select(F.least("a_home", "b_home").alias("a"), F.greatest("a_home", "b_home").alias("b"))
+        edges = materialize(moved.filter("a < b").distinct(), f"{tag}-edges")
+        if edges.isEmpty():
+            return total

@@ -116,7 +116,8 @@ def in_blocks(members: DataFrame, key: str, size: str) -> DataFrame:
     own = F.pmod(F.xxhash64("set_id", F.lit(7)), F.col("parts")).cast("int")
     dealt = members.withColumn("parts", parts).withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     dealt = dealt.withColumn("x", F.least("own", "other")).withColumn("y", F.greatest("own", "other")).drop("other")
-    return dealt.repartition(key, "x", "y").sortWithinPartitions(key, "x", "y")
+    # in order of set_id, so that the smallest row of a component is the same set in all tasks of a group
+    return dealt.repartition(key, "x", "y").sortWithinPartitions(key, "x", "y", "set_id")
 
 
 def meeting(bounds: np.ndarray, table: pa.Table) -> Iterator[tuple[np.ndarray, np.ndarray]]:

@@ -1,4 +1,6 @@
-"""A phone's signal log (tenant_id, seq, ts, event) to active-screen intervals, with windows only."""
+"""A phone's signal log (tenant_id, seq, ts, event) to active-screen intervals, without Python on rows.
+
+States, changes and anomalies spread a tenant over its days (see carry)."""
 
 from __future__ import annotations
 
@@ -7,25 +9,32 @@ from datetime import datetime
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .carry import last_known, neighbour
+
 _ORDER = ("ts", "seq")
 MIN_SECONDS = 20
 #: Signals of one kind: start and end event.
 SIGNALS = {"screen": ("SCREEN_INTERACTIVE", "SCREEN_NON_INTERACTIVE"), "keyguard": ("KEYGUARD_HIDDEN", "KEYGUARD_SHOWN")}
+_KNOWN = (*SIGNALS["screen"], *SIGNALS["keyguard"], "DEVICE_SHUTDOWN", "DEVICE_STARTUP")
 
 
 def _w() -> Window:
     return Window.partitionBy("tenant_id").orderBy(*_ORDER)
 
 
-def _latest(on: str, off: str) -> Column:
-    value = F.when(F.col("event") == on, True).when(F.col("event") == off, False)
-    return F.last(value, ignorenulls=True).over(_w().rowsBetween(Window.unboundedPreceding, 0))
+def _signal(on: str, off: str) -> Column:
+    return F.when(F.col("event") == on, True).when(F.col("event") == off, False)
+
+
+def _neighbour(df: DataFrame, columns: dict[str, str], *, ahead: bool = False) -> DataFrame:
+    return neighbour(df, ["tenant_id"], list(_ORDER), columns, ahead=ahead)
 
 
 def states(log: DataFrame) -> DataFrame:
     """log with screen, unlocked, down and active after each row; active is null while screen or lock is unknown."""
-    known = log.filter(F.col("event").isin(*SIGNALS["screen"], *SIGNALS["keyguard"], "DEVICE_SHUTDOWN", "DEVICE_STARTUP"))
-    s = known.withColumn("screen", _latest(*SIGNALS["screen"])).withColumn("unlocked", _latest(*SIGNALS["keyguard"])).withColumn("down", F.coalesce(_latest("DEVICE_SHUTDOWN", "DEVICE_STARTUP"), F.lit(False)))
+    known = log.filter(F.col("event").isin(*_KNOWN))
+    s = last_known(known, ["tenant_id"], list(_ORDER), {"screen": _signal(*SIGNALS["screen"]), "unlocked": _signal(*SIGNALS["keyguard"]), "down": _signal("DEVICE_SHUTDOWN", "DEVICE_STARTUP")})
+    s = s.withColumn("down", F.coalesce("down", F.lit(False)))
     active = F.when(F.col("down"), False).when(F.col("screen").isNull() | F.col("unlocked").isNull(), None).otherwise(F.col("screen") & F.col("unlocked"))
     return s.withColumn("active", active)
 
@@ -47,13 +56,12 @@ def boundaries(state: DataFrame, *, until: datetime | None = None) -> DataFrame:
 
 def active_intervals(log: DataFrame) -> DataFrame:
     """Active-screen intervals: tenant_id, seq of the start, start_timestamp, end_timestamp."""
-    state = states(log)
-    w = _w()
-    now, was = F.coalesce("active", F.lit(False)), F.coalesce(F.lag("active").over(w), F.lit(False))
-    turns = state.withColumn("turn", F.when(now != was, now)).withColumn("log_end", F.max("ts").over(Window.partitionBy("tenant_id"))).filter("turn is not null")
-    ended = turns.withColumn("end_timestamp", F.coalesce(F.lead("ts").over(w), "log_end"))
-    closed = F.lead("ts").over(w).isNotNull()
-    return ended.withColumn("closed", closed).filter("turn and (closed or end_timestamp > ts)").select("tenant_id", "seq", F.col("ts").alias("start_timestamp"), "end_timestamp")
+    state = _neighbour(states(log), {"was": "active"})
+    now, was = F.coalesce("active", F.lit(False)), F.coalesce("was", F.lit(False))
+    ends = log.groupBy(F.col("tenant_id").alias("_tenant")).agg(F.max(F.when(F.col("event").isin(*_KNOWN), F.col("ts"))).alias("log_end"))
+    turns = _neighbour(state.withColumn("turn", F.when(now != was, now)).filter("turn is not null"), {"following": "ts"}, ahead=True).filter("turn")
+    closed = turns.join(ends, F.col("tenant_id").eqNullSafe(F.col("_tenant"))).withColumn("end_timestamp", F.coalesce("following", "log_end"))
+    return closed.filter("following is not null or end_timestamp > ts").select("tenant_id", "seq", F.col("ts").alias("start_timestamp"), "end_timestamp")
 
 
 def drop_short(intervals: DataFrame, least: int = MIN_SECONDS) -> DataFrame:
@@ -62,12 +70,11 @@ def drop_short(intervals: DataFrame, least: int = MIN_SECONDS) -> DataFrame:
 
 def anomalies(log: DataFrame) -> DataFrame:
     """Rows that repeat the state that they set, and startups without a shutdown."""
-    s = states(log)
-    w = _w()
+    s = _neighbour(states(log), {"was_screen": "screen", "was_unlocked": "unlocked", "was_down": "down"})
     same = F.lit(False)
     for column, (on, off) in {"screen": SIGNALS["screen"], "unlocked": SIGNALS["keyguard"]}.items():
-        same = same | (F.col("event").isin(on, off) & F.lag(column).over(w).eqNullSafe(F.col(column)) & F.col(column).isNotNull())
-    was_down = F.coalesce(F.lag("down").over(w), F.lit(False))
+        same = same | (F.col("event").isin(on, off) & F.col(f"was_{column}").eqNullSafe(F.col(column)) & F.col(column).isNotNull())
+    was_down = F.coalesce("was_down", F.lit(False))
     kind = F.when((F.col("event") == "DEVICE_STARTUP") & ~was_down, "startup_without_shutdown").when((F.col("event") == "DEVICE_SHUTDOWN") & was_down, "repeated_state").when(same, "repeated_state")
     return s.withColumn("anomaly", kind).filter("anomaly is not null").select("tenant_id", "seq", "ts", "event", "anomaly")
 

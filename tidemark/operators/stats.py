@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import human_duration
+from .carry import neighbour
 from .intervals import split
 
 _D = "duration_seconds"
@@ -143,17 +144,15 @@ def rolling(chunks: DataFrame, period: str, window: int, by: list[str] | None =
 
 def sequenced(chunks: DataFrame, by: list[str]) -> DataFrame:
     """Each chunk beside the one before it, over all sources of a tenant."""
-    w = Window.partitionBy(_T).orderBy("start_timestamp", "id")
-    out = chunks
-    for c in [*by, "end_timestamp", _D]:
-        out = out.withColumn(f"previous_{c}", F.lag(c).over(w))
-    return out.withColumn("position", F.row_number().over(w)).withColumn("gap_seconds", F.timestamp_diff("SECOND", F.col("previous_end_timestamp"), F.col("start_timestamp")))
+    columns = {f"previous_{c}": c for c in [*by, "end_timestamp", _D]} | {"previous_id": "id"}
+    out = neighbour(chunks, [_T], ["start_timestamp", "id"], columns)
+    return out.withColumn("gap_seconds", F.timestamp_diff("SECOND", F.col("previous_end_timestamp"), F.col("start_timestamp")))
 
 
 def transitions(chunks: DataFrame, by: list[str], max_gap_seconds: int | None = None, include_same: bool = True) -> DataFrame:
     """Counts of what follows what. Rows whose predecessor has no first key are left out; gaps are bounded by 0 and the
     maximum if one is given."""
-    s = sequenced(chunks, by).filter((F.col("position") > 1) & F.col(f"previous_{by[0]}").isNotNull())
+    s = sequenced(chunks, by).filter(F.col("previous_id").isNotNull() & F.col(f"previous_{by[0]}").isNotNull())
     if max_gap_seconds is not None:
         s = s.filter(F.col("gap_seconds").between(0, max_gap_seconds))
     if not include_same:

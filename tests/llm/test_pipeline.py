@@ -43,3 +43,18 @@ def test_run_equals_stages(spark):
         docs = materialize(stage(spark, docs, SF), "again")
     pick = lambda df: sorted((r.doc_id, r.piece, r.length, r.ids_crc32) for r in df.collect())
     assert pick(corpus_pipeline.run(spark, SF)) == pick(docs)
+
+
+def test_stages_with_clashing_columns(spark):
+    words_of = lambda n, k: " ".join(f"word{(i * 7 + n * 13) % 997}" for i in range(k))
+    docs = spark.createDataFrame(
+        [(i, words_of(i, 40 + i), "en" if i % 3 else None, "s", 1, None, "a", 2, "b", None, 3) for i in range(30)] * 2 + [(None, None, None, None, None, None, None, None, None, None, None), (99, "x " * 5000, "en", None, None, None, None, None, None, None, None)],
+        "doc_id long, text string, lang string, source string, n_chars long, score string, lang_pred string, text_hash int, cuts string, cut_id int, item_id int",
+    )
+    for stage in (docs, docs.limit(0)):
+        for name, f in corpus_pipeline.STAGES:
+            out = materialize(f(spark, stage, SF), "clash")
+            if name != "packing":
+                assert out.dtypes == docs.dtypes
+                stage = out
+        assert out.select("doc_id").distinct().count() == stage.select("doc_id").distinct().count()

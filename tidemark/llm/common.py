@@ -50,6 +50,14 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """A column name that df does not have (names are compared without case)."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
 def strings(column: pa.Array | pa.ChunkedArray) -> pa.Array:
     """One large_string array without nulls (null: empty)."""
     if isinstance(column, pa.ChunkedArray):

@@ -127,14 +127,15 @@ def learn(labelled: DataFrame, *, sample: int = SAMPLE, text: str = "text", lang
     return Model(languages, filters, fill**HASHES)
 
 
-def predict(docs: DataFrame, model: Model, *, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """The columns `keep`, lang_pred and score of each document; only the text decides."""
+def predict(docs: DataFrame, model: Model, *, text: str = "text", keep: tuple[str, ...] = ("doc_id",), names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
+    """The columns `keep`, language and score (under `names`) of each document; only the text decides."""
+    out_names = names
 
     def decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = strings(batch.column(0))
             lettered = np.array([any(map(str.isalpha, t)) for t in texts.to_pylist()], bool)
-            names, scores = [], []
+            found, scores = [], []
             for lo, hi in pieces(texts):
                 grams, row = ngrams(texts[lo:hi])
                 n = np.bincount(row, minlength=hi - lo)
@@ -149,12 +150,12 @@ def predict(docs: DataFrame, model: Model, *, text: str = "text", keep: tuple[st
                 score = np.divide(real.max(axis=0, initial=0), total, out=np.zeros(hi - lo), where=total > 0)
                 for k in range(hi - lo):
                     known = lettered[lo + k] and len(model.languages) > 0
-                    names.append(model.languages[best[k]] if known else NONE)
+                    found.append(model.languages[best[k]] if known else NONE)
                     scores.append(float(score[k]) if known else 0.0)
-            yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(names, pa.string()), pa.array(scores, pa.float64())], [*keep, "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(found, pa.string()), pa.array(scores, pa.float64())], [*keep, *out_names])
 
     types = dict(docs.dtypes)
-    schema = ", ".join(f"`{c}` {types[c]}" for c in keep) + ", lang_pred string, score double"
+    schema = ", ".join(f"`{c}` {types[c]}" for c in keep) + f", `{out_names[0]}` string, `{out_names[1]}` double"
     inputs = [F.col(text).cast("string").alias("text"), *[F.col(f"`{c}`").alias(f"kept_{i}") for i, c in enumerate(keep)]]
     return docs.select(*inputs).mapInArrow(decide, schema)
 

@@ -7,21 +7,23 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm import decontamination, jaccard_join, language_id, packing, substring_dedup
-from tidemark.llm.common import materialize, read_table
+from tidemark.llm.common import free_name, materialize, read_table
 from tidemark.llm.queries import vocabulary
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with a language: those without a letter or without any known n-gram go."""
     model = language_id.learn(language_id.training_rows(docs))
-    predicted = language_id.predict(docs, model, keep=tuple(docs.columns))
-    return predicted.filter((F.col("lang_pred") != language_id.NONE) & (F.col("score") > 0)).select(docs.columns)
+    lang, score = free_name(docs, "lang_pred"), free_name(docs, "score")
+    predicted = language_id.predict(docs, model, keep=tuple(docs.columns), names=(lang, score))
+    return predicted.filter((F.col(lang) != language_id.NONE) & (F.col(score) > 0)).select(docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each class of near duplicates: the one with the smallest doc_id, once."""
     first = jaccard_join.near_duplicates(docs).filter("doc_id = class_id").select("doc_id")
-    kept = docs.join(first.distinct(), "doc_id", "left_semi").withColumn("_text", F.xxhash64("text")).dropDuplicates(["doc_id", "_text"]).drop("_text")
+    text = free_name(docs, "text_hash")
+    kept = docs.join(first.distinct(), "doc_id", "left_semi").withColumn(text, F.xxhash64("text")).dropDuplicates(["doc_id", text]).drop(text)
     return kept.unionByName(docs.filter("doc_id is null")).select(docs.columns)
 
 

@@ -31,6 +31,8 @@ SAMPLE = 20_000
 #: An n-gram belongs to a language from so many occurrences and this share of the rate in its best language.
 LEAST_COUNT, LEAST_RATE = 3, 0.1
 MOST_LANGUAGES = 62
+#: Characters handled at once inside a task.
+PIECE_CHARS = 1_500_000
 NONE = "und"
 
 
@@ -97,7 +99,7 @@ def learn(labelled: DataFrame, *, sample: int = SAMPLE, text: str = "text", lang
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts, langs = strings(batch.column(0)), np.array([number[x] for x in batch.column(1).to_pylist()], np.int64)
-            for lo, hi in pieces(texts):
+            for lo, hi in pieces(texts, PIECE_CHARS):
                 grams, row = ngrams(texts[lo:hi])
                 of = langs[lo:hi][row]
                 for i in np.unique(of).tolist():
@@ -131,12 +133,14 @@ def predict(docs: DataFrame, model: Model, *, text: str = "text", keep: tuple[st
     """The columns `keep`, language and score (under `names`) of each document; only the text decides."""
     out_names = names
 
+    at = keep.index(text) if text in keep else len(keep)  # a kept text is sent once
+
     def decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = strings(batch.column(0))
-            lettered = np.array([any(map(str.isalpha, t)) for t in texts.to_pylist()], bool)
+            texts = strings(batch.column(at))
             found, scores = [], []
-            for lo, hi in pieces(texts):
+            for lo, hi in pieces(texts, PIECE_CHARS):
+                lettered = [any(map(str.isalpha, t)) for t in texts[lo:hi].to_pylist()]
                 grams, row = ngrams(texts[lo:hi])
                 n = np.bincount(row, minlength=hi - lo)
                 hits = np.zeros((len(model.languages), hi - lo))
@@ -149,14 +153,15 @@ def predict(docs: DataFrame, model: Model, *, text: str = "text", keep: tuple[st
                 best = real.argmax(axis=0) if len(real) else np.zeros(hi - lo, int)
                 score = np.divide(real.max(axis=0, initial=0), total, out=np.zeros(hi - lo), where=total > 0)
                 for k in range(hi - lo):
-                    known = lettered[lo + k] and len(model.languages) > 0
+                    known = lettered[k] and len(model.languages) > 0
                     found.append(model.languages[best[k]] if known else NONE)
                     scores.append(float(score[k]) if known else 0.0)
-            yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(found, pa.string()), pa.array(scores, pa.float64())], [*keep, *out_names])
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.array(found, pa.string()), pa.array(scores, pa.float64())], [*keep, *out_names])
 
     types = dict(docs.dtypes)
     schema = ", ".join(f"`{c}` {types[c]}" for c in keep) + f", `{out_names[0]}` string, `{out_names[1]}` double"
-    inputs = [F.col(text).cast("string").alias("text"), *[F.col(f"`{c}`").alias(f"kept_{i}") for i, c in enumerate(keep)]]
+    inputs = [F.col(f"`{c}`").alias(f"kept_{i}") for i, c in enumerate(keep)]
+    inputs += [F.col(text).cast("string").alias("text")] if text not in keep else []
     return docs.select(*inputs).mapInArrow(decide, schema)
 
 

@@ -64,3 +64,12 @@ def test_words():
     assert offsets.tolist() == [0, 3, 3, 4] and places.tolist() == [0, 1, 3, 0]
     again, _, _ = common.word_hashes(pa.array(["its AB c"], pa.large_string()))
     assert words[:3].tolist() == again.tolist()
+
+
+def test_word_places_after_leading_white_space():
+    texts = [" foo bar", "\n\r\n a -- b ", "", "   ", "c", "\u3000\x1c\x85d e"]
+    for part in (pa.array(texts, pa.large_string()), pa.array(["x", *texts], pa.large_string())[1:]):
+        _, offsets, places = common.word_hashes(part)
+        for k, t in enumerate(texts):
+            runs = t.split()
+            assert [runs[p] for p in places[offsets[k] : offsets[k + 1]]] == [w for w in runs if common.normal_word(w)]

@@ -99,7 +99,11 @@ def word_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     keep = real[codes]
     kept_before = np.concatenate([[0], np.cumsum(keep)])
     base, places = offsets[0] if len(offsets) else 0, np.arange(len(codes))
-    row_start = np.repeat(offsets[:-1] - base, np.diff(offsets))
+    # white space before the first word gives an empty element, which is no run
+    starts, counts = offsets[:-1] - base, np.diff(offsets)
+    empty = np.fromiter((not w for w in coded.dictionary.to_pylist()), bool, len(normal))[codes]
+    starts[counts > 0] += empty[starts[counts > 0]]
+    row_start = np.repeat(starts, counts)
     return table[codes[keep]], kept_before[offsets - base], (places - row_start)[keep]
 
 

@@ -236,3 +236,17 @@ def test_timeline_is_immutable_and_pushes_filters_down(spark, tmp_path):
     with pytest.raises(ValueError):
         TimelineQuery().duration(minimum=1).rows(c.drop("duration_seconds"), time_column="start_timestamp")
     assert one.by_activity().first().total_seconds == 3600 and stats.pivot(c, "name", "source", ["pc", "phone"]).filter("name = 'x'").first().phone == 0
+
+
+def test_summary_counts_durations_first(spark):
+    rng = random.Random(5)
+    rows = [(rng.choice(["pc", "phone", None]), rng.choice([None, 0, 1, 5, 5, 9, 400])) for _ in range(301)] + [("none", None), ("one", 7), ("two", 1), ("two", 2)]
+    out = intervals.summary(spark.createDataFrame(rows, "source string, duration_seconds long"), ["source"])
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "collect_list" not in plan and "collect_set" not in plan  # no row holds a whole group
+    want = {}
+    for s in {r[0] for r in rows}:
+        d = sorted(x for k, x in rows if k == s and x is not None)
+        n = sum(k == s for k, _ in rows)
+        want[s] = (n, sum(d) / 3600, d[0], d[len(d) // 2], d[-1]) if d else (n, None, None, None, None)
+    assert {r[0]: tuple(r[1:]) for r in out.collect()} == {s: (x[0], pytest.approx(x[1]), *x[2:]) for s, x in want.items()}

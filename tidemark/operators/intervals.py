@@ -112,9 +112,15 @@ def set_difference(left: DataFrame, right: DataFrame) -> DataFrame:
 
 def summary(chunks: DataFrame, by: list[str]) -> DataFrame:
     """Count, hours, shortest, upper median and longest."""
-    d = F.sort_array(F.collect_list("duration_seconds"))
-    g = chunks.groupBy(*by).agg(F.count("*").alias("intervals"), (F.sum("duration_seconds") / 3600.0).alias("hours"), F.min("duration_seconds").alias("shortest"), d.alias("d"), F.max("duration_seconds").alias("longest"))
-    return g.select(*by, "intervals", "hours", "shortest", F.element_at("d", F.expr("cast(floor(size(d) / 2) + 1 as int)")).alias("upper_median"), "longest")
+    d, n = F.col("duration_seconds"), F.col("n")
+    rows = chunks.groupBy(*by, "duration_seconds").agg(F.count("*").alias("n"))
+    # only distinct durations meet in a window
+    known = F.when(d.isNotNull(), n).otherwise(0)
+    group = Window.partitionBy(*by)
+    upto = F.sum(known).over(group.orderBy("duration_seconds").rowsBetween(Window.unboundedPreceding, 0))
+    rows = rows.withColumns({"upto": upto, "half": F.floor(F.sum(known).over(group) / 2)})
+    median = F.min(F.when(F.col("upto") > F.col("half"), d))
+    return rows.groupBy(*by).agg(F.sum("n").alias("intervals"), (F.sum(d * n) / 3600.0).alias("hours"), F.min(d).alias("shortest"), median.alias("upper_median"), F.max(d).alias("longest"))
 
 
 def longest(chunks: DataFrame, n: int) -> DataFrame:

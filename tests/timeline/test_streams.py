@@ -5,9 +5,13 @@ from datetime import datetime, timedelta
 
 from pyspark.sql import functions as F
 
-from tidemark.operators import build
+from tidemark.operators import build, intervals
+from tidemark.plans.queries import QUERIES
+from tidemark.sources import adapter
 from tidemark.streaming import streams
 
+SF = "/root/testdata/sf0.001"
+
 
 def write_files(spark, path, rows, parts):
     df = spark.createDataFrame(rows, streams.EVENTS)
@@ -47,3 +51,28 @@ def test_stream_totals(spark, tmp_path):
     spark.createDataFrame(rows, "start_timestamp timestamp_ntz, end_timestamp timestamp_ntz, name string").write.parquet(str(tmp_path / "in"))
     got = streams.run_available(streams.stream_period_totals(streams.table_stream(spark, str(tmp_path / "in"))), "test").collect()
     assert got and all(r.total_seconds in (3600, 7200) for r in got)
+
+
+def test_r2_has_all_chunks(spark):
+    columns = [c.split()[0] for c in streams.CHUNKS.split(", ")]
+    want = build.chunks_of(build.build(adapter.events(spark, SF))).select(*[F.col(c).cast(t) for c, t in (x.split() for x in streams.CHUNKS.split(", "))])
+    got = QUERIES["r2_stream_build_chunks"](spark, SF).select(columns)
+    assert sorted(map(str, got.collect())) == sorted(map(str, want.collect())) and want.count() > 50
+
+
+def test_tail_of_several_batches(spark, tmp_path):
+    rows = made()
+    write_files(spark, str(tmp_path / "in"), rows, 4)
+    got = streams.run_available(streams.stream_build_chunks(streams.event_stream(spark, str(tmp_path / "in"), files_per_trigger=1)), "test")
+    batch = spark.createDataFrame(rows, streams.EVENTS).withColumn("timestamp", F.col("timestamp").cast("timestamp_ntz"))
+    want = sorted((r.tenant_id, r.start_event_id, r.end_event_id) for r in build.chunks_of(build.build(batch)).collect())
+    assert got.count() < len(want)  # the watermark holds chunks back
+    assert sorted((r.tenant_id, r.start_event_id, r.end_event_id) for r in streams.with_tail(got, batch).collect()) == want
+
+
+def test_r3_has_all_days(spark):
+    e = spark.read.parquet(f"{SF}/events.parquet")
+    spans = e.select(F.col("ts").alias("start_timestamp"), F.timestamp_add("MINUTE", F.floor("value").cast("int"), F.col("ts")).alias("end_timestamp"), F.col("event_type").alias("name"))
+    want = intervals.split(spans, "day").groupBy(F.to_date("start_timestamp").alias("day"), "name").agg(F.sum("duration_seconds").alias("s"), F.count("*").alias("n"))
+    got = QUERIES["r3_stream_period_totals"](spark, SF)
+    assert sorted((r.start.date(), r.name, r.total_seconds, r.parts) for r in got.collect()) == sorted(map(tuple, want.collect()))

@@ -904,11 +904,11 @@ def _(spark, d):
 @query("r2_stream_build_chunks")
 def _(spark, d):
     e = adapter.events_of(streams.table_stream(spark, f"{d}/events.parquet")).withColumn("timestamp", F.col("timestamp").cast("timestamp"))
-    return streams.run_available(streams.stream_build_chunks(e), "chunks")
+    return streams.with_tail(streams.run_available(streams.stream_build_chunks(e), "chunks"), adapter.events(spark, d))
 
 
 @query("r3_stream_period_totals")
 def _(spark, d):
     e = streams.table_stream(spark, f"{d}/events.parquet")
     spans = e.select(F.col("ts").alias("start_timestamp"), F.timestamp_add("MINUTE", F.floor("value").cast("int"), F.col("ts")).alias("end_timestamp"), F.col("event_type").alias("name"))
-    return streams.run_available(streams.stream_period_totals(spans), "totals").select("window.start", "name", "total_seconds", "parts")
+    return streams.run_complete(streams.stream_period_totals(spans), "totals").select("window.start", "name", "total_seconds", "parts")

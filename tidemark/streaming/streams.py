@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from ..operators import build
 from ..operators.intervals import split
 from ..operators.merge import EVENT_KEY
 from ..sources.shared import shared_dir
@@ -36,6 +37,20 @@ def run_available(df: DataFrame, tag: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(f"{place}/rows")
 
 
+def run_complete(df: DataFrame, tag: str) -> DataFrame:
+    """Run an aggregation over what is there now and read its last complete result: every group, late rows included."""
+    spark = df.sparkSession
+    place = f"{shared_dir(spark)}/streams/{tag}-{uuid.uuid4().hex}"
+    written: list[str] = []
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{place}/rows/{number}")
+        written.append(f"{place}/rows/{number}")
+
+    df.writeStream.foreachBatch(write).outputMode("complete").option("checkpointLocation", f"{place}/state").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(df.schema).parquet(written[-1]) if written else spark.createDataFrame([], df.schema)
+
+
 def stream_import(events: DataFrame, delay: str = "2 hours") -> DataFrame:
     """Events once each, as far as repeats come within the delay."""
     keyed = events.withColumns({c: F.coalesce(c, F.lit("")) for c in ("category", "name")})
@@ -53,13 +68,14 @@ def stream_build_chunks(events: DataFrame, delay: str = "2 hours") -> DataFrame:
         ready_to = state.getCurrentWatermarkMs() * 1000
         waiting.sort(key=lambda x: x[:2])
         out = []
-        while waiting and waiting[0][0] <= ready_to:
-            ts, i, kind, category, name = waiting.pop(0)
+        ready = sum(x[0] <= ready_to for x in waiting)
+        for ts, i, kind, category, name in waiting[:ready]:
             if kind == "interval_start" and opened is None:
                 opened = (ts, i, category, name)
             elif kind == "interval_end" and opened is not None and tuple(opened[2:]) == (category, name):
                 out.append((key[0], key[1], opened[1], i, opened[0], ts, category, name))
                 opened = None
+        waiting = waiting[ready:]
         state.update((opened, waiting))
         if waiting:
             state.setTimeoutTimestamp(max(waiting[0][0] // 1000, state.getCurrentWatermarkMs() + 1))
@@ -74,6 +90,18 @@ def stream_build_chunks(events: DataFrame, delay: str = "2 hours") -> DataFrame:
     return keyed.groupBy("tenant_id", "device_source").applyInPandasWithState(fold, CHUNKS, state, "append", GroupStateTimeout.EventTimeTimeout)
 
 
+def with_tail(chunks: DataFrame, events: DataFrame) -> DataFrame:
+    """Chunks of stream_build_chunks over events, and those that the watermark held back: a key is idle after its last
+    chunk, so the batch build of all its later events gives the rest."""
+    last = chunks.groupBy("tenant_id", "source").agg(F.max(F.struct("end_timestamp", "end_event_id")).alias("last"))
+    last = last.select(F.col("tenant_id").alias("last_tenant"), F.col("source").alias("last_source"), "last")
+    same = F.col("tenant_id").eqNullSafe(F.col("last_tenant")) & F.col("device_source").eqNullSafe(F.col("last_source"))
+    time = F.col("timestamp").cast("timestamp")
+    rest = events.join(last, same, "left").filter(F.col("last").isNull() | (F.struct(time.alias("end_timestamp"), F.col("id").alias("end_event_id")) > F.col("last")))
+    tail = build.chunks_of(build.build(rest.select(events.columns).withColumn("timestamp", F.col("timestamp").cast("timestamp_ntz"))))
+    return chunks.unionByName(tail.select(*[F.col(c).cast(t) for c, t in (x.split() for x in CHUNKS.split(", "))]))
+
+
 def stream_period_totals(chunks: DataFrame, period: str = "1 day", delay: str = "1 day") -> DataFrame:
     """Tumbling totals of chunks cut at day boundaries."""
     parts = split(chunks, "day").withColumn("t", F.col("start_timestamp").cast("timestamp")).withWatermark("t", delay)

@@ -3,23 +3,25 @@
 Words are white-space runs in lower case with letters and digits only. A document is contaminated by an item of
 m words when some passage of it is within d = floor(m * (1 - similarity)) word edits of the item.
 
-1. Windows. An edit changes at most q of the item's q-word runs, so a passage within d edits keeps at least
-   m - q + 1 - q * d of them, at places shifted by at most d. Only item-sized windows that start where so many
-   runs of the item line up are embedded; this count loses nothing.
-2. Embedding. A CGK random walk reads a window word by word; whether it moves on or stays depends on a hash of the
+1. Embedding. A CGK random walk reads a window word by word; whether it moves on or stays depends on a hash of the
    step and the word, the same for windows and items. Two sequences at a small edit distance fall into step again
-   and agree in most of the 3 * m places.
-3. LSH. Each repetition has a walk of its own and compares BITS sampled places. The number of repetitions follows
-   from the target recall and the share of places that must agree (AGREE).
-4. Windows that collide are verified by the exact edit distance of the item to the best passage around them.
+   and agree in many places. A word's bits repeat every PERIOD steps, so PERIOD steps are one map of places, and all
+   windows of a text walk on together by looking that map up again and again.
+2. LSH. Every place of every text begins a window. Items of 2 ** c to 2 ** (c + 1) words are a size class, and their
+   windows' walks are sampled at PLACES steps spread over 1.75 * 2 ** c steps, which an item of the class outlasts.
+   A walk gives several samplings of 2 places (3 for many items); windows that agree with an item in all places of
+   one sampling are candidates. The number of independent walks follows from the target recall and CHANCE.
+3. Candidates whose surroundings hold enough of the item's words (a count that loses nothing) are verified by the
+   exact edit distance of the item to the best passage around them.
 
-Items go to the executors in blocks of ITEM_BLOCK, each a pass over the documents, so no size of the benchmark
+Items go to the executors in blocks of about BLOCK_CHARS, each a pass over the documents, so no size of the benchmark
 is assumed. Items without words match nothing. Null and empty texts match nothing. Repeated rows give repeated
 results, equal items one row each; null ids are kept. Extra columns don't matter; empty tables give no rows.
 """
 
 from __future__ import annotations
 
+import itertools
 import math
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -30,110 +32,228 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import mix, pieces, shingle_hashes, strings, word_hashes
+from .common import materialize, mix, pieces, spread, strings, word_hashes
 
 SIMILARITY, RECALL = 0.8, 0.999
-#: Sampled places of a repetition, and the least share of places in which a passage within d edits agrees.
-BITS, AGREE = 2, 0.25
-ITEM_BLOCK = 20_000
+#: Steps after which a word's bits repeat, and sampled places of a walk.
+PERIOD, PLACES = 4, 8
+#: Up to so many items in a block, samplings take 2 places, else 3.
+FEW_ITEMS = 500
+#: Samplings of a walk, and the least chance that one of them finds a passage of exactly d edits (tests measure it).
+SAMPLINGS, CHANCE = {2: 4, 3: 8}, {2: 0.6, 3: 0.45}
+BLOCK_CHARS = 4_000_000
+#: Characters handled at once inside a task.
+PIECE_CHARS = 1_500_000
 MATCHES = "doc_id long, item_id long, edits int, first_word long, n_words int, passages int"
 
 
-def repetitions(recall: float) -> int:
-    return math.ceil(math.log(1 - recall) / math.log(1 - AGREE**BITS))
+def walks(recall: float, places: int) -> int:
+    """Independent walks for the target recall; a word has bits for 16."""
+    return min(16, math.ceil(math.log(1 - recall) / math.log(1 - CHANCE[places])))
+
+
+def size_class(m: int) -> int:
+    return m.bit_length() - 1
+
+
+def steps_of(c: int) -> list[int]:
+    """The steps at which windows of a size class may be sampled."""
+    apart = max(1, 2**c // 4)
+    return [k * apart for k in range(PLACES) if k * apart <= max(1.75 * 2**c, 0 if c == 0 else 2)]
+
+
+def samplings(c: int, walk: int, places: int) -> list[tuple[int, ...]]:
+    """The step numbers of a walk's samplings."""
+    steps = steps_of(c)
+    every = list(itertools.combinations(steps, min(places, len(steps))))
+    order = np.random.default_rng([walk, c]).permutation(len(every))
+    return [every[k] for k in order[: SAMPLINGS[places]]]
+
+
+class Texts:
+    """Words of many rows, a zero word (where walks end) after each, ready for walks."""
+
+    def __init__(self, words: np.ndarray, offsets: np.ndarray):
+        rows = len(offsets) - 1
+        self.words = np.zeros(len(words) + rows, np.uint64)
+        self.starts = offsets[:-1] + np.arange(rows)
+        self.ends = offsets[1:] + np.arange(rows)
+        real = np.ones(len(self.words), bool)
+        real[self.ends] = False
+        self.words[real] = words
+        self.real = real
+        self.code = (self.words >> np.uint64(32)).astype(np.uint32)
+        self.bits = mix(self.words, 1)
+
+    def walk(self, number: int, steps: list[int]) -> dict[int, np.ndarray]:
+        """The words that all windows' walks read after the given steps."""
+        nibble = _NIBBLES[number % PERIOD][((self.bits >> np.uint64(4 * number)) & np.uint64(15)).astype(np.uint8)]
+        nibble[self.ends] = 0
+        part = [np.arange(len(self.words))]
+        for j in range(PERIOD):
+            part.append(part[-1] + ((nibble[part[-1]] if j else nibble) >> j & 1))
+        rounds, out = {0: part[0]}, {}
+        for s in steps:
+            a, i = divmod(s, PERIOD)
+            for k in range(max(rounds) + 1, a + 1):
+                rounds[k] = part[PERIOD][rounds[k - 1]] if k > 1 else part[PERIOD]
+            at = rounds[a] if not i else part[i][rounds[a]] if a else part[i]
+            out[s] = self.code[at] if s else self.code
+        return out
+
+
+#: The bits of a word by its nibble; a word without a bit gets one, so that every walk goes on.
+_NIBBLES = [np.array([1 << k, *range(1, 16)], np.uint8) for k in range(PERIOD)]
+
+
+def sampled(read: dict[int, np.ndarray], steps: tuple[int, ...]) -> np.ndarray:
+    """One hash of the words read at the given steps."""
+    key = read[steps[0]] * np.uint32(0x9E3779B1)
+    for s in steps[1:]:
+        key = (key ^ read[s]) * np.uint32(0x85EBCA77)
+        key ^= key >> np.uint32(15)
+    return key
 
 
 @dataclass
 class Items:
-    """A block of items: words one after another, offsets, edits allowed, run length q, and runs needed."""
+    """A block of items: words one after another, offsets, edits allowed, and the LSH tables of their samplings."""
 
     ids: list
     words: np.ndarray
     offsets: np.ndarray
     edits: np.ndarray
-    run: np.ndarray
-    need: np.ndarray
+    places: int
+    n_walks: int
+    tables: dict[tuple[int, int, tuple[int, ...]], tuple[np.ndarray, np.ndarray]]
 
     @classmethod
-    def of(cls, rows: list[tuple[int, str | None]], similarity: float) -> "Items":
+    def of(cls, rows: list[tuple[int, str | None]], similarity: float, recall: float) -> Items:
         words, offsets, _ = word_hashes(strings(pa.array([t for _, t in rows], pa.string())))
         m = np.diff(offsets)
-        edits = np.floor(m * (1 - similarity) + 1e-9).astype(np.int64)
-        run = np.minimum(3, np.maximum(m, 1))
-        for _ in range(2):
-            run = np.where((m - run + 1 - run * edits < 1) & (run > 1), run - 1, run)
-        return cls([i for i, _ in rows], words, offsets, edits, run, np.maximum(m - run + 1 - run * edits, 1))
-
-    def runs(self, q: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Sorted hashes of the q-word runs of the items that use q, with item and place."""
-        grams, offsets = shingle_hashes(self.words, self.offsets, q)
-        item = np.repeat(np.arange(len(self.ids)), np.diff(offsets))
-        place = np.arange(len(grams)) - offsets[item]
-        use = self.run[item] == q
-        order = np.argsort(grams[use], kind="stable")
-        return grams[use][order], item[use][order], place[use][order]
-
-
-def lined_up(items: Items, tables: dict, words: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Item and window start (may lie outside the row) wherever enough runs of an item line up."""
-    found_item, found_start = [], []
-    for q, (grams, item, place, flags) in tables.items():
-        own, own_offsets = shingle_hashes(words, offsets, q)
-        maybe = np.flatnonzero(flags[(own >> np.uint64(40)).astype(np.int64)])
-        left, right = np.searchsorted(grams, own[maybe], "left"), np.searchsorted(grams, own[maybe], "right")
-        many = right - left
-        hit = np.repeat(left - np.cumsum(many) + many, many) + np.arange(many.sum())
-        at = np.repeat(maybe, many)
-        row = np.searchsorted(own_offsets, at, "right") - 1
-        found_item.append(item[hit])
-        found_start.append(at - own_offsets[row] + offsets[row] - place[hit])
-    if not found_item:
-        return np.empty(0, np.int64), np.empty(0, np.int64)
-    item, start = np.concatenate(found_item), np.concatenate(found_start)
-    key = (item << 40) + start + (1 << 32)  # starts of one item side by side
-    order = np.argsort(key, kind="stable")
-    item, start, key = item[order], start[order], key[order]
-    # the runs of one passage have starts within 2 * d; every start of such a group is a window to embed
-    last = np.searchsorted(key, key + 2 * items.edits[item], "right")
-    enough = last - np.arange(len(key)) >= items.need[item]
-    cover = np.zeros(len(key) + 1, np.int64)
-    np.add.at(cover, np.flatnonzero(enough), 1)
-    np.add.at(cover, last[enough], -1)
-    keep = np.cumsum(cover)[:-1] > 0
-    pairs = np.unique(key[keep])
-    return pairs >> 40, (pairs & ((1 << 40) - 1)) - (1 << 32)
-
-
-def walk(words: np.ndarray, start: np.ndarray, length: np.ndarray, lo: np.ndarray, hi: np.ndarray, places: np.ndarray, seed: int) -> np.ndarray:
-    """The words that CGK walks over windows [start, start + length) read at the given steps (0 past the end or row)."""
-    at = np.zeros(len(start), np.int64)
-    out = np.zeros((places.shape[1], len(start)), np.uint64)
-    for step in range(int(places.max(initial=-1)) + 1):
-        where = start + at
-        inside = (at < length) & (where >= lo) & (where < hi)
-        word = np.where(inside, words[np.clip(where, 0, len(words) - 1)], np.uint64(0))
-        for k in range(places.shape[1]):
-            out[k] = np.where(places[:, k] == step, word, out[k])
-        at += (mix(word + np.uint64(step), seed) & np.uint64(1)).astype(np.int64)
-    return out
-
-
-def collide(items: Items, words: np.ndarray, offsets: np.ndarray, item: np.ndarray, start: np.ndarray, reps: int) -> np.ndarray:
-    """Which windows agree with their item in all sampled places of some repetition."""
-    m = np.diff(items.offsets)[item]
-    row = np.clip(np.searchsorted(offsets, np.clip(start + m // 2, 0, len(words) - 1), "right") - 1, 0, len(offsets) - 2)
-    first = items.offsets[:-1][item]
-    hit = np.zeros(len(item), bool)
-    for seed in range(1, reps + 1):
-        rest = np.flatnonzero(~hit)
-        if not len(rest):
-            break
-        draw = np.random.default_rng(seed).random(BITS)
-        places = (draw[None, :] * (3 * m[rest])[:, None]).astype(np.int64)
-        a = walk(words, start[rest], m[rest], offsets[row[rest]], offsets[row[rest] + 1], places, seed)
-        b = walk(items.words, first[rest], m[rest], first[rest], first[rest] + m[rest], places, seed)
-        hit[rest] = (a == b).all(axis=0)
-    return hit
+        places = 2 if len(rows) <= FEW_ITEMS else 3
+        out = cls([i for i, _ in rows], words, offsets, np.floor(m * (1 - similarity) + 1e-9).astype(np.int64), places, walks(recall, places), {})
+        texts = Texts(words, offsets)
+        classes = np.array([size_class(int(n)) for n in m], np.int64)
+        for w in range(out.n_walks):
+            read = texts.walk(w, out.steps())
+            for c in out.classes():
+                mine = np.flatnonzero(classes == c)
+                for steps in samplings(c, w, places):
+                    key = sampled({s: read[s][texts.starts[mine]] for s in steps}, steps)
+                    order = np.argsort(key, kind="stable")
+                    out.tables[w, c, steps] = key[order], mine[order]
+        return out
+
+    def classes(self) -> list[int]:
+        return sorted({size_class(int(n)) for n in np.diff(self.offsets) if n})
+
+    def steps(self) -> list[int]:
+        return sorted({s for c in self.classes() for s in steps_of(c)})
+
+    def words_of(self, j: int) -> np.ndarray:
+        return self.words[self.offsets[j] : self.offsets[j + 1]]
+
+
+def flags_of(keys: np.ndarray) -> tuple[np.ndarray, np.uint32]:
+    """A table that says which leading bits of a 32-bit key occur at all, and the shift to them."""
+    bits = min(24, max(12, (64 * len(keys)).bit_length()))
+    flags = np.zeros(1 << bits, bool)
+    flags[keys >> np.uint32(32 - bits)] = True
+    return flags, np.uint32(32 - bits)
+
+
+class Matcher:
+    """What a task keeps of a block of items."""
+
+    def __init__(self, items: Items):
+        self.items = items
+        self.flags = {k: flags_of(t[0]) for k, t in items.tables.items()}
+        item = np.repeat(np.arange(len(items.ids)), np.diff(items.offsets))
+        self.held = flags_of(self._held(item, items.words))
+
+    @staticmethod
+    def _held(item: np.ndarray, words: np.ndarray) -> np.ndarray:
+        key = ((words >> np.uint64(32)).astype(np.uint32) ^ item.astype(np.uint32)) * np.uint32(0x9E3779B1)
+        return (key ^ key >> np.uint32(15)) * np.uint32(0x85EBCA77)
+
+    def candidates(self, texts: Texts) -> tuple[np.ndarray, np.ndarray]:
+        """Items and window starts (places in texts) that agree in a sampling, once each."""
+        found = [np.empty(0, np.int64)]
+        for w in range(self.items.n_walks):
+            read = texts.walk(w, self.items.steps())
+            for (walk, c, steps), (keys, item) in self.items.tables.items():
+                if walk != w:
+                    continue
+                own = sampled(read, steps)
+                flags, shift = self.flags[walk, c, steps]
+                maybe = np.flatnonzero(flags[own >> shift])
+                own = own[maybe]
+                left = np.searchsorted(keys, own, "left")
+                many = np.searchsorted(keys, own, "right") - left
+                found.append((item[spread(left, many)] << 40) + np.repeat(maybe, many))
+        pairs = np.unique(np.concatenate(found))
+        item, start = pairs >> 40, pairs & ((1 << 40) - 1)
+        real = texts.real[start]
+        return item[real], start[real]
+
+    def regions(self, texts: Texts, item: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, ...]:
+        """Item, row, first place and width of the surroundings to verify; near starts share one."""
+        m, d = np.diff(self.items.offsets)[item], self.items.edits[item]
+        row = np.searchsorted(texts.starts, start, "right") - 1
+        apart = d // 2 + 1
+        inside = (start - texts.starts[row]) // apart * apart
+        rows = np.unique(np.stack([item, row, inside]), axis=1)
+        item, row, inside = rows
+        m, d = np.diff(self.items.offsets)[item], self.items.edits[item]
+        return item, row, texts.starts[row] + inside - d, m + 3 * d + d // 2
+
+    def holding(self, texts: Texts, item: np.ndarray, row: np.ndarray, first: np.ndarray, width: np.ndarray) -> np.ndarray:
+        """Which regions hold as many words of their item as a passage within its edits must have."""
+        flags, shift = self.held
+        need = np.diff(self.items.offsets)[item] - self.items.edits[item]
+        out = np.zeros(len(item), bool)
+        for lo in range(0, len(item), 20_000):
+            part = slice(lo, lo + 20_000)
+            a = np.maximum(first[part], texts.starts[row[part]])
+            n = np.maximum(np.minimum(first[part] + width[part], texts.ends[row[part]]) - a, 0)
+            hit = flags[self._held(np.repeat(item[part], n), texts.words[spread(a, n)]) >> shift]
+            total = np.concatenate([[0], np.cumsum(hit)])
+            end = np.cumsum(n)
+            out[part] = total[end] - total[end - n] >= need[part]
+        return out
+
+    def verify(self, texts: Texts, item: np.ndarray, row: np.ndarray, first: np.ndarray, width: np.ndarray) -> tuple[np.ndarray, ...]:
+        """Row, item, edits and passage end (place in texts) of the regions with a passage within the item's edits."""
+        out = [(np.empty(0, np.int64),) * 4]
+        for j in np.unique(item).tolist():
+            mine = np.flatnonzero(item == j)
+            for lo in range(0, len(mine), 4096):
+                k = mine[lo : lo + 4096]
+                at = first[k][:, None] + np.arange(int(width[k[0]]))
+                inside = (at >= texts.starts[row[k]][:, None]) & (at < texts.ends[row[k]][:, None])
+                regions = np.where(inside, texts.words[np.clip(at, 0, len(texts.words) - 1)], np.uint64(0))
+                edits, end = edit_distances(self.items.words_of(j), regions)
+                good = edits <= self.items.edits[j]
+                out.append((row[k][good], np.full(good.sum(), j), edits[good], (first[k] + end)[good]))
+        return tuple(np.concatenate(x) for x in zip(*out, strict=True))
+
+    def matches(self, words: np.ndarray, offsets: np.ndarray) -> dict[tuple[int, int], list]:
+        """(row, item) -> edits, first word and end of the best passage, and separate passages."""
+        texts = Texts(words, offsets)
+        regions = self.regions(texts, *self.candidates(texts))
+        regions = tuple(x[self.holding(texts, *regions)] for x in regions)
+        best: dict[tuple[int, int], list] = {}
+        for r, j, e, stop in sorted(zip(*(x.tolist() for x in self.verify(texts, *regions)), strict=True), key=lambda x: (x[0], x[1], x[3])):
+            stop -= int(texts.starts[r])
+            m = int(self.items.offsets[j + 1] - self.items.offsets[j])
+            seen = best.setdefault((r, j), [e, stop, 1, stop])
+            if stop - seen[3] >= m:  # another passage
+                seen[2] += 1
+                seen[3] = stop
+            if e < seen[0]:
+                seen[:2] = [e, stop]
+        return {(r, j): [e, max(stop - int(self.items.offsets[j + 1] - self.items.offsets[j]), 0), n] for (r, j), (e, stop, n, _) in best.items()}
 
 
 def edit_distances(item: np.ndarray, regions: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -148,77 +268,42 @@ def edit_distances(item: np.ndarray, regions: np.ndarray) -> tuple[np.ndarray, n
     return row.min(axis=1), row.argmin(axis=1)
 
 
-def verify(items: Items, words: np.ndarray, offsets: np.ndarray, item: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, ...]:
-    """Row, item, edits and passage end of the windows within the item's edits."""
-    out = []
-    for j in np.unique(item).tolist():
-        m, d = int(items.offsets[j + 1] - items.offsets[j]), int(items.edits[j])
-        s = start[item == j]
-        row = np.clip(np.searchsorted(offsets, np.clip(s + m // 2, 0, len(words) - 1), "right") - 1, 0, len(offsets) - 2)
-        at = s[:, None] - d + np.arange(m + 2 * d)
-        inside = (at >= offsets[row][:, None]) & (at < offsets[row + 1][:, None])
-        regions = np.where(inside, words[np.clip(at, 0, len(words) - 1)], np.uint64(0))
-        edits, end = edit_distances(items.words[items.offsets[j] : items.offsets[j + 1]], regions)
-        good = edits <= d
-        out.append((row[good], np.full(good.sum(), j), edits[good], (s - d + end)[good]))
-    return tuple(np.concatenate(x) for x in zip(*out, strict=True)) if out else tuple(np.empty(0, np.int64) for _ in range(4))
-
-
 def find(docs: DataFrame, benchmark: DataFrame, *, similarity: float = SIMILARITY, recall: float = RECALL, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
     """One row for each document and item that it holds: the best passage's edits, its first word and length (in
     words of the document), and how many separate passages there are."""
-    block = F.pmod(F.xxhash64(item_text), F.lit(max(1, -(-benchmark.count() // ITEM_BLOCK))))
-    rows = benchmark.select(F.col(item_id).cast("long").alias("id"), F.col(item_text).cast("string").alias("text"), block.alias("block"))
-    blocks = sorted(r.block for r in rows.select("block").distinct().collect())
+    rows = benchmark.select(F.col(item_id).cast("long").alias("id"), F.col(item_text).cast("string").alias("text"))
+    blocks = max(1, -(-(rows.agg(F.sum(F.length("text"))).first()[0] or 0) // BLOCK_CHARS))
+    rows = rows.withColumn("block", F.pmod(F.xxhash64("text"), F.lit(blocks)))
     base = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    parts = [_find_block(base, [(r.id, r.text) for r in rows.filter(F.col("block") == b).collect()], similarity, recall) for b in blocks]
-    return reduce(DataFrame.unionByName, parts) if parts else docs.sparkSession.createDataFrame([], MATCHES)
-
+    parts = []
+    for b in range(blocks):  # the driver holds one block at a time
+        items = Items.of([(r.id, r.text) for r in rows.filter(F.col("block") == b).collect()], similarity, recall)
+        found = _find_block(base, items)
+        parts.append(found if blocks == 1 else materialize(found, "contaminated"))
+    return reduce(DataFrame.unionByName, parts)
 
-def _find_block(docs: DataFrame, rows: list, similarity: float, recall: float) -> DataFrame:
-    items = Items.of(rows, similarity)
-    tables = {}
-    for q in sorted(set(items.run[np.diff(items.offsets) > 0].tolist())):
-        grams, item, place = items.runs(q)
-        flags = np.zeros(1 << 24, bool)
-        flags[(grams >> np.uint64(40)).astype(np.int64)] = True
-        tables[q] = (grams, item, place, np.packbits(flags))
-    reps = repetitions(recall)
 
+def _find_block(docs: DataFrame, items: Items) -> DataFrame:
     def match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ready = {q: (*t[:3], np.unpackbits(t[3]).astype(bool)) for q, t in tables.items()}
+        matcher = Matcher(items)
         for batch in batches:
             texts = strings(batch.column(1))
-            for lo, hi in pieces(texts):
+            for lo, hi in pieces(texts, PIECE_CHARS):
                 words, offsets, _ = word_hashes(texts[lo:hi])
-                if not len(words):
+                found = matcher.matches(words, offsets) if len(words) and items.tables else {}
+                if not found:
                     continue
-                item, start = lined_up(items, ready, words, offsets)
-                hit = collide(items, words, offsets, item, start, reps)
-                row, item, edits, end = verify(items, words, offsets, item[hit], start[hit])
-                best: dict[tuple[int, int], list] = {}
-                for r, j, e, stop in sorted(zip(row.tolist(), item.tolist(), edits.tolist(), end.tolist(), strict=True), key=lambda x: (x[0], x[1], x[3])):
-                    m = int(items.offsets[j + 1] - items.offsets[j])
-                    first = max(stop - m, int(offsets[r])) - int(offsets[r])
-                    seen = best.setdefault((r, j), [e, first, stop, 1, stop])
-                    if stop - seen[4] >= m:  # another passage
-                        seen[3] += 1
-                        seen[4] = stop
-                    if e < seen[0]:
-                        seen[:3] = [e, first, stop]
-                if best:
-                    keys = list(best)
-                    values = list(best.values())
-                    yield pa.RecordBatch.from_arrays(
-                        [
-                            batch.column(0).take(pa.array([lo + r for r, _ in keys])),
-                            pa.array([items.ids[j] for _, j in keys], pa.int64()),
-                            pa.array([v[0] for v in values], pa.int32()),
-                            pa.array([v[1] for v in values], pa.int64()),
-                            pa.array([int(items.offsets[j + 1] - items.offsets[j]) for _, j in keys], pa.int32()),
-                            pa.array([v[3] for v in values], pa.int32()),
-                        ],
-                        ["doc_id", "item_id", "edits", "first_word", "n_words", "passages"],
-                    )
+                keys, values = list(found), list(found.values())
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        batch.column(0).take(pa.array([lo + r for r, _ in keys])),
+                        pa.array([items.ids[j] for _, j in keys], pa.int64()),
+                        pa.array([v[0] for v in values], pa.int32()),
+                        pa.array([v[1] for v in values], pa.int64()),
+                        pa.array([int(items.offsets[j + 1] - items.offsets[j]) for _, j in keys], pa.int32()),
+                        pa.array([v[2] for v in values], pa.int32()),
+                    ],
+                    ["doc_id", "item_id", "edits", "first_word", "n_words", "passages"],
+                )
 
     return docs.mapInArrow(match, MATCHES)

@@ -1,6 +1,7 @@
 """Shared helpers against plain loops."""
 
 import random
+import re
 
 import numpy as np
 import pyarrow as pa
@@ -73,3 +74,26 @@ def test_word_places_after_leading_white_space():
         for k, t in enumerate(texts):
             runs = t.split()
             assert [runs[p] for p in places[offsets[k] : offsets[k + 1]]] == [w for w in runs if common.normal_word(w)]
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.text(alphabet=st.one_of(st.sampled_from("aB1 _-.\n\t\x1c\u3000\xa0ßİıΣςσÄé\u0301日𝒳"), st.characters(exclude_categories=["Cs"])), max_size=40), max_size=6))
+def test_word_table_equals_plain_words(texts):
+    found = common.word_table(pa.array(texts, pa.large_string()))
+    hash_of = {}
+    for k, text in enumerate(texts):
+        runs = [(m.start(), m.end()) for m in re.finditer(r"\S+", text)]
+        want = [(w, p, a, b) for p, (a, b) in enumerate(runs) if (w := common.normal_word(text[a:b]))]
+        own = slice(found.offsets[k], found.offsets[k + 1])
+        assert list(zip(found.places[own].tolist(), found.starts[own].tolist(), found.ends[own].tolist())) == [w[1:] for w in want]
+        for (w, *_), h in zip(want, found.hashes[own].tolist(), strict=True):
+            assert hash_of.setdefault(w, h) == h
+    assert len(set(hash_of.values())) == len(hash_of)
+
+
+def test_long_words_of_two_letters_differ():
+    a = "a"
+    for _ in range(11):
+        a += a.translate(str.maketrans("ab", "ba"))
+    b = a.translate(str.maketrans("ab", "ba"))
+    assert len(set(common.word_table(pa.array([f"{a} {b} {a[:300]} {b[:300]}"], pa.large_string())).hashes.tolist())) == 4

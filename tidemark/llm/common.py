@@ -6,6 +6,7 @@ import re
 import tempfile
 import uuid
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -15,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Code points handled at once inside a task; a longer text is one piece by itself.
-PIECE_CHARS = 6_000_000
+PIECE_CHARS = 500_000
 
 _NOT_WORD = re.compile(r"[\W_]+")
 
@@ -80,31 +81,99 @@ def pieces(texts: pa.Array, limit: int = PIECE_CHARS) -> Iterator[tuple[int, int
 
 def normal_word(word: str) -> str:
     """Lower case, letters and digits only. A word is a run of non-white-space; empty results are no words."""
-    return _NOT_WORD.sub("", word.lower())
+    return _NOT_WORD.sub("", word.lower().replace("ς", "σ"))
+
+
+class _Characters:
+    """What each code point is to a word: white space, nothing, or a letter or digit with its lower case."""
+
+    SPACE, NOTHING, LETTER = 0, 1, 2
+
+    def __init__(self):
+        self.kind = np.full(0x110000, self.NOTHING, np.uint8)
+        self.value = np.zeros(0x110000, np.uint64)
+        self.known = np.zeros(0x1100, bool)
+
+    def learn(self, codes: np.ndarray) -> None:
+        """Fill the pages of 256 code points that occur."""
+        pages = np.flatnonzero(np.bincount(codes >> np.uint32(8), minlength=0x1100)[:0x1100] > 0)
+        for page in pages[~self.known[pages]].tolist():
+            for c in range(page << 8, page + 1 << 8):
+                if chr(c).isspace():
+                    self.kind[c] = self.SPACE
+                elif low := normal_word(chr(c)):
+                    self.kind[c], self.value[c] = self.LETTER, ord(low[0])
+            part = slice(page << 8, page + 1 << 8)
+            self.value[part] = mix(self.value[part], 9)
+            self.known[page] = True
+
+
+_characters = _Characters()
+#: Odd multiplier of the words' polynomial hashes, and its inverse modulo 2 ** 64.
+_BASE = 0xD1342543DE82EF95
+_powers = np.ones((2, 1), np.uint64)
+#: Letters from which a word is hashed on its own: a polynomial modulo 2 ** 64 has known collisions for long periodic words.
+_LONG_WORD = 256
+
+
+def _powers_to(n: int) -> np.ndarray:
+    """Powers of the base and of its inverse."""
+    global _powers
+    if _powers.shape[1] < n:
+        steps = np.repeat(np.array([[_BASE], [pow(_BASE, -1, 1 << 64)]], np.uint64), n, axis=1)
+        steps[:, 0] = 1
+        _powers = np.multiply.accumulate(steps, axis=1)
+    return _powers
+
+
+def code_points(texts: list[str]) -> np.ndarray:
+    return np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32)
+
+
+@dataclass(frozen=True)
+class WordTable:
+    """The words of some texts: hashes, row offsets, places among the text's runs of non-white-space, and the characters of
+    the text at which these runs begin and end."""
+
+    hashes: np.ndarray
+    offsets: np.ndarray
+    places: np.ndarray
+    starts: np.ndarray
+    ends: np.ndarray
+
+
+def word_table(texts: pa.Array) -> WordTable:
+    """All words of all texts. Everything is array arithmetic over the code points."""
+    rows = texts.to_pylist()
+    codes = code_points([t + "\n" for t in rows])
+    row_starts = np.concatenate([[0], np.cumsum(np.fromiter(map(len, rows), np.int64, len(rows)) + 1)])
+    _characters.learn(codes)
+    kind = _characters.kind[codes]
+    inside = kind != _Characters.SPACE
+    turns = np.flatnonzero(inside[1:] != inside[:-1]) + 1 if len(codes) else np.empty(0, np.int64)
+    turns = np.concatenate([[0], turns]) if len(codes) and inside[0] else turns
+    starts, ends = turns[::2], turns[1::2]  # of runs; the last character is white space
+    letters = np.flatnonzero(kind == _Characters.LETTER)
+    first, last = np.searchsorted(letters, starts), np.searchsorted(letters, ends)
+    power = _powers_to(len(letters) + 1)
+    sums = np.zeros(len(letters) + 1, np.uint64)
+    np.cumsum(_characters.value[codes[letters]] * power[0, : len(letters)], dtype=np.uint64, out=sums[1:])
+    real = last > first
+    runs_before = np.searchsorted(starts, row_starts)
+    row = np.repeat(np.arange(len(rows)), np.diff(runs_before))
+    places = np.arange(len(starts)) - runs_before[row]
+    offsets = np.concatenate([[0], np.cumsum(real)])[runs_before]
+    first, last, row = first[real], last[real], row[real]
+    hashes = mix((sums[last] - sums[first]) * power[1, first], 13)
+    for k in np.flatnonzero(last - first > _LONG_WORD).tolist():
+        hashes[k] = xxhash.xxh3_64_intdigest(_characters.value[codes[letters[first[k] : last[k]]]].tobytes())
+    return WordTable(hashes, offsets, places[real], starts[real] - row_starts[row], ends[real] - row_starts[row])
 
 
 def word_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Hashes of all words of all texts, row offsets, and each word's place among the text's white-space runs.
-
-    Only distinct raw words of the batch are normalised and hashed; the rest is array lookup.
-    """
-    split = pc.utf8_split_whitespace(texts)
-    offsets = split.offsets.to_numpy().astype(np.int64)
-    coded = split.values.dictionary_encode() if len(split.values) else pa.array([], pa.large_string()).dictionary_encode()
-    codes = coded.indices.to_numpy(zero_copy_only=False)
-    normal = [normal_word(w) for w in coded.dictionary.to_pylist()]
-    digest = xxhash.xxh3_64_intdigest
-    table = np.fromiter((digest(w) if w else 0 for w in normal), np.uint64, len(normal))
-    real = np.fromiter((bool(w) for w in normal), bool, len(normal))
-    keep = real[codes]
-    kept_before = np.concatenate([[0], np.cumsum(keep)])
-    base, places = offsets[0] if len(offsets) else 0, np.arange(len(codes))
-    # white space before the first word gives an empty element, which is no run
-    starts, counts = offsets[:-1] - base, np.diff(offsets)
-    empty = np.fromiter((not w for w in coded.dictionary.to_pylist()), bool, len(normal))[codes]
-    starts[counts > 0] += empty[starts[counts > 0]]
-    row_start = np.repeat(starts, counts)
-    return table[codes[keep]], kept_before[offsets - base], (places - row_start)[keep]
+    """Hashes of all words of all texts, row offsets, and each word's place among the text's white-space runs."""
+    found = word_table(texts)
+    return found.hashes, found.offsets, found.places
 
 
 def mix(x: np.ndarray, seed: int) -> np.ndarray:

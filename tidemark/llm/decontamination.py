@@ -10,7 +10,8 @@ m words when some passage of it is within d = floor(m * (1 - similarity)) word e
 2. LSH. Every place of every text begins a window. Items of 2 ** c to 2 ** (c + 1) words are a size class, and their
    windows' walks are sampled at PLACES steps spread over 1.75 * 2 ** c steps, which an item of the class outlasts.
    A walk gives several samplings of 2 places (3 for many items); windows that agree with an item in all places of
-   one sampling are candidates. The number of independent walks follows from the target recall and CHANCE.
+   one sampling, and in one place more of the walk's PLACES (their Hamming distance), are candidates. The number of
+   independent walks follows from the target recall and CHANCE.
 3. Candidates whose surroundings hold enough of the item's words (a count that loses nothing) are verified by the
    exact edit distance of the item to the best passage around them.
 
@@ -40,10 +41,8 @@ PERIOD, PLACES = 4, 8
 #: Up to so many items in a block, samplings take 2 places, else 3.
 FEW_ITEMS = 500
 #: Samplings of a walk, and the least chance that one of them finds a passage of exactly d edits (tests measure it).
-SAMPLINGS, CHANCE = {2: 4, 3: 8}, {2: 0.6, 3: 0.45}
+SAMPLINGS, CHANCE = {2: 4, 3: 8}, {2: 0.5, 3: 0.38}
 BLOCK_CHARS = 4_000_000
-#: Characters handled at once inside a task.
-PIECE_CHARS = 1_500_000
 MATCHES = "doc_id long, item_id long, edits int, first_word long, n_words int, passages int"
 
 
@@ -126,21 +125,22 @@ class Items:
     places: int
     n_walks: int
     tables: dict[tuple[int, int, tuple[int, ...]], tuple[np.ndarray, np.ndarray]]
+    sketches: list[dict[int, np.ndarray]]  # of each walk: the words that the items read at each step
 
     @classmethod
     def of(cls, rows: list[tuple[int, str | None]], similarity: float, recall: float) -> Items:
         words, offsets, _ = word_hashes(strings(pa.array([t for _, t in rows], pa.string())))
         m = np.diff(offsets)
         places = 2 if len(rows) <= FEW_ITEMS else 3
-        out = cls([i for i, _ in rows], words, offsets, np.floor(m * (1 - similarity) + 1e-9).astype(np.int64), places, walks(recall, places), {})
+        out = cls([i for i, _ in rows], words, offsets, np.floor(m * (1 - similarity) + 1e-9).astype(np.int64), places, walks(recall, places), {}, [])
         texts = Texts(words, offsets)
         classes = np.array([size_class(int(n)) for n in m], np.int64)
         for w in range(out.n_walks):
-            read = texts.walk(w, out.steps())
+            out.sketches.append({s: x[texts.starts] for s, x in texts.walk(w, out.steps()).items()})
             for c in out.classes():
                 mine = np.flatnonzero(classes == c)
                 for steps in samplings(c, w, places):
-                    key = sampled({s: read[s][texts.starts[mine]] for s in steps}, steps)
+                    key = sampled({s: out.sketches[w][s][mine] for s in steps}, steps)
                     order = np.argsort(key, kind="stable")
                     out.tables[w, c, steps] = key[order], mine[order]
         return out
@@ -178,20 +178,27 @@ class Matcher:
         return (key ^ key >> np.uint32(15)) * np.uint32(0x85EBCA77)
 
     def candidates(self, texts: Texts) -> tuple[np.ndarray, np.ndarray]:
-        """Items and window starts (places in texts) that agree in a sampling, once each."""
+        """Items and window starts (places in texts) that agree in a sampling and one place more, once each."""
         found = [np.empty(0, np.int64)]
         for w in range(self.items.n_walks):
             read = texts.walk(w, self.items.steps())
-            for (walk, c, steps), (keys, item) in self.items.tables.items():
-                if walk != w:
-                    continue
-                own = sampled(read, steps)
-                flags, shift = self.flags[walk, c, steps]
-                maybe = np.flatnonzero(flags[own >> shift])
-                own = own[maybe]
-                left = np.searchsorted(keys, own, "left")
-                many = np.searchsorted(keys, own, "right") - left
-                found.append((item[spread(left, many)] << 40) + np.repeat(maybe, many))
+            for c in self.items.classes():
+                pairs = [np.empty(0, np.int64)]
+                for steps in samplings(c, w, self.items.places):
+                    keys, item = self.items.tables[w, c, steps]
+                    own = sampled(read, steps)
+                    flags, shift = self.flags[w, c, steps]
+                    maybe = np.flatnonzero(flags[own >> shift])
+                    own = own[maybe]
+                    left = np.searchsorted(keys, own, "left")
+                    many = np.searchsorted(keys, own, "right") - left
+                    pairs.append((item[spread(left, many)] << 40) + np.repeat(maybe, many))
+                pairs = np.unique(np.concatenate(pairs))
+                if len(steps_of(c)) == PLACES:
+                    item, start = pairs >> 40, pairs & ((1 << 40) - 1)
+                    agree = sum((read[s][start] == self.items.sketches[w][s][item]).astype(np.int8) for s in steps_of(c))
+                    pairs = pairs[agree > self.items.places]
+                found.append(pairs)
         pairs = np.unique(np.concatenate(found))
         item, start = pairs >> 40, pairs & ((1 << 40) - 1)
         real = texts.real[start]
@@ -203,9 +210,9 @@ class Matcher:
         row = np.searchsorted(texts.starts, start, "right") - 1
         apart = d // 2 + 1
         inside = (start - texts.starts[row]) // apart * apart
-        rows = np.unique(np.stack([item, row, inside]), axis=1)
-        item, row, inside = rows
-        m, d = np.diff(self.items.offsets)[item], self.items.edits[item]
+        first = texts.starts[row] + inside
+        once = np.unique((item << 40) + first, return_index=True)[1]
+        item, row, inside, m, d = (x[once] for x in (item, row, inside, m, d))
         return item, row, texts.starts[row] + inside - d, m + 3 * d + d // 2
 
     def holding(self, texts: Texts, item: np.ndarray, row: np.ndarray, first: np.ndarray, width: np.ndarray) -> np.ndarray:
@@ -288,7 +295,7 @@ def _find_block(docs: DataFrame, items: Items) -> DataFrame:
         matcher = Matcher(items)
         for batch in batches:
             texts = strings(batch.column(1))
-            for lo, hi in pieces(texts, PIECE_CHARS):
+            for lo, hi in pieces(texts):
                 words, offsets, _ = word_hashes(texts[lo:hi])
                 found = matcher.matches(words, offsets) if len(words) and items.tables else {}
                 if not found:

@@ -3,6 +3,7 @@
 import random
 from datetime import date, datetime
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -46,18 +47,56 @@ def test_builder(spark):
     assert built(spark, []) == ([], [])
 
 
-def test_builder_over_many_days_equals_one_pass(spark):
-    rng = random.Random(2)
+def one_pass(rows):
+    """The state machine row by row: (kind, start id, end id, label, label of the open interval)."""
+    state, out = None, []
+    for r in rows:
+        label = (r[5], r[6])
+        if r[4] == "interval_start":
+            if state is None:
+                state = (r[1], label)
+            else:
+                out.append(("duplicate_start", r[1], None, label, state[1]))
+        elif state is None:
+            out.append(("orphan_end", None, r[1], label, (None, None)))
+        elif state[1] != label:
+            out.append(("mismatch", state[0], r[1], label, state[1]))
+        else:
+            out.append(("chunk", state[0], r[1], label, state[1]))
+            state = None
+    return out + ([("unclosed", state[0], None, state[1], (None, None))] if state else [])
+
+
+@pytest.mark.parametrize("bucket, portion", [(1_000, 200_000), (1, 1), (3, 7), (50, 20)])
+def test_builder_over_many_buckets_equals_one_pass(bucket, portion):
+    """The three steps over streams cut anywhere, against one pass."""
+    rng = random.Random(bucket)
     rows = []
-    for i in range(3000):
+    for i in range(2000):
         t = datetime(2026, 1, 1 + i // 120, rng.randrange(24), rng.randrange(60))
-        rows.append((rng.randrange(2), i, t, "pc", rng.choice(["interval_start", "interval_end", "point"]), rng.choice(["c", None]), rng.choice("ab"), 1))
-    b = build.build(spark.createDataFrame(rows, EVENTS).repartition(7)).collect()
-    for tenant in (0, 1):
-        mine = [{"id": r[1], "ts": r[2], "kind": r[4], "category": r[5], "name": r[6]} for r in sorted(rows, key=lambda r: (r[2], r[1])) if r[0] == tenant and r[4] != "point"]
-        want, _ = build.replay(mine, None)
-        got = [(r.kind, r.start_event_id, r.end_event_id) for r in b if r.tenant_id == tenant and r.kind != "unclosed"]
-        assert sorted(got, key=str) == sorted([(x[0], x[1], x[3]) for x in want], key=str)
+        rows.append((rng.randrange(3), i, t, rng.choice(["pc", "pc", None]), rng.choice(["interval_start", "interval_end"]), rng.choice(["c", None, None]), rng.choice("abcdef" if i > 900 else "ab"), 1))
+    rows.append((9, 5000, rows[0][2], "pc", "interval_start", None, None, 1))
+    key = lambda r: (r[0], r[3] or "", r[2], r[1])
+    want, ordered = [], sorted(rows, key=key)
+    for tenant in (0, 1, 2, 9):
+        for source in ("pc", None):
+            want += [(tenant, source, *x) for x in one_pass([r for r in ordered if (r[0], r[3]) == (tenant, source)])]
+    table = pa.table({"tenant_id": [r[0] for r in ordered], "source": [r[3] for r in ordered], "day": [r[2].date() for r in ordered], "ts": pa.array([r[2] for r in ordered], pa.timestamp("us")), "id": [r[1] for r in ordered], "is_start": [r[4] == "interval_start" for r in ordered], "category": [r[5] for r in ordered], "name": [r[6] for r in ordered]})
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(build, "BUCKET", bucket)
+        patch.setattr(build, "PORTION", portion)
+        buckets = pa.Table.from_batches(build._effects(iter(table.to_batches(max_chunksize=64))))
+        entries = pa.Table.from_batches(build._entries(iter(buckets.to_batches(max_chunksize=17))))
+        keys = ["tenant_id", "source", "day", "part"]
+        assert len({tuple(r.values()) for r in entries.select(keys).to_pylist()}) == buckets.num_rows
+        entered = {tuple(r[k] for k in keys): r for r in entries.to_pylist()}
+        rows_of = [entered[tuple(r[k] for k in keys)] for r in buckets.select(keys).to_pylist()]
+        both = buckets.append_column("entry", pa.array([r["entry"] for r in rows_of], build._STATE_TYPE)).append_column("final", pa.array([r["final"] for r in rows_of]))
+        got = [r for b in build._results(iter(both.combine_chunks().to_batches(max_chunksize=29))) for r in b.to_pylist()]
+    found = [(r["tenant_id"], r["source"], r["kind"], r["start_event_id"], r["end_event_id"], (r["category"], r["name"]), (r["open_category"], r["open_name"])) for r in got]
+    assert sorted(found, key=str) == sorted(want, key=str) and {w[2] for w in want} == {"chunk", "duplicate_start", "orphan_end", "mismatch", "unclosed"}
+    when = {r[1]: r[2] for r in rows}
+    assert all((r["start_event_id"] is None or r["start_timestamp"] == when[r["start_event_id"]]) and (r["end_event_id"] is None or r["end_timestamp"] == when[r["end_event_id"]]) for r in got)
 
 
 def test_clip_and_split(spark):
@@ -117,7 +156,7 @@ def test_phone(spark):
     log = log_of(spark, [("09:00:00", on), ("09:00:01", hidden), ("09:30:00", off), ("09:30:01", shown), ("09:30:02", "DEVICE_STARTUP")])
     assert [(r.start_timestamp, r.end_timestamp) for r in phone.active_intervals(log).collect()] == [(at("09:00:01"), at("09:30:00"))]
     assert phone.anomalies(log).count() == 1
-    assert [(r.ts, r.kind) for r in phone.boundaries(phone.states(log)).collect()] == [(at("09:00:01"), "interval_start"), (at("09:30:00"), "interval_end")]
+    assert [(r.ts, r.kind) for r in phone.boundaries(log).collect()] == [(at("09:00:01"), "interval_start"), (at("09:30:00"), "interval_end")]
     log = log_of(spark, [("09:00:00", on), ("09:00:05", hidden), ("09:02:00", "DEVICE_SHUTDOWN"), ("09:30:00", "DEVICE_STARTUP"), ("09:35:00", off)])
     assert [(r.start_timestamp, r.end_timestamp) for r in phone.active_intervals(log).collect()] == [(at("09:00:05"), at("09:02:00")), (at("09:30:00"), at("09:35:00"))]
     short = spark.createDataFrame([(0, 1, at("09:00:00"), at("09:00:19")), (0, 2, at("10:00:00"), at("10:00:20"))], "tenant_id long, seq long, start_timestamp timestamp_ntz, end_timestamp timestamp_ntz")
@@ -186,6 +225,9 @@ def test_ranges():
     assert filters.custom_range(date(2026, 8, 1), date(2026, 8, 3)) == (datetime(2026, 8, 1), datetime(2026, 8, 4))
     assert filters.previous_range(datetime(2026, 8, 1), datetime(2026, 8, 4)) == (datetime(2026, 7, 29), datetime(2026, 8, 1))
     assert all(filters.preset_range(p, date(2026, 8, 1)) for p in filters.PRESETS)
+    assert filters.previous_range(*filters.preset_range("All time", date(2026, 8, 1))) == (None, None)
+    with pytest.raises(ValueError):
+        filters.previous_range(datetime(2026, 8, 2), datetime(2026, 8, 2))
     with pytest.raises(ValueError):
         TimelineQuery().weekday(7)
 

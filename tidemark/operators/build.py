@@ -3,126 +3,269 @@
 START opens an interval when none is open, else it is a duplicate. END closes the open interval if its category and name
 are the same (nulls equal nulls), else it is a mismatch and the interval stays open; without an open one it is an orphan.
 
-Events are cut into buckets of a key and a day. Pass 1 finds what each bucket does to every state it may be entered
-with; pass 2 runs over these few rows of each key; pass 3 replays all buckets in parallel from their known entry state.
-So a key of any size is spread over its days.
+Events are shuffled once, to buckets of a key and a day (cut further after BUCKET events). A start leads to the start that
+follows its end, so what a bucket does to a state is a chain of jumps, found for all buckets of a batch at once:
+
+1. each bucket's effect: the state after it for an idle entry, and for each label that it has an end of;
+2. the entry state of each bucket, from one scan over the effects of a key in time order;
+3. all buckets again, in parallel, from their entry states.
+
+So a key of any size is spread over its days, and no task holds a key's events or effects at once.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 KEY = ("tenant_id", "source")
+#: Events of one bucket, and of one portion of a task's stream, at most.
+BUCKET, PORTION = 1_000, 200_000
 _STATE = "struct<id: bigint, ts: timestamp_ntz, category: string, name: string>"
 #: kind is chunk, duplicate_start, orphan_end, mismatch or unclosed.
 OUT = "tenant_id long, source string, kind string, start_event_id long, start_timestamp timestamp_ntz, end_event_id long, end_timestamp timestamp_ntz, category string, name string, open_category string, open_name string"
-_EVENT = ("id", "ts", "kind", "category", "name")
+_BUCKETS = f"tenant_id long, source string, day date, part int, ts array<timestamp_ntz>, id array<long>, is_start array<boolean>, category array<string>, name array<string>, idle {_STATE}, labels array<struct<category: string, name: string>>, after array<{_STATE}>"
+
+_TIME = pa.timestamp("us")
+_STATE_TYPE = pa.struct([("id", pa.int64()), ("ts", _TIME), ("category", pa.string()), ("name", pa.string())])
+_KINDS = pa.array(["chunk", "duplicate_start", "orphan_end", "mismatch", "unclosed"])
+_OUT_NAMES = [x.split()[0] for x in OUT.split(", ")]
 
 
-def _label(e: dict) -> tuple:
-    return e["category"], e["name"]
+def codes(*columns: pa.Array) -> np.ndarray:
+    """Equal numbers for equal rows of the columns; nulls are equal."""
+    out = np.zeros(len(columns[0]), np.int64)
+    for c in columns:
+        if isinstance(c, pa.ChunkedArray):
+            c = c.combine_chunks()
+        found = pc.dictionary_encode(c, null_encoding="encode")
+        out = out * (len(found.dictionary) + 1) + found.indices.to_numpy(zero_copy_only=False)
+    return out
 
 
-def transfer(events: list[dict]) -> tuple[dict | None, list[dict]]:
-    """The state after an idle entry, and for each label that an END of the bucket has the state after entering with it open."""
-    next_start: dict | None = None
-    after: list = [None] * (len(events) + 1)  # the state after an idle run from each place
-    next_end: dict[tuple, int] = {}
-    for p in range(len(events) - 1, -1, -1):
-        e = events[p]
-        if e["kind"] == "interval_start":
-            end = next_end.get(_label(e))
-            next_start = after[end + 1] if end is not None else e
-            after[p] = next_start
-        else:
-            after[p] = after[p + 1]
-            if e["kind"] == "interval_end":
-                next_end[_label(e)] = p
-    return after[0], [{"category": c, "name": n, "after": _state(after[p + 1])} for (c, n), p in next_end.items()]
+class Jumps:
+    """Events of many buckets, one after another in time order, and where the state machine jumps from each start.
 
+    Place n stands for the idle state."""
 
-def _state(e: dict | None) -> dict | None:
-    return None if e is None else {k: e[k] for k in ("id", "ts", "category", "name")}
+    def __init__(self, bounds: np.ndarray, is_start: np.ndarray, label: np.ndarray):
+        n = len(is_start)
+        self.n, self.bounds = n, bounds
+        self.bucket = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
+        place = np.arange(n)
+        # the next start at or after each place, inside its bucket
+        self.start_from = np.append(np.minimum.accumulate(np.where(is_start, place, n)[::-1])[::-1], n)
+        inside = self.start_from[:n] < n
+        inside[inside] = self.bucket[self.start_from[:n][inside]] == self.bucket[inside]
+        self.start_from[:n][~inside] = n
+        # the next end of the same label
+        order = np.lexsort((label, self.bucket))
+        group = np.ones(n, np.int64)
+        group[1:] = (self.bucket[order][1:] != self.bucket[order][:-1]) | (label[order][1:] != label[order][:-1])
+        self.group_starts = np.flatnonzero(group)
+        group = np.cumsum(group) - 1
+        near = np.minimum.accumulate(np.where(is_start[order], n, place)[::-1])[::-1]
+        ends = np.where((near < n) & (group[np.minimum(near, n - 1)] == group), order[np.minimum(near, n - 1)], -1)
+        self.end_of = np.full(n, -1)
+        self.end_of[order] = ends
+        #: Of each bucket and label: first event, and first end (-1: none).
+        self.group_event, self.group_end = order[self.group_starts], ends[self.group_starts]
+        self.next = np.append(np.where(self.end_of >= 0, self.idle_from(self.end_of), place), n)
 
+    def idle_from(self, end: np.ndarray) -> np.ndarray:
+        """The start after each end (n: none in its bucket)."""
+        after = np.where(end >= 0, end + 1, self.n)
+        inside = (after < self.n) & (end >= 0)
+        inside[inside] = self.bucket[after[inside]] == self.bucket[end[inside]]
+        return np.where(inside, self.start_from[after], self.n)
 
-def replay(events: list[dict], state: dict | None) -> tuple[list[tuple], dict | None]:
-    """Chunks and warnings of a bucket entered with a state, and the state after it."""
-    out = []
-    for e in events:
-        if e["kind"] == "interval_start":
-            if state is None:
-                state = e
-            else:
-                out.append(("duplicate_start", e["id"], e["ts"], None, None, *_label(e), *_label(state)))
-        elif e["kind"] == "interval_end":
+    def first_starts(self) -> np.ndarray:
+        return self.start_from[self.bounds[:-1]]
+
+    def last(self) -> np.ndarray:
+        """The start that is open at the bucket's end after each start's chain (n: idle)."""
+        jump = self.next
+        while True:
+            further = jump[jump]
+            if (further == jump).all():
+                return jump
+            jump = further
+
+    def chains(self, roots: np.ndarray) -> np.ndarray:
+        """Which places are starts on the chains from the roots."""
+        on = np.zeros(self.n + 1, bool)
+        on[roots] = True
+        jump = self.next
+        while True:
+            further = on.copy()
+            further[jump[np.flatnonzero(on)]] = True
+            if (further == on).all():
+                return on[: self.n]
+            on, jump = further, jump[jump]
+
+
+def _portions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        held += [batch] if batch.num_rows else []
+        if sum(b.num_rows for b in held) >= PORTION:
+            yield pa.Table.from_batches(held).combine_chunks()
+            held = []
+    if held:
+        yield pa.Table.from_batches(held).combine_chunks()
+
+
+def _states(places: np.ndarray, table: dict[str, pa.Array]) -> pa.Array:
+    """The starts at the given places as states (place n: null)."""
+    idle = places >= len(table["id"])
+    at = pa.array(np.where(idle, 0, places), mask=idle)
+    return pa.StructArray.from_arrays([table[c].take(at) for c in ("id", "ts", "category", "name")], fields=list(_STATE_TYPE), mask=pa.array(idle))
+
+
+def _effects(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Buckets of a stream sorted by key, day and time, with what each does to the state that it is entered with."""
+    last_key, last_part = None, 0
+    for table in _portions(batches):
+        column = {c: table.column(c).combine_chunks() if isinstance(table.column(c), pa.ChunkedArray) else table.column(c) for c in table.column_names}
+        n = table.num_rows
+        key = codes(column["tenant_id"], column["source"], column["day"])
+        new = np.ones(n, bool)
+        new[1:] = key[1:] != key[:-1]
+        group = np.flatnonzero(new)
+        inside = np.arange(n) - np.repeat(group, np.diff(np.append(group, n)))
+        part = inside // BUCKET
+        first_key = tuple(column[c][0].as_py() for c in ("tenant_id", "source", "day"))
+        if first_key == last_key:
+            part[: group[1] if len(group) > 1 else n] += last_part + 1
+        last_key, last_part = tuple(column[c][n - 1].as_py() for c in ("tenant_id", "source", "day")), int(part[-1])
+        bounds = np.append(np.flatnonzero(inside % BUCKET == 0), n)
+        is_start = column["is_start"].to_numpy(zero_copy_only=False)
+        jumps = Jumps(bounds, is_start, codes(column["category"], column["name"]))
+        last = jumps.last()
+        ended = jumps.group_end >= 0
+        at = pa.array(jumps.group_event[ended])
+        labels = pa.StructArray.from_arrays([column["category"].take(at), column["name"].take(at)], names=["category", "name"])
+        after = _states(last[jumps.idle_from(jumps.group_end[ended])], column)
+        label_bounds = pa.array(np.searchsorted(jumps.bucket[jumps.group_event[ended]], np.arange(len(bounds))), pa.int32())
+        event_bounds, heads = pa.array(bounds, pa.int32()), pa.array(bounds[:-1])
+        lists = [pa.ListArray.from_arrays(event_bounds, column[c]) for c in ("ts", "id", "is_start", "category", "name")]
+        yield pa.RecordBatch.from_arrays(
+            [*(column[c].take(heads) for c in ("tenant_id", "source", "day")), pa.array(part[bounds[:-1]], pa.int32()), *lists, _states(last[jumps.first_starts()], column), pa.ListArray.from_arrays(label_bounds, labels), pa.ListArray.from_arrays(label_bounds, after)],
+            ["tenant_id", "source", "day", "part", "ts", "id", "is_start", "category", "name", "idle", "labels", "after"],
+        )
+
+
+def _entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The state with which each bucket is entered, and whether it is its key's last one; the stream is in order."""
+    key, state, held = None, None, None
+    for batch in batches:
+        tenant, source, idle = (batch.column(c).to_pylist() for c in ("tenant_id", "source", "idle"))
+        labels, after = batch.column("labels"), batch.column("after")
+        flat, bounds = labels.flatten(), np.concatenate([[0], np.cumsum(pc.list_value_length(labels).to_numpy(zero_copy_only=False))]).tolist()
+        categories, names, states = flat.field("category").to_pylist(), flat.field("name").to_pylist(), after.flatten()
+        entries, rows, finals = [], [], []
+        for k in range(batch.num_rows):
+            if (tenant[k], source[k]) != key:
+                if held is not None:
+                    yield _entry_batch(*held, True)
+                    held = None
+                key, state = (tenant[k], source[k]), None
+                if rows:
+                    finals[-1] = True
+            entries.append(state)
+            rows.append(k)
+            finals.append(False)
+            if held is not None:  # the batch before ended inside this key
+                yield _entry_batch(*held, False)
+                held = None
             if state is None:
-                out.append(("orphan_end", None, None, e["id"], e["ts"], *_label(e), None, None))
-            elif _label(state) != _label(e):
-                out.append(("mismatch", state["id"], state["ts"], e["id"], e["ts"], *_label(e), *_label(state)))
+                state = idle[k]
             else:
-                out.append(("chunk", state["id"], state["ts"], e["id"], e["ts"], *_label(e), *_label(state)))
-                state = None
-    return out, state
+                found = next((j for j in range(bounds[k], bounds[k + 1]) if categories[j] == state["category"] and names[j] == state["name"]), None)
+                state = state if found is None else states[found].as_py()
+        if rows:
+            # whether the last bucket is its key's last is known later
+            held = (batch.slice(rows[-1], 1), entries[-1:])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c)[:-1] for c in ("tenant_id", "source", "day", "part")), pa.array(entries[:-1], _STATE_TYPE), pa.array(finals[:-1], pa.bool_())], _ENTRY)
+    if held is not None:
+        yield _entry_batch(*held, True)
 
 
-def build(events: DataFrame) -> DataFrame:
-    """All chunks and warnings of events (tenant_id, id, timestamp, device_source, event_kind, category, name)."""
-    rows = events.filter(F.col("event_kind").isin("interval_start", "interval_end")).select("tenant_id", F.col("device_source").alias("source"), F.to_date("timestamp").alias("day"), "id", F.col("timestamp").alias("ts"), F.col("event_kind").alias("kind"), "category", "name")
-    buckets = rows.groupBy(*KEY, "day").agg(F.array_sort(F.collect_list(F.struct("ts", "id", "kind", "category", "name"))).alias("events"))
-
-    def effects(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            idle, opened = [], []
-            for events_of in batch.column(3).to_pylist():
-                after, labels = transfer(events_of)
-                idle.append(_state(after))
-                opened.append(labels)
-            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(idle, _STATE_TYPE), pa.array(opened, _LABELS_TYPE)], [*KEY, "day", "idle", "opened"])
-
-    effect = buckets.mapInArrow(effects, f"tenant_id long, source string, day date, idle {_STATE}, opened array<struct<category: string, name: string, after: {_STATE}>>")
-    # a key's days in order: entry state of each (the first is entered idle); a key has few rows here
-    per_key = effect.groupBy(*KEY).agg(F.array_sort(F.collect_list(F.struct("day", "idle", "opened"))).alias("days"))
-
-    def entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out = []
-            for tenant, source, days in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                state = None
-                for d in days:
-                    out.append((tenant, source, d["day"], state))
-                    if state is None:
-                        state = d["idle"]
-                    else:
-                        state = next((o["after"] for o in d["opened"] if _label(o) == _label(state)), state)
-            columns = list(zip(*out, strict=True)) or [()] * 4
-            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(columns, (pa.int64(), pa.string(), pa.date32(), _STATE_TYPE), strict=True)], [*KEY, "day", "entry"])
-
-    entry = per_key.mapInArrow(entries, f"tenant_id long, source string, day date, entry {_STATE}")
-    last = F.max("day").over(Window.partitionBy(*KEY))
-    entered = buckets.join(entry.withColumn("last", last == F.col("day")), [*KEY, "day"]).select(*KEY, "events", "entry", "last")
-
-    def results(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out = []
-            for tenant, source, events_of, state, final in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                found, state = replay(events_of, state)
-                if final and state is not None:
-                    found.append(("unclosed", state["id"], state["ts"], None, None, *_label(state), None, None))
-                out += [(tenant, source, *x) for x in found]
-            columns = list(zip(*out, strict=True)) or [()] * len(_OUT_TYPES)
-            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(columns, _OUT_TYPES, strict=True)], [x.split()[0] for x in OUT.split(", ")])
-
-    return entered.mapInArrow(results, OUT)
+_ENTRY = ["tenant_id", "source", "day", "part", "entry", "final"]
 
 
-_TIME = pa.timestamp("us")
-_STATE_TYPE = pa.struct([("id", pa.int64()), ("ts", _TIME), ("category", pa.string()), ("name", pa.string())])
-_LABELS_TYPE = pa.list_(pa.struct([("category", pa.string()), ("name", pa.string()), ("after", _STATE_TYPE)]))
-_OUT_TYPES = (pa.int64(), pa.string(), pa.string(), pa.int64(), _TIME, pa.int64(), _TIME, pa.string(), pa.string(), pa.string(), pa.string())
+def _entry_batch(row: pa.RecordBatch, entry: list, final: bool) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([*(row.column(c) for c in ("tenant_id", "source", "day", "part")), pa.array(entry, _STATE_TYPE), pa.array([final])], _ENTRY)
+
+
+def _results(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Chunks and warnings of buckets entered with known states."""
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        column = {c: batch.column(c).flatten() for c in ("ts", "id", "is_start", "category", "name")}
+        bounds = np.concatenate([[0], np.cumsum(pc.list_value_length(batch.column("ts")).to_numpy(zero_copy_only=False))]).astype(np.int64)
+        entry = batch.column("entry")
+        opened = entry.is_valid().to_numpy(zero_copy_only=False)
+        state = {c: pc.struct_field(entry, c) for c in ("id", "ts", "category", "name")}
+        n = int(bounds[-1])
+        label = codes(*(pa.concat_arrays([column[c], state[c]]) for c in ("category", "name")))
+        jumps = Jumps(bounds, column["is_start"].to_numpy(zero_copy_only=False), label[:n])
+        # where the interval that is open on entry ends: the first end of its label
+        until = np.full(batch.num_rows, n)
+        buckets = jumps.bucket[jumps.group_event]
+        same = opened[buckets] & (label[jumps.group_event] == label[n:][buckets]) & (jumps.group_end >= 0)
+        until[buckets[same]] = jumps.group_end[same]
+        roots = np.where(opened, np.where(until < n, jumps.idle_from(np.where(until < n, until, -1)), n), jumps.first_starts())
+        chain = jumps.chains(roots)
+        place = np.arange(n)
+        begun = np.maximum.accumulate(np.where(chain, place, -1))
+        covered = (begun >= 0) & ~chain
+        covered[covered] = jumps.bucket[begun[covered]] == jumps.bucket[covered]
+        end = jumps.end_of[np.maximum(begun, 0)]
+        covered &= (end < 0) | (place <= end)
+        carried = opened[jumps.bucket] & (place <= until[jumps.bucket])
+        is_start = column["is_start"].to_numpy(zero_copy_only=False)
+        closes = (covered & (place == end)) | (carried & (place == until[jumps.bucket]))
+        kind = np.where(is_start, 1, np.where(closes, 0, np.where(covered | carried, 3, 2)))
+        shown = np.flatnonzero(~chain)
+        # the interval that is open there: a start of the bucket, or the state on entry (places after n)
+        holder = np.where(carried, n + jumps.bucket, np.where(covered, begun, -1))[shown]
+        stays = opened & (until == n)
+        last = np.where(stays, n + np.arange(batch.num_rows), jumps.last()[roots])
+        left_open = np.flatnonzero(batch.column("final").to_numpy(zero_copy_only=False) & (stays | (last < n)))
+        both = {c: pa.concat_arrays([column[c], state[c]]) for c in ("id", "ts", "category", "name")}
+        yield _rows(batch, jumps.bucket[shown], kind[shown], place[shown], is_start[shown], holder, both)
+        if len(left_open):
+            yield _rows(batch, left_open, np.full(len(left_open), 4), last[left_open], np.ones(len(left_open), bool), np.full(len(left_open), -1), both)
+
+
+def _rows(batch: pa.RecordBatch, bucket: np.ndarray, kind: np.ndarray, place: np.ndarray, is_start: np.ndarray, holder: np.ndarray, both: dict[str, pa.Array]) -> pa.RecordBatch:
+    """OUT rows: a start stands in the start columns, an end in the end columns with the interval that it meets."""
+    at, open_at, own = pa.array(place), pa.array(np.maximum(holder, 0), mask=holder < 0), pa.array(bucket)
+    starts = pa.array(np.where(is_start, place, np.maximum(holder, 0)), mask=~is_start & (holder < 0))
+    ends = pa.array(place, mask=is_start)
+    columns = [batch.column("tenant_id").take(own), batch.column("source").take(own), _KINDS.take(pa.array(kind))]
+    columns += [both["id"].take(starts), both["ts"].take(starts), both["id"].take(ends), both["ts"].take(ends)]
+    columns += [both["category"].take(at), both["name"].take(at), both["category"].take(open_at), both["name"].take(open_at)]
+    return pa.RecordBatch.from_arrays(columns, _OUT_NAMES)
+
+
+def build(events: DataFrame) -> DataFrame:
+    """All chunks and warnings of events (tenant_id, id, timestamp, device_source, event_kind, category, name)."""
+    rows = events.filter(F.col("event_kind").isin("interval_start", "interval_end")).select(F.col("tenant_id").cast("long").alias("tenant_id"), F.col("device_source").alias("source"), F.to_date("timestamp").alias("day"), F.col("timestamp").cast("timestamp_ntz").alias("ts"), F.col("id").cast("long").alias("id"), (F.col("event_kind") == "interval_start").alias("is_start"), "category", "name")
+    day = [*KEY, "day"]
+    buckets = rows.repartition(*day).sortWithinPartitions(*day, "ts", "id").mapInArrow(_effects, _BUCKETS)
+    effects = buckets.select(*day, "part", "idle", "labels", "after").repartition(*KEY).sortWithinPartitions(*day, "part")
+    entry = effects.mapInArrow(_entries, f"tenant_id long, source string, day date, part int, entry {_STATE}, final boolean")
+    same = [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in (*day, "part")]
+    entered = buckets.drop("idle", "labels", "after").join(entry.withColumnsRenamed({c: f"_{c}" for c in (*day, "part")}), same)
+    return entered.mapInArrow(_results, OUT)
 
 
 def chunks_of(built: DataFrame) -> DataFrame:

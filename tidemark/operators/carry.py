@@ -46,3 +46,13 @@ def last_known(df: DataFrame, keys: list[str], order: list[str], values: dict[st
     edges = edges.select(*keys, "_day", *[F.last(f"_edge_{n}", ignorenulls=True).over(before).alias(f"_edge_{n}") for n in values])
     out = _joined(df.withColumns({n: F.last(f"_{n}", ignorenulls=True).over(upto) for n in values}), edges, keys)
     return out.withColumns({n: F.coalesce(n, f"_edge_{n}") for n in values}).drop("_day", *[f"_{n}" for n in values], *[f"_edge_{n}" for n in values])
+
+
+def numbered(df: DataFrame, keys: list[str], order: list[str], name: str) -> DataFrame:
+    """df with each row's position in its key's order, from 1: rows of the days before, and the position in the day."""
+    df = _bucketed(df, order[0])
+    edges = df.groupBy(*keys, "_day").agg(F.count("*").alias("_edge"))
+    before = F.sum("_edge").over(Window.partitionBy(*keys).orderBy("_day").rowsBetween(Window.unboundedPreceding, -1))
+    edges = edges.select(*keys, "_day", F.coalesce(before, F.lit(0)).alias("_edge"))
+    inside = df.withColumn("_near", F.row_number().over(Window.partitionBy(*keys, "_day").orderBy(*order)))
+    return _joined(inside, edges, keys).withColumn(name, F.col("_edge") + F.col("_near")).drop("_edge", "_near", "_day")

@@ -7,9 +7,12 @@ from collections.abc import Iterable
 from dataclasses import dataclass, replace
 from datetime import date, datetime, time, timedelta
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .carry import numbered
+
+#: Names of the presets.
 PRESETS = ("Today", "Yesterday", "Last 7 days", "Last 30 days", "This week", "Last week", "This month", "Last month", "This year", "Last year", "All time")
 
 
@@ -172,7 +175,12 @@ def custom_range(first: date, last: date) -> tuple[datetime, datetime]:
     return midnight(first), midnight(last) + timedelta(days=1)
 
 
-def previous_range(start: datetime, end: datetime) -> tuple[datetime, datetime]:
+def previous_range(start: datetime | None, end: datetime | None) -> tuple[datetime | None, datetime | None]:
+    """The range of the same length just before; a range without both bounds has none."""
+    if start is None or end is None:
+        return None, None
+    if end <= start:
+        raise ValueError("end must be after start")
     return start - (end - start), start
 
 
@@ -217,6 +225,6 @@ def duration_threshold_sweep(chunks: DataFrame, thresholds: list[int]) -> DataFr
 
 def rows_around(log: DataFrame, targets: DataFrame, before: int, after: int) -> DataFrame:
     """Rows within some positions of the target rows (tenant_id, seq), each once. Positions follow (ts, seq)."""
-    numbered = log.withColumn("position", F.row_number().over(Window.partitionBy("tenant_id").orderBy("ts", "seq")))
-    at = numbered.join(targets, ["tenant_id", "seq"], "left_semi").select("tenant_id", F.explode(F.sequence(F.col("position") - before, F.col("position") + after)).alias("position"))
-    return numbered.join(at.distinct(), ["tenant_id", "position"], "left_semi").drop("position")
+    placed = numbered(log, ["tenant_id"], ["ts", "seq"], "position")
+    at = placed.join(targets, ["tenant_id", "seq"], "left_semi").select("tenant_id", F.explode(F.sequence(F.col("position") - before, F.col("position") + after)).alias("position"))
+    return placed.join(at.distinct(), ["tenant_id", "position"], "left_semi").drop("position")

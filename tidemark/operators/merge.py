@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+#: Equal rows that are written from one row at once.
+_REPEATS = 10_000
 #: Two events are the same observation whatever device reported them.
 EVENT_KEY = ("tenant_id", "timestamp", "event_kind", "category", "name")
 
@@ -88,13 +92,17 @@ def upsert_by(stored: DataFrame, incoming: DataFrame, keys: list[str]) -> DataFr
 
 
 def append_new_rows(master: DataFrame, incoming: DataFrame) -> DataFrame:
-    """Incoming rows that the master lacks. Repeats are numbered, so a row that occurs more often than in the master is new
+    """Incoming rows that the master lacks. Equal rows are counted, so a row that occurs more often than in the master is new
     that many times."""
     columns = incoming.columns
-    numbered = lambda df: df.withColumn("_n", F.row_number().over(Window.partitionBy(*columns).orderBy(F.lit(1))))
-    old = numbered(master.select(columns)).select(F.struct(*columns, "_n").alias("_row"))
-    new = numbered(incoming).withColumn("_row", F.struct(*columns, "_n"))
-    return new.join(old, new["_row"].eqNullSafe(old["_row"]), "left_anti").select(columns)
+    counted = lambda df, n: df.groupBy(*columns).agg(F.count("*").alias(n))
+    old = counted(master.select(columns), "_old").withColumnsRenamed({c: f"_{c}" for c in columns})
+    same = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in columns])
+    more = counted(incoming, "_new").join(old, same, "left").withColumn("_more", F.col("_new") - F.coalesce("_old", F.lit(0))).filter("_more > 0")
+    # in two steps, so that no list grows with the count
+    blocks = more.select(*columns, "_more", F.explode(F.sequence(F.lit(0), F.expr(f"(_more - 1) div {_REPEATS}"))).alias("_block"))
+    each = F.least(F.lit(_REPEATS), F.col("_more") - F.col("_block") * _REPEATS)
+    return blocks.select(*columns, F.explode(F.sequence(F.lit(1).cast("long"), each))).select(columns)
 
 
 def union_frames(frames: list[DataFrame]) -> DataFrame:

@@ -1,12 +1,12 @@
 """A phone's signal log (tenant_id, seq, ts, event) to active-screen intervals, without Python on rows.
 
-States, changes and anomalies spread a tenant over its days (see carry)."""
+All neighbours and last known values spread a tenant over its days (see carry)."""
 
 from __future__ import annotations
 
 from datetime import datetime
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .carry import last_known, neighbour
@@ -18,10 +18,6 @@ SIGNALS = {"screen": ("SCREEN_INTERACTIVE", "SCREEN_NON_INTERACTIVE"), "keyguard
 _KNOWN = (*SIGNALS["screen"], *SIGNALS["keyguard"], "DEVICE_SHUTDOWN", "DEVICE_STARTUP")
 
 
-def _w() -> Window:
-    return Window.partitionBy("tenant_id").orderBy(*_ORDER)
-
-
 def _signal(on: str, off: str) -> Column:
     return F.when(F.col("event") == on, True).when(F.col("event") == off, False)
 
@@ -39,21 +35,6 @@ def states(log: DataFrame) -> DataFrame:
     return s.withColumn("active", active)
 
 
-def boundaries(state: DataFrame, *, until: datetime | None = None) -> DataFrame:
-    """START and END rows of active intervals. An interval still open at the log's end (or at `until`) is closed there, or
-    its START dropped if that leaves no length."""
-    was = F.coalesce(F.lag("active").over(_w()), F.lit(False))
-    now = F.coalesce("active", F.lit(False))
-    turns = state.withColumn("kind", F.when(now & ~was, "interval_start").when(was & ~now, "interval_end"))
-    end = F.max("ts").over(Window.partitionBy("tenant_id")) if until is None else F.lit(until).cast("timestamp_ntz")
-    turns = turns.withColumn("log_end", end).filter("kind is not null").withColumn("following", F.lead("kind").over(_w()))
-    open_last = (F.col("kind") == "interval_start") & F.col("following").isNull()
-    turns = turns.filter(~(open_last & (F.col("ts") >= F.col("log_end"))))
-    closing = F.array(F.struct("ts", "kind"), F.struct(F.col("log_end").alias("ts"), F.lit("interval_end").alias("kind")))
-    rows = turns.withColumn("x", F.explode(F.when(open_last, closing).otherwise(F.slice(closing, 1, 1))))
-    return rows.select("tenant_id", "seq", F.col("x.ts").alias("ts"), F.col("x.kind").alias("kind"))
-
-
 def active_intervals(log: DataFrame) -> DataFrame:
     """Active-screen intervals: tenant_id, seq of the start, start_timestamp, end_timestamp."""
     state = _neighbour(states(log), {"was": "active"})
@@ -64,6 +45,12 @@ def active_intervals(log: DataFrame) -> DataFrame:
     return closed.filter("following is not null or end_timestamp > ts").select("tenant_id", "seq", F.col("ts").alias("start_timestamp"), "end_timestamp")
 
 
+def boundaries(log: DataFrame) -> DataFrame:
+    """START and END rows of the active intervals, each with the seq of its interval's start."""
+    ends = F.array(F.struct(F.col("start_timestamp").alias("ts"), F.lit("interval_start").alias("kind")), F.struct(F.col("end_timestamp").alias("ts"), F.lit("interval_end").alias("kind")))
+    return active_intervals(log).select("tenant_id", "seq", F.explode(ends).alias("x")).select("tenant_id", "seq", "x.ts", "x.kind")
+
+
 def drop_short(intervals: DataFrame, least: int = MIN_SECONDS) -> DataFrame:
     return intervals.filter(F.timestamp_diff("SECOND", F.col("start_timestamp"), F.col("end_timestamp")) >= least)
 
@@ -81,13 +68,11 @@ def anomalies(log: DataFrame) -> DataFrame:
 
 def unknown_ranges(log: DataFrame, *, until: datetime | None = None) -> DataFrame:
     """Runs of rows whose active state is unknown, up to the next known row. A trailing run ends at `until`, or is left out."""
-    s = states(log)
-    w = _w()
-    change = F.when(F.col("active").isNull() != F.coalesce(F.lag(F.col("active").isNull()).over(w), F.lit(False)), 1).otherwise(0)
-    turns = s.withColumn("turn", change).filter("turn = 1").withColumn("end_timestamp", F.lead("ts").over(w))
+    s = _neighbour(states(log).withColumn("unknown", F.col("active").isNull()), {"was_unknown": "unknown"})
+    turns = _neighbour(s.filter(F.col("unknown") != F.coalesce("was_unknown", F.lit(False))), {"end_timestamp": "ts"}, ahead=True)
     if until:
         turns = turns.withColumn("end_timestamp", F.coalesce("end_timestamp", F.lit(until).cast("timestamp_ntz")))
-    return turns.filter("active is null and end_timestamp is not null").select("tenant_id", "seq", F.col("ts").alias("start_timestamp"), "end_timestamp")
+    return turns.filter("unknown and end_timestamp is not null").select("tenant_id", "seq", F.col("ts").alias("start_timestamp"), "end_timestamp")
 
 
 def unknown_seconds(log: DataFrame) -> DataFrame:
@@ -99,37 +84,33 @@ def single_signal(log: DataFrame, strategy: str) -> DataFrame:
     """START and END rows of one signal: of STARTs in a row only the last stays; ENDs all stay."""
     on, off = SIGNALS[strategy]
     rows = log.filter(F.col("event").isin(on, off)).withColumn("kind", F.when(F.col("event") == on, "interval_start").otherwise("interval_end"))
-    following = F.lead("kind").over(_w())
-    return rows.withColumn("following", following).filter("kind = 'interval_end' or following is null or following = 'interval_end'").select("tenant_id", "seq", "ts", "kind")
+    return _neighbour(rows, {"following": "kind"}, ahead=True).filter("kind = 'interval_end' or following is null or following = 'interval_end'").select("tenant_id", "seq", "ts", "kind")
 
 
 def signal_intervals(log: DataFrame, on: str, off: str, start: datetime, end: datetime) -> DataFrame:
     """Intervals in which a signal is on, cut to [start, end); one still on at the end is closed there."""
-    w = _w()
-    rows = log.filter(F.col("event").isin(on, off)).withColumn("is_on", F.col("event") == on)
-    turns = rows.withColumn("was", F.coalesce(F.lag("is_on").over(w), F.lit(False))).filter("is_on != was")
+    rows = _neighbour(log.filter(F.col("event").isin(on, off)).withColumn("is_on", F.col("event") == on), {"was": "is_on"})
+    turns = _neighbour(rows.filter(F.col("is_on") != F.coalesce("was", F.lit(False))), {"until": "ts"}, ahead=True)
     lo, hi = F.lit(start).cast("timestamp_ntz"), F.lit(end).cast("timestamp_ntz")
-    spans = turns.withColumn("until", F.coalesce(F.lead("ts").over(w), hi)).filter("is_on")
+    spans = turns.filter("is_on").withColumn("until", F.coalesce("until", hi))
     return spans.select("tenant_id", "seq", F.greatest("ts", lo).alias("start_timestamp"), F.least("until", hi).alias("end_timestamp")).filter("start_timestamp < end_timestamp")
 
 
 def windowed(log: DataFrame, start: datetime, end: datetime) -> DataFrame:
     """Active intervals inside [start, end): rows before start set the state only. stop says what ended each one."""
     lo, hi = F.lit(start).cast("timestamp_ntz"), F.lit(end).cast("timestamp_ntz")
-    s = states(log.filter(F.col("ts") < hi))
-    w = _w()
-    now, was = F.coalesce("active", F.lit(False)), F.coalesce(F.lag("active").over(w), F.lit(False))
+    s = _neighbour(states(log.filter(F.col("ts") < hi)), {"was": "active"})
+    now, was = F.coalesce("active", F.lit(False)), F.coalesce("was", F.lit(False))
     turns = s.withColumn("turn", F.when(now != was, now)).filter("turn is not null")
-    ended = turns.withColumn("end_timestamp", F.coalesce(F.lead("ts").over(w), hi)).withColumn("stop", F.coalesce(F.lead("event").over(w), F.lit("WINDOW_END"))).filter("turn")
+    ended = _neighbour(turns, {"end_timestamp": "ts", "stop": "event"}, ahead=True).filter("turn")
+    ended = ended.withColumns({"end_timestamp": F.coalesce("end_timestamp", hi), "stop": F.coalesce("stop", F.lit("WINDOW_END"))})
     return ended.select("tenant_id", "seq", F.greatest("ts", lo).alias("start_timestamp"), "end_timestamp", "stop").filter("start_timestamp < end_timestamp")
 
 
 def pairing_audit(log: DataFrame, strategy: str) -> DataFrame:
     """Per tenant: STARTs in a row, ENDs without a START, and whether the log ends open."""
     on, off = SIGNALS[strategy]
-    w = _w()
-    rows = log.filter(F.col("event").isin(on, off)).withColumn("is_on", F.col("event") == on).withColumn("was", F.lag("is_on").over(w)).withColumn("following", F.lead("is_on").over(w))
+    rows = _neighbour(log.filter(F.col("event").isin(on, off)).withColumn("is_on", F.col("event") == on), {"was": "is_on"})
+    last = F.max_by("is_on", F.struct(*_ORDER))
     count = lambda c: F.sum(F.when(c, 1).otherwise(0))
-    return rows.groupBy("tenant_id").agg(
-        count(F.col("is_on") & F.col("was")).alias("duplicate_start"), count(~F.col("is_on") & ~F.coalesce("was", F.lit(False))).alias("orphan_end"), count(F.col("is_on") & F.col("following").isNull()).alias("open_at_end")
-    )
+    return rows.groupBy("tenant_id").agg(count(F.col("is_on") & F.col("was")).alias("duplicate_start"), count(~F.col("is_on") & ~F.coalesce("was", F.lit(False))).alias("orphan_end"), F.when(last, 1).otherwise(0).cast("long").alias("open_at_end"))

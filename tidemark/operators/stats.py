@@ -186,8 +186,8 @@ def default_activities(chunks: DataFrame, limit: int) -> DataFrame:
 
 def overlap_check(chunks: DataFrame) -> DataFrame:
     """Chunks that start before their source's previous chunk ends."""
-    w = Window.partitionBy(_T, "source").orderBy("start_timestamp", "end_timestamp", "id")
-    return chunks.withColumn("previous_end", F.lag("end_timestamp").over(w)).filter("start_timestamp < previous_end")
+    before = neighbour(chunks, [_T, "source"], ["start_timestamp", "end_timestamp", "id"], {"previous_end": "end_timestamp"})
+    return before.filter("start_timestamp < previous_end")
 
 
 def top_labels(chunks: DataFrame, n: int) -> DataFrame:

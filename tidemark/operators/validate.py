@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .carry import neighbour
+
 
 def _issues(df: DataFrame, table: str, object_id: str, checks: list[tuple[Column, str]], severity: str = "ERROR") -> DataFrame:
     found = F.array_compact(F.array(*[F.when(c, F.lit(m)) for c, m in checks]))
@@ -19,8 +21,7 @@ def event_fields(events: DataFrame) -> DataFrame:
 
 
 def chunk_checks(chunks: DataFrame) -> DataFrame:
-    w = Window.partitionBy("tenant_id", "source").orderBy("start_timestamp", "end_timestamp", "id")
-    before = chunks.withColumn("previous_end", F.lag("end_timestamp").over(w))
+    before = neighbour(chunks, ["tenant_id", "source"], ["start_timestamp", "end_timestamp", "id"], {"previous_end": "end_timestamp"})
     return _issues(before, "chunks", "id", [(F.col("end_timestamp") < F.col("start_timestamp"), "end before start"), (F.col("start_timestamp") < F.col("previous_end"), "overlaps the previous chunk")])
 
 

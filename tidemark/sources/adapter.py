@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.carry import neighbour
+
 #: Event names of a phone's log.
 PHONE_EVENTS = ("SCREEN_INTERACTIVE", "SCREEN_NON_INTERACTIVE", "KEYGUARD_HIDDEN", "KEYGUARD_SHOWN", "DEVICE_SHUTDOWN", "DEVICE_STARTUP")
 
@@ -22,9 +24,8 @@ def _typed(e: DataFrame) -> DataFrame:
 
 def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Closed intervals: an event lasts `value` minutes, or until the tenant's next event of the same source."""
-    e = _base(spark, sf_dir)
-    following = F.lead("t").over(Window.partitionBy("tenant_id", "source").orderBy("t", "id"))
-    end = F.least(F.timestamp_add("SECOND", F.floor(F.col("value") * 60).cast("int"), F.col("t")), following)
+    e = neighbour(_base(spark, sf_dir), ["tenant_id", "source"], ["t", "id"], {"following": "t"}, ahead=True)
+    end = F.least(F.timestamp_add("SECOND", F.floor(F.col("value") * 60).cast("int"), F.col("t")), "following")
     screen = (F.col("source") == "phone") & F.col("event_type").isin("click", "view")
     category = F.when(screen, "Screen").when(F.col("k") % 10 != 0, F.col("event_type"))
     name = F.when(screen, "Screen on").otherwise(F.concat(F.lit("A"), (F.col("k") % 4).cast("string")))

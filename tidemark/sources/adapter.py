@@ -46,7 +46,11 @@ def events_of(clicks: DataFrame) -> DataFrame:
 
 def repeated_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """events, and every fiftieth again under another id and source."""
-    e = events(spark, sf_dir)
+    return repeated_of(events(spark, sf_dir))
+
+
+def repeated_of(e: DataFrame) -> DataFrame:
+    """repeated_events of events, which may be a stream."""
     again = e.filter("id % 50 = 0").withColumn("id", F.col("id") + 1_000_000).withColumn("device_source", F.when(F.col("device_source") == "embed", "pc").otherwise("embed"))
     return e.unionByName(again)
 

@@ -79,6 +79,9 @@ def read_chunks(spark: SparkSession, target: str) -> DataFrame:
     return spark.read.parquet(target).drop("start_date")
 
 
-def write_daily_notes(notes: DataFrame, path: str) -> None:
-    """One text row a tenant and day, in folders by day."""
-    notes.select(F.col("day").cast("string").alias("day"), "tenant_id", "value").repartition("day").write.partitionBy("day", "tenant_id").mode("overwrite").text(path)
+def write_daily_notes(notes: DataFrame, path: str) -> str:
+    """A new folder under path with one Parquet row (tenant_id, value) a tenant and day, in folders by day; returns the
+    folder. A day is a few files, however many tenants it has, and nothing that may be read is overwritten."""
+    target = f"{path.rstrip('/')}/version={uuid.uuid4().hex}"
+    notes.select("day", "tenant_id", "value").repartition("day", F.pmod(F.xxhash64("tenant_id"), F.lit(4))).sortWithinPartitions("day", "tenant_id").write.partitionBy("day").parquet(target)
+    return target

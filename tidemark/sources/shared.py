@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -41,8 +42,12 @@ def delete(spark: SparkSession, folder: str) -> None:
 
 
 def discard(stored: DataFrame) -> None:
-    """Delete a table of materialize() once everything made from it is stored itself."""
-    delete(stored.sparkSession, stored.stored_at)
+    """Delete a table of materialize() once everything made from it is stored itself. Shuffle files of finished jobs go when
+    the driver's garbage is collected, so that is done, too."""
+    spark = stored.sparkSession
+    delete(spark, stored.stored_at)
+    gc.collect()
+    spark._jvm.System.gc()
 
 
 @contextmanager

@@ -4,13 +4,14 @@ import hashlib
 import random
 import struct
 import zlib
+from collections import Counter
 
 import duckdb
 import numpy as np
 import pyarrow as pa
 import pytest
 
-from tidemark.llm import decontamination, language_id, media, quality, warc
+from tidemark.llm import common, decontamination, language_id, media, quality, warc
 from tidemark.llm.common import normal_word
 from tidemark.llm.queries import ORACLES, QUERIES
 
@@ -49,19 +50,82 @@ def test_op8_edges(spark):
         assert (r.lang_pred == "und") == (t is None or not any(c.isalpha() for c in t)) and r.lang_pred in ("und", "en", "de")
     assert language_id.predict(docs.limit(0), model).count() == 0
     assert {r.lang_pred for r in language_id.predict(docs, language_id.learn(labelled.limit(0))).collect()} == {"und"}
-    grams, row = language_id.ngrams(pa.array(["Ab-c d", "", "xyz"], pa.large_string()))
+    ((grams, row),) = language_id.ngrams(pa.array(["Ab-c d", "", "xyz"], pa.large_string()))
     assert row.tolist() == [0] * 5 + [2] * 2  # " ab ", "ab c", "b c ", " c d", "c d " and " xyz", "xyz "
 
 
-def test_bloom_has_no_false_negatives(spark):
+def plain_ngrams(text):
+    s = "".join(c if c.isalpha() else " " for c in f" {text.lower()} ")
+    return [g for i in range(len(s) - 3) if "  " not in (g := s[i : i + 4])]
+
+
+def plain_languages(labelled):
+    """Language -> its n-grams, by exact sets."""
+    counts = {}
+    for text, lang in labelled:
+        counts.setdefault(lang, Counter()).update(plain_ngrams(text or ""))
+    rates = {lang: {g: n / sum(c.values()) for g, n in c.items()} for lang, c in counts.items()}
+    best = {}
+    for r in rates.values():
+        for g, x in r.items():
+            best[g] = max(x, best.get(g, 0))
+    return {lang: {g for g, n in c.items() if n >= language_id.LEAST_COUNT and rates[lang][g] >= best[g] * language_id.LEAST_RATE} for lang, c in counts.items()}
+
+
+def test_op8_equals_exact_sets(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
+    train = [(r.text, r.lang) for r in language_id.training_rows(docs).collect() if r.lang is not None]
+    sets = plain_languages(train)
+    for r in QUERIES["op8_language_id"](spark, SF).join(docs.select("doc_id", "text"), "doc_id").collect():
+        grams = plain_ngrams(r.text or "")
+        hits = {lang: sum(g in s for g in grams) for lang, s in sets.items()}
+        if sum(hits.values()):
+            assert hits[r.lang_pred] >= max(hits.values()) - 0.02 * len(grams) and abs(r.score - hits[r.lang_pred] / sum(hits.values())) < 0.02
+
+
+def test_op8_more_languages_than_a_mask_word(spark):
+    rng = random.Random(9)
+    word = lambda k: "".join(chr(0x4E00 + 60 * k + rng.randrange(60)) for _ in range(5))
+    own = {f"l{k:03d}": [word(k) for _ in range(12)] for k in range(140)}
+    rows = [(" ".join(rng.choices(words, k=40)), lang) for lang, words in own.items() for _ in range(4)]
+    model = language_id.learn(spark.createDataFrame(rows, "text string, lang string"))
+    assert len(model.languages) == 140 and len(model.filters) == 3
+    docs = spark.createDataFrame([(i, " ".join(rng.choices(words, k=8)), lang) for i, (lang, words) in enumerate(own.items())], "doc_id long, text string, lang string")
+    assert all(r.lang_pred == r.lang for r in language_id.predict(docs, model, keep=("doc_id", "lang")).collect())
+
+
+def test_long_texts_in_slices(monkeypatch):
+    text = " ".join(f"Wort{i % 17} größe{i % 5}," for i in range(400))
+    whole = pa.array([text, "kurz", text], pa.large_string())
+    grams = lambda: sorted((int(r), int(g)) for gs, rs in language_id.ngrams(whole) for g, r in zip(gs, rs))
+    shapes = lambda: sorted(zip(*(x.tolist() for x in quality.raw_shapes(whole))))
+    words_of = lambda: [x.tolist() for x in vars(common.word_table(whole)).values()]
+    want = grams(), shapes(), words_of()
+    for limit in (7, 100, 1000):
+        monkeypatch.setattr(common, "PIECE_CHARS", limit)
+        monkeypatch.setattr(common.char_slices, "__defaults__", (limit,))
+        assert (grams(), shapes(), words_of()) == want
+
+
+def test_bloom_has_no_false_negatives(spark):
+    """Every n-gram that a language has, all languages hit; others hit as often as the model says."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet").filter("lang is not null")
     model = language_id.learn(docs)
-    texts = [r.text for r in docs.filter("lang = 'de'").limit(20).collect()]
-    grams, _ = language_id.ngrams(pa.array(texts, pa.large_string()))
-    values, n = np.unique(grams, return_counts=True)
-    bit = model.languages.index("de")
-    assert (model.masks(values[n >= 10]) >> bit & 1).mean() > 0.5
-    assert (model.masks(np.random.default_rng(1).integers(0, 1 << 63, 10_000).astype(np.uint64)) >> bit & 1).mean() <= model.false_rates[bit] * 2 + 0.01
+    for lang, grams in plain_languages([(r.text, r.lang) for r in docs.collect()]).items():
+        assert len(grams) > 100
+        exact = np.array([_hash_of(g) for g in grams], np.uint64)
+        assert model.holds(model.masks(exact), model.languages.index(lang)).all()
+    noise = np.random.default_rng(1).integers(0, 1 << 63, 10_000).astype(np.uint64)
+    for k in range(len(model.languages)):
+        assert model.holds(model.masks(noise), k).mean() <= model.false_rates[k] * 2 + 0.01
+
+
+def _hash_of(gram):
+    """An n-gram's hash: the one n-gram of a text of letters and single spaces that is the n-gram itself."""
+    code = 0
+    for c in gram:
+        code = ((code << 16) ^ (code >> 48) ^ (ord(c) if c.isalpha() else 0)) & (1 << 64) - 1
+    return code
 
 
 # quality
@@ -78,6 +142,60 @@ def test_estimate_recovers_accuracies():
     assert np.allclose(chance[1, :, 2] / (chance[1, :, 2] + chance[1, :, 0]), right, atol=0.04)
 
 
+def plain_votes(text):
+    """The labellers' votes, from their definitions."""
+    t = text or ""
+    count = lambda chars: sum(c in chars for c in t)
+    split = t.strip(" ").split(" ")
+    n, words = len(t), len(split)
+    share = lambda part, whole: part / max(whole, 1)
+    junk = "|#$%&*!<>{}[]=_~^\\"
+    symbols, upper = share(count(junk), words), share(count("ABCDEFGHIJKLMNOPQRSTUVWXYZÄÖÜÉÈÊÇÑÓÍÁÚ"), n)
+    stops, commas = share(count(".?!"), words), share(count(","), words)
+    letters, distinct, length = share(n - count("0123456789@/" + junk.replace("\\", "") + "\\"), n), share(len(set(t.lower().split(" "))), words), share(n, words)
+    long = words >= 20
+    pairs = [
+        (symbols < 0.05, symbols > 0.3),
+        (long and upper < 0.08, upper > 0.3),
+        (long and 0.02 <= stops <= 0.35, long and (stops < 0.005 or stops > 0.6)),
+        (long and 0.005 <= commas <= 0.2, long and commas > 0.5),
+        (letters > 0.97, letters < 0.9),
+        (words >= 50 and distinct > 0.35, words >= 50 and distinct < 0.12),
+        (4 <= length <= 9, length < 2.5 or length > 15),
+        (words >= 50, words < 3),
+    ]
+    return [-1 if bad else 1 if good else 0 for good, bad in pairs]
+
+
+def test_op1_weak_labels_equal_em_over_documents(spark):
+    """EM over rows, one document each, in place of counts of vote patterns."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").collect()
+    votes = np.array([plain_votes(r.text) for r in docs])
+    posterior, _ = quality.estimate(votes, np.ones(len(votes)))
+    got = {r.doc_id: r.weak_label for r in QUERIES["op1_quality_classifier"](spark, SF).collect()}
+    assert all(abs(got[r.doc_id] - p) < 1e-6 for r, p in zip(docs, posterior))
+
+
+def test_op1_features_equal_plain_counts():
+    texts = ["The cat, the CAT and 3 dogs!", "", "x", "Straße {7} Straße"]
+    row, dim, value = quality.features(pa.array(texts, pa.large_string()))
+    slot = lambda h: int(quality.mix(np.array([h], np.uint64), 11)[0] >> np.uint64(64 - quality.WEIGHTS_LOG2))
+    for k, t in enumerate(texts):
+        hashes = common.word_hashes(pa.array([t], pa.large_string()))[0].tolist()
+        kind = lambda c: int(quality.CLASSES[min(ord(c), 255)])
+        shapes = [f for w in t.split() for f in (kind(w[-1]) + 1000, kind(w[0]) + 2000)]
+        want = Counter()
+        for group in (hashes, shapes):
+            counts = Counter(map(slot, group))
+            norm = sum(counts.values()) ** 0.5
+            for d, n in counts.items():
+                want[d] += n**0.5 / norm
+        got = Counter()
+        for d, v in zip(dim[row == k].tolist(), value[row == k].tolist()):
+            got[d] += v
+        assert set(got) == set(want) and all(abs(got[d] - want[d]) < 1e-9 for d in want)
+
+
 def test_op1_tells_labelled_quality(spark):
     out = QUERIES["op1_quality_classifier"](spark, SF01)
     n = spark.read.parquet(f"{SF01}/documents.parquet").count()
@@ -149,6 +267,19 @@ def test_op4_lsh_reaches_its_recall(monkeypatch, few):
     assert every >= 0.995 * n and one >= decontamination.CHANCE[block.places] * n
 
 
+@pytest.mark.parametrize("few", [500, 1])
+def test_op4_passages_that_a_text_cuts_off(monkeypatch, few):
+    """The text begins inside of the passage or ends in it; up to d words are missing."""
+    monkeypatch.setattr(decontamination, "FEW_ITEMS", few)
+    rng = random.Random(8)
+    vocabulary = [f"w{i}" for i in range(5000)]
+    items = [rng.choices(vocabulary, k=m) for m in range(10, 60) for _ in range(2)]
+    docs = [(i, x[int(len(x) * 0.2) :] + rng.choices(vocabulary, k=20) if k else rng.choices(vocabulary, k=20) + x[: -int(len(x) * 0.2)]) for i, x in enumerate(items) for k in (0, 1)]
+    hashed, offsets, _ = decontamination.word_hashes(pa.array([" ".join(w) for _, w in docs], pa.large_string()))
+    found = set(decontamination.Matcher(decontamination.Items.of([(i, " ".join(x)) for i, x in enumerate(items)], 0.8, 0.999)).matches(hashed, offsets))
+    assert sum((r, i) in found for r, (i, _) in enumerate(docs)) >= 0.99 * len(docs)
+
+
 @pytest.mark.parametrize("chars", [4_000_000, 300])
 def test_op4_edits_against_brute_force(spark, monkeypatch, chars):
     monkeypatch.setattr(decontamination, "BLOCK_CHARS", chars)

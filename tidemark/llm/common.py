@@ -3,8 +3,6 @@
 from __future__ import annotations
 
 import re
-import tempfile
-import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -15,36 +13,12 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.shared import delete, discard, materialize, scratch, shared_dir  # noqa: F401
+
 #: Code points handled at once inside a task; a longer text is one piece by itself.
 PIECE_CHARS = 500_000
 
-_NOT_WORD = re.compile(r"[\W_]+")
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """Folder that driver and executors share: spark.checkpoint.dir, or a fresh one where that is unset."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        root = "file://" + tempfile.mkdtemp(prefix="spark-shared-")
-        spark.conf.set("spark.checkpoint.dir", root)
-    return root.rstrip("/")
-
-
-def materialize(df: DataFrame, tag: str, **options: str) -> DataFrame:
-    """Write df as Parquet in the shared folder and read it back: cut lineage that outlives executors."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/tables/{tag}-{uuid.uuid4().hex}"
-    df.write.options(**options).parquet(path)
-    stored = spark.read.schema(df.schema).parquet(path)
-    stored.stored_at = path
-    return stored
-
-
-def discard(stored: DataFrame) -> None:
-    """Delete a table of materialize() once everything made from it is stored itself."""
-    spark = stored.sparkSession
-    path = spark._jvm.org.apache.hadoop.fs.Path(stored.stored_at)
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+_NOT_WORD, _SPACE = re.compile(r"[\W_]+"), re.compile(r"\s")
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -116,7 +90,7 @@ _powers = np.ones((2, 1), np.uint64)
 _LONG_WORD = 256
 
 
-def _powers_to(n: int) -> np.ndarray:
+def powers_to(n: int) -> np.ndarray:
     """Powers of the base and of its inverse."""
     global _powers
     if _powers.shape[1] < n:
@@ -142,9 +116,52 @@ class WordTable:
     ends: np.ndarray
 
 
+def char_slices(texts: list[str], width: int, limit: int = PIECE_CHARS) -> Iterator[tuple[list[int], list[str]]]:
+    """Portions (numbers of texts, strings) in which every run of `width` characters of every text stands once."""
+    rows, parts, total = [], [], 0
+    for k, t in enumerate(texts):
+        for a in range(0, max(len(t) - width + 1, 1), limit):
+            part = t[a : a + limit + width - 1]
+            if parts and total + len(part) > limit:
+                yield rows, parts
+                rows, parts, total = [], [], 0
+            rows.append(k)
+            parts.append(part)
+            total += len(part)
+    if parts:
+        yield rows, parts
+
+
+def _cut_at_space(text: str, limit: int) -> Iterator[tuple[int, str]]:
+    """A text in parts of about `limit` characters that begin with white space, and where they begin."""
+    at = 0
+    while at < len(text):
+        space = _SPACE.search(text, at + limit)
+        end = space.start() if space else len(text)
+        yield at, text[at:end]
+        at = end
+
+
 def word_table(texts: pa.Array) -> WordTable:
-    """All words of all texts. Everything is array arithmetic over the code points."""
+    """All words of all texts; a long text goes in parts, which white space separates."""
     rows = texts.to_pylist()
+    if max(map(len, rows), default=0) <= 2 * PIECE_CHARS:
+        return _word_table(rows)[0]
+    found: list[list[np.ndarray]] = []
+    for row in rows:
+        runs, parts = 0, []
+        for at, part in _cut_at_space(row, PIECE_CHARS):
+            table, n = _word_table([part])
+            parts.append((table.hashes, table.places + runs, table.starts + at, table.ends + at))
+            runs += n
+        found.append([np.concatenate(x) for x in zip(*parts, strict=True)] if parts else [np.empty(0, t) for t in (np.uint64, np.int64, np.int64, np.int64)])
+    hashes, places, starts, ends = (np.concatenate(x) for x in zip(*found, strict=True))
+    return WordTable(hashes, np.cumsum([0, *(len(f[0]) for f in found)]), places, starts, ends)
+
+
+def _word_table(rows: list[str]) -> tuple[WordTable, int]:
+    """The words of the rows and how many runs of non-white-space they have. Everything is array arithmetic over the code
+    points."""
     codes = code_points([t + "\n" for t in rows])
     row_starts = np.concatenate([[0], np.cumsum(np.fromiter(map(len, rows), np.int64, len(rows)) + 1)])
     _characters.learn(codes)
@@ -155,7 +172,7 @@ def word_table(texts: pa.Array) -> WordTable:
     starts, ends = turns[::2], turns[1::2]  # of runs; the last character is white space
     letters = np.flatnonzero(kind == _Characters.LETTER)
     first, last = np.searchsorted(letters, starts), np.searchsorted(letters, ends)
-    power = _powers_to(len(letters) + 1)
+    power = powers_to(len(letters) + 1)
     sums = np.zeros(len(letters) + 1, np.uint64)
     np.cumsum(_characters.value[codes[letters]] * power[0, : len(letters)], dtype=np.uint64, out=sums[1:])
     real = last > first
@@ -167,7 +184,7 @@ def word_table(texts: pa.Array) -> WordTable:
     hashes = mix((sums[last] - sums[first]) * power[1, first], 13)
     for k in np.flatnonzero(last - first > _LONG_WORD).tolist():
         hashes[k] = xxhash.xxh3_64_intdigest(_characters.value[codes[letters[first[k] : last[k]]]].tobytes())
-    return WordTable(hashes, offsets, places[real], starts[real] - row_starts[row], ends[real] - row_starts[row])
+    return WordTable(hashes, offsets, places[real], starts[real] - row_starts[row], ends[real] - row_starts[row]), len(starts)
 
 
 def word_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -208,7 +225,8 @@ def spread(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
 
 
 def group_stream(batches: Iterator[pa.RecordBatch], keys: int, rows: int = 8192) -> Iterator[tuple[pa.Table, np.ndarray]]:
-    """Tables of whole groups of a stream sorted by its first `keys` columns, and the groups' bounds in each."""
+    """Tables of whole groups of a stream sorted by its first `keys` columns, of about `rows` rows, and the groups' bounds in
+    each."""
     held: list[pa.Table] = []
     for batch in batches:
         if not batch.num_rows:
@@ -217,13 +235,19 @@ def group_stream(batches: Iterator[pa.RecordBatch], keys: int, rows: int = 8192)
         if sum(t.num_rows for t in held) >= rows:
             table = pa.concat_tables(held).combine_chunks()
             bounds = _bounds(table, keys)
-            if len(bounds) > 2:
-                yield table.slice(0, int(bounds[-2])), bounds[:-1]
-                table = table.slice(int(bounds[-2]))
-            held = [table]
+            yield from _in_portions(table, bounds[:-1], rows)
+            held = [table.slice(int(bounds[-2]))]
     if held:
         table = pa.concat_tables(held).combine_chunks()
-        yield table, _bounds(table, keys)
+        yield from _in_portions(table, _bounds(table, keys), rows)
+
+
+def _in_portions(table: pa.Table, bounds: np.ndarray, rows: int) -> Iterator[tuple[pa.Table, np.ndarray]]:
+    at = 0
+    while at < len(bounds) - 1:
+        end = min(len(bounds) - 1, max(at + 1, int(np.searchsorted(bounds, bounds[at] + rows))))
+        yield table.slice(int(bounds[at]), int(bounds[end] - bounds[at])), bounds[at : end + 1] - bounds[at]
+        at = end
 
 
 def _bounds(table: pa.Table, keys: int) -> np.ndarray:

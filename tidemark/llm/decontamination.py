@@ -43,6 +43,8 @@ FEW_ITEMS = 500
 #: Samplings of a walk, and the least chance that one of them finds a passage of exactly d edits (tests measure it).
 SAMPLINGS, CHANCE = {2: 4, 3: 8}, {2: 0.5, 3: 0.38}
 BLOCK_CHARS = 4_000_000
+#: A row may lack so many words of a passage's beginning, or all allowed edits if they are fewer.
+MOST_LEAD = 32
 MATCHES = "doc_id long, item_id long, edits int, first_word long, n_words int, passages int"
 
 
@@ -70,17 +72,17 @@ def samplings(c: int, walk: int, places: int) -> list[tuple[int, ...]]:
 
 
 class Texts:
-    """Words of many rows, a zero word (where walks end) after each, ready for walks."""
-
-    def __init__(self, words: np.ndarray, offsets: np.ndarray):
-        rows = len(offsets) - 1
-        self.words = np.zeros(len(words) + rows, np.uint64)
-        self.starts = offsets[:-1] + np.arange(rows)
-        self.ends = offsets[1:] + np.arange(rows)
-        real = np.ones(len(self.words), bool)
-        real[self.ends] = False
-        self.words[real] = words
-        self.real = real
+    """Words of many rows, ready for walks: a zero word (where walks end) after each row, and `lead` words that occur
+    nowhere else before it, so that a passage whose beginning a row lacks has windows, too."""
+
+    def __init__(self, words: np.ndarray, offsets: np.ndarray, lead: int = 0):
+        rows, n = len(offsets) - 1, np.diff(offsets)
+        self.begins = offsets[:-1] + np.arange(rows) * (lead + 1)
+        self.starts = self.begins + lead
+        self.ends = self.starts + n
+        self.words = np.zeros(len(words) + rows * (lead + 1), np.uint64)
+        self.words[spread(self.starts, n)] = words
+        self.words[spread(self.begins, np.full(rows, lead))] = np.tile(mix(np.arange(lead, dtype=np.uint64), 77), rows)
         self.code = (self.words >> np.uint64(32)).astype(np.uint32)
         self.bits = mix(self.words, 1)
 
@@ -200,14 +202,12 @@ class Matcher:
                     pairs = pairs[agree > self.items.places]
                 found.append(pairs)
         pairs = np.unique(np.concatenate(found))
-        item, start = pairs >> 40, pairs & ((1 << 40) - 1)
-        real = texts.real[start]
-        return item[real], start[real]
+        return pairs >> 40, pairs & ((1 << 40) - 1)
 
     def regions(self, texts: Texts, item: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, ...]:
         """Item, row, first place and width of the surroundings to verify; near starts share one."""
         m, d = np.diff(self.items.offsets)[item], self.items.edits[item]
-        row = np.searchsorted(texts.starts, start, "right") - 1
+        row = np.searchsorted(texts.begins, start, "right") - 1
         apart = d // 2 + 1
         inside = (start - texts.starts[row]) // apart * apart
         first = texts.starts[row] + inside
@@ -247,7 +247,7 @@ class Matcher:
 
     def matches(self, words: np.ndarray, offsets: np.ndarray) -> dict[tuple[int, int], list]:
         """(row, item) -> edits, first word and end of the best passage, and separate passages."""
-        texts = Texts(words, offsets)
+        texts = Texts(words, offsets, min(MOST_LEAD, int(self.items.edits.max(initial=0))))
         regions = self.regions(texts, *self.candidates(texts))
         regions = tuple(x[self.holding(texts, *regions)] for x in regions)
         best: dict[tuple[int, int], list] = {}

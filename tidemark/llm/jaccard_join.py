@@ -9,11 +9,12 @@ is at least the threshold.
 2. Pruning: candidates' min-hashes are compared STAGE at a time. With m of t values equal and a uniform prior, the
    chance that the similarity reaches the threshold is P(Binomial(t + 1, threshold) <= m); below TOLERANCE the pair
    is dropped. Survivors only say which sets belong together; a task gives one edge a set, not its pairs.
-3. Verification: sets connected by survivors meet in one place (in blocks of BLOCK, each pair of blocks a task), are
-   compared there by min-hash as before, and what is left exactly by their whole sets. Tasks give numbers of links and one
-   edge a set.
+3. Verification: up to BLOCK sets that survivors connect meet in one place and are compared there by min-hash as before,
+   and what is left exactly by their whole sets. Of larger groups the surviving pairs themselves are verified: their sets
+   meet again in the blocks of the buckets in which they survived. Tasks give numbers of links and one edge a set.
 
-Buckets and components of any size are cut in blocks, so none is collected in one task. Result: one row a
+Buckets of any size are cut in blocks of BLOCK, each pair of blocks a task, so none is collected in one task, and work
+grows with the surviving pairs. Result: one row a
 document with class_id (smallest doc_id of its connected documents) and n_links (other documents at or above the
 threshold; copies count). Documents without words and rows with a null doc_id have no links; their class is their own id.
 Repeated rows are copies of each other. Only the two named columns are read; an empty table gives no rows.
@@ -30,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, group_stream, local_components, materialize, mix, pairs_in_groups, pieces, shingle_hashes, strings, word_hashes
+from .common import components, group_stream, local_components, materialize, mix, pairs_in_groups, pieces, scratch, shingle_hashes, strings, word_hashes
 
 WIDTH, THRESHOLD = 5, 0.8
 VALUES, ROWS = 120, 5
@@ -138,33 +139,55 @@ def prune(sig: np.ndarray, i: np.ndarray, j: np.ndarray, least: dict[int, int])
     return alive
 
 
-def candidate_edges(sets: DataFrame, threshold: float) -> DataFrame:
-    """Edges (a, b) that connect all sets with a surviving pair."""
-    least = least_matches(threshold)
+def surviving(table: pa.Table, bounds: np.ndarray, least: dict[int, int]) -> tuple[np.ndarray, np.ndarray]:
+    """Rows of the pairs of a task's groups that pruning leaves; in buckets, each pair in its first common band only."""
     bands = VALUES // ROWS
+    sig, band = _signatures(table.column("sig")), table.column("band").to_numpy()
+    left, right = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+    for i, j in meeting(bounds, table):
+        for at in range(0, len(i), 50_000):
+            a, b = i[at : at + 50_000], j[at : at + 50_000]
+            if band[0] >= 0:
+                first = (sig[a] == sig[b]).reshape(-1, bands, ROWS).all(axis=2).argmax(axis=1)
+                a, b = a[first == band[a]], b[first == band[a]]
+            stay = prune(sig, a, b, least)
+            left.append(a[stay])
+            right.append(b[stay])
+    return np.concatenate(left), np.concatenate(right)
+
+
+def bucket_members(sets: DataFrame) -> DataFrame:
+    """Sets in the buckets that they share with others, dealt to blocks."""
     rows = buckets(sets)
     shared = rows.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1")
     members = rows.join(shared, "bucket").join(sets.select("set_id", "sig"), "set_id")
+    return in_blocks(members, "bucket", "n").select("bucket", "x", "y", "own", "band", "set_id", "sig")
+
+
+def candidate_edges(sets: DataFrame, threshold: float) -> DataFrame:
+    """Edges (a, b) that connect all sets with a surviving pair."""
+    least = least_matches(threshold)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table, bounds in group_stream(batches, 3):
-            sig, band = _signatures(table.column("sig")), table.column("band").to_numpy()
-            left, right = [], []
-            for i, j in meeting(bounds, table):
-                for at in range(0, len(i), 50_000):
-                    a, b = i[at : at + 50_000], j[at : at + 50_000]
-                    first = (sig[a] == sig[b]).reshape(-1, bands, ROWS).all(axis=2).argmax(axis=1)
-                    a, b = a[first == band[a]], b[first == band[a]]  # a pair is looked at in its first common band only
-                    stay = prune(sig, a, b, least)
-                    left.append(a[stay])
-                    right.append(b[stay])
-            if left:
-                label = local_components(table.num_rows, np.concatenate(left), np.concatenate(right))
-                child = np.flatnonzero(label != np.arange(len(label)))
-                ids = table.column("set_id")
-                yield pa.RecordBatch.from_arrays([ids.take(pa.array(child)).combine_chunks(), ids.take(pa.array(label[child])).combine_chunks()], ["a", "b"])
+            label = local_components(table.num_rows, *surviving(table, bounds, least))
+            child = np.flatnonzero(label != np.arange(len(label)))
+            ids = table.column("set_id")
+            yield pa.RecordBatch.from_arrays([ids.take(pa.array(child)).combine_chunks(), ids.take(pa.array(label[child])).combine_chunks()], ["a", "b"])
+
+    return bucket_members(sets).mapInArrow(run, "a binary, b binary")
+
+
+def surviving_members(sets: DataFrame, threshold: float) -> DataFrame:
+    """Blocks of buckets without the sets that have no surviving pair there."""
+    least = least_matches(threshold)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table, bounds in group_stream(batches, 3):
+            rows = pa.array(np.unique(np.concatenate(surviving(table, bounds, least))))
+            yield pa.RecordBatch.from_arrays([table.column(c).take(rows).combine_chunks() for c in ("bucket", "x", "y", "own", "band", "set_id")], ["home", "x", "y", "own", "band", "set_id"])
 
-    return in_blocks(members, "bucket", "n").select("bucket", "x", "y", "own", "band", "set_id", "sig").mapInArrow(run, "a binary, b binary")
+    return bucket_members(sets).mapInArrow(run, "home long, x int, y int, own int, band int, set_id binary")
 
 
 def overlaps(sets: list[np.ndarray], i: np.ndarray, j: np.ndarray) -> np.ndarray:
@@ -190,34 +213,29 @@ def overlaps(sets: list[np.ndarray], i: np.ndarray, j: np.ndarray) -> np.ndarray
 
 
 def verified(members: DataFrame, threshold: float) -> DataFrame:
-    """For each task and set: links to other sets (copies counted), and the smallest set it is connected to there."""
+    """For each group (home, x, y) and set: links to other sets (copies counted), and the smallest set it is connected to
+    there."""
     least = least_matches(threshold)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole, bounds in group_stream(batches, 3, 512):
             for lo, hi in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
                 table = whole.slice(lo, hi - lo)
-                sig, copies = _signatures(table.column("sig")), table.column("copies").to_numpy()
+                copies = table.column("copies").to_numpy()
                 sets = [np.frombuffer(s, np.uint64) for s in table.column("shingles").to_pylist()]
                 sizes = np.array([len(s) for s in sets])
-                links, left, right = np.zeros(hi - lo, np.int64), [], []
-                for i, j in meeting(np.array([0, hi - lo]), table):
-                    stay = prune(sig, i, j, least)
-                    i, j = i[stay], j[stay]
-                    both = overlaps(sets, i, j)
-                    linked = both >= threshold * (sizes[i] + sizes[j] - both) - 1e-9
-                    i, j = i[linked], j[linked]
-                    np.add.at(links, i, copies[j])
-                    np.add.at(links, j, copies[i])
-                    left.append(i)
-                    right.append(j)
-                label = local_components(hi - lo, np.concatenate(left), np.concatenate(right)) if left else np.arange(hi - lo)
+                i, j = surviving(table, np.array([0, hi - lo]), least)
+                both = overlaps(sets, i, j)
+                linked = both >= threshold * (sizes[i] + sizes[j] - both) - 1e-9
+                i, j = i[linked], j[linked]
+                links = np.zeros(hi - lo, np.int64)
+                np.add.at(links, i, copies[j])
+                np.add.at(links, j, copies[i])
                 ids = table.column("set_id")
-                columns = [ids, ids.take(pa.array(label)), table.column("parts")]
-                yield pa.RecordBatch.from_arrays([*(c.combine_chunks() for c in columns), pa.array(links)], ["set_id", "label", "parts", "links"])
+                columns = [ids, ids.take(pa.array(local_components(hi - lo, i, j)))]
+                yield pa.RecordBatch.from_arrays([*(c.combine_chunks() for c in columns), pa.array(links)], ["set_id", "label", "links"])
 
-    dealt = in_blocks(members, "home", "n").select("home", "x", "y", "own", "parts", "set_id", "sig", "copies", "shingles")
-    return dealt.mapInArrow(run, "set_id binary, label binary, parts int, links long")
+    return members.repartition("home", "x", "y").sortWithinPartitions("home", "x", "y", "set_id").mapInArrow(run, "set_id binary, label binary, links long")
 
 
 def shingles_of(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
@@ -238,21 +256,31 @@ def shingles_of(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
 def near_duplicates(docs: DataFrame, *, threshold: float = THRESHOLD, width: int = WIDTH, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, class_id, n_links for every row of docs."""
     base = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    rows = materialize(sketch(base, width), "sketches")
-    known = rows.filter("doc_id is not null and set_id is not null")
-    sets = materialize(known.groupBy("set_id").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.first("sig").alias("sig")), "sets")
-    homes = components(candidate_edges(sets, threshold), "candidates")
-    homes = homes.join(homes.groupBy("home").agg(F.count("*").alias("n")), "home").withColumnRenamed("id", "set_id")
-    members = homes.join(sets, "set_id")
-    # a repeated row of a representative gives its shingles again: one is kept
-    shingles = shingles_of(base, members.select("set_id", "rep"), width).dropDuplicates(["set_id"])
-    checked = materialize(verified(members.join(shingles, "set_id"), threshold), "verified")
-    links = checked.groupBy("set_id").agg(F.sum("links").alias("links"), F.min("label").alias("home"))
-    across = checked.filter("parts > 1 and set_id != label").select(F.col("set_id").alias("a"), F.col("label").alias("b"))
-    if not across.isEmpty():  # components of several blocks: connect what the tasks found
-        joined = components(across, "across").select(F.col("id").alias("set_id"), F.col("home").alias("wide"))
-        links = links.join(joined, "set_id", "left").select("set_id", "links", F.coalesce("wide", "home").alias("home"))
-    named = sets.join(links, "set_id", "left").select("set_id", "rep", "copies", F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("home", "set_id").alias("home"))
-    classes = named.groupBy("home").agg(F.min("rep").alias("class_id"))
-    result = named.join(classes, "home").select("set_id", "class_id", (F.col("links") + F.col("copies") - 1).alias("n_links"))
-    return rows.select("doc_id", F.when(F.col("doc_id").isNotNull(), F.col("set_id")).alias("set_id")).join(result, "set_id", "left").select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    with scratch(docs.sparkSession) as keep:
+        rows = materialize(sketch(base, width), "sketches")
+        known = rows.filter("doc_id is not null and set_id is not null")
+        sets = materialize(known.groupBy("set_id").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.first("sig").alias("sig")), "sets")
+        homes = components(candidate_edges(sets, threshold), "candidates")
+        sized = homes.join(homes.groupBy("home").agg(F.count("*").alias("n")), "home").withColumnRenamed("id", "set_id").join(sets, "set_id")
+        members = materialize(sized.select("set_id", F.xxhash64("home").alias("home"), "n", "rep", "copies", "sig"), "members")
+        # a repeated row of a representative gives its shingles again: one is kept
+        shingles = shingles_of(base, members, width).dropDuplicates(["set_id"])
+        light = members.select("set_id", "copies", "sig")
+        columns = ("home", "x", "y", "own", "band", "set_id", "sig", "copies", "shingles")
+        none = F.lit(0).alias
+        small = members.filter(F.col("n") <= BLOCK).select("home", none("x"), none("y"), none("own"), F.lit(-1).alias("band"), "set_id", "sig", "copies")
+        checked = materialize(verified(small.join(shingles, "set_id").select(*columns), threshold), "verified")
+        links = checked.groupBy("set_id").agg(F.sum("links").alias("links"), F.min("label").alias("home"))
+        large = members.filter(F.col("n") > BLOCK)
+        if not large.isEmpty():
+            survivors = surviving_members(large.select("set_id", "sig"), threshold)
+            wide = materialize(verified(survivors.join(light, "set_id").join(shingles, "set_id").select(*columns), threshold), "verified")
+            joined = components(wide.filter("set_id != label").select(F.col("set_id").alias("a"), F.col("label").alias("b")), "across")
+            joined = joined.select(F.col("id").alias("set_id"), F.col("home").alias("wide"))
+            counted = wide.groupBy("set_id").agg(F.sum("links").alias("links")).join(joined, "set_id", "left")
+            links = links.unionByName(counted.select("set_id", "links", F.coalesce("wide", "set_id").alias("home")))
+        named = sets.join(links, "set_id", "left").select("set_id", "rep", "copies", F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("home", "set_id").alias("home"))
+        classes = named.groupBy("home").agg(F.min("rep").alias("class_id"))
+        result = named.join(classes, "home").select("set_id", "class_id", (F.col("links") + F.col("copies") - 1).alias("n_links"))
+        found = rows.select("doc_id", F.when(F.col("doc_id").isNotNull(), F.col("set_id")).alias("set_id")).join(result, "set_id", "left")
+        return keep(found.select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links")), "classes")

@@ -7,21 +7,24 @@ its n-grams, the number expected from false positives is taken off, and the lang
 Learning counts the n-grams of a bounded sample of the labelled texts (about `sample` documents a language,
 picked by a hash of the text) and keeps an n-gram for a language when it is frequent enough there. A text that
 is null or has no letter is `und` with score 0. A text with letters whose n-grams are all unknown gets the
-language with most labelled documents and score 0. Whole texts are used, in slices. Repeated rows and extra
-columns don't matter. With no labelled row there is no language to learn, and every document is `und`.
+language with most labelled documents and score 0; one without any n-gram (a single letter) gets it with an even
+chance. Whole texts are used, long ones in slices. Any number of languages
+is learned: a slot has a mask word for each MASK_BITS of them. Repeated rows and extra columns don't matter. With no
+labelled row there is no language to learn, and every document is `und`.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import mix, pieces, strings
+from .common import char_slices, code_points, discard, materialize, mix, pieces, strings
 
 WIDTH = 4
 SLOTS_LOG2 = 22
@@ -30,49 +33,50 @@ HASHES = 3
 SAMPLE = 20_000
 #: An n-gram belongs to a language from so many occurrences and this share of the rate in its best language.
 LEAST_COUNT, LEAST_RATE = 3, 0.1
-MOST_LANGUAGES = 62
-#: Characters handled at once inside a task.
-PIECE_CHARS = 1_500_000
+#: Languages of one mask word.
+MASK_BITS = 62
 NONE = "und"
 
 
 @dataclass(frozen=True)
 class Model:
     languages: tuple[str, ...]  # most labelled documents first
-    filters: np.ndarray  # a bitmask of languages for each slot
+    filters: list[np.ndarray]  # bitmasks of languages for each slot: one array for each mask word
     false_rates: np.ndarray  # chance that an n-gram of no language hits each one
 
-    def masks(self, grams: np.ndarray) -> np.ndarray:
-        out = self.filters[_slot(grams, 0)]
-        for k in range(1, HASHES):
-            out &= self.filters[_slot(grams, k)]
-        return out
+    def masks(self, grams: np.ndarray) -> list[np.ndarray]:
+        """The languages of each n-gram, as mask words."""
+        slots = [_slot(grams, k) for k in range(HASHES)]
+        return [reduce(np.bitwise_and, [word[s] for s in slots]) for word in self.filters]
+
+    def holds(self, masks: list[np.ndarray], language: int) -> np.ndarray:
+        word, bit = divmod(language, MASK_BITS)
+        kind = masks[word].dtype.type
+        return (masks[word] >> kind(bit) & kind(1)).astype(bool)
 
 
 def _slot(grams: np.ndarray, k: int) -> np.ndarray:
     return (mix(grams, k + 1) >> np.uint64(64 - SLOTS_LOG2)).astype(np.int32)
 
 
-def ngrams(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of all runs of WIDTH characters of each text (lower case, what is no letter is a space) and the
-    row of each. Runs with two spaces side by side are left out."""
-    lowered = [t.lower() for t in texts.to_pylist()]
-    joined = "".join(f" {t} " for t in lowered)
-    code = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32)
-    known = np.unique(code)
-    letter = np.fromiter((chr(c).isalpha() for c in known.tolist()), bool, len(known))
-    code = np.where(letter[np.searchsorted(known, code)] if len(known) > 256 else _flags(known, letter)[code], code, 0).astype(np.uint64)
-    ends = np.cumsum([len(t) + 2 for t in lowered])
-    row = np.repeat(np.arange(len(lowered)), np.diff(ends, prepend=0))
-    n = max(len(code) - WIDTH + 1, 0)
-    gram = np.zeros(n, np.uint64)
-    for k in range(WIDTH):
-        gram = gram << np.uint64(16) ^ gram >> np.uint64(48) ^ code[k : k + n]
-    blank = code == 0
-    keep = row[:n] == row[WIDTH - 1 :] if n else np.empty(0, bool)
-    for k in range(WIDTH - 1):
-        keep &= ~(blank[k : k + n] & blank[k + 1 : k + 1 + n])
-    return gram[keep], row[:n][keep]
+def ngrams(texts: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Hashes of all runs of WIDTH characters of each text (lower case, what is no letter is a space) and the row of
+    each, in portions. Runs with two spaces side by side are left out."""
+    for rows, parts in char_slices([f" {t.lower()} " for t in texts.to_pylist()], WIDTH):
+        code = code_points(parts)
+        known = np.unique(code)
+        letter = np.fromiter((chr(c).isalpha() for c in known.tolist()), bool, len(known))
+        code = np.where(letter[np.searchsorted(known, code)] if len(known) > 256 else _flags(known, letter)[code], code, 0).astype(np.uint64)
+        part = np.repeat(np.arange(len(parts)), list(map(len, parts)))
+        n = max(len(code) - WIDTH + 1, 0)
+        gram = np.zeros(n, np.uint64)
+        for k in range(WIDTH):
+            gram = gram << np.uint64(16) ^ gram >> np.uint64(48) ^ code[k : k + n]
+        blank = code == 0
+        keep = part[:n] == part[WIDTH - 1 :] if n else np.empty(0, bool)
+        for k in range(WIDTH - 1):
+            keep &= ~(blank[k : k + n] & blank[k + 1 : k + 1 + n])
+        yield gram[keep], np.array(rows)[part[:n][keep]]
 
 
 def _flags(known: np.ndarray, letter: np.ndarray) -> np.ndarray:
@@ -85,11 +89,9 @@ def learn(labelled: DataFrame, *, sample: int = SAMPLE, text: str = "text", lang
     """A model from the rows of labelled whose language is not null."""
     rows = labelled.select(F.col(text).cast("string").alias("text"), F.col(lang).cast("string").alias("lang")).filter("lang is not null")
     sizes = sorted(((r["count"], r.lang) for r in rows.groupBy("lang").count().collect()), key=lambda x: (-x[0], x[1]))
-    if len(sizes) > MOST_LANGUAGES:
-        raise ValueError(f"{len(sizes)} languages; a mask holds {MOST_LANGUAGES}")
     languages = tuple(name for _, name in sizes)
     kind = np.uint8 if len(languages) <= 8 else np.int64
-    filters = np.zeros(1 << SLOTS_LOG2, kind)
+    filters = [np.zeros(1 << SLOTS_LOG2, kind) for _ in range(-(-len(languages) // MASK_BITS))]
     if not languages:
         return Model(languages, filters, np.zeros(0))
     number = {name: i for i, name in enumerate(languages)}
@@ -99,33 +101,36 @@ def learn(labelled: DataFrame, *, sample: int = SAMPLE, text: str = "text", lang
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts, langs = strings(batch.column(0)), np.array([number[x] for x in batch.column(1).to_pylist()], np.int64)
-            for lo, hi in pieces(texts, PIECE_CHARS):
-                grams, row = ngrams(texts[lo:hi])
-                of = langs[lo:hi][row]
-                for i in np.unique(of).tolist():
-                    g, n = np.unique(grams[of == i], return_counts=True)
-                    yield pa.RecordBatch.from_arrays([pa.array(g.view(np.int64)), pa.array(np.full(len(g), i), pa.int32()), pa.array(n, pa.int64())], ["gram", "lang", "n"])
+            for lo, hi in pieces(texts):
+                for grams, row in ngrams(texts[lo:hi]):
+                    of = langs[lo:hi][row]
+                    for i in np.unique(of).tolist():
+                        g, n = np.unique(grams[of == i], return_counts=True)
+                        yield pa.RecordBatch.from_arrays([pa.array(g.view(np.int64)), pa.array(np.full(len(g), i), pa.int32()), pa.array(n, pa.int64())], ["gram", "lang", "n"])
 
     counted = picked.mapInArrow(count, "gram long, lang int, n long").groupBy("gram", "lang").agg(F.sum("n").alias("n"))
+    counted = materialize(counted, "ngrams", compression="zstd")
     totals = {r.lang: r.n for r in counted.groupBy("lang").agg(F.sum("n").alias("n")).collect()}
     rate = F.col("n") / F.create_map(*[F.lit(x) for k, v in (totals or {0: 1}).items() for x in (k, float(v))])[F.col("lang")]
     grams = counted.withColumn("rate", rate).groupBy("gram").agg(F.max("rate").alias("best"), F.collect_list(F.struct("lang", "n", "rate")).alias("of"))
-    bit = F.transform(
-        F.filter("of", lambda x: (x["n"] >= LEAST_COUNT) & (x["rate"] >= F.col("best") * LEAST_RATE)),
-        lambda x: F.call_function("shiftleft", F.lit(1).cast("long"), x["lang"]),
-    )
-    masked = grams.select("gram", F.aggregate(bit, F.lit(0).cast("long"), lambda a, b: a.bitwiseOR(b)).alias("mask")).filter("mask != 0")
+    often = F.filter("of", lambda x: (x["n"] >= LEAST_COUNT) & (x["rate"] >= F.col("best") * LEAST_RATE))
+    known = grams.select("gram", F.explode(F.transform(often, lambda x: x["lang"])).alias("lang"))
 
     def slots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            g = batch.column(0).to_numpy().view(np.uint64)
+            g, lang = batch.column(0).to_numpy().view(np.uint64), batch.column(1).to_numpy().astype(np.int64)
             places = np.concatenate([_slot(g, k) for k in range(HASHES)])
-            yield pa.RecordBatch.from_arrays([pa.array(places), pa.array(np.tile(batch.column(1).to_numpy(), HASHES))], ["slot", "mask"])
-
-    # at most 2 ** SLOTS_LOG2 rows, whatever the corpus
-    table = masked.mapInArrow(slots, "slot int, mask long").groupBy("slot").agg(F.bit_or("mask").alias("mask")).toArrow()
-    filters[table["slot"].to_numpy()] = table["mask"].to_numpy().astype(kind)
-    fill = np.array([np.count_nonzero(filters >> kind(i) & kind(1)) for i in range(len(languages))]) / len(filters)
+            word, mask = lang // MASK_BITS, np.int64(1) << lang % MASK_BITS
+            yield pa.RecordBatch.from_arrays([pa.array(places), pa.array(np.tile(word, HASHES)), pa.array(np.tile(mask, HASHES))], ["slot", "word", "mask"])
+
+    # at most 2 ** SLOTS_LOG2 rows a mask word, whatever the corpus
+    table = known.mapInArrow(slots, "slot int, word long, mask long").groupBy("slot", "word").agg(F.bit_or("mask").alias("mask")).toArrow()
+    discard(counted)
+    slot, word, mask = (table[c].to_numpy() for c in ("slot", "word", "mask"))
+    for k, words in enumerate(filters):
+        words[slot[word == k]] = mask[word == k].astype(kind)
+    model = Model(languages, filters, np.zeros(len(languages)))
+    fill = np.array([np.count_nonzero(model.holds(filters, i)) for i in range(len(languages))]) / (1 << SLOTS_LOG2)
     return Model(languages, filters, fill**HASHES)
 
 
@@ -139,19 +144,20 @@ def predict(docs: DataFrame, model: Model, *, text: str = "text", keep: tuple[st
         for batch in batches:
             texts = strings(batch.column(at))
             found, scores = [], []
-            for lo, hi in pieces(texts, PIECE_CHARS):
+            for lo, hi in pieces(texts):
                 lettered = [any(map(str.isalpha, t)) for t in texts[lo:hi].to_pylist()]
-                grams, row = ngrams(texts[lo:hi])
-                n = np.bincount(row, minlength=hi - lo)
-                hits = np.zeros((len(model.languages), hi - lo))
-                masks = model.masks(grams)
-                for i in range(len(model.languages)):
-                    hits[i] = np.bincount(row[(masks >> masks.dtype.type(i) & masks.dtype.type(1)).astype(bool)], minlength=hi - lo)
+                n, hits = np.zeros(hi - lo), np.zeros((len(model.languages), hi - lo))
+                for grams, row in ngrams(texts[lo:hi]):
+                    n += np.bincount(row, minlength=hi - lo)
+                    masks = model.masks(grams)
+                    for i in range(len(model.languages)):
+                        hits[i] += np.bincount(row[model.holds(masks, i)], minlength=hi - lo)
                 rates = model.false_rates[:, None]
                 real = np.maximum((hits - n * rates) / (1 - rates), 0)
                 total = real.sum(axis=0)
                 best = real.argmax(axis=0) if len(real) else np.zeros(hi - lo, int)
-                score = np.divide(real.max(axis=0, initial=0), total, out=np.zeros(hi - lo), where=total > 0)
+                even = np.where(n == 0, 1 / max(1, len(model.languages)), 0.0)
+                score = np.divide(real.max(axis=0, initial=0), total, out=even, where=total > 0)
                 for k in range(hi - lo):
                     known = lettered[k] and len(model.languages) > 0
                     found.append(model.languages[best[k]] if known else NONE)

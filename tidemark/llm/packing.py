@@ -8,7 +8,8 @@ Documents are cut into pieces of at most `capacity` tokens. Only the histogram o
 2. smaller pieces, longest first, go to the tightest gap that takes them; new sequences open when no gap does.
 
 Pieces then take their place by their rank among the pieces of their length. Ranks come from windows over
-(length, salt), so a length that a third of all pieces have is spread over many tasks.
+(length, salt), so a length that a third of all pieces have is spread over many tasks; the salt comes from the
+row and the piece's number, so one long document's pieces are spread, too.
 
 Null and empty texts hold only the end id. Rows that repeat are packed each by itself; null doc_ids are
 kept. Only the two named columns are read. An empty table gives no rows.
@@ -114,14 +115,14 @@ def cut(docs: DataFrame, vocabulary: str, capacity: int, *, doc_id: str = "doc_i
                 raw = memoryview(ids.tobytes())
                 crc = [zlib.crc32(raw[4 * a : 4 * b]) for a, b in zip(at.tolist(), (at + length).tolist(), strict=True)]
                 rows = pa.array(row + lo)
-                columns = [doc_ids.take(rows), pa.array(piece, pa.int32()), pa.array(start), pa.array(length), pa.array(crc, pa.int64()), salts.take(rows)]
+                columns = [doc_ids.take(rows), pa.array(piece, pa.int32()), pa.array(start), pa.array(length), pa.array(crc, pa.int64()), pa.array((salts.to_numpy()[row + lo] + piece) % SALTS, pa.int32())]
                 if keep_ids:
                     columns.append(pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(length)]), pa.int32()), pa.array(ids.astype(np.int32))))
                 yield pa.RecordBatch.from_arrays(columns, names)
 
     schema = PIECES + (", ids array<int>" if keep_ids else "")
     names = [x.split()[0] for x in schema.split(", ")]
-    salt = F.pmod(F.xxhash64(doc_id), F.lit(SALTS)).cast("int")
+    salt = F.pmod(F.xxhash64(F.col(doc_id).cast("long"), F.col(text).cast("string")), F.lit(SALTS)).cast("int")
     return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"), salt.alias("salt")).mapInArrow(encode, schema)
 
 

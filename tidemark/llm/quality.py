@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import mix, pieces, strings, word_hashes
+from .common import char_slices, code_points, mix, pieces, strings, word_hashes
 
 #: Dimensions of the scorer.
 WEIGHTS_LOG2 = 18
@@ -107,15 +107,17 @@ def features(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 def raw_shapes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Row and hash of each character class seen at word ends and starts: how a text is written."""
-    code = np.frombuffer("".join(f" {t} " for t in texts.to_pylist()).encode("utf-32-le", "surrogatepass"), np.uint32)
-    lengths = np.array([len(t) + 2 for t in texts.to_pylist()], np.int64)
-    row = np.repeat(np.arange(len(texts)), lengths)
-    small = np.minimum(code, 255)
-    space = small <= 32
-    ends = np.flatnonzero(space[1:] & ~space[:-1])
-    starts = np.flatnonzero(space[:-1] & ~space[1:]) + 1
-    classes = CLASSES[small]
-    return np.concatenate([row[ends], row[starts]]), np.concatenate([classes[ends] + np.uint64(1000), classes[starts] + np.uint64(2000)])
+    out_rows, out_classes = [np.empty(0, np.int64)], [np.empty(0, np.uint64)]
+    for rows, parts in char_slices([f" {t} " for t in texts.to_pylist()], 2):
+        small = np.minimum(code_points(parts), 255)
+        part = np.repeat(np.arange(len(parts)), list(map(len, parts)))
+        row, space, classes = np.array(rows)[part], small <= 32, CLASSES[small]
+        one = part[1:] == part[:-1]
+        ends = np.flatnonzero(space[1:] & ~space[:-1] & one)
+        starts = np.flatnonzero(space[:-1] & ~space[1:] & one) + 1
+        out_rows += [row[ends], row[starts]]
+        out_classes += [classes[ends] + np.uint64(1000), classes[starts] + np.uint64(2000)]
+    return np.concatenate(out_rows), np.concatenate(out_classes)
 
 
 def _classes() -> np.ndarray:

@@ -5,11 +5,13 @@ are replaced, again and again, by new symbols (nonterminals); the block stores t
 expansion lengths and the rest sequence, so any slice of any document can be decoded by itself.
 
 A round replaces many pairs at once: every occurrence of a frequent pair that is more frequent than the
-pairs overlapping it. Rounds end when no pair is frequent or a round shortens the block too little.
+pairs overlapping it. Only places whose pair may be frequent are looked at: a pair of old symbols only gets
+rarer, so places drop out as their pair is found to be rare, and come back where a neighbour is replaced.
+Rounds go on until no pair of a block occurs MIN_COUNT times.
 
 Null texts are empty documents (only the end id). Null doc_ids are kept and come first. Repeated doc_ids
-are separate documents in the order of their text. Only the two named columns are read. An empty table
-gives no blocks. A document longer than a block is a block by itself.
+are separate documents in the order of a hash of their text. Only the two named columns are read. An empty
+table gives no blocks. A document longer than a block is a block by itself.
 """
 
 from __future__ import annotations
@@ -31,55 +33,70 @@ MAGIC = b"RPR1"
 BLOCK_IDS = 1_000_000
 #: A pair is frequent from so many occurrences in its block.
 MIN_COUNT = 16
-#: Bits of the table that counts pairs; of two pairs on one place, one waits for a later round.
+#: Bits of the table that counts pairs; of two pairs on one slot, one waits for a later round.
 TABLE_BITS = 18
-ROUNDS = 16
-#: Rounds go on while one shortens the block by this share.
-LEAST_GAIN = 0.01
 
 BLOCKS = "shard int, block int, n_docs long, n_tokens long, n_symbols long, data binary"
 
 
 def compress(ids: np.ndarray, lengths: np.ndarray, first_symbol: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Rest sequence, each document's symbols, rules (left, right) and the rules of each round."""
+    n, size = len(ids), 1 << TABLE_BITS
     seq = ids.astype(np.uint32)
-    last = np.zeros(len(seq), bool)
+    last = np.zeros(n, bool)
     last[np.cumsum(lengths) - 1] = True  # every document has its end id, so none is empty
+    following, preceding = np.arange(1, n + 1), np.arange(-1, n - 1)
+    alive = np.ones(n, bool)
+    active = np.flatnonzero(~last)  # places whose pair with the next symbol may be frequent
     rules, rounds, symbol = [], [], first_symbol
-    for k in range(ROUNDS):
-        if len(seq) < 2:
-            break
-        key = (seq[:-1].astype(np.uint64) << np.uint64(32)) | seq[1:]
-        slot = ((key ^ np.uint64(k)) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - TABLE_BITS)).astype(np.int32)
-        owner = np.zeros(1 << TABLE_BITS, np.uint64)
+    while len(active):
+        key = (seq[active].astype(np.uint64) << np.uint64(32)) | seq[following[active]]
+        slot = _slots(key, 2 * len(rounds))
+        busy = np.bincount(slot, minlength=size)[slot] >= MIN_COUNT
+        active, key = active[busy], key[busy]
+        slot = _slots(key, 2 * len(rounds) + 1)
+        owner = np.zeros(size, np.uint64)
         owner[slot] = key
-        counted = (owner[slot] == key) & ~last[:-1]
-        counts = np.bincount(slot[counted], minlength=1 << TABLE_BITS)
-        rank = np.where(counts >= MIN_COUNT, counts * (1 << TABLE_BITS) + np.arange(1 << TABLE_BITS), 0)
-        if not rank.any():
-            break
+        counted = owner[slot] == key
+        counts = np.bincount(slot[counted], minlength=size)
+        rank = np.where(counts >= MIN_COUNT, counts * size + np.arange(size), 0)
         here = np.where(counted, rank[slot], 0)
-        before, after = np.concatenate([[0], here[:-1]]), np.concatenate([here[1:], [0]])
+        linked = np.zeros(len(active) + 1, bool)  # whether a place's pair overlaps that of the place before it in the list
+        linked[1:-1] = following[active[:-1]] == active[1:]
+        before, after = np.where(linked[:-1], np.roll(here, 1), 0), np.where(linked[1:], np.roll(here, -1), 0)
         first = here != before
         place = np.arange(len(here))
         run = place - np.maximum.accumulate(np.where(first, place, 0))  # a run: one pair again and again, as in aaaa
         taken = np.flatnonzero((here > 0) & (run % 2 == 0) & (~first | (here > before)) & (here >= after))
-        used = np.flatnonzero(np.bincount(slot[taken], minlength=1 << TABLE_BITS))
-        number = np.zeros(1 << TABLE_BITS, np.uint32)
+        # a pair that others take most places of waits until they are done; half of the most frequent one's are always left
+        used = np.bincount(slot[taken], minlength=size) >= MIN_COUNT // 2
+        taken = taken[used[slot[taken]]]
+        used = np.flatnonzero(used)
+        number = np.zeros(size, np.uint32)
         number[used] = symbol + np.arange(len(used))
         pairs = owner[used]
         rules.append(np.stack([pairs >> np.uint64(32), pairs & np.uint64(0xFFFFFFFF)]).astype(np.uint32))
         rounds.append(len(used))
         symbol += len(used)
-        seq[taken] = number[slot[taken]]
-        last[taken] = last[taken + 1]
-        keep = np.ones(len(seq), bool)
-        keep[taken + 1] = False
-        seq, last = seq[keep], last[keep]
-        if len(taken) < LEAST_GAIN * len(keep):
-            break
-    ends = np.flatnonzero(last) + 1
-    return seq, np.diff(ends, prepend=0), np.concatenate(rules, axis=1) if rules else np.zeros((2, 0), np.uint32), np.array(rounds, np.uint32)
+        left = active[taken]
+        right = following[left]
+        beyond = following[right]
+        seq[left], last[left] = number[slot[taken]], last[right]
+        alive[right] = False
+        following[left] = beyond
+        preceding[beyond[beyond < n]] = left[beyond < n]
+        look = np.zeros(n, bool)
+        look[active[(here > 0) | ~counted]] = True
+        look[left] = True
+        back = preceding[left]
+        look[back[back >= 0]] = True
+        active = np.flatnonzero(look & alive & ~last)
+    ends = np.cumsum(alive)[np.flatnonzero(last & alive)]
+    return seq[alive], np.diff(ends, prepend=0), np.concatenate(rules, axis=1) if rules else np.zeros((2, 0), np.uint32), np.array(rounds, np.uint32)
+
+
+def _slots(key: np.ndarray, seed: int) -> np.ndarray:
+    return (((key ^ np.uint64(seed)) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - TABLE_BITS)).astype(np.int64)
 
 
 def expansion_lengths(rules: np.ndarray, rounds: np.ndarray, first_symbol: int) -> np.ndarray:
@@ -200,7 +217,11 @@ def write_blocks(docs: DataFrame, vocabulary: str, *, doc_id: str = "doc_id", te
                 a = 0
                 while a < hi - lo:
                     before = bounds[a - 1] if a else 0
-                    b = max(a + 1, int(np.searchsorted(bounds, before + BLOCK_IDS - held, "right")))
+                    b = int(np.searchsorted(bounds, before + BLOCK_IDS - held, "right"))
+                    if b == a and held:  # the next document does not fit beside what is held
+                        yield flush()
+                        continue
+                    b = max(a + 1, b)
                     held_ids.append(ids[before : bounds[b - 1]])
                     held_lengths.append(lengths[a:b])
                     held_docs.append(doc_ids[lo + a : lo + b])
@@ -211,7 +232,9 @@ def write_blocks(docs: DataFrame, vocabulary: str, *, doc_id: str = "doc_id", te
         if held:
             yield flush()
 
-    ordered = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
+    base = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"), F.xxhash64(F.col(text).cast("string")).alias("hash"))
+    # the hash spreads texts of one id, or of none, over tasks
+    ordered = base.repartitionByRange("doc_id", "hash").sortWithinPartitions("doc_id", "hash").drop("hash")
     return materialize(ordered.mapInArrow(write, BLOCKS), "repair", compression="zstd")
 
 

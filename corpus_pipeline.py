@@ -1,5 +1,8 @@
 """A training corpus from documents: each stage takes what its predecessor kept and gives documents back,
-the last one packed sequences. Rows with a null doc_id pass all stages but can't be matched to others."""
+the last one packed sequences. Only doc_id and text are required columns; n_chars is kept up to date where it exists.
+
+Rows with a null doc_id are judged like all others, under a key made from their text that follows all ids: equal ones are
+copies of each other, and of a group of near duplicates they stay only if no row with an id does."""
 
 from __future__ import annotations
 
@@ -7,13 +10,22 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm import decontamination, jaccard_join, language_id, packing, substring_dedup
-from tidemark.llm.common import free_name, materialize, read_table
+from tidemark.llm.common import discard, free_name, read_table, scratch
 from tidemark.llm.queries import vocabulary
 
 
+def keyed(docs: DataFrame) -> tuple[DataFrame, str]:
+    """docs with a key that is never null, and its name."""
+    key = free_name(docs, "row_key")
+    made = F.lit(1 << 62) + F.pmod(F.xxhash64(F.col("text").cast("string")), F.lit(1 << 61))
+    return docs.withColumn(key, F.coalesce(F.col("doc_id").cast("long"), made)), key
+
+
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with a language: those without a letter or without any known n-gram go."""
+    """Documents with a language: those without a letter go, and those with n-grams of which none is known."""
     model = language_id.learn(language_id.training_rows(docs))
+    if not model.languages:  # nothing is labelled, so nothing is known to be foreign
+        return docs.filter(F.col("text").rlike(r"\p{L}"))
     lang, score = free_name(docs, "lang_pred"), free_name(docs, "score")
     predicted = language_id.predict(docs, model, keep=tuple(docs.columns), names=(lang, score))
     return predicted.filter((F.col(lang) != language_id.NONE) & (F.col(score) > 0)).select(docs.columns)
@@ -21,22 +33,27 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each class of near duplicates: the one with the smallest doc_id, once."""
-    first = jaccard_join.near_duplicates(docs).filter("doc_id = class_id").select("doc_id")
-    text = free_name(docs, "text_hash")
-    kept = docs.join(first.distinct(), "doc_id", "left_semi").withColumn(text, F.xxhash64("text")).dropDuplicates(["doc_id", text]).drop(text)
-    return kept.unionByName(docs.filter("doc_id is null")).select(docs.columns)
+    rows, key = keyed(docs)
+    first = jaccard_join.near_duplicates(rows, doc_id=key).filter("doc_id = class_id").select(F.col("doc_id").alias(key)).distinct()
+    text = free_name(rows, "text_hash")
+    kept = rows.join(first, key, "left_semi").withColumn(text, F.xxhash64("text")).dropDuplicates([key, text])
+    return kept.select(docs.columns)
 
 
 def substrings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the passages of 50 words and more that an earlier document has."""
-    left = substring_dedup.cut(docs, substring_dedup.repeated_passages(docs))
-    return left.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+    rows, key = keyed(docs)
+    left = substring_dedup.cut(rows, substring_dedup.repeated_passages(rows, doc_id=key), doc_id=key).select(docs.columns)
+    if "n_chars" in docs.columns:
+        left = left.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+    return left
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no passage of the benchmark."""
-    found = decontamination.find(docs, read_table(spark, sf_dir, "benchmark")).select("doc_id").distinct()
-    return docs.join(found, "doc_id", "left_anti").select(docs.columns)
+    rows, key = keyed(docs)
+    found = decontamination.find(rows, read_table(spark, sf_dir, "benchmark"), doc_id=key).select(F.col("doc_id").alias(key)).distinct()
+    return rows.join(found, key, "left_anti").select(docs.columns)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -51,7 +68,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = read_table(spark, sf_dir, "documents")
-    for name, stage in STAGES[:-1]:
-        docs = materialize(stage(spark, docs, sf_dir), name)
-    return STAGES[-1][1](spark, docs, sf_dir)
+    docs, stored = read_table(spark, sf_dir, "documents"), None
+    for name, stage in STAGES:
+        with scratch(spark) as keep:  # a stage's own tables go with it, and its input once its result is stored
+            docs = keep(stage(spark, docs, sf_dir), name)
+        if stored is not None:
+            discard(stored)
+        stored = docs
+    return docs

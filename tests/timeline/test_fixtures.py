@@ -263,8 +263,8 @@ def test_sinks(spark, tmp_path):
     first = readers.write_chunks(c, str(tmp_path / "chunks"))
     again = readers.write_chunks(readers.read_chunks(spark, first), str(tmp_path / "chunks"))
     assert again != first and sorted(readers.read_chunks(spark, again).select(c.columns).collect()) == sorted(c.collect())
-    readers.write_daily_notes(days.note_text(days.daily_note(c, sleep="Sleep")), str(tmp_path / "notes"))
-    assert spark.read.text(str(tmp_path / "notes"), wholetext=True).count() == 2
+    stored = readers.write_daily_notes(days.note_text(days.daily_note(c, sleep="Sleep")), str(tmp_path / "notes"))
+    assert spark.read.parquet(stored).count() == 2 and stored != readers.write_daily_notes(spark.read.parquet(stored), str(tmp_path / "notes"))
 
 
 def test_timeline_is_immutable_and_pushes_filters_down(spark, tmp_path):

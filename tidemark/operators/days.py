@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import colour_index, human_duration, iso_week, percent_change, seconds_into_day, text_duration
 from .intervals import intersect_over_time, split
-from .stats import activity_day_comparison, screen_seconds
+from .stats import activity_day_comparison
 
 _DAY = ["tenant_id", "day"]
 _D = "duration_seconds"
@@ -25,22 +25,39 @@ def day_parts(chunks: DataFrame) -> DataFrame:
     return split(chunks, "day").withColumn("day", F.to_date("period")).drop("period")
 
 
-def day_totals(chunks: DataFrame, sleep: str) -> DataFrame:
+def day_cells(chunks: DataFrame) -> DataFrame:
+    """Sessions and seconds of each day, source and activity: what the other products of a day are made of."""
+    return day_parts(chunks).groupBy(*_DAY, "source", "category", "name").agg(F.count("*").alias("sessions"), F.sum(_D).alias(_D))
+
+
+def _totals(sleep: str) -> list[Column]:
     """Tracked seconds of the embed source, screen seconds of the phone and seconds of the sleep activity."""
     embed = F.col("source") == "embed"
     asleep = embed & (F.lower("name") == sleep.lower())
     add = lambda c: F.sum(F.when(F.coalesce(c, F.lit(False)), F.col(_D)).otherwise(0))
-    return day_parts(chunks).groupBy(*_DAY).agg(add(embed).alias("tracked_seconds"), screen_seconds(chunks).alias("screen_seconds"), add(asleep).alias("sleep_seconds"))
+    return [add(embed).alias("tracked_seconds"), add(_is_screen()).alias("screen_seconds"), add(asleep).alias("sleep_seconds")]
+
+
+def day_totals(chunks: DataFrame, sleep: str) -> DataFrame:
+    return day_cells(chunks).groupBy(*_DAY).agg(*_totals(sleep))
+
+
+def _activities(cells: DataFrame) -> DataFrame:
+    return cells.filter("source = 'embed' and name is not null").select(*_DAY, "category", "name", "sessions", F.col(_D).alias("total_seconds"))
 
 
 def day_activities(chunks: DataFrame) -> DataFrame:
-    return day_parts(chunks).filter("source = 'embed' and name is not null").groupBy(*_DAY, "category", "name").agg(F.count("*").alias("sessions"), F.sum(_D).alias("total_seconds"))
+    return _activities(day_cells(chunks))
+
+
+def _top(cells: DataFrame, sleep: str) -> DataFrame:
+    """The activity with the most seconds, the first by name of equal ones."""
+    names = _activities(cells).filter(F.lower("name") != sleep.lower()).groupBy(*_DAY, "name").agg(F.sum("total_seconds").alias("s"))
+    return names.groupBy(*_DAY).agg(F.min(F.struct((-F.col("s")).alias("s"), "name")).alias("t")).select(*_DAY, F.col("t.name").alias("top_activity"), (-F.col("t.s")).alias("top_seconds"))
 
 
 def top_of_day(chunks: DataFrame, sleep: str) -> DataFrame:
-    names = day_activities(chunks).filter(F.lower("name") != sleep.lower()).groupBy(*_DAY, "name").agg(F.sum("total_seconds").alias("s"))
-    w = Window.partitionBy(*_DAY).orderBy(F.desc("s"), "name")
-    return names.withColumn("r", F.row_number().over(w)).filter("r = 1").select(*_DAY, F.col("name").alias("top_activity"), F.col("s").alias("top_seconds"))
+    return _top(day_cells(chunks), sleep)
 
 
 def day_screen_overlap(chunks: DataFrame) -> DataFrame:
@@ -49,11 +66,17 @@ def day_screen_overlap(chunks: DataFrame) -> DataFrame:
     return out.withColumn("day", F.to_date("period")).drop("period")
 
 
-def day_picture(chunks: DataFrame, sleep: str = "A0") -> DataFrame:
-    """One row a tenant and day, with activities and overlaps nested as arrays of structs."""
-    activities = day_activities(chunks).groupBy(*_DAY).agg(F.sort_array(F.collect_list(F.struct("category", "name", "sessions", "total_seconds"))).alias("activities"))
+def day_picture(chunks: DataFrame, sleep: str = "A0", markers: DataFrame | None = None) -> DataFrame:
+    """One row a tenant and day, with activities and overlaps nested as arrays of structs, and the day's marker if typed
+    markers are given."""
+    cells = day_cells(chunks)
+    known = F.when((F.col("source") == "embed") & F.col("name").isNotNull(), F.struct("category", "name", "sessions", F.col(_D).alias("total_seconds")))
+    totals = cells.groupBy(*_DAY).agg(*_totals(sleep), F.sort_array(F.collect_list(known)).alias("activities"))
     overlaps = day_screen_overlap(chunks).groupBy(*_DAY).agg(F.sort_array(F.collect_list(F.struct("name", "category", "activity_seconds", "overlap_seconds", "overlap_percent"))).alias("overlaps"))
-    return day_totals(chunks, sleep).join(top_of_day(chunks, sleep), _DAY, "left").join(activities, _DAY, "left").join(overlaps, _DAY, "left")
+    out = totals.join(_top(cells, sleep), _DAY, "left").join(overlaps, _DAY, "left")
+    if markers is not None:
+        out = out.join(markers.select(*_DAY, F.struct("mood", "habits", "people", "quick_note_markdown").alias("marker")), _DAY, "left")
+    return out
 
 
 def typed_markers(markers: DataFrame) -> DataFrame:
@@ -62,16 +85,23 @@ def typed_markers(markers: DataFrame) -> DataFrame:
     return markers.select("tenant_id", "id", day.alias("day"), F.from_json("habits_json", "map<string,boolean>").alias("habits"), F.from_json("people_json", "array<string>").alias("people"), "quick_note_markdown", F.col("mood").try_cast("double").alias("mood"), "revision").filter("day is not null")
 
 
-def calendar_metrics(chunks: DataFrame, markers: DataFrame, progress: DataFrame | None = None, sleep: str = "A0") -> DataFrame:
-    """Day totals beside the day's marker and goals. progress: tenant_id, period, period_start, status_text."""
-    m = typed_markers(markers).select(*_DAY, "mood", (F.coalesce(F.trim("quick_note_markdown"), F.lit("")) != "").alias("has_note"), F.coalesce(F.size("people"), F.lit(0)).alias("people"), F.coalesce(F.size(F.map_filter("habits", lambda k, v: v)), F.lit(0)).alias("habits_done"), F.coalesce(F.size("habits"), F.lit(0)).alias("habits_total"))
-    out = day_totals(chunks, sleep).join(m, _DAY, "left")
-    if progress is None:
-        return out
-    met = F.sum(F.when(F.col("status_text") == "met", 1).otherwise(0))
-    still = F.sum(F.when(F.col("status_text").isin("scheduled", "in_progress", "on_track"), 1).otherwise(0))
-    g = progress.filter("period = 'day'").groupBy("tenant_id", F.col("period_start").alias("day")).agg(met.alias("goals_met"), F.count("*").alias("goals_total"), still.alias("goals_open"))
-    return out.join(g, _DAY, "left").withColumn("shade", shade(F.col("goals_met"), F.col("goals_total"), F.col("goals_open")))
+def calendar_metrics(chunks: DataFrame, markers: DataFrame, progress: DataFrame | None = None, sleep: str = "A0", spine: DataFrame | None = None) -> DataFrame:
+    """Totals, marker and goals of every day of the spine (tenant_id, day), or of every day that has a chunk, a marker or a
+    goal; what a day lacks counts 0. progress: tenant_id, period, period_start, status_text."""
+    m = typed_markers(markers).select(*_DAY, "mood", (F.coalesce(F.trim("quick_note_markdown"), F.lit("")) != "").alias("has_note"), F.size("people").alias("people"), F.size(F.map_filter("habits", lambda k, v: v)).alias("habits_done"), F.size("habits").alias("habits_total"))
+    parts = [day_totals(chunks, sleep), m]
+    if progress is not None:
+        met = F.sum(F.when(F.col("status_text") == "met", 1).otherwise(0))
+        still = F.sum(F.when(F.col("status_text").isin("scheduled", "in_progress", "on_track"), 1).otherwise(0))
+        parts.append(progress.filter("period = 'day'").groupBy("tenant_id", F.col("period_start").alias("day")).agg(met.alias("goals_met"), F.count("*").alias("goals_total"), still.alias("goals_open")))
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.join(part, _DAY, "full_outer")
+    if spine is not None:
+        out = spine.select(_DAY).distinct().join(out, _DAY, "left")
+    counts = [c for c in out.columns if c not in (*_DAY, "mood", "has_note")]
+    out = out.withColumns({c: F.greatest(F.coalesce(c, F.lit(0)), F.lit(0)) for c in counts} | {"has_note": F.coalesce("has_note", F.lit(False))})
+    return out if progress is None else out.withColumn("shade", shade(F.col("goals_met"), F.col("goals_total"), F.col("goals_open")))
 
 
 def shade(met: Column, total: Column, still_open: Column) -> Column:
@@ -119,7 +149,8 @@ def daily_note(chunks: DataFrame, issues: DataFrame | None = None, sleep: str =
     activities = lines.groupBy(*_DAY).agg(F.array_join(F.array_sort(F.collect_list(line)), "\n").alias("activity_lines"))
     over = day_screen_overlap(chunks).filter("overlap_seconds > 0")
     screen = over.groupBy(*_DAY).agg(F.array_join(F.array_sort(F.collect_list(F.format_string("%s: %.1f%%", "name", "overlap_percent"))), "\n").alias("screen_lines"))
-    base = day_totals(chunks, sleep).join(top_of_day(chunks, sleep), _DAY, "left").join(activities, _DAY, "left").join(screen, _DAY, "left")
+    cells = day_cells(chunks)
+    base = cells.groupBy(*_DAY).agg(*_totals(sleep)).join(_top(cells, sleep), _DAY, "left").join(activities, _DAY, "left").join(screen, _DAY, "left")
     out = base.select(*_DAY, iso_week(F.col("day")).alias("week"), human_duration(F.col("tracked_seconds")).alias("tracked"), text_duration(F.col("screen_seconds")).alias("screen"), human_duration(F.col("sleep_seconds")).alias("sleep"), F.coalesce("top_activity", F.lit("—")).alias("top"), F.coalesce("activity_lines", F.lit("")).alias("activity_lines"), F.coalesce("screen_lines", F.lit("")).alias("screen_lines"))
     if issues is not None:
         from .validate import report

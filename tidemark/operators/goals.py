@@ -93,8 +93,9 @@ def normalise(requests: DataFrame) -> tuple[DataFrame, DataFrame]:
     return rows.filter("reason is null").drop("reason", "start_day", "end_day"), rows.filter("reason is not null")
 
 
-def revise(series: DataFrame, versions: DataFrame, changes: DataFrame, today: Column) -> tuple[DataFrame, DataFrame]:
-    """(versions after the changes, rejected ones). changes: versions with expected_revision."""
+def revise(series: DataFrame, versions: DataFrame, changes: DataFrame, today: Column) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(series with the next revision where a change was taken, versions after the changes, rejected changes). changes:
+    versions with expected_revision."""
     c = changes.join(series.select(*_S, "schedule", "period", "start_period", "end_period_exclusive", "status", "revision"), _S, "left")
     current = period_of(today, F.col("period"))
     reason = (
@@ -109,7 +110,9 @@ def revise(series: DataFrame, versions: DataFrame, changes: DataFrame, today: Co
     judged = c.withColumn("reason", reason)
     good = judged.filter("reason is null").select(versions.columns)
     kept = versions.join(good.select(*_S, "effective_from"), [*_S, "effective_from"], "left_anti").select(versions.columns)
-    return kept.unionByName(good), judged.filter("reason is not null").select(*changes.columns, "reason")
+    hit = good.select(*_S).distinct().withColumn("_hit", F.lit(1))
+    revised = series.join(hit, _S, "left").withColumn("revision", F.col("revision") + F.coalesce("_hit", F.lit(0))).select(series.columns)
+    return revised, kept.unionByName(good), judged.filter("reason is not null").select(*changes.columns, "reason")
 
 
 def archive(series: DataFrame, chosen: DataFrame, today: Column) -> DataFrame:

@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .carry import numbered
+
 #: Equal rows that are written from one row at once.
 _REPEATS = 10_000
 #: Two events are the same observation whatever device reported them.
@@ -105,6 +107,14 @@ def append_new_rows(master: DataFrame, incoming: DataFrame) -> DataFrame:
     return blocks.select(*columns, F.explode(F.sequence(F.lit(1).cast("long"), each))).select(columns)
 
 
+def append_observations(stored: DataFrame, incoming: DataFrame, order: list[str]) -> DataFrame:
+    """stored points, annotations or context with the incoming rows, whose ids follow the tenant's largest in the given
+    order, which begins with the time."""
+    last = stored.groupBy("tenant_id").agg(F.max("id").alias("_last"))
+    new = numbered(incoming, ["tenant_id"], order, "_n").join(last, "tenant_id", "left").withColumn("id", F.coalesce("_last", F.lit(0)) + F.col("_n"))
+    return stored.unionByName(new.drop("_n", "_last"), allowMissingColumns=True).select(stored.columns)
+
+
 def union_frames(frames: list[DataFrame]) -> DataFrame:
     out = frames[0]
     for f in frames[1:]:

@@ -9,10 +9,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as X
-from ..operators import build, days, filters, goals, intervals, merge, phone, stats, validate
+from ..operators import build, days, filters, goals, imports, intervals, merge, phone, stats, validate
 from ..operators.filters import TimelineQuery
 from ..sources import adapter, readers
+from ..sources.shared import shared_dir
 from ..streaming import streams
+from .timeline import Timeline
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -67,6 +69,17 @@ o AS (SELECT a.tenant_id, a.id, {extra} sum(date_diff('second', greatest(a.start
     FROM a JOIN z ON a.tenant_id = z.tenant_id {on} AND a.start_timestamp < z.end_timestamp AND z.start_timestamp < a.end_timestamp
     WHERE a.start_timestamp < a.end_timestamp AND z.start_timestamp < z.end_timestamp GROUP BY ALL)"""
 
+def _human(e: str) -> str:
+    d = f"CAST(round_even(abs(CAST({e} AS DOUBLE)), 0) AS BIGINT)"
+    parts = [f"CASE WHEN {d} >= 86400 THEN ({d} // 86400) || 'd' END"] + [f"CASE WHEN {d} // {size} % {cycle} > 0 THEN ({d} // {size} % {cycle}) || '{unit}' END" for unit, size, cycle in (("h", 3600, 24), ("m", 60, 60), ("s", 1, 60))]
+    return f"CASE WHEN {e} IS NULL THEN '—' ELSE coalesce(nullif(concat_ws(' ', {', '.join(parts)}), ''), '0s') END"
+
+
+def _words(e: str) -> str:
+    h, m = f"({e} // 3600)", f"({e} // 60 % 60)"
+    return f"CASE WHEN {h} = 0 AND {m} = 0 THEN '0 minutes' ELSE concat_ws(' ', CASE WHEN {h} > 0 THEN {h} || CASE WHEN {h} = 1 THEN ' hour' ELSE ' hours' END END, CASE WHEN {m} > 0 THEN {m} || CASE WHEN {m} = 1 THEN ' minute' ELSE ' minutes' END END) END"
+
+
 W0, W1 = datetime(2024, 1, 5, 6), datetime(2024, 1, 20, 18)
 _W0, _W1 = "TIMESTAMP '2024-01-05 06:00:00'", "TIMESTAMP '2024-01-20 18:00:00'"
 _CLIP = f"""
@@ -135,9 +148,15 @@ def _(spark, d):
     return m.select("tenant_id", "day", "mood", F.array_join("people", ",").alias("people"))
 
 
-@query("s8_daily_notes")
+@query("s6_write_chunks", f"WITH {_CHUNKS} SELECT tenant_id, id, start_timestamp, end_timestamp, category, name, source FROM c")
+def _(spark, d):
+    stored = readers.write_chunks(_c(spark, d), f"{shared_dir(spark)}/chunks")
+    return readers.read_chunks(spark, stored).drop("duration_seconds")
+
+
+@query("s7_to_dataframe", f"WITH {_CHUNKS} SELECT tenant_id, id, start_timestamp, end_timestamp, d AS duration_seconds, category, name, source FROM c WHERE start_timestamp >= {_W0} AND start_timestamp < {_W1} AND source = 'pc'")
 def _(spark, d):
-    return days.note_text(days.daily_note(_c(spark, d)))
+    return Timeline(_c(spark, d)).between(W0, W1).source("pc").chunks().select("tenant_id", "id", "start_timestamp", "end_timestamp", "duration_seconds", "category", "name", "source")
 
 
 # filters
@@ -247,9 +266,9 @@ def _(spark, d):
     return build.chunks_of(build.build(adapter.events(spark, d)))
 
 
-@query("i2_build_warnings", f"{_FOLD} SELECT tenant_id, source, kind, coalesce(end_event_id, start_event_id) AS event_id FROM w WHERE kind <> 'chunk'")
+@query("i2_build_warnings", f"{_FOLD} SELECT tenant_id, source, kind, coalesce(end_event_id, start_event_id) AS event_id, CASE kind WHEN 'duplicate_start' THEN 'Duplicate start on ' WHEN 'orphan_end' THEN 'End without start on ' WHEN 'mismatch' THEN 'Mismatched end on ' ELSE 'Unclosed interval on ' END || source AS message FROM w WHERE kind <> 'chunk'")
 def _(spark, d):
-    return build.warnings_of(build.build(adapter.events(spark, d))).drop("message")
+    return build.warnings_of(build.build(adapter.events(spark, d)))
 
 
 @query("i3_phone_state", f"WITH {_PHONE} SELECT tenant_id, seq, screen, unlocked, down, active FROM s")
@@ -268,6 +287,11 @@ def _(spark, d):
     return phone.active_intervals(adapter.phone_log(spark, d))
 
 
+@query("i4_boundaries", f"WITH {_PHONE}, {_ACTIVE} SELECT tenant_id, seq, start_timestamp AS ts, 'interval_start' AS kind FROM i UNION ALL SELECT tenant_id, seq, end_timestamp, 'interval_end' FROM i")
+def _(spark, d):
+    return phone.boundaries(adapter.phone_log(spark, d))
+
+
 @query("i5_phone_anomalies", f"""WITH {_PHONE}, l AS (SELECT *, lag(screen) OVER w AS s1, lag(unlocked) OVER w AS u1, coalesce(lag(down) OVER w, false) AS d1 FROM s WINDOW w AS (PARTITION BY tenant_id ORDER BY ts, seq))
 SELECT tenant_id, seq, CASE WHEN event = 'DEVICE_STARTUP' THEN 'startup_without_shutdown' ELSE 'repeated_state' END AS anomaly FROM l
 WHERE (event = 'DEVICE_STARTUP' AND NOT d1) OR (event = 'DEVICE_SHUTDOWN' AND d1) OR (event LIKE 'SCREEN%' AND s1 = screen) OR (event LIKE 'KEYGUARD%' AND u1 = unlocked)""")
@@ -316,21 +340,50 @@ def _(spark, d):
     return phone.pairing_audit(adapter.phone_log(spark, d), "screen")
 
 
+_SUMMARY = f"""{_FOLD}, {_REPEATED.split("AS revision FROM events),", 1)[1]}, k AS (SELECT tenant_id, timestamp, event_kind, category, name, min(id) AS id FROM r GROUP BY ALL),
+ic AS (SELECT r.tenant_id, count(*) AS total, min(r.timestamp) AS first_timestamp, max(r.timestamp) AS last_timestamp, count(*) FILTER (r.id = k.id AND r.id % 2 = 1) AS new,
+    count(*) - count(*) FILTER (r.id = k.id AND r.id % 2 = 1) AS duplicates
+    FROM r JOIN k USING (tenant_id, timestamp, event_kind, category, name) WHERE r.id % 2 = 1 OR r.id >= 1000000 GROUP BY 1),
+wc AS (SELECT tenant_id, count(*) FILTER (kind = 'chunk') AS chunks, count(*) FILTER (kind <> 'chunk') AS warnings FROM w GROUP BY 1)
+SELECT ic.*, coalesce(chunks, 0) AS chunks, coalesce(warnings, 0) AS warnings FROM ic LEFT JOIN wc USING (tenant_id)"""
+
+
+def _import(spark, d) -> imports.Import:
+    """Events of odd ids, and repeats of even ones, come to those of even ids."""
+    r = adapter.repeated_events(spark, d)
+    odd = (F.col("id") % 2 == 1) | (F.col("id") >= 1_000_000)
+    return imports.import_events(r.filter(~odd), r.filter(odd))
+
+
 @query("i13_import_events", f"WITH {_REPEATED} SELECT tenant_id, min(id) AS id, timestamp, event_kind, name FROM r GROUP BY tenant_id, timestamp, event_kind, category, name")
 def _(spark, d):
-    stored, incoming = (adapter.repeated_events(spark, d).filter(c) for c in ("id < 1000000", "id >= 1000000"))
-    both = merge.deduplicate(stored).unionByName(merge.new_events(incoming, stored))
-    return both.select("tenant_id", "id", "timestamp", "event_kind", "name")
+    return _import(spark, d).events.select("tenant_id", "id", "timestamp", "event_kind", "name")
 
 
-@query("i14_import_preview", f"""WITH {_REPEATED}, k AS (SELECT tenant_id, timestamp, event_kind, category, name, min(id) AS id FROM r GROUP BY ALL)
-SELECT r.tenant_id, count(*) AS total, min(r.timestamp) AS first_timestamp, max(r.timestamp) AS last_timestamp, count(*) FILTER (r.id = k.id AND r.id % 2 = 1) AS new,
-    count(*) - count(*) FILTER (r.id = k.id AND r.id % 2 = 1) AS duplicates
-FROM r JOIN k USING (tenant_id, timestamp, event_kind, category, name) WHERE r.id % 2 = 1 OR r.id >= 1000000 GROUP BY 1""")
+@query("i13_import_chunks", f"{_FOLD} SELECT tenant_id, start_event_id, end_event_id FROM w WHERE kind = 'chunk'")
 def _(spark, d):
-    r = adapter.repeated_events(spark, d)
-    odd = (F.col("id") % 2 == 1) | (F.col("id") >= 1_000_000)
-    return merge.import_counts(r.filter(odd), r.filter(~odd))
+    return _import(spark, d).chunks().select("tenant_id", "start_event_id", "end_event_id")
+
+
+@query("i14_import_preview", _SUMMARY)
+def _(spark, d):
+    return _import(spark, d).summary
+
+
+@query("i14_phone_preview", f"""WITH {_PHONE}, {_ACTIVE},
+iv AS (SELECT tenant_id, count(*) FILTER (date_diff('second', start_timestamp, end_timestamp) >= 20) AS intervals, count(*) FILTER (date_diff('second', start_timestamp, end_timestamp) < 20) AS dropped_short FROM i GROUP BY 1),
+l AS (SELECT *, lag(screen) OVER w AS s1, lag(unlocked) OVER w AS u1, coalesce(lag(down) OVER w, false) AS d1, active IS NULL AS un, coalesce(lag(active IS NULL) OVER w, false) AS before FROM s WINDOW w AS (PARTITION BY tenant_id ORDER BY ts, seq)),
+an AS (SELECT tenant_id, count(*) AS anomalies FROM l WHERE (event = 'DEVICE_STARTUP' AND NOT d1) OR (event = 'DEVICE_SHUTDOWN' AND d1) OR (event LIKE 'SCREEN%' AND s1 = screen) OR (event LIKE 'KEYGUARD%' AND u1 = unlocked) GROUP BY 1),
+tu AS (SELECT *, lead(ts) OVER (PARTITION BY tenant_id ORDER BY ts, seq) AS ends FROM l WHERE un <> before),
+uk AS (SELECT tenant_id, CAST(sum(date_diff('second', ts, ends)) AS BIGINT) AS unknown_seconds FROM tu WHERE un AND ends IS NOT NULL GROUP BY 1),
+ig AS (SELECT tenant_id, count(*) AS ignored FROM log WHERE event = 'SCREEN_INTERACTIVE' GROUP BY 1)
+SELECT x.tenant_id, coalesce(intervals, 0) AS intervals, coalesce(dropped_short, 0) AS dropped_short, coalesce(anomalies, 0) AS anomalies, coalesce(unknown_seconds, 0) AS unknown_seconds, coalesce(ignored, 0) AS ignored, CAST(0 AS BIGINT) AS orphan_starts
+FROM (SELECT DISTINCT tenant_id FROM log) x LEFT JOIN iv USING (tenant_id) LEFT JOIN an USING (tenant_id) LEFT JOIN uk USING (tenant_id) LEFT JOIN ig USING (tenant_id)""")
+def _(spark, d):
+    log = adapter.phone_log(spark, d)
+    other = log.filter("event = 'SCREEN_INTERACTIVE'").withColumn("event", F.lit("OTHER"))
+    raw = log.unionByName(other).withColumn("timestamp", F.date_format("ts", "yyyy-MM-dd HH:mm:ss"))
+    return imports.phone_summary(*readers.phone_rows(raw, F.col("tenant_id")))
 
 
 @query("i15_rebuild_chunks", f"{_FOLD} SELECT w.tenant_id, w.start_event_id, w.end_event_id FROM w WHERE kind = 'chunk'")
@@ -402,7 +455,11 @@ def _(spark, d):
     return stats.scalar_stats(TimelineQuery().between(W0, W1).clipped(_c(spark, d)))
 
 
-@query("a2_summary")
+_A2 = [("Sessions", "CAST(n AS VARCHAR)"), ("Total", _human("total")), ("Hours", "((total * 100 + 1800) // 3600 // 100) || '.' || lpad(CAST((total * 100 + 1800) // 3600 % 100 AS VARCHAR), 2, '0')")]
+_A2 += [(name, _human(c)) for name, c in (("Mean", "mean"), ("Median", "med"), ("Shortest", "low"), ("Longest", "high"), ("Deviation", "sd"))]
+
+
+@query("a2_summary", f"WITH {_CHUNKS}, q AS (SELECT tenant_id, count(*) AS n, CAST(sum(d) AS BIGINT) AS total, avg(d) AS mean, median(d) AS med, min(d) AS low, max(d) AS high, stddev_samp(d) AS sd FROM c GROUP BY 1) " + " UNION ALL ".join(f"SELECT tenant_id, '{name}' AS metric, {sql} AS value FROM q" for name, sql in _A2))
 def _(spark, d):
     return stats.summary(_c(spark, d))
 
@@ -613,11 +670,21 @@ def _(spark, d):
     return stats.screen_vs_activity(_c(spark, d), "week", 4)
 
 
-@query("j7_marker_join", f"WITH {_CHUNKS}, {_split('day')}, {_TOTALS}, {_MARKERS} SELECT dt.*, mood, has_note, CAST(len(people) AS INTEGER) AS people, CAST(CASE WHEN sound THEN 1 + CAST(k % 2 = 0 AS INTEGER) WHEN m.id IS NOT NULL THEN 0 END AS INTEGER) AS habits_done, CAST(CASE WHEN sound THEN 2 WHEN k = 3 THEN 0 WHEN m.id IS NOT NULL THEN 0 END AS INTEGER) AS habits_total FROM dt LEFT JOIN m ON m.tenant_id = dt.tenant_id AND m.day = dt.day")
+_CALENDAR = """coalesce(tracked_seconds, 0) AS tracked_seconds, coalesce(screen_seconds, 0) AS screen_seconds, coalesce(sleep_seconds, 0) AS sleep_seconds, mood, coalesce(has_note, false) AS has_note, CAST(coalesce(len(people), 0) AS INTEGER) AS people,
+CAST(CASE WHEN sound THEN 1 + CAST(k % 2 = 0 AS INTEGER) ELSE 0 END AS INTEGER) AS habits_done, CAST(CASE WHEN sound THEN 2 ELSE 0 END AS INTEGER) AS habits_total"""
+
+
+@query("j7_marker_join", f"WITH {_CHUNKS}, {_split('day')}, {_TOTALS}, {_MARKERS}, sp AS (SELECT tenant_id, day FROM dt UNION SELECT tenant_id, day FROM m) SELECT sp.tenant_id, sp.day, {_CALENDAR} FROM sp LEFT JOIN dt USING (tenant_id, day) LEFT JOIN m USING (tenant_id, day)")
 def _(spark, d):
     return days.calendar_metrics(_c(spark, d), adapter.day_markers(spark, d))
 
 
+@query("j7_marker_only_days", f"WITH {_CHUNKS}, {_MARKERS}, f AS (SELECT * FROM c WHERE id % 10 = 0), {_split('day', 'f')}, {_TOTALS.replace('p_c', 'p_f')}, sp AS (SELECT tenant_id, day FROM dt UNION SELECT tenant_id, day FROM m) SELECT sp.tenant_id, sp.day, {_CALENDAR} FROM sp LEFT JOIN dt USING (tenant_id, day) LEFT JOIN m USING (tenant_id, day)")
+def _(spark, d):
+    """Few chunks, so that many days have a marker only."""
+    return days.calendar_metrics(_c(spark, d).filter("id % 10 = 0"), adapter.day_markers(spark, d))
+
+
 @query("j8_new_events", f"WITH {_REPEATED}, k AS (SELECT DISTINCT tenant_id, timestamp, event_kind, category, name FROM r WHERE id % 100 <> 0) SELECT r.tenant_id, min(r.id) AS id FROM r LEFT JOIN k USING (tenant_id, timestamp, event_kind, category, name) WHERE r.id % 100 = 0 AND NOT EXISTS (SELECT 1 FROM k k2 WHERE k2.tenant_id = r.tenant_id AND k2.timestamp = r.timestamp AND k2.event_kind = r.event_kind AND k2.category = r.category AND k2.name = r.name) GROUP BY r.tenant_id, r.timestamp, r.event_kind, r.category, r.name")
 def _(spark, d):
     r = adapter.repeated_events(spark, d)
@@ -695,6 +762,12 @@ def _(spark, d):
     return merge.union_frames([c.filter("duration_seconds > 100").select("tenant_id", "id", "name"), c.filter("duration_seconds <= 100").select("tenant_id", "id", "source")])
 
 
+@query("m9_append_points", f"WITH {_EVENTS}, st AS (SELECT tenant_id, id, timestamp, name FROM v WHERE event_kind = 'point' AND id % 2 = 0), nw AS (SELECT tenant_id, timestamp, name, row_number() OVER (PARTITION BY tenant_id ORDER BY timestamp, name) AS r FROM v WHERE event_kind = 'point' AND id % 2 = 1) SELECT * FROM st UNION ALL SELECT nw.tenant_id, coalesce(mx, 0) + r, timestamp, name FROM nw LEFT JOIN (SELECT tenant_id, max(id) AS mx FROM st GROUP BY 1) USING (tenant_id)")
+def _(spark, d):
+    p = adapter.events(spark, d).filter("event_kind = 'point'").select("tenant_id", "id", "timestamp", "name")
+    return merge.append_observations(p.filter("id % 2 = 0"), p.filter("id % 2 = 1").drop("id"), ["timestamp", "name"])
+
+
 @query("m9_delete_markers", "SELECT user_id AS tenant_id, CAST(ts AS DATE) AS day FROM events WHERE event_type = 'purchase' GROUP BY 1, 2 HAVING (user_id, CAST(ts AS DATE)) NOT IN (SELECT (user_id, CAST(ts AS DATE)) FROM events WHERE event_type = 'error')")
 def _(spark, d):
     e = spark.read.parquet(f"{d}/events.parquet")
@@ -728,11 +801,34 @@ def _(spark, d):
     return goals.normalise(r)[0].select("series_id", "start_period")
 
 
-@query("g4_apply_goal_revisions", "SELECT t.tenant_id, CAST(s AS BIGINT) AS series_id, CASE s WHEN 2 THEN 'completed' WHEN 3 THEN 'archived' END AS reason FROM (SELECT DISTINCT user_id AS tenant_id FROM events) t CROSS JOIN (VALUES (2), (3)) x(s)")
-def _(spark, d):
+def _revised(spark, d):
     s, v = goal_tables(spark, d)
     changes = v.filter("version_id % 2 = 1").withColumn("effective_from", F.lit("2024-01-29").cast("date")).withColumn("expected_revision", F.lit(1).cast("long"))
-    return goals.revise(s, v, changes, F.lit("2024-01-24").cast("date"))[1].select("tenant_id", "series_id", "reason")
+    return goals.revise(s, v, changes, F.lit("2024-01-24").cast("date"))
+
+
+_TENANTS = "(SELECT DISTINCT user_id AS tenant_id FROM events)"
+
+
+@query("g4_apply_goal_revisions", f"SELECT t.tenant_id, CAST(s AS BIGINT) AS series_id, CASE s WHEN 2 THEN 'completed' WHEN 3 THEN 'archived' END AS reason FROM {_TENANTS} t CROSS JOIN (VALUES (2), (3)) x(s)")
+def _(spark, d):
+    return _revised(spark, d)[2].select("tenant_id", "series_id", "reason")
+
+
+@query("g4_revised_series", f"SELECT tenant_id, CAST(s AS BIGINT) AS series_id, CAST(CASE WHEN s < 2 THEN 2 ELSE 1 END AS BIGINT) AS revision FROM {_TENANTS} CROSS JOIN range(4) r(s)")
+def _(spark, d):
+    return _revised(spark, d)[0].select("tenant_id", "series_id", "revision")
+
+
+@query("g4_revised_versions", f"SELECT tenant_id, CAST(s AS BIGINT) AS series_id, CAST(2 * s + n AS BIGINT) AS version_id, e AS effective_from FROM {_TENANTS} CROSS JOIN range(4) r(s) CROSS JOIN (VALUES (0, DATE '2024-01-01'), (1, DATE '2024-01-15')) x(n, e) UNION ALL SELECT tenant_id, s, 2 * s + 1, DATE '2024-01-29' FROM {_TENANTS} CROSS JOIN range(2) r(s)")
+def _(spark, d):
+    return _revised(spark, d)[1].select("tenant_id", "series_id", "version_id", "effective_from")
+
+
+@query("s5_scan_goals", f"SELECT tenant_id, CAST(s AS BIGINT) AS series_id, CASE s WHEN 3 THEN 'archived' ELSE 'active' END AS status, '2024-01-01:' || (2 * s) || ':600,2024-01-15:' || (2 * s + 1) || ':1200' AS versions FROM {_TENANTS} CROSS JOIN range(4) r(s)")
+def _(spark, d):
+    text = F.transform("versions", lambda v: F.concat_ws(":", v["effective_from"].cast("string"), v["version_id"].cast("string"), v["target_seconds"].cast("string")))
+    return readers.scan_goals(*goal_tables(spark, d)).select("tenant_id", "series_id", "status", F.array_join(text, ",").alias("versions"))
 
 
 @query("g5_archive_goals", "SELECT tenant_id, CAST(s AS BIGINT) AS series_id, CASE s WHEN 0 THEN DATE '2024-01-25' WHEN 1 THEN DATE '2024-01-29' WHEN 2 THEN DATE '2024-01-02' ELSE DATE '2024-01-22' END AS end_period_exclusive, CAST(CASE s WHEN 3 THEN 1 ELSE 2 END AS BIGINT) AS revision FROM (SELECT DISTINCT user_id AS tenant_id FROM events) CROSS JOIN range(4) r(s)")
@@ -750,12 +846,37 @@ def _(spark, d):
 
 
 
-@query("d1_day_picture", f"WITH {_CHUNKS}, {_split('day')}, {_TOTALS}, {_EMBED_DAY}, tp AS (SELECT * FROM y WHERE name <> 'A0' QUALIFY row_number() OVER (PARTITION BY tenant_id, day ORDER BY total_seconds DESC, name) = 1) SELECT dt.*, tp.name AS top_activity, tp.total_seconds AS top_seconds, (SELECT count(*) FROM (SELECT DISTINCT category, name FROM p_c WHERE p_c.tenant_id = dt.tenant_id AND CAST(p_c.period AS DATE) = dt.day AND source = 'embed')) AS activities FROM dt LEFT JOIN tp USING (tenant_id, day)")
+_TOP_OF_DAY = "tp AS (SELECT * FROM y WHERE name <> 'A0' QUALIFY row_number() OVER (PARTITION BY tenant_id, day ORDER BY total_seconds DESC, name) = 1)"
+
+
+def _day_overlap() -> str:
+    """t5's rows as the table ov."""
+    parts = _OVERLAP.format(left="p_c WHERE source = 'embed' ", right="p_c WHERE source = 'phone' AND category = 'Screen' ", extra="a.period,", on="AND a.period = z.period")
+    head, rows = _INTERSECT.format(by="a.period,", zby="period,", on="AND a.period = o.period", yon="AND t.period = y.period").replace("\ny AS (", "\nsy AS (").replace("LEFT JOIN y ON", "LEFT JOIN sy y ON").split("\nSELECT", 1)
+    return f"{parts}, {head}, ov AS (SELECT{rows})"
+
+
+@query("d1_day_picture", f"""WITH {_CHUNKS}, {_split('day')}, {_TOTALS}, {_EMBED_DAY}, {_TOP_OF_DAY}, {_day_overlap()},
+ac AS (SELECT tenant_id, day, string_agg(concat_ws('|', coalesce(category, '-'), name, n, q), ';' ORDER BY category NULLS FIRST, name) AS activities FROM (SELECT tenant_id, CAST(period AS DATE) AS day, category, name, count(*) AS n, sum(d) AS q FROM p_c WHERE source = 'embed' GROUP BY ALL) GROUP BY ALL),
+ol AS (SELECT tenant_id, CAST(period AS DATE) AS day, string_agg(concat_ws('|', name, coalesce(category, '-'), activity_seconds, overlap_seconds, CAST(round(overlap_percent * 1000) AS BIGINT)), ';' ORDER BY name, category NULLS FIRST) AS overlaps FROM ov GROUP BY ALL)
+SELECT dt.*, tp.name AS top_activity, tp.total_seconds AS top_seconds, coalesce(activities, '') AS activities, coalesce(overlaps, '') AS overlaps FROM dt LEFT JOIN tp USING (tenant_id, day) LEFT JOIN ac USING (tenant_id, day) LEFT JOIN ol USING (tenant_id, day)""")
 def _(spark, d):
-    return days.day_picture(_c(spark, d)).drop("overlaps").withColumn("activities", F.coalesce(F.size("activities"), F.lit(0)).cast("long"))
+    text = lambda column, *fields: F.coalesce(F.array_join(F.transform(column, lambda x: F.concat_ws("|", *[f(x) for f in fields])), ";"), F.lit(""))
+    field = lambda n: lambda x: F.coalesce(x[n].cast("string"), F.lit("-"))
+    p = days.day_picture(_c(spark, d))
+    activities = text("activities", *map(field, ("category", "name", "sessions", "total_seconds")))
+    overlaps = text("overlaps", *map(field, ("name", "category", "activity_seconds", "overlap_seconds")), lambda x: F.round(x["overlap_percent"] * 1000).cast("long").cast("string"))
+    return p.withColumns({"activities": activities, "overlaps": overlaps})
+
 
+_STATUS = "CASE WHEN TIMESTAMP '2024-01-24 12:00:00' < ps THEN 'scheduled' WHEN series_id % 2 = 0 THEN CASE WHEN actual_seconds >= target_seconds THEN 'met' WHEN TIMESTAMP '2024-01-24 12:00:00' < pe THEN 'in_progress' ELSE 'missed' END ELSE CASE WHEN actual_seconds > target_seconds THEN 'missed' WHEN TIMESTAMP '2024-01-24 12:00:00' < pe THEN 'on_track' ELSE 'met' END END"
 
-@query("d2_calendar_day_metrics")
+
+@query("d2_calendar_day_metrics", f"""WITH {_CHUNKS}, {_GOALS.replace('sp AS', 'spn AS').replace('JOIN sp ', 'JOIN spn ')}, {_PROGRESS}, {_TOTALS}, {_MARKERS},
+gg AS (SELECT tenant_id, period_start AS day, count(*) FILTER (st = 'met') AS goals_met, count(*) AS goals_total, count(*) FILTER (st IN ('scheduled', 'in_progress', 'on_track')) AS goals_open FROM (SELECT *, {_STATUS} AS st FROM pr WHERE period = 'day') GROUP BY ALL),
+sp AS (SELECT tenant_id, day FROM dt UNION SELECT tenant_id, day FROM m UNION SELECT tenant_id, day FROM gg),
+al AS (SELECT sp.tenant_id, sp.day, {_CALENDAR}, coalesce(goals_met, 0) AS goals_met, coalesce(goals_total, 0) AS goals_total, coalesce(goals_open, 0) AS goals_open FROM sp LEFT JOIN dt USING (tenant_id, day) LEFT JOIN m USING (tenant_id, day) LEFT JOIN gg USING (tenant_id, day))
+SELECT *, CASE WHEN goals_total = 0 THEN 'none' WHEN goals_met = goals_total THEN 'all_met' WHEN goals_open > 0 THEN 'open' WHEN goals_met = 0 THEN 'none_met' ELSE 'some_met' END AS shade FROM al""")
 def _(spark, d):
     c = _c(spark, d)
     s, v = goal_tables(spark, d)
@@ -778,17 +899,44 @@ def _(spark, d):
     return days.point_markers(adapter.events(spark, d).filter("event_kind = 'point'"))
 
 
-@query("d5_month_habits")
+@query("d5_month_habits", f"WITH {_CHUNKS}, {_MARKERS}, mm AS (SELECT *, date_trunc('month', day) AS mo FROM m), nm AS (SELECT DISTINCT tenant_id, mo FROM mm WHERE sound) SELECT tenant_id, day, CASE WHEN sound AND k % 2 = 0 THEN '{{\"read\":true,\"walk\":true}}' WHEN sound THEN '{{\"read\":true,\"walk\":false}}' ELSE '{{\"read\":false,\"walk\":false}}' END AS habits FROM mm JOIN nm USING (tenant_id, mo)")
 def _(spark, d):
     return days.month_habits(adapter.day_markers(spark, d)).select("tenant_id", "day", F.to_json("habits").alias("habits"))
 
 
-@query("d6_daily_note")
+_CHANGE = "printf('%+.1f%%', round(CASE WHEN p = 0 THEN CASE WHEN total_seconds = 0 THEN 0 ELSE 100 END ELSE (total_seconds - p) * 100.0 / p END, 1))"
+_NOTE = f"""{_CHUNKS.lstrip()}, {_split('day')}, {_TOTALS}, {_EMBED_DAY}, {_TOP_OF_DAY}, {_day_overlap()},
+pm AS (SELECT a.tenant_id, a.day, a.name, a.total_seconds, coalesce((SELECT avg(b.total_seconds) FROM y b WHERE b.tenant_id = a.tenant_id AND b.name = a.name AND b.day BETWEEN a.day - 7 AND a.day - 1), 0) AS p FROM y a),
+la AS (SELECT tenant_id, day, name || ' - ' || {_human('total_seconds')} || ' | ' || {_CHANGE} AS line FROM pm),
+ls AS (SELECT tenant_id, CAST(period AS DATE) AS day, name || ': ' || printf('%.1f%%', round(overlap_percent, 1)) AS line FROM ov WHERE overlap_seconds > 0),
+al AS (SELECT tenant_id, day, string_agg(line, chr(10) ORDER BY line) AS lines FROM la GROUP BY ALL), sl AS (SELECT tenant_id, day, string_agg(line, chr(10) ORDER BY line) AS lines FROM ls GROUP BY ALL),
+dn AS (SELECT dt.tenant_id, dt.day, strftime(dt.day, '%G-W%V') AS week, {_human('tracked_seconds')} AS tracked, {_words('screen_seconds')} AS screen, {_human('sleep_seconds')} AS sleep, coalesce(tp.name, '—') AS top, coalesce(al.lines, '') AS activity_lines, coalesce(sl.lines, '') AS screen_lines
+    FROM dt LEFT JOIN tp USING (tenant_id, day) LEFT JOIN al USING (tenant_id, day) LEFT JOIN sl USING (tenant_id, day))"""
+
+
+def _note_sql(top: str) -> str:
+    return f"WITH {_NOTE} SELECT tenant_id, day, concat_ws(chr(10), '# ' || day || ' (' || week || ')', '- Tracked: ' || tracked, '- Screen: ' || screen, '- Sleep: ' || sleep, '- Top: ' || {top}, '## Activities', activity_lines, '## Screen', screen_lines) AS value FROM dn"
+
+
+@query("d6_daily_note", f"""{_FOLD}, {_NOTE}, er AS (SELECT tenant_id, count(*) FILTER (kind NOT IN ('unclosed', 'chunk')) AS e, count(*) FILTER (kind = 'unclosed') AS u FROM w WHERE kind <> 'chunk' GROUP BY 1)
+SELECT dn.*, CASE WHEN e > 0 THEN e || ' errors, ' || u || ' warnings' WHEN u > 0 THEN 'valid, ' || u || ' warnings' ELSE 'valid' END AS status FROM dn LEFT JOIN er USING (tenant_id)""")
 def _(spark, d):
     e = adapter.events(spark, d)
     return days.daily_note(_c(spark, d), validate.event_fields(e).unionByName(build.state_issues(build.build(e))))
 
 
+@query("s8_daily_notes", _note_sql("top"))
+def _(spark, d):
+    """Written by the sink and read back."""
+    stored = readers.write_daily_notes(days.note_text(days.daily_note(_c(spark, d))), f"{shared_dir(spark)}/notes")
+    return spark.read.parquet(stored).select("tenant_id", "day", "value")
+
+
+@query("u3_note_formatters", _note_sql("upper(top)"))
+def _(spark, d):
+    return days.note_text(days.daily_note(_c(spark, d)), {"top": F.upper})
+
+
 _KPI = "CAST(coalesce(sum({0}) FILTER (source = 'embed'), 0) AS BIGINT) AS {1}tracked_seconds, count(*) FILTER (source = 'embed') AS {1}sessions, round(coalesce(avg({0}) FILTER (source = 'embed'), 0), 6) AS {1}average_seconds, CAST(coalesce(sum({0}) FILTER (" + _IS_SCREEN + "), 0) AS BIGINT) AS {1}screen_seconds"
 _WINDOW = "SELECT tenant_id, {2} FROM (SELECT *, date_diff('second', greatest(start_timestamp, TIMESTAMP '{0}'), least(end_timestamp, TIMESTAMP '{1}')) AS cut FROM c WHERE end_timestamp > TIMESTAMP '{0}' AND start_timestamp < TIMESTAMP '{1}') GROUP BY 1"
 
@@ -833,9 +981,9 @@ def _(spark, d):
     return validate.marker_checks(adapter.day_markers(spark, d))
 
 
-@query("v6_report", f"{_FOLD} SELECT tenant_id, count(*) FILTER (kind <> 'unclosed') AS errors, count(*) FILTER (kind = 'unclosed') AS warnings, count(*) FILTER (kind <> 'unclosed') = 0 AS valid FROM w WHERE kind <> 'chunk' GROUP BY 1")
+@query("v6_report", f"{_FOLD} SELECT tenant_id, count(*) FILTER (kind <> 'unclosed') AS errors, count(*) FILTER (kind = 'unclosed') AS warnings, count(*) FILTER (kind <> 'unclosed') = 0 AS valid, CASE WHEN count(*) FILTER (kind <> 'unclosed') > 0 THEN count(*) FILTER (kind <> 'unclosed') || ' errors, ' || count(*) FILTER (kind = 'unclosed') || ' warnings' ELSE 'valid, ' || count(*) FILTER (kind = 'unclosed') || ' warnings' END AS status FROM w WHERE kind <> 'chunk' GROUP BY 1")
 def _(spark, d):
-    return validate.report([build.state_issues(build.build(adapter.events(spark, d)))]).drop("status")
+    return validate.report([build.state_issues(build.build(adapter.events(spark, d)))])
 
 
 # scalar functions
@@ -862,6 +1010,17 @@ def _(spark, d):
     return _c(spark, d).select("tenant_id", "id", *[X.period_label(F.col("start_timestamp"), p).alias(p) for p in ("week", "month", "year", "day")])
 
 
+@query("x5_iso_week", f"WITH {_CHUNKS} SELECT tenant_id, id, strftime(start_timestamp + to_days(CAST(id % 2000 AS INTEGER)), '%G-W%V') AS week FROM c")
+def _(spark, d):
+    return _c(spark, d).select("tenant_id", "id", X.iso_week(F.date_add(F.to_date("start_timestamp"), (F.col("id") % 2000).cast("int"))).alias("week"))
+
+
+@query("x12_clamps", f"WITH {_CHUNKS} SELECT tenant_id, id, CAST(least(greatest(date_diff('second', date_trunc('day', start_timestamp) + to_days(CAST(id % 3 AS INTEGER) - 1), start_timestamp), 0), 86400) AS BIGINT) AS seconds FROM c")
+def _(spark, d):
+    day = F.date_add(F.to_date("start_timestamp"), (F.col("id") % 3 - 1).cast("int"))
+    return _c(spark, d).select("tenant_id", "id", X.seconds_into_day(F.col("start_timestamp"), day).alias("seconds"))
+
+
 @query("x6_percent_change", f"WITH {_CHUNKS}, q AS (SELECT tenant_id, id, d, lag(d) OVER (PARTITION BY tenant_id ORDER BY start_timestamp, id) AS p FROM c) SELECT tenant_id, id, printf('%+.1f%%', round(CASE WHEN p = 0 THEN CASE WHEN d = 0 THEN 0 ELSE 100 END ELSE (d - p) * 100.0 / p END, 1)) AS change FROM q WHERE p IS NOT NULL")
 def _(spark, d):
     c = stats.sequenced(_c(spark, d), ["name"])
@@ -886,29 +1045,32 @@ def _(spark, d):
     return e.select(F.col("event_id").alias("id"), X.parse_mood(F.when(F.col("event_type") == "view", " ").when(F.col("event_type") == "error", "good").otherwise(F.col("value").cast("string"))).alias("mood"))
 
 
-@query("x11_json_columns")
+@query("x11_json_columns", f"WITH {_CHUNKS}, {_MARKERS} SELECT tenant_id, day, CASE WHEN sound AND k % 2 = 0 THEN '{{\"walk\":true,\"read\":true}}' WHEN sound THEN '{{\"walk\":false,\"read\":true}}' END AS habits, CASE WHEN k = 5 THEN '[\"Ann\",\"1\"]' WHEN k % 3 = 0 THEN '[]' ELSE '[\"Ann\",\"B' || k || '\"]' END AS people FROM m")
 def _(spark, d):
     m = days.typed_markers(adapter.day_markers(spark, d))
     return m.select("tenant_id", "day", F.to_json("habits").alias("habits"), F.to_json("people").alias("people"))
 
 
-# streams: the batch forms stay the authority, so there is no SQL
+# streams over whole tables give what their batch forms give
 
 
-@query("r1_stream_import")
+@query("r1_stream_import", f"WITH {_REPEATED} SELECT DISTINCT tenant_id, timestamp, event_kind, category, name FROM r")
 def _(spark, d):
-    e = streams.table_stream(spark, f"{d}/events.parquet")
-    return streams.run_available(streams.stream_import(adapter.events_of(e).withColumn("timestamp", F.col("timestamp").cast("timestamp"))), "import")
+    e = adapter.repeated_of(adapter.events_of(streams.table_stream(spark, f"{d}/events.parquet")))
+    found = streams.run_available(streams.stream_import(e.withColumn("timestamp", F.col("timestamp").cast("timestamp"))), "import")
+    # which of the equal events stays depends on their order of arrival
+    return found.select("tenant_id", F.col("timestamp").cast("timestamp_ntz").alias("timestamp"), "event_kind", "category", "name")
 
 
-@query("r2_stream_build_chunks")
+@query("r2_stream_build_chunks", f"{_FOLD} SELECT w.tenant_id, w.source, w.start_event_id, w.end_event_id, a.timestamp AS start_timestamp, z.timestamp AS end_timestamp, a.category, a.name FROM w JOIN v a ON a.id = w.start_event_id JOIN v z ON z.id = w.end_event_id WHERE w.kind = 'chunk'")
 def _(spark, d):
     e = adapter.events_of(streams.table_stream(spark, f"{d}/events.parquet")).withColumn("timestamp", F.col("timestamp").cast("timestamp"))
-    return streams.with_tail(streams.run_available(streams.stream_build_chunks(e), "chunks"), adapter.events(spark, d))
+    chunks = streams.with_tail(streams.run_available(streams.stream_build_chunks(e), "chunks"), adapter.events(spark, d))
+    return chunks.withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("start_timestamp", "end_timestamp")})
 
 
-@query("r3_stream_period_totals")
+@query("r3_stream_period_totals", "WITH e AS (SELECT ts AS s, ts + to_minutes(CAST(floor(value) AS BIGINT)) AS z, event_type AS name FROM events), p AS (SELECT *, unnest(generate_series(date_trunc('day', s), date_trunc('day', z - INTERVAL 1 MICROSECOND), INTERVAL 1 DAY)) AS start FROM e WHERE s < z) SELECT CAST(start AS TIMESTAMP) AS start, name, CAST(sum((epoch_us(least(z, start + INTERVAL 1 DAY)) - epoch_us(greatest(s, start))) // 1000000) AS BIGINT) AS total_seconds, count(*) AS parts FROM p GROUP BY ALL")
 def _(spark, d):
     e = streams.table_stream(spark, f"{d}/events.parquet")
     spans = e.select(F.col("ts").alias("start_timestamp"), F.timestamp_add("MINUTE", F.floor("value").cast("int"), F.col("ts")).alias("end_timestamp"), F.col("event_type").alias("name"))
-    return streams.run_complete(streams.stream_period_totals(spans), "totals").select("window.start", "name", "total_seconds", "parts")
+    return streams.run_complete(streams.stream_period_totals(spans), "totals").select(F.col("window.start").cast("timestamp_ntz").alias("start"), "name", "total_seconds", "parts")

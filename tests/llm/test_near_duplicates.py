@@ -73,6 +73,27 @@ def test_op5_large_groups_and_edges(spark, monkeypatch):
     assert jaccard_join.near_duplicates(df.limit(0)).count() == 0
 
 
+def test_op5_chain_of_near_copies(spark, monkeypatch):
+    """Each document is near to its neighbours only: one class, few links, and only surviving pairs are verified."""
+    rng = random.Random(2)
+    words = rng.choices([f"w{i}" for i in range(500)], k=100)
+    docs = []
+    for n in range(150):
+        words[rng.randrange(100)] = f"x{n}"
+        docs.append((n, " ".join(words)))
+    want = brute(docs)
+    assert {c for _, c, _ in want} == {0} and max(n for *_, n in want) < 20
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    whole = rows_of(jaccard_join.near_duplicates(df))
+    monkeypatch.setattr(jaccard_join, "BLOCK", 8)  # the chain is larger than a block: by buckets
+    assert whole == want and rows_of(jaccard_join.near_duplicates(df)) == want
+    with jaccard_join.scratch(spark):
+        sets = jaccard_join.sketch(df, 5).select("set_id", "sig")
+        survivors = jaccard_join.surviving_members(sets, 0.8).groupBy("home", "x", "y").count().collect()
+    pairs = sum(n for *_, n in want) // 2
+    assert sum(r["count"] for r in survivors) <= 12 * pairs  # not a copy of each set for each block of the chain
+
+
 def test_pruning_keeps_the_threshold():
     least = jaccard_join.least_matches(0.8)
     assert list(least) == [20, 40, 60, 80, 100, 120] and all(m < 0.8 * t for t, m in least.items()) and least[120] > 60

@@ -170,8 +170,11 @@ def _word_table(rows: list[str]) -> tuple[WordTable, int]:
     turns = np.flatnonzero(inside[1:] != inside[:-1]) + 1 if len(codes) else np.empty(0, np.int64)
     turns = np.concatenate([[0], turns]) if len(codes) and inside[0] else turns
     starts, ends = turns[::2], turns[1::2]  # of runs; the last character is white space
-    letters = np.flatnonzero(kind == _Characters.LETTER)
-    first, last = np.searchsorted(letters, starts), np.searchsorted(letters, ends)
+    is_letter = kind == _Characters.LETTER
+    letters = np.flatnonzero(is_letter)
+    before = np.zeros(len(codes) + 1, np.int64)
+    np.cumsum(is_letter, out=before[1:])
+    first, last = before[starts], before[ends]
     power = powers_to(len(letters) + 1)
     sums = np.zeros(len(letters) + 1, np.uint64)
     np.cumsum(_characters.value[codes[letters]] * power[0, : len(letters)], dtype=np.uint64, out=sums[1:])

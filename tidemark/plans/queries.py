@@ -858,8 +858,8 @@ def _day_overlap() -> str:
 
 @query("d1_day_picture", f"""WITH {_CHUNKS}, {_split('day')}, {_TOTALS}, {_EMBED_DAY}, {_TOP_OF_DAY}, {_day_overlap()},
 ac AS (SELECT tenant_id, day, string_agg(concat_ws('|', coalesce(category, '-'), name, n, q), ';' ORDER BY category NULLS FIRST, name) AS activities FROM (SELECT tenant_id, CAST(period AS DATE) AS day, category, name, count(*) AS n, sum(d) AS q FROM p_c WHERE source = 'embed' GROUP BY ALL) GROUP BY ALL),
-ol AS (SELECT tenant_id, CAST(period AS DATE) AS day, string_agg(concat_ws('|', name, coalesce(category, '-'), activity_seconds, overlap_seconds, CAST(round(overlap_percent * 1000) AS BIGINT)), ';' ORDER BY name, category NULLS FIRST) AS overlaps FROM ov GROUP BY ALL)
-SELECT dt.*, tp.name AS top_activity, tp.total_seconds AS top_seconds, coalesce(activities, '') AS activities, coalesce(overlaps, '') AS overlaps FROM dt LEFT JOIN tp USING (tenant_id, day) LEFT JOIN ac USING (tenant_id, day) LEFT JOIN ol USING (tenant_id, day)""")
+ol AS (SELECT tenant_id, CAST(period AS DATE) AS day, string_agg(concat_ws('|', name, coalesce(category, '-'), activity_seconds, overlap_seconds, CAST(round(overlap_percent * 1000) AS BIGINT)), ';' ORDER BY name, category NULLS FIRST) AS "overlaps" FROM ov GROUP BY ALL)
+SELECT dt.*, tp.name AS top_activity, tp.total_seconds AS top_seconds, coalesce(activities, '') AS activities, coalesce(ol."overlaps", '') AS "overlaps" FROM dt LEFT JOIN tp USING (tenant_id, day) LEFT JOIN ac USING (tenant_id, day) LEFT JOIN ol USING (tenant_id, day)""")
 def _(spark, d):
     text = lambda column, *fields: F.coalesce(F.array_join(F.transform(column, lambda x: F.concat_ws("|", *[f(x) for f in fields])), ";"), F.lit(""))
     field = lambda n: lambda x: F.coalesce(x[n].cast("string"), F.lit("-"))

@@ -97,12 +97,12 @@ def cut(docs: DataFrame, vocabulary: str, capacity: int, *, doc_id: str = "doc_i
     """Pieces of all documents, with the ids themselves if keep_ids."""
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from .tokens import encoder
+        from .tokens import PIECE_CHARS, encoder
 
         for batch in batches:
             texts, doc_ids = strings(batch.column(1)), batch.column(0)
             salts = batch.column(2)
-            for lo, hi in pieces(texts):
+            for lo, hi in pieces(texts, PIECE_CHARS):
                 ids, offsets = encoder(vocabulary).encode(texts[lo:hi])
                 ids = np.insert(ids, offsets[1:], end_id).astype("<u4")
                 n = np.diff(offsets) + 1

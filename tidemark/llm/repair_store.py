@@ -191,7 +191,7 @@ def write_blocks(docs: DataFrame, vocabulary: str, *, doc_id: str = "doc_id", te
     """Encode, compress and store all documents in ascending doc_id order; the stored blocks, read back."""
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from .tokens import encoder
+        from .tokens import PIECE_CHARS, encoder
 
         shard, number = TaskContext.get().partitionId(), 0
         held_ids, held_lengths, held_docs, held = [], [], [], 0
@@ -209,7 +209,7 @@ def write_blocks(docs: DataFrame, vocabulary: str, *, doc_id: str = "doc_id", te
         names = [x.split()[0] for x in BLOCKS.split(", ")]
         for batch in batches:
             texts, doc_ids = strings(batch.column(1)), batch.column(0)
-            for lo, hi in pieces(texts):
+            for lo, hi in pieces(texts, PIECE_CHARS):
                 ids, offsets = encoder(vocabulary).encode(texts[lo:hi])
                 ids = np.insert(ids, offsets[1:], end_id)
                 lengths = np.diff(offsets) + 1

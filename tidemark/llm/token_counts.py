@@ -24,11 +24,11 @@ def length_histogram(docs: DataFrame, vocabulary: str, *, text: str = "text", ex
     """n_tokens, n_docs: how many documents have each encoded length. Counted per batch before the shuffle."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from .tokens import encoder
+        from .tokens import PIECE_CHARS, encoder
 
         for batch in batches:
             texts = strings(batch.column(0))
-            for lo, hi in pieces(texts):
+            for lo, hi in pieces(texts, PIECE_CHARS):
                 _, offsets = encoder(vocabulary).encode(texts[lo:hi])
                 n, docs_with = np.unique(np.diff(offsets) + extra, return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(n, pa.int64()), pa.array(docs_with, pa.int64())], ["n_tokens", "n_docs"])

@@ -18,6 +18,8 @@ import pyarrow.compute as pc
 
 from .common import spread, strings
 
+#: Code points encoded at once: each call looks its chunks up among all remembered ones, which costs by the call.
+PIECE_CHARS = 6_000_000
 #: Chunks whose ids a Python worker remembers between batches.
 REMEMBERED = 1_000_000
 _IRREGULAR = r"[\s\x0b\x1c-\x1f\x85\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]{2}|\x00|<\|"

@@ -59,6 +59,7 @@ def test_op5_whole_table(spark):
 
 def test_op5_large_groups_and_edges(spark, monkeypatch):
     monkeypatch.setattr(jaccard_join, "BLOCK", 16)
+    monkeypatch.setattr(jaccard_join, "GROUP", 16)
     rng = random.Random(1)
     base = [rng.choices([f"w{i}" for i in range(300)], k=80) for _ in range(6)]
     docs = []
@@ -85,7 +86,8 @@ def test_op5_chain_of_near_copies(spark, monkeypatch):
     assert {c for _, c, _ in want} == {0} and max(n for *_, n in want) < 20
     df = spark.createDataFrame(docs, "doc_id long, text string")
     whole = rows_of(jaccard_join.near_duplicates(df))
-    monkeypatch.setattr(jaccard_join, "BLOCK", 8)  # the chain is larger than a block: by buckets
+    monkeypatch.setattr(jaccard_join, "BLOCK", 8)
+    monkeypatch.setattr(jaccard_join, "GROUP", 8)  # the chain is larger: by buckets
     assert whole == want and rows_of(jaccard_join.near_duplicates(df)) == want
     with jaccard_join.scratch(spark):
         sets = jaccard_join.sketch(df, 5).select("set_id", "sig")

@@ -21,7 +21,14 @@ PIECE_CHARS = 500_000
 _NOT_WORD, _SPACE = re.compile(r"[\W_]+"), re.compile(r"\s")
 
 
+#: Rows of texts that a Python worker gets at once; Spark's own default makes batches of tens of megabytes.
+BATCH_ROWS = 2048
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A given table; Arrow batches of the session get fewer rows, unless it has a number of its own."""
+    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

@@ -9,7 +9,7 @@ is at least the threshold.
 2. Pruning: candidates' min-hashes are compared STAGE at a time. With m of t values equal and a uniform prior, the
    chance that the similarity reaches the threshold is P(Binomial(t + 1, threshold) <= m); below TOLERANCE the pair
    is dropped. Survivors only say which sets belong together; a task gives one edge a set, not its pairs.
-3. Verification: up to BLOCK sets that survivors connect meet in one place and are compared there by min-hash as before,
+3. Verification: up to GROUP sets that survivors connect meet in one place and are compared there by min-hash as before,
    and what is left exactly by their whole sets. Of larger groups the surviving pairs themselves are verified: their sets
    meet again in the blocks of the buckets in which they survived. Tasks give numbers of links and one edge a set.
 
@@ -36,7 +36,8 @@ from .common import components, group_stream, local_components, materialize, mix
 WIDTH, THRESHOLD = 5, 0.8
 VALUES, ROWS = 120, 5
 STAGE, TOLERANCE = 20, 1e-8
-BLOCK = 256
+#: Sets of one block of a bucket, and sets of a group that is compared in one place.
+BLOCK, GROUP = 256, 2048
 _SEEDS = mix(np.arange(1, 2 * VALUES + 1, dtype=np.uint64), 77).reshape(2, VALUES, 1)
 
 
@@ -268,10 +269,10 @@ def near_duplicates(docs: DataFrame, *, threshold: float = THRESHOLD, width: int
         light = members.select("set_id", "copies", "sig")
         columns = ("home", "x", "y", "own", "band", "set_id", "sig", "copies", "shingles")
         none = F.lit(0).alias
-        small = members.filter(F.col("n") <= BLOCK).select("home", none("x"), none("y"), none("own"), F.lit(-1).alias("band"), "set_id", "sig", "copies")
+        small = members.filter(F.col("n") <= GROUP).select("home", none("x"), none("y"), none("own"), F.lit(-1).alias("band"), "set_id", "sig", "copies")
         checked = materialize(verified(small.join(shingles, "set_id").select(*columns), threshold), "verified")
         links = checked.groupBy("set_id").agg(F.sum("links").alias("links"), F.min("label").alias("home"))
-        large = members.filter(F.col("n") > BLOCK)
+        large = members.filter(F.col("n") > GROUP)
         if not large.isEmpty():
             survivors = surviving_members(large.select("set_id", "sig"), threshold)
             wide = materialize(verified(survivors.join(light, "set_id").join(shingles, "set_id").select(*columns), threshold), "verified")

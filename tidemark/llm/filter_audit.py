@@ -1,8 +1,8 @@
 """Filter interaction audit: what five filters remove in each order, and which of them the others make redundant.
 
 Words decide A and B, over a sparse document-term matrix: tasks encode the words of some documents by a dictionary of their own
-and write them as a shard in compressed sparse rows; the shards' dictionaries are merged into one over the whole table, and each
-shard's columns are renumbered by it. Row sums are numbers of words, nonzero counts numbers of distinct words.
+and write them as a shard in compressed sparse rows; the words of all shards' dictionaries meet by word and get their numbers in one
+dictionary over the whole table, and each shard's columns are renumbered by it. Row sums are numbers of words, nonzero counts numbers of distinct words.
 
 A document's failed filters are a mask of five bits. Documents are counted by part, mask and label before anything else, so all
 120 orders are worked out over 32 counts a part.
@@ -23,7 +23,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import materialize, pieces, scratch, strings
@@ -32,9 +32,11 @@ FILTERS = "ABCDE"
 #: Words a document must have (A), percent of them that must be distinct (B), percent of capitals that it may have (C).
 MIN_WORDS, MIN_DISTINCT, MAX_CAPITALS = 200, 50, 2
 MARKS = "[#$%&*|]"
-#: Code points in one shard of the matrix; a longer text is one by itself.
-SHARD_CHARS = 2_000_000
+#: Code points in one shard of the matrix, and in one piece of its texts; a longer text is one by itself.
+SHARD_CHARS, PIECE_CHARS = 32_000_000, 2_000_000
 _SHARD_BITS = 24
+#: Terms of one partition of the dictionary.
+_TERM_BITS = 40
 
 
 def words_of(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
@@ -53,7 +55,22 @@ def compressed_rows(row: np.ndarray, column: np.ndarray, rows: int) -> tuple[np.
     return np.searchsorted(cells, np.arange(rows + 1) * width), cells % width, counts
 
 
-_SHARD = "shard long, attributes array<{row}>, bounds array<int>, columns array<int>, counts array<int>, words array<string>"
+def _numbers(values: pa.Array) -> np.ndarray:
+    """Whole numbers stored as bytes in a column of one row."""
+    return np.frombuffer(values[0].as_buffer(), np.int32)
+
+
+def _shard(number: int, parts: list[tuple[pa.Array, np.ndarray, pa.Array, np.ndarray]]) -> pa.RecordBatch:
+    """One shard from pieces (attributes, cells a row, columns by their own dictionary, counts): one dictionary for all."""
+    columns = pa.chunked_array([p[2] for p in parts]).unify_dictionaries().combine_chunks()
+    words = columns.dictionary.cast(pa.large_binary())
+    bounds = np.cumsum(np.concatenate([[0], *(p[1] for p in parts)]))
+    arrays = [bounds, columns.indices.to_numpy(), np.concatenate([p[3] for p in parts]), pc.binary_length(words).to_numpy()]
+    attributes = pa.concat_arrays([p[0] for p in parts])
+    values = [pa.array([number], pa.int64()), pa.ListArray.from_arrays(pa.array([0, len(attributes)], pa.int32()), attributes)]
+    values += [pa.array([x.astype(np.int32).tobytes()], pa.binary()) for x in arrays]
+    letters = pa.py_buffer(b"") if not len(words) else words.buffers()[2]
+    return pa.RecordBatch.from_arrays([*values, pa.array([letters.to_pybytes()], pa.binary())], ["shard", "attributes", "bounds", "columns", "counts", "lengths", "letters"])
 
 
 def _local_shards(docs: DataFrame, text: str) -> DataFrame:
@@ -63,49 +80,91 @@ def _local_shards(docs: DataFrame, text: str) -> DataFrame:
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number = itertools.count(TaskContext.get().partitionId() << _SHARD_BITS)
+        parts, chars = [], 0
         for batch in batches:
             texts, attributes = strings(batch.column(1)), batch.column(0)
-            for lo, hi in pieces(texts, SHARD_CHARS):
+            for lo, hi in pieces(texts, PIECE_CHARS):
                 words, row = words_of(texts[lo:hi])
                 coded = words.dictionary_encode()
                 bounds, columns, counts = compressed_rows(row, coded.indices.to_numpy().astype(np.int64), hi - lo)
-                lists = [pa.ListArray.from_arrays(pa.array([0, hi - lo], pa.int32()), attributes[lo:hi])]
-                lists += [pa.array([x.astype(np.int32)], pa.list_(pa.int32())) for x in (bounds, columns, counts)]
-                lists += [pa.ListArray.from_arrays(pa.array([0, len(coded.dictionary)], pa.int32()), coded.dictionary.cast(pa.string()))]
-                yield pa.RecordBatch.from_arrays([pa.array([next(number)], pa.int64()), *lists], ["shard", "attributes", "bounds", "columns", "counts", "words"])
+                parts.append((attributes[lo:hi], np.diff(bounds), pa.DictionaryArray.from_arrays(pa.array(columns, pa.int32()), coded.dictionary), counts))
+                chars += int(pc.sum(pc.utf8_length(texts[lo:hi])).as_py() or 0)
+                if chars >= SHARD_CHARS:
+                    yield _shard(next(number), parts)
+                    parts, chars = [], 0
+        if parts:
+            yield _shard(next(number), parts)
 
-    return rows.mapInArrow(build, _SHARD.format(row=rows.schema["attributes"].dataType.simpleString()))
+    kind = rows.schema["attributes"].dataType.simpleString()
+    return rows.mapInArrow(build, f"shard long, attributes array<{kind}>, bounds binary, columns binary, counts binary, lengths binary, letters binary")
 
 
-def global_dictionary(shards: DataFrame) -> DataFrame:
-    """word, term: all distinct words in order, numbered from 0 without a gap."""
-    words = shards.select(F.explode("words").alias("word")).distinct()
-    ordered = materialize(words.repartitionByRange("word").sortWithinPartitions("word").withColumn("place", F.monotonically_increasing_id()), "words")
-    numbered = ordered.select("word", F.shiftright("place", 33).alias("part"), F.col("place").bitwiseAND((1 << 33) - 1).alias("inside"))
-    before = F.sum("count").over(Window.orderBy("part")) - F.col("count")
-    starts = numbered.groupBy("part").count().select("part", before.alias("start"))  # a row for each partition
-    return numbered.join(F.broadcast(starts), "part").select("word", (F.col("start") + F.col("inside")).alias("term"))
+def _numbered_words(shards: DataFrame) -> DataFrame:
+    """shard, local, term, word: each shard's words with their numbers in the dictionary over all shards; `word` is set in one
+    row of each term. A word meets itself from all shards in one place, once from each."""
+
+    def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(batch.num_rows):
+                one = batch.slice(k, 1)
+                ends = np.cumsum(_numbers(one.column(1)), dtype=np.int32)
+                word = pa.StringArray.from_buffers(len(ends), pa.py_buffer(np.concatenate([np.zeros(1, np.int32), ends])), one.column(2)[0].as_buffer())
+                for at in range(0, len(ends), 1 << 16):
+                    some = word[at : at + (1 << 16)]
+                    yield pa.RecordBatch.from_arrays([some, pa.array(np.full(len(some), one.column(0)[0].as_py())), pa.array(np.arange(at, at + len(some), dtype=np.int32))], ["word", "shard", "local"])
+
+    def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        term, last = (TaskContext.get().partitionId() << _TERM_BITS) - 1, None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            word = batch.column(0)
+            new = np.ones(len(word), bool)
+            new[1:] = pc.not_equal(word[1:], word[:-1]).to_numpy(zero_copy_only=False)
+            new[0] = word[0].as_py() != last
+            terms = term + np.cumsum(new)
+            term, last = int(terms[-1]), word[-1].as_py()
+            yield pa.RecordBatch.from_arrays([batch.column(1), batch.column(2), pa.array(terms), pc.if_else(pa.array(new), word, None)], ["shard", "local", "term", "word"])
+
+    rows = shards.select("shard", "lengths", "letters").mapInArrow(words, "word string, shard long, local int")
+    return rows.repartition("word").sortWithinPartitions("word").mapInArrow(number, "shard long, local int, term long, word string")
+
+
+def _listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The terms of each shard, in the order of its own dictionary, as bytes."""
+    shard, held = None, []
+    row = lambda: pa.RecordBatch.from_arrays([pa.array([shard], pa.int64()), pa.array([b"".join(held)], pa.binary())], ["shard", "numbers"])
+    for batch in batches:
+        of, terms = batch.column(0).to_numpy(), batch.column(2).to_numpy()
+        starts = [0, *(np.flatnonzero(of[1:] != of[:-1]) + 1).tolist(), len(of)]
+        for a, b in zip(starts[:-1], starts[1:], strict=True):
+            if b > a and shard != of[a]:
+                if shard is not None:
+                    yield row()
+                shard, held = int(of[a]), []
+            held.append(terms[a:b].tobytes())
+    if shard is not None:
+        yield row()
 
 
 def document_term_matrix(docs: DataFrame, text: str = "text") -> tuple[DataFrame, DataFrame]:
-    """Shards (shard, attributes, bounds, terms, counts) of the matrix, and its dictionary (word, term)."""
-    shards = materialize(_local_shards(docs, text), "shards")
-    dictionary = materialize(global_dictionary(shards), "dictionary")
-    local = shards.select("shard", F.posexplode("words").alias("local", "word")).join(dictionary, "word").select("shard", F.struct("local", "term").alias("entry"))
-    numbers = local.groupBy("shard").agg(F.transform(F.array_sort(F.collect_list("entry")), lambda e: e["term"]).alias("numbers"))  # a shard's own words
-    joined = shards.select("shard", "attributes", "bounds", "columns", "counts").join(numbers, "shard", "left")
+    """Shards (shard, attributes, and as bytes of numbers: bounds, terms, counts) of the matrix, and its dictionary (word, term)."""
+    shards = materialize(_local_shards(docs, text), "shards", compression="zstd")
+    numbered = materialize(_numbered_words(shards), "words", compression="zstd")
+    of_shard = numbered.select("shard", "local", "term").repartition("shard").sortWithinPartitions("shard", "local").mapInArrow(_listed, "shard long, numbers binary")
+    joined = shards.select("shard", "attributes", "bounds", "columns", "counts").join(of_shard, "shard", "left")
 
     def renumber(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k in range(batch.num_rows):
                 one = batch.slice(k, 1)
-                numbers = one.column(5).flatten().to_numpy()
-                terms = numbers[one.column(3).flatten().to_numpy()] if len(numbers) else np.empty(0, np.int64)
-                terms = pa.ListArray.from_arrays(pa.array([0, len(terms)], pa.int32()), pa.array(terms, pa.int64()))
-                yield pa.RecordBatch.from_arrays([one.column(0), one.column(1), one.column(2), terms, one.column(4)], ["shard", "attributes", "bounds", "terms", "counts"])
+                terms = np.frombuffer(one.column(5)[0].as_py() or b"", np.int64)  # null where no row has a word
+                cells = pa.array([terms[_numbers(one.column(3))].tobytes()], pa.binary())
+                yield pa.RecordBatch.from_arrays([one.column(0), one.column(1), one.column(2), cells, one.column(4)], ["shard", "attributes", "bounds", "terms", "counts"])
 
     kind = shards.schema["attributes"].dataType.simpleString()
-    return joined.mapInArrow(renumber, f"shard long, attributes {kind}, bounds array<int>, terms array<long>, counts array<int>"), dictionary
+    matrix = joined.mapInArrow(renumber, f"shard long, attributes {kind}, bounds binary, terms binary, counts binary")
+    return matrix, numbered.filter("word IS NOT NULL").select("word", "term")
 
 
 def row_counts(matrix: DataFrame) -> DataFrame:
@@ -116,10 +175,10 @@ def row_counts(matrix: DataFrame) -> DataFrame:
         for batch in batches:
             for k in range(batch.num_rows):
                 one = batch.slice(k, 1)
-                bounds = one.column(1).flatten().to_numpy()
-                sums = np.concatenate([[0], np.cumsum(one.column(3).flatten().to_numpy(), dtype=np.int64)])[bounds]
-                distinct = np.diff(bounds).astype(np.int64)
-                assert len(one.column(2).flatten()) == bounds[-1]
+                bounds = _numbers(one.column(1))
+                sums = np.concatenate([[0], np.cumsum(_numbers(one.column(3)), dtype=np.int64)])[bounds]
+                terms = np.frombuffer(one.column(2)[0].as_buffer(), np.int64)
+                distinct = np.add.reduceat(np.append(terms >= 0, False), bounds[:-1], dtype=np.int64) * (np.diff(bounds) > 0)
                 yield pa.RecordBatch.from_arrays([one.column(0).flatten(), pa.array(np.diff(sums)), pa.array(distinct)], ["attributes", "n_words", "n_distinct"])
 
     counted = matrix.select("attributes", "bounds", "terms", "counts").mapInArrow(count, f"attributes {row.simpleString()}, n_words long, n_distinct long")
@@ -129,7 +188,7 @@ def row_counts(matrix: DataFrame) -> DataFrame:
 def failed_filters(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", part: str = "source") -> DataFrame:
     """doc_id, part, mask (a bit for each failed filter, A the lowest), n (documents that are equal in all of this and in text)."""
     whole = F.coalesce(F.col(text).cast("string"), F.lit(""))
-    capitals = F.length(whole) - F.length(F.regexp_replace(whole, "[A-Z]", ""))
+    capitals = F.regexp_count(whole, F.lit("[A-Z]"))
     rows = docs.select(
         F.col(doc_id).alias("doc_id"),
         F.coalesce(F.col(part).cast("string"), F.lit("")).alias("part"),

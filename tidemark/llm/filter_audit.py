@@ -33,7 +33,7 @@ FILTERS = "ABCDE"
 MIN_WORDS, MIN_DISTINCT, MAX_CAPITALS = 200, 50, 2
 MARKS = "[#$%&*|]"
 #: Code points in one shard of the matrix, and in one piece of its texts; a longer text is one by itself.
-SHARD_CHARS, PIECE_CHARS = 32_000_000, 2_000_000
+SHARD_CHARS, PIECE_CHARS = 16_000_000, 1_000_000
 _SHARD_BITS = 24
 #: Terms of one partition of the dictionary.
 _TERM_BITS = 40
@@ -87,7 +87,8 @@ def _local_shards(docs: DataFrame, text: str) -> DataFrame:
                 words, row = words_of(texts[lo:hi])
                 coded = words.dictionary_encode()
                 bounds, columns, counts = compressed_rows(row, coded.indices.to_numpy().astype(np.int64), hi - lo)
-                parts.append((attributes[lo:hi], np.diff(bounds), pa.DictionaryArray.from_arrays(pa.array(columns, pa.int32()), coded.dictionary), counts))
+                own = attributes.take(pa.array(np.arange(lo, hi)))  # a copy: a slice would hold the texts, too
+                parts.append((own, np.diff(bounds), pa.DictionaryArray.from_arrays(pa.array(columns, pa.int32()), coded.dictionary), counts))
                 chars += int(pc.sum(pc.utf8_length(texts[lo:hi])).as_py() or 0)
                 if chars >= SHARD_CHARS:
                     yield _shard(next(number), parts)

@@ -42,7 +42,7 @@ def test_matrix_has_global_columns(spark):
             part = slice(bounds[k], bounds[k + 1])
             seen[row.doc_id] = dict(zip(columns[part], counts[part], strict=True))
     assert seen == {k: dict(Counter(terms[w] for w in WORD.findall(t))) for k, t in enumerate(texts)}
-    counts = {r.doc_id: (r.n_words, r.n_distinct) for r in filter_audit.row_counts(matrix).collect()}
+    counts = {r.doc_id: (r.n_words, r.n_distinct) for r in filter_audit.row_counts(rows).collect()}
     assert counts == {k: (len(WORD.findall(t)), len(set(WORD.findall(t)))) for k, t in enumerate(texts)}
 
 

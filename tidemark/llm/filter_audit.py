@@ -93,6 +93,7 @@ def _local_shards(docs: DataFrame, text: str) -> DataFrame:
                 if chars >= SHARD_CHARS:
                     yield _shard(next(number), parts)
                     parts, chars = [], 0
+                    pa.default_memory_pool().release_unused()
         if parts:
             yield _shard(next(number), parts)
 
@@ -150,40 +151,47 @@ def _listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def document_term_matrix(docs: DataFrame, text: str = "text") -> tuple[DataFrame, DataFrame]:
     """Shards (shard, attributes, and as bytes of numbers: bounds, terms, counts) of the matrix, and its dictionary (word, term)."""
+    joined, dictionary = _encoded(docs, text)
+
+    def renumber(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for one, terms in _renumbered(batches):
+            yield pa.RecordBatch.from_arrays([one.column(0), one.column(1), one.column(2), pa.array([terms.tobytes()], pa.binary()), one.column(4)], ["shard", "attributes", "bounds", "terms", "counts"])
+
+    kind = joined.schema["attributes"].dataType.simpleString()
+    return joined.mapInArrow(renumber, f"shard long, attributes {kind}, bounds binary, terms binary, counts binary"), dictionary
+
+
+def _encoded(docs: DataFrame, text: str) -> tuple[DataFrame, DataFrame]:
+    """Shards with the terms of their own words, and the dictionary."""
     shards = materialize(_local_shards(docs, text), "shards", compression="zstd")
     numbered = materialize(_numbered_words(shards), "words", compression="zstd")
     of_shard = numbered.select("shard", "local", "term").repartition("shard").sortWithinPartitions("shard", "local").mapInArrow(_listed, "shard long, numbers binary")
     joined = shards.select("shard", "attributes", "bounds", "columns", "counts").join(of_shard, "shard", "left")
+    return joined, numbered.filter("word IS NOT NULL").select("word", "term")
 
-    def renumber(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for k in range(batch.num_rows):
-                one = batch.slice(k, 1)
-                terms = np.frombuffer(one.column(5)[0].as_py() or b"", np.int64)  # null where no row has a word
-                cells = pa.array([terms[_numbers(one.column(3))].tobytes()], pa.binary())
-                yield pa.RecordBatch.from_arrays([one.column(0), one.column(1), one.column(2), cells, one.column(4)], ["shard", "attributes", "bounds", "terms", "counts"])
 
-    kind = shards.schema["attributes"].dataType.simpleString()
-    matrix = joined.mapInArrow(renumber, f"shard long, attributes {kind}, bounds binary, terms binary, counts binary")
-    return matrix, numbered.filter("word IS NOT NULL").select("word", "term")
+def _renumbered(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, np.ndarray]]:
+    """Each shard, and its cells' terms."""
+    for batch in batches:
+        for k in range(batch.num_rows):
+            one = batch.slice(k, 1)
+            terms = np.frombuffer(one.column(5)[0].as_py() or b"", np.int64)  # null where no row has a word
+            yield one, terms[_numbers(one.column(3))]
 
 
-def row_counts(matrix: DataFrame) -> DataFrame:
-    """The rows' attributes with n_words (row sums) and n_distinct (nonzero counts)."""
-    row = matrix.schema["attributes"].dataType.elementType
+def row_counts(docs: DataFrame, text: str = "text") -> DataFrame:
+    """The documents' other columns with n_words (row sums of the matrix) and n_distinct (nonzero counts)."""
+    joined, _ = _encoded(docs, text)
+    row = joined.schema["attributes"].dataType.elementType
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for k in range(batch.num_rows):
-                one = batch.slice(k, 1)
-                bounds = _numbers(one.column(1))
-                sums = np.concatenate([[0], np.cumsum(_numbers(one.column(3)), dtype=np.int64)])[bounds]
-                terms = np.frombuffer(one.column(2)[0].as_buffer(), np.int64)
-                distinct = np.add.reduceat(np.append(terms >= 0, False), bounds[:-1], dtype=np.int64) * (np.diff(bounds) > 0)
-                yield pa.RecordBatch.from_arrays([one.column(0).flatten(), pa.array(np.diff(sums)), pa.array(distinct)], ["attributes", "n_words", "n_distinct"])
+        for one, terms in _renumbered(batches):
+            bounds = _numbers(one.column(2))
+            sums = np.concatenate([[0], np.cumsum(_numbers(one.column(4)), dtype=np.int64)])[bounds]
+            distinct = np.add.reduceat(np.append(terms >= 0, False), bounds[:-1], dtype=np.int64) * (np.diff(bounds) > 0)
+            yield pa.RecordBatch.from_arrays([one.column(1).flatten(), pa.array(np.diff(sums)), pa.array(distinct)], ["attributes", "n_words", "n_distinct"])
 
-    counted = matrix.select("attributes", "bounds", "terms", "counts").mapInArrow(count, f"attributes {row.simpleString()}, n_words long, n_distinct long")
-    return counted.select("attributes.*", "n_words", "n_distinct")
+    return joined.mapInArrow(count, f"attributes {row.simpleString()}, n_words long, n_distinct long").select("attributes.*", "n_words", "n_distinct")
 
 
 def failed_filters(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", part: str = "source") -> DataFrame:
@@ -198,8 +206,7 @@ def failed_filters(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text
         whole.rlike(MARKS).alias("d"),
         whole.alias("text"),
     )
-    matrix, _ = document_term_matrix(rows)
-    counted = row_counts(matrix)
+    counted = row_counts(rows)
     a, b = F.col("n_words") < MIN_WORDS, F.lit(100) * F.col("n_distinct") < F.lit(MIN_DISTINCT) * F.col("n_words")
     bits = a.cast("int") + b.cast("int") * 2 + F.col("c").cast("int") * 4 + F.col("d").cast("int") * 8
     judged = materialize(counted.groupBy("doc_id", "digest", "part", bits.alias("bits")).agg(F.count("*").alias("n")), "judged")

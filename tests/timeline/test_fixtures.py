@@ -254,8 +254,8 @@ def test_readers(spark, tmp_path):
     with pytest.raises(Exception, match="bad row"):
         readers.read_embed_csv(spark, str(tmp_path / "a.csv"), strict=True)[0].collect()
     (tmp_path / "p.jsonl").write_text('{"seq": 1, "timestamp": "2026-08-01T09:00:00+03:00", "event": "SCREEN_INTERACTIVE"}\n\n{"seq": 2, "timestamp": "2026-08-01T09:00:00+03:00", "event": "OTHER"}\n')
-    log, ignored = readers.read_phone_jsonl(spark, str(tmp_path / "p.jsonl"))
-    assert [(r.seq, r.ts) for r in log.collect()] == [(1, at("09"))] and [(r.event, r.ignored) for r in ignored.collect()] == [("OTHER", 1)]
+    log = readers.read_phone_jsonl(spark, str(tmp_path / "p.jsonl"))
+    assert [(r.seq, r.ts) for r in log.rows.collect()] == [(1, at("09"))] and [(r.event, r.ignored) for r in log.ignored.collect()] == [("OTHER", 1)]
 
 
 def test_sinks(spark, tmp_path):

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from datetime import date, datetime
 
@@ -12,6 +13,7 @@ from ..functions import text as X
 from ..operators import build, days, filters, goals, imports, intervals, merge, phone, stats, validate
 from ..operators.filters import TimelineQuery
 from ..sources import adapter, readers
+from ..sources.lines import write_lines
 from ..sources.shared import shared_dir
 from ..streaming import streams
 from .timeline import Timeline
@@ -142,6 +144,81 @@ def _(spark, d):
     return readers.phone_rows(raw, F.col("tenant_id"))[0]
 
 
+def _folder(spark, tag: str) -> str:
+    return f"{shared_dir(spark)}/{tag}/{uuid.uuid4().hex}"
+
+
+def _lines_of(e: DataFrame, value) -> DataFrame:
+    """One line for each event of e, and a blank one before each thirty-first, in logs of sixteen users."""
+    blank = F.when(F.col("event_id") % 31 == 0, F.array(F.struct(F.lit(0).alias("k"), F.lit("").alias("value")))).otherwise(F.array().cast("array<struct<k: int, value: string>>"))
+    lines = F.explode(F.concat(blank, F.array(F.struct(F.lit(1).alias("k"), value.alias("value"))))).alias("l")
+    return e.select(F.expr("user_id div 16").alias("log"), "event_id", lines).select("log", "event_id", "l.*")
+
+
+def _tracker_files(spark, d) -> str:
+    e = spark.read.parquet(f"{d}/events.parquet")
+    time = F.when(F.col("event_id") % 45 == 7, "soon").otherwise(F.concat(F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss"), F.lit("+03:00")))
+    word = F.when(F.col("event_type") == "click", "start").when(F.col("event_type") == "view", "end").when(F.col("event_type") == "error", "bad").otherwise("point")
+    name = F.concat(F.lit("n"), (F.col("event_id") % 5).cast("string"))
+    task = F.when(F.col("event_id") % 2 == 0, F.concat(F.lit('"'), "event_type", F.lit(", new : "), name, F.lit('"'))).otherwise(name)
+    path = _folder(spark, "tracker")
+    write_lines(_lines_of(e, F.concat_ws(",", time, word, task)), path, "log", ["event_id", "k"], header="timestamp,event,task")
+    return path
+
+
+_TRACKER_LINES = """
+x AS (SELECT user_id // 16 AS log, event_id, unnest(CASE WHEN event_id % 31 = 0 THEN [0, 1] ELSE [1] END) AS k, ts, event_type FROM events),
+t AS (SELECT *, 1 + row_number() OVER (PARTITION BY log ORDER BY event_id, k) AS line, row_number() OVER (ORDER BY log || '/', event_id, k) + dense_rank() OVER (ORDER BY log || '/') AS seq FROM x)"""
+
+
+@query("s1_read_embed_csv", f"""WITH {_TRACKER_LINES} SELECT log AS tenant_id, line, seq, date_trunc('second', ts) AS timestamp, CASE event_type WHEN 'click' THEN 'interval_start' WHEN 'view' THEN 'interval_end' ELSE 'point' END AS event_kind,
+    CASE WHEN event_id % 2 = 0 THEN event_type || ', new' END AS category, 'n' || (event_id % 5) AS name FROM t WHERE k = 1 AND event_type <> 'error' AND event_id % 45 <> 7""")
+def _(spark, d):
+    events, _ = readers.read_embed_csv(spark, _tracker_files(spark, d), tenant_id=F.col("log"))
+    return events.select("tenant_id", "line", "seq", "timestamp", "event_kind", "category", "name")
+
+
+@query("s1_rejected_lines", f"WITH {_TRACKER_LINES} SELECT log, line, CASE WHEN event_id % 45 = 7 THEN 'timestamp' ELSE 'event' END AS reason FROM t WHERE k = 1 AND (event_type = 'error' OR event_id % 45 = 7)")
+def _(spark, d):
+    return readers.read_embed_csv(spark, _tracker_files(spark, d), tenant_id=F.col("log"))[1].select(F.col("log").cast("long").alias("log"), "line", "reason")
+
+
+def _phone_files(spark, d) -> str:
+    """Logs with a clock of hours, so that many rows tie, with other events, cut lines, and signals without a time."""
+    e = spark.read.parquet(f"{d}/events.parquet")
+    name = F.element_at(F.array(*map(F.lit, adapter.PHONE_EVENTS)), (F.col("event_id") % 6 + 1).cast("int"))
+    event = F.when(F.col("event_id") % 13 == 5, "USER_PRESENT").otherwise(name)
+    time = F.when(F.col("event_id") % 59 == 3, "").otherwise(F.concat(F.date_format("ts", "yyyy-MM-dd'T'HH:00:00"), F.lit("+02:00")))
+    whole = F.to_json(F.struct(time.alias("timestamp"), event.alias("event"), F.lit("app").alias("package_name")))
+    line = F.when(F.col("event_id") % 61 == 9, F.substring(whole, 1, 30)).when(F.col("event_id") % 67 == 11, '{"timestamp": "2024-01-01"}').otherwise(whole)
+    path = _folder(spark, "phone")
+    write_lines(_lines_of(e, line), path, "log", ["event_id", "k"])
+    return path
+
+
+_PHONE_LINES = """
+x AS (SELECT user_id // 16 AS log, event_id, unnest(CASE WHEN event_id % 31 = 0 THEN [0, 1] ELSE [1] END) AS k, ts FROM events),
+t AS (SELECT *, row_number() OVER (PARTITION BY log ORDER BY event_id, k) AS line, row_number() OVER (ORDER BY log || '/', event_id, k) AS seq,
+    CASE WHEN event_id % 13 = 5 THEN 'USER_PRESENT' ELSE ['SCREEN_INTERACTIVE', 'SCREEN_NON_INTERACTIVE', 'KEYGUARD_HIDDEN', 'KEYGUARD_SHOWN', 'DEVICE_SHUTDOWN', 'DEVICE_STARTUP'][event_id % 6 + 1] END AS event,
+    CASE WHEN event_id % 61 = 9 THEN 'json' WHEN event_id % 67 = 11 THEN 'event' WHEN event_id % 59 = 3 AND event_id % 13 <> 5 THEN 'timestamp' END AS reason FROM x),
+log AS (SELECT log AS tenant_id, seq, line, date_trunc('hour', ts) AS ts, event FROM t WHERE k = 1 AND reason IS NULL AND event <> 'USER_PRESENT')"""
+
+
+@query("s2_read_phone_jsonl", f"WITH {_PHONE_LINES} SELECT tenant_id, seq, line, ts, event FROM log")
+def _(spark, d):
+    return readers.read_phone_jsonl(spark, _phone_files(spark, d), tenant_id=F.col("log")).rows.drop("file")
+
+
+@query("s2_rejected_lines", f"WITH {_PHONE_LINES} SELECT log, line, reason FROM t WHERE k = 1 AND reason IS NOT NULL")
+def _(spark, d):
+    return readers.read_phone_jsonl(spark, _phone_files(spark, d), tenant_id=F.col("log")).rejected.select(F.col("log").cast("long").alias("log"), "line", "reason")
+
+
+@query("s2_ignored_events", f"WITH {_PHONE_LINES} SELECT log AS tenant_id, event, count(*) AS ignored FROM t WHERE k = 1 AND reason IS NULL AND event = 'USER_PRESENT' GROUP BY ALL")
+def _(spark, d):
+    return readers.read_phone_jsonl(spark, _phone_files(spark, d), tenant_id=F.col("log")).ignored
+
+
 @query("s4_scan_day_markers", f"WITH {_CHUNKS}, {_MARKERS} SELECT tenant_id, day, mood, array_to_string(people, ',') AS people FROM m WHERE day BETWEEN DATE '2024-01-05' AND DATE '2024-01-20'")
 def _(spark, d):
     m = readers.scan_day_markers(days.typed_markers(adapter.day_markers(spark, d)), "2024-01-05", "2024-01-20")
@@ -287,6 +364,15 @@ def _(spark, d):
     return phone.active_intervals(adapter.phone_log(spark, d))
 
 
+_LOG_STATES = _PHONE[_PHONE.index("s0 AS") :]
+
+
+@query("s2_log_intervals", f"WITH {_PHONE_LINES}, {_LOG_STATES}, {_ACTIVE} SELECT tenant_id, seq, start_timestamp, end_timestamp FROM i")
+def _(spark, d):
+    """Rows of equal time are taken in the order of their lines."""
+    return phone.active_intervals(readers.read_phone_jsonl(spark, _phone_files(spark, d), tenant_id=F.col("log")).rows.drop("file", "line"))
+
+
 @query("i4_boundaries", f"WITH {_PHONE}, {_ACTIVE} SELECT tenant_id, seq, start_timestamp AS ts, 'interval_start' AS kind FROM i UNION ALL SELECT tenant_id, seq, end_timestamp, 'interval_end' FROM i")
 def _(spark, d):
     return phone.boundaries(adapter.phone_log(spark, d))

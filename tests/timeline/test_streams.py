@@ -3,12 +3,14 @@
 import random
 from datetime import datetime, timedelta
 
+import pytest
 from pyspark.sql import functions as F
 
 from tidemark.operators import build, intervals
 from tidemark.plans.queries import QUERIES
 from tidemark.sources import adapter
 from tidemark.streaming import streams
+from tidemark.streaming.stateful import fold
 
 SF = "/root/testdata/sf0.001"
 
@@ -25,16 +27,72 @@ def made(n=400):
     return [(rng.randrange(2), i, t0 + timedelta(minutes=7 * i), "pc", rng.choice(["interval_start", "interval_end"]), "c", rng.choice("ab")) for i in range(n)]
 
 
-def test_stream_chunks_equal_batch(spark, tmp_path):
+def pairs(chunks):
+    return sorted((r.tenant_id, r.start_event_id, r.end_event_id) for r in chunks.collect())
+
+
+def batch_build(spark, rows):
+    return build.build(spark.createDataFrame(rows, streams.EVENTS).withColumn("timestamp", F.col("timestamp").cast("timestamp_ntz")))
+
+
+def micro_batches(spark, path, rows, lag, share=0.1, parts=6):
+    """Files in time order; some rows come `lag` files later."""
+    rng = random.Random(7)
+    files = [[] for _ in range(parts)]
+    for k, r in enumerate(rows):
+        at = k * parts // len(rows)
+        files[min(parts - 1, at + lag * (rng.random() < share))].append(r)
+    for rows_of_file in files:
+        spark.createDataFrame(rows_of_file, streams.EVENTS).coalesce(1).write.mode("append").parquet(path)
+
+
+def run_chunks(spark, path):
+    return streams.run_stateful(streams.stream_build_chunks(streams.event_stream(spark, path, files_per_trigger=1)), "test")
+
+
+def waiting_rows(spark, state):
+    """Ids of the events in the state: those that the watermark has not passed."""
+    return {r[0] for r in spark.read.format("statestore").option("path", state).option("stateVarName", "waiting").load().select("list_element.id").collect()}
+
+
+def test_stream_steps_equal_batch(spark, tmp_path):
+    """Without late events the stream gives what the batch build gives, warnings included, up to where the watermark came."""
     rows = made()
     write_files(spark, str(tmp_path / "in"), rows, 4)
-    got = streams.run_available(streams.stream_build_chunks(streams.event_stream(spark, str(tmp_path / "in"), files_per_trigger=1)), "test").collect()
-    batch = spark.createDataFrame(rows, streams.EVENTS).withColumn("timestamp", F.col("timestamp").cast("timestamp_ntz"))
-    want = {(r.tenant_id, r.start_event_id, r.end_event_id) for r in build.chunks_of(build.build(batch)).collect()}
-    have = {(r.tenant_id, r.start_event_id, r.end_event_id) for r in got}
-    last = max(r[2] for r in rows) - timedelta(hours=3)
-    ended = {c for c in want if rows[c[2]][2] < last}
-    assert have <= want and ended <= have and len(have) > 50
+    steps, state = run_chunks(spark, str(tmp_path / "in"))
+    waiting = waiting_rows(spark, state)
+    assert 0 < len(waiting) < 150
+    want = sorted((r.tenant_id, r.kind, r.start_event_id, r.end_event_id) for r in batch_build(spark, rows).collect() if r.kind != "unclosed" and not waiting & {(r.start_event_id if r.end_event_id is None else r.end_event_id)})
+    got = sorted((r.tenant_id, r.kind, r.start_event_id, r.end_event_id) for r in steps.collect())
+    plain = lambda found: sorted((t, k, e if k in ("mismatch", "orphan_end") else s, None if k in ("mismatch", "orphan_end") else e) for t, k, s, e in found)
+    assert plain(got) == plain(want) and len(got) > 200
+
+
+def test_late_events_are_repaired(spark, tmp_path):
+    rows = made()
+    micro_batches(spark, str(tmp_path / "in"), rows, lag=3)
+    steps, state = run_chunks(spark, str(tmp_path / "in"))
+    late = steps.filter("kind = 'late'").count()
+    assert late > 5
+    chunks = streams.with_tail(steps, spark.createDataFrame(rows, streams.EVENTS))
+    want = pairs(build.chunks_of(batch_build(spark, rows)))
+    assert pairs(chunks) == want and pairs(steps.filter("kind = 'chunk'")) != want
+    # what waits in the state is what the watermark has not passed
+    assert 0 < len(waiting_rows(spark, state)) < 150
+
+
+def test_fold_in_any_cut():
+    rng = random.Random(2)
+    events = [(k, k % 7, rng.random() < 0.5, "c", rng.choice("ab")) for k in range(300)]
+    idle = (-1, 0, False, None, None, None, None)
+    whole, end = fold(events, idle)
+    steps, state, at = [], idle, 0
+    while at < len(events):
+        n = rng.randint(1, 40)
+        some, state = fold(events[at : at + n], state)
+        steps, at = steps + some, at + n
+    assert (steps, state) == (whole, end) and {s[0] for s in whole} == {"chunk", "duplicate_start", "orphan_end", "mismatch"}
+    assert fold([(5, 1, True, "c", "a")], (5, 1, False, None, None, None, None))[0] == [("late", 1, 5, None, None, "c", "a")]
 
 
 def test_stream_import_drops_repeats(spark, tmp_path):
@@ -46,11 +104,57 @@ def test_stream_import_drops_repeats(spark, tmp_path):
 
 
 def test_stream_totals(spark, tmp_path):
+    """Days close as the watermark passes and leave the state; late parts stand apart; all of it is the batch result."""
     t0 = datetime(2026, 1, 1, 23)
-    rows = [(t0 + timedelta(days=i), t0 + timedelta(days=i, hours=2), "a") for i in range(6)]
-    spark.createDataFrame(rows, "start_timestamp timestamp_ntz, end_timestamp timestamp_ntz, name string").write.parquet(str(tmp_path / "in"))
-    got = streams.run_available(streams.stream_period_totals(streams.table_stream(spark, str(tmp_path / "in"))), "test").collect()
-    assert got and all(r.total_seconds in (3600, 7200) for r in got)
+    spans = [(t0 + timedelta(days=i), t0 + timedelta(days=i, hours=2), name) for i in range(12) for name in "ab"]
+    late = [(t0 + timedelta(hours=-3), t0 + timedelta(hours=-1), "a"), (t0 + timedelta(days=2), t0 + timedelta(days=2, hours=30), "b")]
+    files = [spans[:8], spans[8:16], [*spans[16:], *late]]
+    schema = "start_timestamp timestamp_ntz, end_timestamp timestamp_ntz, name string"
+    for rows in files:
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    closed, state = streams.run_stateful(streams.stream_period_totals(stream), "test")
+    kinds = {r.kind: r.n for r in closed.groupBy("kind").agg(F.sum("parts").alias("n")).collect()}
+    assert kinds["late"] >= 2 and kinds["final"] > 20
+    opened = streams.open_totals(spark, state)
+    newest = max(r[0] for r in spans)
+    assert {r.start.date() for r in opened.collect()} <= {(newest - timedelta(days=k)).date() for k in (-1, 0, 1)}
+    want = {(r.d, r.name): (r.s, r.n) for r in intervals.split(spark.createDataFrame(sum(files, []), schema), "day").groupBy(F.to_date("start_timestamp").alias("d"), "name").agg(F.sum("duration_seconds").alias("s"), F.count("*").alias("n")).collect()}
+    every = closed.unionByName(opened).groupBy(F.to_date("start").alias("d"), "name").agg(F.sum("total_seconds").alias("s"), F.sum("parts").alias("n"))
+    assert {(r.d, r.name): (r.s, r.n) for r in every.collect()} == want
+
+
+def test_import_of_files_once_each(spark, tmp_path, monkeypatch):
+    """A run that fails behind its writes, a restart, new files, and a file that repeats old rows."""
+    folder, target = tmp_path / "in", str(tmp_path / "out")
+    (folder / "log=3").mkdir(parents=True)
+    line = lambda k, word="start": f"2026-08-0{1 + k // 20} {k % 20:02}:00:00,{word},Work: x{k}"
+    write = lambda name, rows: (folder / "log=3" / name).write_text("\n".join(["timestamp,event,task", *rows]) + "\n")
+    run = lambda: streams.import_tracker_files(spark, str(folder), target, tenant_id=F.col("log"), folders="log long", files_per_trigger=1)
+    keys = lambda: sorted((r.tenant_id, str(r.timestamp), r.name, r.event_kind) for r in streams.imported_events(spark, target).collect())
+    write("a.csv", [line(0), line(0), "", "nonsense", line(1, "end")])
+    run()
+    write("b.csv", [line(1, "end"), line(25), line(26)])
+    real = streams._write_batch
+
+    def fails(*args):
+        real(*args)
+        raise RuntimeError("after the writes")
+
+    monkeypatch.setattr(streams, "_write_batch", fails)
+    with pytest.raises(Exception, match="after the writes"):
+        run()
+    monkeypatch.setattr(streams, "_write_batch", real)
+    run()
+    write("c.csv", [line(26), line(27), line(0)])
+    run()
+    run()
+    want = [(3, "2026-08-01 00:00:00", "x0", "interval_start"), (3, "2026-08-01 01:00:00", "x1", "interval_end"), *((3, f"2026-08-02 {h:02}:00:00", f"x{20 + h}", "interval_start") for h in (5, 6, 7))]
+    assert keys() == want
+    rejected = streams.rejected_lines(spark, target).collect()
+    assert [(r.file.split("/")[-1], r.line, r.reason) for r in rejected] == [("a.csv", 5, "timestamp")]
+    ids = [r.id for r in streams.imported_events(spark, target).collect()]
+    assert len(set(ids)) == len(ids)
 
 
 def test_r2_has_all_chunks(spark):
@@ -60,16 +164,6 @@ def test_r2_has_all_chunks(spark):
     assert sorted(map(str, got.collect())) == sorted(map(str, want.collect())) and want.count() > 50
 
 
-def test_tail_of_several_batches(spark, tmp_path):
-    rows = made()
-    write_files(spark, str(tmp_path / "in"), rows, 4)
-    got = streams.run_available(streams.stream_build_chunks(streams.event_stream(spark, str(tmp_path / "in"), files_per_trigger=1)), "test")
-    batch = spark.createDataFrame(rows, streams.EVENTS).withColumn("timestamp", F.col("timestamp").cast("timestamp_ntz"))
-    want = sorted((r.tenant_id, r.start_event_id, r.end_event_id) for r in build.chunks_of(build.build(batch)).collect())
-    assert got.count() < len(want)  # the watermark holds chunks back
-    assert sorted((r.tenant_id, r.start_event_id, r.end_event_id) for r in streams.with_tail(got, batch).collect()) == want
-
-
 def test_r3_has_all_days(spark):
     e = spark.read.parquet(f"{SF}/events.parquet")
     spans = e.select(F.col("ts").alias("start_timestamp"), F.timestamp_add("MINUTE", F.floor("value").cast("int"), F.col("ts")).alias("end_timestamp"), F.col("event_type").alias("name"))

@@ -1148,10 +1148,30 @@ def _(spark, d):
     return found.select("tenant_id", F.col("timestamp").cast("timestamp_ntz").alias("timestamp"), "event_kind", "category", "name")
 
 
+def _imported(spark, d) -> str:
+    target = _folder(spark, "imported")
+    streams.import_tracker_files(spark, _tracker_files(spark, d), target, tenant_id=F.col("log"), folders="log long")
+    return target
+
+
+_GOOD_LINES = "SELECT DISTINCT log AS tenant_id, date_trunc('second', ts) AS timestamp, CASE event_type WHEN 'click' THEN 'interval_start' WHEN 'view' THEN 'interval_end' ELSE 'point' END AS event_kind, CASE WHEN event_id % 2 = 0 THEN event_type || ', new' END AS category, 'n' || (event_id % 5) AS name FROM t WHERE k = 1 AND event_type <> 'error' AND event_id % 45 <> 7"
+
+
+@query("r1_stream_import_files", f"WITH {_TRACKER_LINES} {_GOOD_LINES}")
+def _(spark, d):
+    return streams.imported_events(spark, _imported(spark, d)).select("tenant_id", "timestamp", "event_kind", "category", "name")
+
+
+@query("r1_stream_rejected_lines", ORACLES["s1_rejected_lines"])
+def _(spark, d):
+    return streams.rejected_lines(spark, _imported(spark, d)).select("log", "line", "reason")
+
+
 @query("r2_stream_build_chunks", f"{_FOLD} SELECT w.tenant_id, w.source, w.start_event_id, w.end_event_id, a.timestamp AS start_timestamp, z.timestamp AS end_timestamp, a.category, a.name FROM w JOIN v a ON a.id = w.start_event_id JOIN v z ON z.id = w.end_event_id WHERE w.kind = 'chunk'")
 def _(spark, d):
     e = adapter.events_of(streams.table_stream(spark, f"{d}/events.parquet")).withColumn("timestamp", F.col("timestamp").cast("timestamp"))
-    chunks = streams.with_tail(streams.run_available(streams.stream_build_chunks(e), "chunks"), adapter.events(spark, d))
+    steps, _ = streams.run_stateful(streams.stream_build_chunks(e), "chunks")
+    chunks = streams.with_tail(steps, adapter.events(spark, d))
     return chunks.withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("start_timestamp", "end_timestamp")})
 
 
@@ -1159,4 +1179,6 @@ def _(spark, d):
 def _(spark, d):
     e = streams.table_stream(spark, f"{d}/events.parquet")
     spans = e.select(F.col("ts").alias("start_timestamp"), F.timestamp_add("MINUTE", F.floor("value").cast("int"), F.col("ts")).alias("end_timestamp"), F.col("event_type").alias("name"))
-    return streams.run_complete(streams.stream_period_totals(spans), "totals").select(F.col("window.start").cast("timestamp_ntz").alias("start"), "name", "total_seconds", "parts")
+    closed, state = streams.run_stateful(streams.stream_period_totals(spans), "totals")
+    every = closed.unionByName(streams.open_totals(spark, state))
+    return every.groupBy(F.col("start").cast("timestamp_ntz").alias("start"), "name").agg(F.sum("total_seconds").alias("total_seconds"), F.sum("parts").alias("parts"))

@@ -11,18 +11,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-#: Where a row of a text file comes from.
-PLACE = ("file", "block", "at")
-
-
 def placed_lines(raw: DataFrame) -> DataFrame:
-    """A text table (also a stream) with the file, block and running number of each row, before anything is shuffled."""
-    where = [F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block")]
-    return raw.select("*", *where, F.monotonically_increasing_id().alias("at"))
+    """A text table (also a stream) with the file and block of each row."""
+    return raw.select("*", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"))
 
 
 def number_lines(placed: DataFrame) -> DataFrame:
-    """placed_lines with `line`, the row's number in its file from 1, and `seq`, its number over all files in order of paths."""
+    """placed_lines, with nothing shuffled since they were read, with `line`, the row's number in its file from 1, and `seq`, its
+    number over all files in order of paths."""
+    placed = placed.withColumn("at", F.monotonically_increasing_id())
     blocks = placed.groupBy("file", "block").agg(F.count("*").alias("n"), F.min("at").alias("first"))
     upto = Window.orderBy("file", "block")  # a row for each block
     before = blocks.select(

@@ -252,20 +252,46 @@ def _rows(batch: pa.RecordBatch, bucket: np.ndarray, kind: np.ndarray, place: np
     ends = pa.array(place, mask=is_start)
     columns = [batch.column("tenant_id").take(own), batch.column("source").take(own), _KINDS.take(pa.array(kind))]
     columns += [both["id"].take(starts), both["ts"].take(starts), both["id"].take(ends), both["ts"].take(ends)]
-    columns += [both["category"].take(at), both["name"].take(at), both["category"].take(open_at), both["name"].take(open_at)]
-    return pa.RecordBatch.from_arrays(columns, _OUT_NAMES)
+    columns += [both["category"].take(at), both["name"].take(at), both["category"].take(open_at), both["name"].take(open_at), batch.column("day").take(own)]
+    return pa.RecordBatch.from_arrays(columns, [*_OUT_NAMES, "day"])
+
+
+_DAY = (*KEY, "day")
+_ENTRIES = f"tenant_id long, source string, day date, part int, entry {_STATE}, final boolean"
+
+
+def bucket_rows(events: DataFrame) -> DataFrame:
+    """The start and end events as buckets take them, with their day."""
+    is_start = (F.col("event_kind") == "interval_start").alias("is_start")
+    kept = events.filter(F.col("event_kind").isin("interval_start", "interval_end"))
+    return kept.select(F.col("tenant_id").cast("long").alias("tenant_id"), F.col("device_source").alias("source"), F.to_date("timestamp").alias("day"), F.col("timestamp").cast("timestamp_ntz").alias("ts"), F.col("id").cast("long").alias("id"), is_start, "category", "name")
+
+
+def buckets(rows: DataFrame) -> DataFrame:
+    """Buckets of bucket_rows with their effects."""
+    return rows.repartition(*_DAY).sortWithinPartitions(*_DAY, "ts", "id").mapInArrow(_effects, _BUCKETS)
+
+
+def effects_of(found: DataFrame) -> DataFrame:
+    return found.select(*_DAY, "part", "idle", "labels", "after")
+
+
+def entries(effects: DataFrame) -> DataFrame:
+    """The state on entry to each bucket, from the effects of all buckets of a key."""
+    return effects.repartition(*KEY).sortWithinPartitions(*_DAY, "part").mapInArrow(_entries, _ENTRIES)
+
+
+def results(found: DataFrame, entry: DataFrame) -> DataFrame:
+    """Chunks and warnings of buckets, with the day of the bucket in which each was decided."""
+    same = [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in (*_DAY, "part")]
+    entered = found.drop("idle", "labels", "after").join(entry.withColumnsRenamed({c: f"_{c}" for c in (*_DAY, "part")}), same)
+    return entered.mapInArrow(_results, f"{OUT}, day date")
 
 
 def build(events: DataFrame) -> DataFrame:
     """All chunks and warnings of events (tenant_id, id, timestamp, device_source, event_kind, category, name)."""
-    rows = events.filter(F.col("event_kind").isin("interval_start", "interval_end")).select(F.col("tenant_id").cast("long").alias("tenant_id"), F.col("device_source").alias("source"), F.to_date("timestamp").alias("day"), F.col("timestamp").cast("timestamp_ntz").alias("ts"), F.col("id").cast("long").alias("id"), (F.col("event_kind") == "interval_start").alias("is_start"), "category", "name")
-    day = [*KEY, "day"]
-    buckets = rows.repartition(*day).sortWithinPartitions(*day, "ts", "id").mapInArrow(_effects, _BUCKETS)
-    effects = buckets.select(*day, "part", "idle", "labels", "after").repartition(*KEY).sortWithinPartitions(*day, "part")
-    entry = effects.mapInArrow(_entries, f"tenant_id long, source string, day date, part int, entry {_STATE}, final boolean")
-    same = [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in (*day, "part")]
-    entered = buckets.drop("idle", "labels", "after").join(entry.withColumnsRenamed({c: f"_{c}" for c in (*day, "part")}), same)
-    return entered.mapInArrow(_results, OUT)
+    found = buckets(bucket_rows(events))
+    return results(found, entries(effects_of(found))).drop("day")
 
 
 def chunks_of(built: DataFrame) -> DataFrame:

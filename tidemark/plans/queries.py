@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as X
-from ..operators import build, days, filters, goals, imports, intervals, merge, phone, stats, validate
+from ..operators import build, days, filters, goals, imports, incremental, intervals, merge, phone, stats, validate
 from ..operators.filters import TimelineQuery
 from ..sources import adapter, readers
 from ..sources.lines import write_lines
@@ -477,6 +477,17 @@ def _(spark, d):
     return build.chunks_of(build.build(merge.deduplicate(adapter.events(spark, d)))).select("tenant_id", "start_event_id", "end_event_id")
 
 
+@query("i15_incremental_rebuild", f"{_FOLD} SELECT w.tenant_id, w.kind, coalesce(w.end_event_id, w.start_event_id) AS event_id FROM w")
+def _(spark, d):
+    """Three imports: all but some days, then these, then one day again with what is there already."""
+    e = adapter.events(spark, d)
+    late = F.dayofmonth("timestamp").isin(7, 19, 20)
+    store = incremental.Store(spark, _folder(spark, "store")).create()
+    for part in (e.filter(~late), e.filter(late), e.filter(F.dayofmonth("timestamp") == 7).withColumn("id", F.col("id") + 10_000_000)):
+        store.add(part)
+    return store.built().select("tenant_id", "kind", F.coalesce("end_event_id", "start_event_id").alias("event_id"))
+
+
 # interval algebra
 
 for _p in intervals.PERIODS:

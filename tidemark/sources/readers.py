@@ -103,7 +103,8 @@ def write_chunks(chunks: DataFrame, path: str) -> str:
     Returns the folder. Nothing that may be read just now is overwritten."""
     target = f"{path.rstrip('/')}/version={uuid.uuid4().hex}"
     dated = chunks.withColumn("start_date", F.to_date("start_timestamp"))
-    dated.repartition("start_date").sortWithinPartitions("tenant_id", "source", "start_timestamp").write.partitionBy("start_date").parquet(target)
+    # rebalancing splits a large day over tasks and files
+    dated.hint("rebalance", "start_date").sortWithinPartitions("tenant_id", "source", "start_timestamp").write.partitionBy("start_date").parquet(target)
     return target
 
 
@@ -115,5 +116,5 @@ def write_daily_notes(notes: DataFrame, path: str) -> str:
     """A new folder under path with one Parquet row (tenant_id, value) a tenant and day, in folders by day; returns the
     folder. A day is a few files, however many tenants it has, and nothing that may be read is overwritten."""
     target = f"{path.rstrip('/')}/version={uuid.uuid4().hex}"
-    notes.select("day", "tenant_id", "value").repartition("day", F.pmod(F.xxhash64("tenant_id"), F.lit(4))).sortWithinPartitions("day", "tenant_id").write.partitionBy("day").parquet(target)
+    notes.select("day", "tenant_id", "value").hint("rebalance", "day").sortWithinPartitions("day", "tenant_id").write.partitionBy("day").parquet(target)
     return target

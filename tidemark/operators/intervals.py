@@ -7,6 +7,8 @@ from datetime import datetime
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .sweep import overlapping
+
 PERIODS = ("hour", "day", "week", "month", "year")
 
 
@@ -49,19 +51,8 @@ def split(chunks: DataFrame, period: str) -> DataFrame:
 
 def overlap_pairs(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
     """Pieces shared by a left and a right interval of the same keys: left_id, right_id, start_timestamp, end_timestamp.
-
-    Both sides go to day buckets, so the join has an equality on (keys, day) whatever the keys' sizes; a pair counts in
-    the day in which its overlap starts. Both need id, start_timestamp and end_timestamp.
-    """
-
-    def bucketed(df: DataFrame, side: str) -> DataFrame:
-        days = F.explode(F.sequence(F.to_date("start_timestamp"), F.to_date(F.timestamp_add("MICROSECOND", F.lit(-1), F.col("end_timestamp"))), F.expr("INTERVAL 1 DAY")))
-        return df.filter("start_timestamp < end_timestamp").select(*keys, F.col("id").alias(f"{side}_id"), F.col("start_timestamp").alias(f"{side}_start"), F.col("end_timestamp").alias(f"{side}_end"), days.alias("day"))
-
-    a, b = bucketed(left, "left"), bucketed(right, "right")
-    start, end = F.greatest("left_start", "right_start"), F.least("left_end", "right_end")
-    both = a.join(b, [*keys, "day"]).filter((F.col("left_start") < F.col("right_end")) & (F.col("right_start") < F.col("left_end")))
-    return both.withColumn("start_timestamp", start).withColumn("end_timestamp", end).filter(F.col("day") == F.to_date("start_timestamp")).drop("day", "left_start", "left_end", "right_start", "right_end")
+    Both need id, start_timestamp and end_timestamp."""
+    return overlapping(left, right, keys)
 
 
 def intersect(activities: DataFrame, screens: DataFrame, *, keys: tuple[str, ...] = ("tenant_id",)) -> DataFrame:

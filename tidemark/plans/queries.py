@@ -15,6 +15,7 @@ from ..operators.filters import TimelineQuery
 from ..sources import adapter, readers
 from ..sources.lines import write_lines
 from ..sources.shared import shared_dir
+from ..sources.versions import VersionedTable
 from ..streaming import streams
 from .timeline import Timeline
 
@@ -231,6 +232,15 @@ def _(spark, d):
     return readers.read_chunks(spark, stored).drop("duration_seconds")
 
 
+@query("s6_versioned_overlap", f"WITH {_CHUNKS} SELECT tenant_id, id, start_timestamp, end_timestamp, category, name, source FROM c WHERE end_timestamp > {_W0} AND start_timestamp < {_W1}")
+def _(spark, d):
+    """A second version replaces the first; the range is read from it."""
+    table = VersionedTable(spark, _folder(spark, "versions")).create()
+    table.write(_c(spark, d).filter("source = 'pc'"))
+    table.write(_c(spark, d))
+    return table.overlapping(W0, W1).drop("duration_seconds")
+
+
 @query("s7_to_dataframe", f"WITH {_CHUNKS} SELECT tenant_id, id, start_timestamp, end_timestamp, d AS duration_seconds, category, name, source FROM c WHERE start_timestamp >= {_W0} AND start_timestamp < {_W1} AND source = 'pc'")
 def _(spark, d):
     return Timeline(_c(spark, d)).between(W0, W1).source("pc").chunks().select("tenant_id", "id", "start_timestamp", "end_timestamp", "duration_seconds", "category", "name", "source")

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as X
-from ..operators import build, days, filters, goals, imports, incremental, intervals, merge, phone, stats, validate
+from ..operators import build, days, filters, goals, imports, incremental, intervals, merge, ordered, phone, stats, validate
 from ..operators.filters import TimelineQuery
 from ..sources import adapter, readers
 from ..sources.lines import write_lines
@@ -863,6 +863,14 @@ def _(spark, d):
     return merge.append_new_rows(rows("event_id % 4 <> 0"), rows("true")).groupBy("u", "x").agg(F.count("*").alias("rows_new"))
 
 
+@query("m7_append_ordered", "SELECT event_id + 1 AS seq, user_id % 3 AS u, CASE WHEN event_id % 5 <> 0 THEN event_type END AS x FROM events WHERE event_id >= (SELECT count(*) * 4 // 5 FROM events)")
+def _(spark, d):
+    """The incoming log begins in the middle of the master's last half."""
+    e = spark.read.parquet(f"{d}/events.parquet").select((F.col("event_id") + 1).alias("seq"), (F.col("user_id") % 3).alias("u"), F.when(F.col("event_id") % 5 != 0, F.col("event_type")).alias("x"))
+    n = e.count()
+    return ordered.append_ordered(e.filter(F.col("seq") <= n * 4 // 5), e.filter(F.col("seq") > n // 2).withColumn("seq", F.col("seq") - n // 2))
+
+
 @query("m8_union_frames", f"WITH {_CHUNKS} SELECT tenant_id, id, name, NULL AS source FROM c WHERE d > 100 UNION ALL SELECT tenant_id, id, NULL, source FROM c WHERE d <= 100")
 def _(spark, d):
     c = _c(spark, d)

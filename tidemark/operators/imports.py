@@ -7,16 +7,19 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.shared import discard, materialize
 from . import build, merge, phone
 
 
 @dataclass(frozen=True)
 class Import:
-    """events after the import, what build() makes of them, and a summary for each tenant of the import."""
+    """events after the import, what build() makes of them, and a summary for each tenant of the import. What is judged about
+    the incoming keys and what is built are stored once, until close()."""
 
     events: DataFrame
     built: DataFrame
     summary: DataFrame
+    stored: tuple[DataFrame, ...] = ()
 
     def chunks(self) -> DataFrame:
         return build.chunks_of(self.built)
@@ -24,17 +27,30 @@ class Import:
     def warnings(self) -> DataFrame:
         return build.warnings_of(self.built)
 
+    def close(self) -> None:
+        """Delete the stored tables, once nothing more is read from them."""
+        for table in self.stored:
+            discard(table)
+
 
 def import_events(stored: DataFrame, incoming: DataFrame) -> Import:
-    """Append the new events and rebuild. Nothing is written, so the same serves as a preview; sinks are in readers.
+    """Append the new events and rebuild. Only tables of the scratch folder are written, so the same serves as a preview; sinks
+    are in readers.
 
     summary: tenant_id, total, new and duplicates of the import, first and last time, chunks and warnings afterwards."""
-    events = stored.unionByName(merge.new_events(incoming, stored).select(stored.columns))
-    built = build.build(events)
-    made = build.chunks_of(built).groupBy("tenant_id").agg(F.count("*").alias("chunks"))
-    warned = build.warnings_of(built).groupBy("tenant_id").agg(F.count("*").alias("warnings"))
-    summary = merge.import_counts(incoming, stored).join(made, "tenant_id", "left").join(warned, "tenant_id", "left")
-    return Import(events, built, summary.na.fill(0, ["chunks", "warnings"]))
+    judged = materialize(merge.judge_incoming(stored, incoming), "judged")
+    events = stored.unionByName(judged.filter("NOT known").select("first.*").select(stored.columns))
+    built = materialize(build.build(events), "built")
+    counts = judged.groupBy(F.col("first.tenant_id").alias("tenant_id")).agg(
+        F.sum("n").alias("total"),
+        F.min("first.timestamp").alias("first_timestamp"),
+        F.max("first.timestamp").alias("last_timestamp"),
+        F.count(F.when(~F.col("known"), 1)).alias("new"),
+    )
+    is_chunk = (F.col("kind") == "chunk") & (F.col("end_timestamp") >= F.col("start_timestamp"))
+    made = built.groupBy("tenant_id").agg(F.count(F.when(is_chunk, 1)).alias("chunks"), F.count(F.when(~is_chunk, 1)).alias("warnings"))
+    summary = counts.withColumn("duplicates", F.col("total") - F.col("new")).join(made, "tenant_id", "left")
+    return Import(events, built, summary.na.fill(0, ["chunks", "warnings"]), (judged, built))
 
 
 def phone_summary(log: DataFrame, ignored: DataFrame, strategy: str = "active_screen", least: int = phone.MIN_SECONDS) -> DataFrame:

@@ -38,6 +38,17 @@ def new_events(incoming: DataFrame, stored: DataFrame) -> DataFrame:
     return fresh.drop("_key")
 
 
+def judge_incoming(stored: DataFrame, incoming: DataFrame) -> DataFrame:
+    """A row for each distinct event of the import: first (the one with the smallest id), n (how often it comes), and whether
+    the stored events have it already. One scan of each table and one shuffle of keys."""
+    columns = incoming.columns
+    row = F.struct(*columns)
+    both = _key(incoming).select("_key", row.alias("row"), "id", F.lit(1).alias("n"), F.lit(False).alias("old"))
+    both = both.unionByName(_key(stored).select("_key", F.lit(None).cast(both.schema["row"].dataType).alias("row"), F.lit(None).cast("long").alias("id"), F.lit(0).alias("n"), F.lit(True).alias("old")))
+    judged = both.groupBy("_key").agg(F.min_by("row", "id").alias("first"), F.sum("n").alias("n"), F.bool_or("old").alias("known"))
+    return judged.filter("n > 0").drop("_key")
+
+
 def repoint(table: DataFrame, ids: DataFrame, columns: list[str]) -> DataFrame:
     """table with its event ids replaced by their canonical ones."""
     for c in columns:
@@ -53,9 +64,8 @@ def import_counts(incoming: DataFrame, stored: DataFrame) -> DataFrame:
     return out.withColumn("duplicates", F.col("total") - F.col("new"))
 
 
-def apply_changes(events: DataFrame, changes: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(events after the changes, rejected changes). changes: tenant_id, id, op (upsert or delete), expected_revision and new
-    values; a stale revision or a deletion of nothing is rejected. An event that becomes equal to another merges into it."""
+def _judged_changes(events: DataFrame, changes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(events after the changes, before equal ones are merged; all rows with the reason of a rejection)."""
     values = [c for c in events.columns if c not in ("tenant_id", "id", "revision")]
     new = changes.select("tenant_id", "id", "op", "expected_revision", *[F.col(c).alias(f"new_{c}") for c in values])
     both = events.join(new, ["tenant_id", "id"], "full_outer")
@@ -66,8 +76,33 @@ def apply_changes(events: DataFrame, changes: DataFrame) -> tuple[DataFrame, Dat
     picked = [F.when(changed, F.col(f"new_{c}")).otherwise(F.col(c)).alias(c) for c in values]
     kept = state.filter(F.col("revision").isNotNull() | changed).filter(~F.coalesce((F.col("op") == "delete") & F.col("reason").isNull(), F.lit(False)))
     revision = F.when(changed, F.coalesce("revision", F.lit(0)) + 1).otherwise(F.col("revision"))
-    after = deduplicate(kept.select("tenant_id", "id", *picked, revision.alias("revision")).select(events.columns))
-    return after, state.filter("reason is not null").select("tenant_id", "id", "op", "expected_revision", "revision", "reason")
+    return kept.select("tenant_id", "id", *picked, revision.alias("revision")).select(events.columns), state
+
+
+def apply_changes(events: DataFrame, changes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(events after the changes, rejected changes). changes: tenant_id, id, op (upsert or delete), expected_revision and new
+    values; a stale revision or a deletion of nothing is rejected. An event that becomes equal to another merges into it."""
+    kept, state = _judged_changes(events, changes)
+    return deduplicate(kept), state.filter("reason is not null").select("tenant_id", "id", "op", "expected_revision", "revision", "reason")
+
+
+def redirects(events: DataFrame, changes: DataFrame) -> DataFrame:
+    """tenant_id, id, canonical_id: where the ids went that apply_changes merges into others. With repoint(), every table that
+    names an event follows."""
+    return canonical_ids(_judged_changes(events, changes)[0]).filter("id <> canonical_id")
+
+
+def then(first: DataFrame, second: DataFrame) -> DataFrame:
+    """The redirects of two change sets, one after the other, as one: chains end at the last id."""
+    onward = second.select("tenant_id", F.col("id").alias("canonical_id"), F.col("canonical_id").alias("_last"))
+    moved = first.join(onward, ["tenant_id", "canonical_id"], "left").select("tenant_id", "id", F.coalesce("_last", "canonical_id").alias("canonical_id"))
+    return moved.unionByName(second.join(first.select("tenant_id", "id"), ["tenant_id", "id"], "left_anti").select("tenant_id", "id", "canonical_id"))
+
+
+def gone_ids(events: DataFrame, changes: DataFrame) -> DataFrame:
+    """tenant_id, id: events that the changes delete, so that no redirect leads on from them."""
+    kept, _ = _judged_changes(events, changes)
+    return events.select("tenant_id", "id").join(kept.select("tenant_id", "id"), ["tenant_id", "id"], "left_anti")
 
 
 def relabel(events: DataFrame, where: Column, category: Column, name: Column) -> DataFrame:

@@ -833,6 +833,26 @@ def _(spark, d):
     return merge.apply_changes(e, edits)[1].select("tenant_id", "id", "reason")
 
 
+@query("m3_redirected_points", f"""WITH {_EVENTS},
+x AS (SELECT tenant_id, id, date_trunc('day', timestamp) AS timestamp, event_kind, category, name FROM v),
+f AS (SELECT x.*, CASE WHEN id % 7 = 0 THEN 'first' ELSE name END AS name1 FROM x),
+a AS (SELECT *, min(id) OVER (PARTITION BY tenant_id, timestamp, event_kind, category, name1) AS id1 FROM f),
+s AS (SELECT DISTINCT tenant_id, id1, timestamp, event_kind, category, CASE WHEN name1 = 'first' OR id1 % 5 = 0 THEN 'second' ELSE name1 END AS name2 FROM a),
+b AS (SELECT *, min(id1) OVER (PARTITION BY tenant_id, timestamp, event_kind, category, name2) AS id2 FROM s)
+SELECT a.tenant_id, a.id AS point_id, b.id2 AS event_id FROM a JOIN b ON a.tenant_id = b.tenant_id AND a.id1 = b.id1""")
+def _(spark, d):
+    """Points name the events; two change sets merge events, some of them twice, and the points follow to the last one."""
+    e = adapter.events(spark, d).withColumn("timestamp", F.date_trunc("day", "timestamp").cast("timestamp_ntz"))
+    ops = {"op": F.lit("upsert"), "expected_revision": F.col("revision")}
+    # a table without repeats to begin with: what is equal already is merged by the first set
+    first = e.filter("id % 7 = 0").withColumns(ops | {"name": F.lit("first")})
+    between, _ = merge.apply_changes(e, first)
+    second = between.filter("name = 'first' OR id % 5 = 0").withColumns(ops | {"name": F.lit("second")})
+    ids = merge.then(merge.redirects(e, first), merge.redirects(between, second))
+    points = adapter.events(spark, d).select("tenant_id", F.col("id").alias("point_id"), F.col("id").alias("event_id"))
+    return merge.repoint(points, ids, ["event_id"]).select("tenant_id", "point_id", "event_id")
+
+
 @query("m4_bulk_relabel", f"WITH {_EVENTS}, x AS (SELECT *, CASE WHEN name = 'A1' THEN 'A2' ELSE name END AS nn FROM v) SELECT tenant_id, min(id) AS id, nn AS name FROM x GROUP BY tenant_id, timestamp, event_kind, category, nn")
 def _(spark, d):
     return merge.relabel(adapter.events(spark, d), F.col("name") == "A1", F.col("category"), F.lit("A2")).select("tenant_id", "id", "name")

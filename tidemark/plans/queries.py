@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as X
-from ..operators import build, days, filters, goals, imports, incremental, intervals, merge, ordered, phone, stats, validate
+from ..operators import build, days, filters, goals, imports, incremental, intervals, merge, ordered, phone, signals, stats, validate
 from ..operators.filters import TimelineQuery
 from ..sources import adapter, readers
 from ..sources.lines import write_lines
@@ -436,6 +436,53 @@ def _(spark, d):
     return phone.pairing_audit(adapter.phone_log(spark, d), "screen")
 
 
+_SIGNAL = """
+l AS (SELECT *, event = '{on}' AS is_on FROM log WHERE event IN ('{on}', '{off}') AND ts <= {hi}),
+m AS (SELECT *, lag(is_on) OVER (PARTITION BY tenant_id ORDER BY ts, seq) AS was FROM l),
+k AS (SELECT *, lead(ts) OVER w AS until, lead(seq) OVER w AS until_seq FROM m WHERE is_on <> coalesce(was, false) WINDOW w AS (PARTITION BY tenant_id ORDER BY ts, seq))
+SELECT tenant_id, 'interval' AS output, seq, until_seq, greatest(ts, {lo}) AS start_timestamp, least(coalesce(until, {hi}), {hi}) AS end_timestamp, CASE WHEN until IS NULL THEN 'open_at_range_end' ELSE '{on}_to_{off}' END AS reason
+FROM k WHERE is_on AND greatest(ts, {lo}) < least(coalesce(until, {hi}), {hi})
+UNION ALL SELECT tenant_id, 'repeat', seq, NULL, ts, ts, 'repeated_' || lower(event) FROM m WHERE is_on = {was}"""
+
+
+@query("i9_signal_report", f"WITH {_PHONE}, " + _SIGNAL.format(on="SCREEN_INTERACTIVE", off="SCREEN_NON_INTERACTIVE", lo=_W0, hi=_W1, was="was"))
+def _(spark, d):
+    return signals.signal_report(adapter.phone_log(spark, d), *phone.SIGNALS["screen"], W0, W1)
+
+
+@query("i9_shutdown_report", f"WITH {_PHONE}, " + _SIGNAL.format(on="DEVICE_SHUTDOWN", off="DEVICE_STARTUP", lo=_W0, hi=_W1, was="coalesce(was, false)"))
+def _(spark, d):
+    return signals.shutdown_report(adapter.phone_log(spark, d), W0, W1)
+
+
+@query("i10_window_report", f"""WITH {_PHONE}, y AS (SELECT *, lag(active) OVER w AS was, lag(screen) OVER w AS s1, lag(unlocked) OVER w AS u1, coalesce(lag(down) OVER w, false) AS d1 FROM s WHERE ts <= {_W1} WINDOW w AS (PARTITION BY tenant_id ORDER BY ts, seq)),
+t AS (SELECT *, lead(ts) OVER w AS until, lead(seq) OVER w AS until_seq, lead(event) OVER w AS until_event FROM y WHERE active IS DISTINCT FROM was WINDOW w AS (PARTITION BY tenant_id ORDER BY ts, seq)),
+f AS (SELECT tenant_id, min(ts) AS ts, arg_min(seq, (ts, seq)) AS seq FROM t GROUP BY 1),
+q AS (SELECT tenant_id, CASE WHEN active THEN 'interval' ELSE 'unknown' END AS output, seq, until_seq, ts AS a, coalesce(until, {_W1}) AS b,
+        CASE WHEN active THEN coalesce('stopped_by_' || lower(until_event), 'stopped_by_range_end') WHEN until IS NULL THEN 'state_unknown_at_range_end' ELSE 'state_unknown' END AS reason FROM t WHERE coalesce(active, true)
+    UNION ALL SELECT y.tenant_id, 'unknown', NULL, any_value(f.seq), {_W0}, coalesce(any_value(f.ts), {_W1}), CASE WHEN any_value(f.ts) IS NULL THEN 'state_unknown_at_range_end' ELSE 'state_unknown' END FROM y LEFT JOIN f ON y.tenant_id = f.tenant_id GROUP BY y.tenant_id)
+SELECT tenant_id, output, seq, until_seq, greatest(a, {_W0}) AS start_timestamp, least(b, {_W1}) AS end_timestamp, reason FROM q WHERE greatest(a, {_W0}) < least(b, {_W1})
+UNION ALL SELECT tenant_id, 'anomaly', seq, NULL, ts, ts, CASE WHEN event = 'DEVICE_STARTUP' THEN 'startup_without_shutdown' ELSE 'repeated_' || lower(event) END FROM y
+    WHERE (event = 'DEVICE_STARTUP' AND NOT d1) OR (event = 'DEVICE_SHUTDOWN' AND d1) OR (event LIKE 'SCREEN%' AND s1 = screen) OR (event LIKE 'KEYGUARD%' AND u1 = unlocked)""")
+def _(spark, d):
+    return signals.window_report(adapter.phone_log(spark, d), W0, W1)
+
+
+_PAIRS = """p_{form} AS (SELECT *, lead(ts) OVER w AS until, lead(seq) OVER w AS until_seq FROM m WHERE {start} OR (NOT is_on AND coalesce(was, false)) WINDOW w AS (PARTITION BY tenant_id ORDER BY ts, seq)),
+o_{form} AS (SELECT tenant_id, '{form}' AS form, CASE WHEN until_seq IS NULL THEN 'open_at_end' ELSE 'interval' END AS kind, seq, until_seq, ts AS start_timestamp, until AS end_timestamp, NULL AS open_seq FROM p_{form} WHERE is_on
+    UNION ALL SELECT tenant_id, '{form}', 'duplicate_start', seq, NULL, ts, NULL, {opened} FROM m WHERE is_on AND was
+    UNION ALL SELECT tenant_id, '{form}', 'orphan_end', seq, NULL, ts, NULL, NULL FROM m WHERE NOT is_on AND NOT coalesce(was, false))"""
+
+
+@query("i11_pairing_scan", f"""WITH {_PHONE}, l AS (SELECT *, event = 'SCREEN_INTERACTIVE' AS is_on FROM log WHERE event LIKE 'SCREEN%'),
+m0 AS (SELECT *, lag(is_on) OVER w AS was, lag(seq) OVER w AS was_seq, lead(is_on) OVER w AS nxt FROM l WINDOW w AS (PARTITION BY tenant_id ORDER BY ts, seq)),
+m AS (SELECT *, last_value(CASE WHEN is_on AND NOT coalesce(was, false) THEN seq END IGNORE NULLS) OVER (PARTITION BY tenant_id ORDER BY ts, seq ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS run_seq FROM m0),
+{_PAIRS.format(form="raw", start="(is_on AND NOT coalesce(was, false))", opened="run_seq")}, {_PAIRS.format(form="repaired", start="(is_on AND NOT coalesce(nxt, false))", opened="was_seq")}
+SELECT * FROM o_raw UNION ALL SELECT * FROM o_repaired""")
+def _(spark, d):
+    return signals.pairing_scan(adapter.phone_log(spark, d), "screen")
+
+
 _SUMMARY = f"""{_FOLD}, {_REPEATED.split("AS revision FROM events),", 1)[1]}, k AS (SELECT tenant_id, timestamp, event_kind, category, name, min(id) AS id FROM r GROUP BY ALL),
 ic AS (SELECT r.tenant_id, count(*) AS total, min(r.timestamp) AS first_timestamp, max(r.timestamp) AS last_timestamp, count(*) FILTER (r.id = k.id AND r.id % 2 = 1) AS new,
     count(*) - count(*) FILTER (r.id = k.id AND r.id % 2 = 1) AS duplicates

@@ -9,6 +9,7 @@ from datetime import date, datetime
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import sql
 from ..functions import text as X
 from ..operators import build, days, filters, goals, imports, incremental, intervals, merge, ordered, phone, signals, stats, validate
 from ..operators.filters import TimelineQuery
@@ -90,11 +91,11 @@ w AS (SELECT * EXCLUDE (start_timestamp, end_timestamp, d), greatest(start_times
     date_diff('second', greatest(start_timestamp, {_W0}), least(end_timestamp, {_W1})) AS d FROM c WHERE end_timestamp > {_W0} AND start_timestamp < {_W1})"""
 
 
-def query(name: str, sql: str | None = None):
+def query(name: str, oracle: str | None = None):
     def register(f):
         QUERIES[name] = lambda spark, sf_dir: _rounded(f(spark, sf_dir))
-        if sql:
-            ORACLES[name] = sql
+        if oracle:
+            ORACLES[name] = oracle
         return f
 
     return register
@@ -1233,6 +1234,30 @@ def _(spark, d):
     return m.select("tenant_id", "day", F.to_json("habits").alias("habits"), F.to_json("people").alias("people"))
 
 
+# the same through SQL functions
+
+
+def _through_sql(name: str, like: str, text: str):
+    @query(name, ORACLES[like])
+    def _(spark, d):
+        sql.register(spark)
+        return spark.sql(text, c=_c(spark, d), e=spark.read.parquet(f"{d}/events.parquet"))
+
+
+_through_sql("u2_sql_human_duration", "x1_human_duration", "SELECT tenant_id, id, human_duration(duration_seconds) AS text FROM {c}")
+_through_sql("u2_sql_text_duration", "x2_text_duration", "SELECT tenant_id, id, text_duration(duration_seconds) AS text FROM {c}")
+_through_sql("u2_sql_clock_duration", "x3_clock_duration", "SELECT tenant_id, id, clock_duration(duration_seconds) AS short, clock_duration(duration_seconds, true) AS long FROM {c}")
+_through_sql("u2_sql_period_label", "x4_period_label", "SELECT tenant_id, id, period_label(start_timestamp, 'week') AS week, period_label(start_timestamp, 'month') AS month, period_label(start_timestamp, 'year') AS year, period_label(start_timestamp, 'day') AS day FROM {c}")
+_through_sql("u2_sql_iso_week", "x5_iso_week", "SELECT tenant_id, id, iso_week(date_add(to_date(start_timestamp), CAST(id % 2000 AS INT))) AS week FROM {c}")
+_through_sql("u2_sql_percent_change", "x6_percent_change", "SELECT tenant_id, id, percent_change(d, p) AS change FROM (SELECT tenant_id, id, duration_seconds AS d, lag(duration_seconds) OVER (PARTITION BY tenant_id ORDER BY start_timestamp, id) AS p FROM {c}) WHERE p IS NOT NULL")
+_through_sql("u2_sql_activity_label", "x7_activity_label", "SELECT tenant_id, id, activity_label(category, name) AS a, activity_label(category, name, ' / ', false) AS b FROM {c}")
+_through_sql("u2_sql_parse_people", "x8_parse_people", "SELECT event_id AS id, array_join(parse_people(concat(' ', event_type, ',\\n x', event_id % 3, ', ', event_type, '\\n')), '|') AS people FROM {e}")
+_through_sql("u2_sql_parse_mood", "x9_parse_mood", "SELECT event_id AS id, parse_mood(CASE event_type WHEN 'view' THEN ' ' WHEN 'error' THEN 'good' ELSE CAST(value AS STRING) END) AS mood FROM {e}")
+_through_sql("u2_sql_seconds_into_day", "x12_clamps", "SELECT tenant_id, id, seconds_into_day(start_timestamp, date_add(to_date(start_timestamp), CAST(id % 3 - 1 AS INT))) AS seconds FROM {c}")
+for _p in intervals.PERIODS:
+    _through_sql(f"u2_sql_split_{_p}", f"t2_split_{_p}", "SELECT c.tenant_id, c.id, p.period, p.start_timestamp, p.end_timestamp, p.duration_seconds FROM {c} c, LATERAL split_interval(c.start_timestamp, c.end_timestamp, '" + _p + "') p")
+
+
 # streams over whole tables give what their batch forms give
 
 

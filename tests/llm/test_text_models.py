@@ -268,6 +268,30 @@ def test_op4_lsh_reaches_its_recall(monkeypatch, few):
     assert every >= 0.995 * n and one >= decontamination.CHANCE[block.places] * n
 
 
+@pytest.mark.parametrize("few", [500, 1])
+def test_op4_long_items(monkeypatch, few):
+    """Items of any length: exactly d random edits, edits crowded at one end, d words left out in front, and texts that begin
+    d words inside."""
+    monkeypatch.setattr(decontamination, "FEW_ITEMS", few)
+    rng = random.Random(17)
+    vocabulary = [f"w{i}" for i in range(5000)]
+    other = lambda k: rng.choices(vocabulary, k=k)
+    for m in (61, 100, 150, 200, 400, 800):
+        d = int(m * 0.2 + 1e-9)
+        items = [other(m) for _ in range(8)]
+        docs = []
+        for i, x in enumerate(items):
+            docs += [(i, other(30) + edited(rng, x, d, vocabulary) + other(rng.randrange(40))) for _ in range(5)]
+            docs += [(i, other(30) + edited(rng, x[: 2 * d], d, vocabulary) + x[2 * d :]), (i, other(30) + x[d:] + other(30)), (i, x[d:] + other(20)), (i, other(20) + x[: m - d])]
+        hashed, offsets, _ = decontamination.word_hashes(pa.array([" ".join(w) for _, w in docs], pa.large_string()))
+        block = decontamination.Items.of([(i, " ".join(x)) for i, x in enumerate(items)], 0.8, 0.999)
+        assert np.diff(block.part_offsets).max() <= decontamination.PART
+        found = decontamination.Matcher(block).matches(hashed, offsets)
+        right = [(r, i) in found for r, (i, _) in enumerate(docs)]
+        assert np.mean(right) >= 0.99, (m, np.mean(right))
+        assert all(v[0] <= d for v in found.values()) and set(found) <= {(r, i) for r, (i, _) in enumerate(docs)}
+
+
 @pytest.mark.parametrize("few", [500, 1])
 def test_op4_passages_that_a_text_cuts_off(monkeypatch, few):
     """The text begins inside of the passage or ends in it; up to d words are missing."""

@@ -7,9 +7,12 @@ m words when some passage of it is within d = floor(m * (1 - similarity)) word e
    step and the word, the same for windows and items. Two sequences at a small edit distance fall into step again
    and agree in many places. A word's bits repeat every PERIOD steps, so PERIOD steps are one map of places, and all
    windows of a text walk on together by looking that map up again and again.
-2. LSH. Every place of every text begins a window. Items of 2 ** c to 2 ** (c + 1) words are a size class, and their
-   windows' walks are sampled at PLACES steps spread over 1.75 * 2 ** c steps, which an item of the class outlasts.
-   A walk gives several samplings of 2 places (3 for many items); windows that agree with an item in all places of
+2. LSH. An item of more than PART words is cut into parts of about equal length. A passage within the item's edits is
+   within its own share of them on one part at least, so the parts are what windows are compared with, whatever the
+   item's length; shorter items are one part. Every place of every text begins a window. Parts of 2 ** c to 2 ** (c + 1)
+   words are a size class, and their
+   windows' walks are sampled at PLACES steps spread over 1.75 * 2 ** c steps, which a part of the class outlasts.
+   A walk gives several samplings of 2 places (3 for many items); windows that agree with a part in all places of
    one sampling, and in one place more of the walk's PLACES (their Hamming distance), are candidates. The number of
    independent walks follows from the target recall and CHANCE.
 3. Candidates whose surroundings hold enough of the item's words (a count that loses nothing) are verified by the
@@ -43,8 +46,8 @@ FEW_ITEMS = 500
 #: Samplings of a walk, and the least chance that one of them finds a passage of exactly d edits (tests measure it).
 SAMPLINGS, CHANCE = {2: 4, 3: 8}, {2: 0.5, 3: 0.38}
 BLOCK_CHARS = 4_000_000
-#: A row may lack so many words of a passage's beginning, or all allowed edits if they are fewer.
-MOST_LEAD = 32
+#: Words of a part at most; CHANCE holds for parts of this size.
+PART = 60
 MATCHES = "doc_id long, item_id long, edits int, first_word long, n_words int, passages int"
 
 
@@ -118,12 +121,16 @@ def sampled(read: dict[int, np.ndarray], steps: tuple[int, ...]) -> np.ndarray:
 
 @dataclass
 class Items:
-    """A block of items: words one after another, offsets, edits allowed, and the LSH tables of their samplings."""
+    """A block of items: words one after another, offsets, edits allowed; their parts (bounds in the words, item, place in
+    it); and the LSH tables of the parts' samplings."""
 
     ids: list
     words: np.ndarray
     offsets: np.ndarray
     edits: np.ndarray
+    part_offsets: np.ndarray
+    part_item: np.ndarray
+    part_begin: np.ndarray
     places: int
     n_walks: int
     tables: dict[tuple[int, int, tuple[int, ...]], tuple[np.ndarray, np.ndarray]]
@@ -133,10 +140,15 @@ class Items:
     def of(cls, rows: list[tuple[int, str | None]], similarity: float, recall: float) -> Items:
         words, offsets, _ = word_hashes(strings(pa.array([t for _, t in rows], pa.string())))
         m = np.diff(offsets)
-        places = 2 if len(rows) <= FEW_ITEMS else 3
-        out = cls([i for i, _ in rows], words, offsets, np.floor(m * (1 - similarity) + 1e-9).astype(np.int64), places, walks(recall, places), {}, [])
-        texts = Texts(words, offsets)
-        classes = np.array([size_class(int(n)) for n in m], np.int64)
+        parts = np.maximum(-(-m // PART), 1)
+        item = np.repeat(np.arange(len(m)), parts)
+        begin = m[item] * (np.arange(len(item)) - np.repeat(np.cumsum(parts) - parts, parts)) // parts[item]
+        part_offsets = np.append(offsets[item] + begin, len(words))
+        places = 2 if len(item) <= FEW_ITEMS else 3
+        edits = np.floor(m * (1 - similarity) + 1e-9).astype(np.int64)
+        out = cls([i for i, _ in rows], words, offsets, edits, part_offsets, item, begin, places, walks(recall, places), {}, [])
+        texts = Texts(words, part_offsets)
+        classes = np.array([size_class(int(n)) for n in np.diff(part_offsets)], np.int64)
         for w in range(out.n_walks):
             out.sketches.append({s: x[texts.starts] for s, x in texts.walk(w, out.steps()).items()})
             for c in out.classes():
@@ -148,11 +160,15 @@ class Items:
         return out
 
     def classes(self) -> list[int]:
-        return sorted({size_class(int(n)) for n in np.diff(self.offsets) if n})
+        return sorted({size_class(int(n)) for n in np.diff(self.part_offsets) if n})
 
     def steps(self) -> list[int]:
         return sorted({s for c in self.classes() for s in steps_of(c)})
 
+    def lead(self) -> int:
+        """Words of its beginning that a row may lack of a part."""
+        return int((self.edits[self.part_item] * np.diff(self.part_offsets) // np.maximum(np.diff(self.offsets)[self.part_item], 1)).max(initial=0))
+
     def words_of(self, j: int) -> np.ndarray:
         return self.words[self.offsets[j] : self.offsets[j + 1]]
 
@@ -180,7 +196,7 @@ class Matcher:
         return (key ^ key >> np.uint32(15)) * np.uint32(0x85EBCA77)
 
     def candidates(self, texts: Texts) -> tuple[np.ndarray, np.ndarray]:
-        """Items and window starts (places in texts) that agree in a sampling and one place more, once each."""
+        """Parts and window starts (places in texts) that agree in a sampling and one place more, once each."""
         found = [np.empty(0, np.int64)]
         for w in range(self.items.n_walks):
             read = texts.walk(w, self.items.steps())
@@ -204,16 +220,19 @@ class Matcher:
         pairs = np.unique(np.concatenate(found))
         return pairs >> 40, pairs & ((1 << 40) - 1)
 
-    def regions(self, texts: Texts, item: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, ...]:
+    def regions(self, texts: Texts, part: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, ...]:
         """Item, row, first place and width of the surroundings to verify; near starts share one."""
+        item = self.items.part_item[part]
         m, d = np.diff(self.items.offsets)[item], self.items.edits[item]
         row = np.searchsorted(texts.begins, start, "right") - 1
         apart = d // 2 + 1
-        inside = (start - texts.starts[row]) // apart * apart
+        # a window of a part may be as far from the part's place as the part has edits
+        more = np.where(m > PART, self.items.lead(), 0)
+        inside = (start - self.items.part_begin[part] - texts.starts[row]) // apart * apart
         first = texts.starts[row] + inside
-        once = np.unique((item << 40) + first, return_index=True)[1]
-        item, row, inside, m, d = (x[once] for x in (item, row, inside, m, d))
-        return item, row, texts.starts[row] + inside - d, m + 3 * d + d // 2
+        once = np.unique((item << 40) + (1 << 39) + first, return_index=True)[1]
+        item, row, inside, m, d, more = (x[once] for x in (item, row, inside, m, d, more))
+        return item, row, texts.starts[row] + inside - d - more, m + 3 * d + 2 * more + d // 2
 
     def holding(self, texts: Texts, item: np.ndarray, row: np.ndarray, first: np.ndarray, width: np.ndarray) -> np.ndarray:
         """Which regions hold as many words of their item as a passage within its edits must have."""
@@ -247,7 +266,7 @@ class Matcher:
 
     def matches(self, words: np.ndarray, offsets: np.ndarray) -> dict[tuple[int, int], list]:
         """(row, item) -> edits, first word and end of the best passage, and separate passages."""
-        texts = Texts(words, offsets, min(MOST_LEAD, int(self.items.edits.max(initial=0))))
+        texts = Texts(words, offsets, self.items.lead())
         regions = self.regions(texts, *self.candidates(texts))
         regions = tuple(x[self.holding(texts, *regions)] for x in regions)
         best: dict[tuple[int, int], list] = {}

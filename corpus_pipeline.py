@@ -2,7 +2,8 @@
 the last one packed sequences. Only doc_id and text are required columns; n_chars is kept up to date where it exists.
 
 Rows with a null doc_id are judged like all others, under a key made from their text that follows all ids: equal ones are
-copies of each other, and of a group of near duplicates they stay only if no row with an id does."""
+copies of each other, and of a group of near duplicates they stay only if no row with an id does. Different texts of one id are
+judged apart, all but one of them under such keys."""
 
 from __future__ import annotations
 
@@ -15,10 +16,19 @@ from tidemark.llm.queries import vocabulary
 
 
 def keyed(docs: DataFrame) -> tuple[DataFrame, str]:
-    """docs with a key that is never null, and its name."""
-    key = free_name(docs, "row_key")
+    """docs with a key that is never null and that different texts don't share, and its name: the id, but for null ids and for
+    all texts of an id but one a number made from the text that follows all ids."""
+    key, text, first = (free_name(docs, name) for name in ("row_key", "text_hash", "first_hash"))
     made = F.lit(1 << 62) + F.pmod(F.xxhash64(F.col("text").cast("string")), F.lit(1 << 61))
-    return docs.withColumn(key, F.coalesce(F.col("doc_id").cast("long"), made)), key
+    number = F.col("doc_id").cast("long")
+    ids = docs.select(number.alias(key)).filter(F.col(key).isNotNull()).groupBy(key).count().filter("count > 1").select(key)
+    if ids.isEmpty():  # no text is read for this
+        return docs.withColumn(key, F.coalesce(number, made)), key
+    hashes = docs.select(number.alias(key), F.xxhash64("text").alias(text)).join(ids, key, "left_semi")
+    firsts = hashes.groupBy(key).agg(F.min(text).alias(first))
+    rows = docs.withColumn(key, number).join(firsts, key, "left")
+    own = F.col(key).isNotNull() & (F.col(first).isNull() | (F.xxhash64("text") == F.col(first)))
+    return rows.withColumn(key, F.when(own, F.col(key)).otherwise(made)).select(*docs.columns, key), key
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

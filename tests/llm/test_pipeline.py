@@ -58,3 +58,18 @@ def test_stages_with_clashing_columns(spark):
                 assert out.dtypes == docs.dtypes
                 stage = out
         assert out.select("doc_id").distinct().count() == stage.select("doc_id").distinct().count()
+
+
+def test_one_id_with_two_texts(spark):
+    """Each text of an id is judged by itself."""
+    words_of = lambda seed: " ".join(f"word{(i * 7 + seed * 131) % 997}" for i in range(80))
+    item = spark.read.parquet(f"{SF}/benchmark.parquet").orderBy("item_id").first().text
+    a, b, c = words_of(1), words_of(2), words_of(3)
+    rows = [(3, a), (7, a + " more"), (7, b), (9, c), (9, c + " " + item), (None, words_of(5)), (12, a)]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
+    near = materialize(corpus_pipeline.near_duplicates(spark, docs, SF), "two")
+    assert sorted((r.doc_id or 0, r.text[:9], len(r.text)) for r in near.collect()) == sorted((i or 0, t[:9], len(t)) for i, t in rows if t not in (a + " more",) and (i, t) != (12, a))
+    clean = materialize(corpus_pipeline.decontaminate(spark, docs, SF), "two")
+    assert sorted((r.doc_id or 0, len(r.text)) for r in clean.collect()) == sorted((i or 0, len(t)) for i, t in rows if item not in t)
+    left = {(r.doc_id, r.text) for r in materialize(corpus_pipeline.substrings(spark, docs, SF), "two").collect()}
+    assert left >= {(3, a), (7, b)} and sum(c in t for i, t in left if i == 9) == 1  # of the two of document 9 one keeps c

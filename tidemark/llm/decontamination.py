@@ -95,14 +95,14 @@ class Texts:
         nibble[self.ends] = 0
         part = [np.arange(len(self.words))]
         for j in range(PERIOD):
-            part.append(part[-1] + ((nibble[part[-1]] if j else nibble) >> j & 1))
+            part.append(part[-1] + ((nibble.take(part[-1]) if j else nibble) >> j & 1))
         rounds, out = {0: part[0]}, {}
         for s in steps:
             a, i = divmod(s, PERIOD)
             for k in range(max(rounds) + 1, a + 1):
-                rounds[k] = part[PERIOD][rounds[k - 1]] if k > 1 else part[PERIOD]
-            at = rounds[a] if not i else part[i][rounds[a]] if a else part[i]
-            out[s] = self.code[at] if s else self.code
+                rounds[k] = part[PERIOD].take(rounds[k - 1]) if k > 1 else part[PERIOD]
+            at = rounds[a] if not i else part[i].take(rounds[a]) if a else part[i]
+            out[s] = self.code.take(at) if s else self.code
         return out
 
 
@@ -113,9 +113,11 @@ _NIBBLES = [np.array([1 << k, *range(1, 16)], np.uint8) for k in range(PERIOD)]
 def sampled(read: dict[int, np.ndarray], steps: tuple[int, ...]) -> np.ndarray:
     """One hash of the words read at the given steps."""
     key = read[steps[0]] * np.uint32(0x9E3779B1)
-    for s in steps[1:]:
-        key = (key ^ read[s]) * np.uint32(0x85EBCA77)
-        key ^= key >> np.uint32(15)
+    for k, s in enumerate(steps[1:]):
+        if k:
+            key ^= key >> np.uint32(15)
+        key ^= read[s]
+        key *= np.uint32(0x85EBCA77)  # leaves its leading bits mixed, which flags_of looks at
     return key
 
 
@@ -206,7 +208,7 @@ class Matcher:
                     keys, item = self.items.tables[w, c, steps]
                     own = sampled(read, steps)
                     flags, shift = self.flags[w, c, steps]
-                    maybe = np.flatnonzero(flags[own >> shift])
+                    maybe = np.flatnonzero(flags.take(own >> shift))
                     own = own[maybe]
                     left = np.searchsorted(keys, own, "left")
                     many = np.searchsorted(keys, own, "right") - left

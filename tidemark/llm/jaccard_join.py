@@ -140,11 +140,10 @@ def prune(sig: np.ndarray, i: np.ndarray, j: np.ndarray, least: dict[int, int])
     return alive
 
 
-def surviving(table: pa.Table, bounds: np.ndarray, least: dict[int, int]) -> tuple[np.ndarray, np.ndarray]:
+def surviving_portions(table: pa.Table, bounds: np.ndarray, least: dict[int, int]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Rows of the pairs of a task's groups that pruning leaves; in buckets, each pair in its first common band only."""
     bands = VALUES // ROWS
     sig, band = _signatures(table.column("sig")), table.column("band").to_numpy()
-    left, right = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
     for i, j in meeting(bounds, table):
         for at in range(0, len(i), 50_000):
             a, b = i[at : at + 50_000], j[at : at + 50_000]
@@ -152,8 +151,13 @@ def surviving(table: pa.Table, bounds: np.ndarray, least: dict[int, int]) -> tup
                 first = (sig[a] == sig[b]).reshape(-1, bands, ROWS).all(axis=2).argmax(axis=1)
                 a, b = a[first == band[a]], b[first == band[a]]
             stay = prune(sig, a, b, least)
-            left.append(a[stay])
-            right.append(b[stay])
+            yield a[stay], b[stay]
+
+
+def surviving(table: pa.Table, bounds: np.ndarray, least: dict[int, int]) -> tuple[np.ndarray, np.ndarray]:
+    """The pairs of surviving_portions in one."""
+    none = [(np.empty(0, np.int64), np.empty(0, np.int64))]
+    left, right = zip(*none, *surviving_portions(table, bounds, least), strict=True)
     return np.concatenate(left), np.concatenate(right)
 
 
@@ -191,26 +195,33 @@ def surviving_members(sets: DataFrame, threshold: float) -> DataFrame:
     return bucket_members(sets).mapInArrow(run, "home long, x int, y int, own int, band int, set_id binary")
 
 
-def overlaps(sets: list[np.ndarray], i: np.ndarray, j: np.ndarray) -> np.ndarray:
-    """Sizes of the intersections of the pairs (i, j)."""
-    if len(i) <= 4 * len(sets):
-        return np.array([len(np.intersect1d(sets[a], sets[b], assume_unique=True)) for a, b in zip(i.tolist(), j.tolist(), strict=True)], np.int64)
-    used = np.unique(np.concatenate([i, j]))
-    place = np.zeros(len(sets), np.int64)
-    place[used] = np.arange(len(used))
-    row = np.repeat(np.arange(len(used)), [len(sets[k]) for k in used.tolist()])
-    values, code, n = np.unique(np.concatenate([sets[k] for k in used.tolist()]), return_inverse=True, return_counts=True)
-    number = np.cumsum(n > 1) - 1  # a shingle of one set alone is in no intersection
-    row, code = row[(n > 1)[code]], number[code[(n > 1)[code]]]
-    order = np.argsort(code, kind="stable")
-    row, code = row[order], code[order]
-    total = np.zeros((len(used), len(used)), np.float32)
-    for lo in range(0, int(code.max(initial=-1)) + 1, 8192):
-        a, b = np.searchsorted(code, [lo, lo + 8192])
-        part = np.zeros((len(used), 8192), np.float32)
-        part[row[a:b], code[a:b] - lo] = 1
-        total += part @ part.T
-    return total[place[i], place[j]].astype(np.int64)
+class Overlaps:
+    """Sizes of the intersections of pairs of a group's sets: one by one for few pairs, from a table of all for many."""
+
+    def __init__(self, sets: list[np.ndarray]):
+        self.sets, self.total = sets, None
+
+    def of(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        if len(i) <= 4 * len(self.sets):
+            return np.array([len(np.intersect1d(self.sets[a], self.sets[b], assume_unique=True)) for a, b in zip(i.tolist(), j.tolist(), strict=True)], np.int64)
+        if self.total is None:
+            self.total = self._table()
+        return self.total[i, j].astype(np.int64)
+
+    def _table(self) -> np.ndarray:
+        row = np.repeat(np.arange(len(self.sets)), [len(s) for s in self.sets])
+        values, code, n = np.unique(np.concatenate(self.sets), return_inverse=True, return_counts=True)
+        number = np.cumsum(n > 1) - 1  # a shingle of one set alone is in no intersection
+        row, code = row[(n > 1)[code]], number[code[(n > 1)[code]]]
+        order = np.argsort(code, kind="stable")
+        row, code = row[order], code[order]
+        total = np.zeros((len(self.sets), len(self.sets)), np.float32)
+        for lo in range(0, int(code.max(initial=-1)) + 1, 1024):
+            a, b = np.searchsorted(code, [lo, lo + 1024])
+            part = np.zeros((len(self.sets), 1024), np.float32)
+            part[row[a:b], code[a:b] - lo] = 1
+            total += part @ part.T
+        return total
 
 
 def verified(members: DataFrame, threshold: float) -> DataFrame:
@@ -225,13 +236,15 @@ def verified(members: DataFrame, threshold: float) -> DataFrame:
                 copies = table.column("copies").to_numpy()
                 sets = [np.frombuffer(s, np.uint64) for s in table.column("shingles").to_pylist()]
                 sizes = np.array([len(s) for s in sets])
-                i, j = surviving(table, np.array([0, hi - lo]), least)
-                both = overlaps(sets, i, j)
-                linked = both >= threshold * (sizes[i] + sizes[j] - both) - 1e-9
-                i, j = i[linked], j[linked]
-                links = np.zeros(hi - lo, np.int64)
-                np.add.at(links, i, copies[j])
-                np.add.at(links, j, copies[i])
+                shared, links, pairs = Overlaps(sets), np.zeros(hi - lo, np.int64), [(np.empty(0, np.int32),) * 2]
+                for i, j in surviving_portions(table, np.array([0, hi - lo]), least):
+                    both = shared.of(i, j)
+                    linked = both >= threshold * (sizes[i] + sizes[j] - both) - 1e-9
+                    i, j = i[linked], j[linked]
+                    np.add.at(links, i, copies[j])
+                    np.add.at(links, j, copies[i])
+                    pairs.append((i.astype(np.int32), j.astype(np.int32)))
+                i, j = (np.concatenate(x) for x in zip(*pairs, strict=True))
                 ids = table.column("set_id")
                 columns = [ids, ids.take(pa.array(local_components(hi - lo, i, j)))]
                 yield pa.RecordBatch.from_arrays([*(c.combine_chunks() for c in columns), pa.array(links)], ["set_id", "label", "links"])

@@ -112,6 +112,28 @@ def test_repair_shrinks():
     assert n < len(ids) / 10 and repair_store.Block(data).slice(0, 777, 1234).tolist() == ids[777:1234].tolist()
 
 
+def test_a_real_block_is_smaller_than_its_ids(spark):
+    ids = [np.array(x) for x in expected_ids(spark, "/root/testdata/sf0.1", BYTE, 2).values()]
+    lengths = np.array([len(x) for x in ids])
+    n = int(np.searchsorted(np.cumsum(lengths), repair_store.BLOCK_IDS, "right"))
+    assert lengths[:n].sum() >= 0.5 * repair_store.BLOCK_IDS
+    whole = np.concatenate(ids[:n])
+    data, _ = repair_store.pack_block(pa.array(range(n)), whole, lengths[:n])
+    block = repair_store.Block(data)
+    assert np.array_equal(block.whole(), whole) and len(data) < 0.65 * 2 * len(whole), len(data) / 2 / len(whole)
+    # every rule that is kept saves what it costs
+    rest, _, rules, _ = repair_store.compress(whole, lengths[:n], 65536)
+    assert len(rest) + 3 * rules.shape[1] <= len(whole)
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.integers(0, 2**32 - 1).map(lambda x: x >> (x % 32)), max_size=70))
+def test_packed_numbers(numbers):
+    data = b"xyz" + repair_store.pack_numbers(np.array(numbers, np.int64)) + b"rest"
+    out, at = repair_store.unpack_numbers(data, 3)
+    assert out.tolist() == numbers and data[at:] == b"rest"
+
+
 def check_packing(rows, want, capacity):
     sequences, seen = {}, {}
     for r in rows:

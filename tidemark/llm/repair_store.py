@@ -9,6 +9,9 @@ pairs overlapping it. Only places whose pair may be frequent are looked at: a pa
 rarer, so places drop out as their pair is found to be rare, and come back where a neighbour is replaced.
 Rounds go on until no pair of a block occurs MIN_COUNT times.
 
+Rest symbols, rules and expansion lengths take as many bits as the largest needs: the low 16 bits (or 8) of each, then one
+bit plane for each higher bit, so a single one is found without reading those before it.
+
 Null texts are empty documents (only the end id). Null doc_ids are kept and come first. Repeated doc_ids
 are separate documents in the order of a hash of their text. Only the two named columns are read. An empty
 table gives no blocks. A document longer than a block is a block by itself.
@@ -28,11 +31,12 @@ from pyspark.sql import functions as F
 
 from .common import materialize, pieces, spread, strings
 
-MAGIC = b"RPR1"
+MAGIC = b"RPR2"
 #: Ids of one block, unless a document alone has more.
 BLOCK_IDS = 1_000_000
-#: A pair is frequent from so many occurrences in its block.
-MIN_COUNT = 16
+#: A pair is frequent from so many occurrences in its block. A rule costs two symbols and an expansion length, which is
+#: shorter than a symbol, and at least half of its pair's places are replaced: so each rule saves what it costs.
+MIN_COUNT = 6
 #: Bits of the table that counts pairs; of two pairs on one slot, one waits for a later round.
 TABLE_BITS = 18
 
@@ -45,9 +49,9 @@ def compress(ids: np.ndarray, lengths: np.ndarray, first_symbol: int) -> tuple[n
     seq = ids.astype(np.uint32)
     last = np.zeros(n, bool)
     last[np.cumsum(lengths) - 1] = True  # every document has its end id, so none is empty
-    following, preceding = np.arange(1, n + 1), np.arange(-1, n - 1)
+    following, preceding = np.arange(1, n + 1, dtype=np.int32), np.arange(-1, n - 1, dtype=np.int32)
     alive = np.ones(n, bool)
-    active = np.flatnonzero(~last)  # places whose pair with the next symbol may be frequent
+    active = np.flatnonzero(~last).astype(np.int32)  # places whose pair with the next symbol may be frequent
     rules, rounds, symbol = [], [], first_symbol
     while len(active):
         key = (seq[active].astype(np.uint64) << np.uint64(32)) | seq[following[active]]
@@ -59,13 +63,15 @@ def compress(ids: np.ndarray, lengths: np.ndarray, first_symbol: int) -> tuple[n
         owner[slot] = key
         counted = owner[slot] == key
         counts = np.bincount(slot[counted], minlength=size)
-        rank = np.where(counts >= MIN_COUNT, counts * size + np.arange(size), 0)
+        often = np.flatnonzero(counts >= MIN_COUNT)
+        rank = np.zeros(size, np.int32)  # frequent pairs by count, from 1
+        rank[often[np.argsort(counts[often], kind="stable")]] = np.arange(1, len(often) + 1)
         here = np.where(counted, rank[slot], 0)
         linked = np.zeros(len(active) + 1, bool)  # whether a place's pair overlaps that of the place before it in the list
         linked[1:-1] = following[active[:-1]] == active[1:]
         before, after = np.where(linked[:-1], np.roll(here, 1), 0), np.where(linked[1:], np.roll(here, -1), 0)
         first = here != before
-        place = np.arange(len(here))
+        place = np.arange(len(here), dtype=np.int32)
         run = place - np.maximum.accumulate(np.where(first, place, 0))  # a run: one pair again and again, as in aaaa
         taken = np.flatnonzero((here > 0) & (run % 2 == 0) & (~first | (here > before)) & (here >= after))
         # a pair that others take most places of waits until they are done; half of the most frequent one's are always left
@@ -90,7 +96,7 @@ def compress(ids: np.ndarray, lengths: np.ndarray, first_symbol: int) -> tuple[n
         look[left] = True
         back = preceding[left]
         look[back[back >= 0]] = True
-        active = np.flatnonzero(look & alive & ~last)
+        active = np.flatnonzero(look & alive & ~last).astype(np.int32)
     ends = np.cumsum(alive)[np.flatnonzero(last & alive)]
     return seq[alive], np.diff(ends, prepend=0), np.concatenate(rules, axis=1) if rules else np.zeros((2, 0), np.uint32), np.array(rounds, np.uint32)
 
@@ -108,21 +114,34 @@ def expansion_lengths(rules: np.ndarray, rounds: np.ndarray, first_symbol: int)
     return out
 
 
+def pack_numbers(numbers: np.ndarray) -> bytes:
+    """Numbers under 2**32 in as many bits as the largest needs."""
+    numbers = numbers.astype(np.uint32)
+    bits = int(numbers.max(initial=0)).bit_length()
+    low = 16 if bits > 8 else 8
+    planes = [np.packbits((numbers >> np.uint32(k)).astype(np.uint8) & 1).tobytes() for k in range(low, bits)]
+    return struct.pack("<IB", len(numbers), bits) + numbers.astype(f"<u{low // 8}").tobytes() + b"".join(planes)
+
+
+def unpack_numbers(data: bytes, at: int) -> tuple[np.ndarray, int]:
+    """The numbers packed at a place, and the place after them."""
+    n, bits = struct.unpack_from("<IB", data, at)
+    low, at = (16 if bits > 8 else 8), at + 5
+    out = np.frombuffer(data, f"<u{low // 8}", n, at).astype(np.int64)
+    at += n * low // 8
+    for k in range(low, bits):
+        plane = np.frombuffer(data, np.uint8, (n + 7) // 8, at)
+        out |= np.unpackbits(plane, count=n).astype(np.int64) << k
+        at += len(plane)
+    return out, at
+
+
 def pack_block(doc_ids: pa.Array, ids: np.ndarray, lengths: np.ndarray, first_symbol: int = 65536) -> tuple[bytes, int]:
     seq, symbols, rules, rounds = compress(ids, lengths, first_symbol)
-    wide = int(seq.max(initial=0)) >= 65536
-    parts = [
-        doc_ids.is_null().to_numpy(zero_copy_only=False).astype(np.uint8),
-        doc_ids.fill_null(0).to_numpy(zero_copy_only=False).astype("<i8"),
-        lengths.astype("<u4"),
-        symbols.astype("<u4"),
-        rounds.astype("<u4"),
-        rules.astype("<u4"),
-        expansion_lengths(rules, rounds, first_symbol).astype("<u4"),
-        seq.astype("<u4" if wide else "<u2"),
-    ]
-    head = MAGIC + struct.pack("<6I", first_symbol, len(lengths), len(rounds), rules.shape[1], len(seq), wide)
-    return head + b"".join(p.tobytes() for p in parts), len(seq)
+    documents = doc_ids.is_null().to_numpy(zero_copy_only=False).astype(np.uint8), doc_ids.fill_null(0).to_numpy(zero_copy_only=False).astype("<i8")
+    numbers = lengths, symbols, rounds, rules[0], rules[1], expansion_lengths(rules, rounds, first_symbol), seq
+    head = MAGIC + struct.pack("<2I", first_symbol, len(lengths))
+    return head + b"".join(x.tobytes() for x in documents) + b"".join(pack_numbers(x) for x in numbers), len(seq)
 
 
 class Block:
@@ -131,22 +150,15 @@ class Block:
     def __init__(self, data: bytes):
         if data[:4] != MAGIC:
             raise ValueError("not a Re-Pair block")
-        self.first, n_docs, n_rounds, n_rules, n_seq, wide = struct.unpack_from("<6I", data, 4)
-        at = 4 + 24
-
-        def take(kind: str, n: int) -> np.ndarray:
-            nonlocal at
-            out = np.frombuffer(data, kind, n, at)
-            at += out.nbytes
-            return out
-
-        null, doc_ids = take("u1", n_docs), take("<i8", n_docs)
+        self.first, n_docs = struct.unpack_from("<2I", data, 4)
+        null, doc_ids = np.frombuffer(data, np.uint8, n_docs, 12), np.frombuffer(data, "<i8", n_docs, 12 + n_docs)
         self.doc_ids = pa.array(doc_ids, pa.int64(), mask=null.astype(bool))
-        self.lengths, symbols = take("<u4", n_docs).astype(np.int64), take("<u4", n_docs).astype(np.int64)
-        rounds = take("<u4", n_rounds)
-        rules = take("<u4", 2 * n_rules).reshape(2, n_rules).astype(np.int64)
-        self.expansions = take("<u4", n_rules).astype(np.int64)
-        self.seq = take("<u4" if wide else "<u2", n_seq).astype(np.int64)
+        numbers, at = [], 12 + 9 * n_docs
+        for _ in range(7):
+            one, at = unpack_numbers(data, at)
+            numbers.append(one)
+        self.lengths, symbols, rounds, left, right, self.expansions, self.seq = numbers
+        rules = np.stack([left, right])
         self.symbol_starts = np.concatenate([[0], np.cumsum(symbols)])
         self.pool_starts = np.cumsum(self.expansions) - self.expansions
         self.pool = np.zeros(int(self.expansions.sum()), np.uint32)

@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import colour_index, human_duration, iso_week, percent_change, seconds_into_day, text_duration
-from .intervals import intersect_over_time, split
+from ..sources.shared import materialize
+from .intervals import intersect, split
 from .stats import activity_day_comparison
 
 _DAY = ["tenant_id", "day"]
@@ -27,7 +28,11 @@ def day_parts(chunks: DataFrame) -> DataFrame:
 
 def day_cells(chunks: DataFrame) -> DataFrame:
     """Sessions and seconds of each day, source and activity: what the other products of a day are made of."""
-    return day_parts(chunks).groupBy(*_DAY, "source", "category", "name").agg(F.count("*").alias("sessions"), F.sum(_D).alias(_D))
+    return _cells(day_parts(chunks))
+
+
+def _cells(parts: DataFrame) -> DataFrame:
+    return parts.groupBy(*_DAY, "source", "category", "name").agg(F.count("*").alias("sessions"), F.sum(_D).alias(_D))
 
 
 def _totals(sleep: str) -> list[Column]:
@@ -62,18 +67,30 @@ def top_of_day(chunks: DataFrame, sleep: str) -> DataFrame:
 
 def day_screen_overlap(chunks: DataFrame) -> DataFrame:
     """intersection of each day's embed activities with the phone's screen time."""
-    out = intersect_over_time(chunks.filter("source = 'embed'"), screens(chunks), "day")
-    return out.withColumn("day", F.to_date("period")).drop("period")
+    return _overlap(day_parts(chunks))
+
+
+def _overlap(parts: DataFrame) -> DataFrame:
+    parts = parts.withColumnRenamed("day", "period")
+    return intersect(parts.filter("source = 'embed'"), screens(parts), keys=("tenant_id", "period")).withColumnRenamed("period", "day")
+
+
+def _whole_days(parts: DataFrame, sleep: str) -> DataFrame:
+    """Totals, activities and top activity of each day in one pass: a day's cells, already sums, meet once."""
+    cells = _cells(parts).repartition(*_DAY).withColumn("named", F.sum(_D).over(Window.partitionBy(*_DAY, "source", "name")))
+    is_activity = (F.col("source") == "embed") & F.col("name").isNotNull()
+    activity = F.when(is_activity, F.struct("category", "name", "sessions", F.col(_D).alias("total_seconds")))
+    top = F.min(F.when(is_activity & (F.lower("name") != sleep.lower()), F.struct((-F.col("named")).alias("s"), "name")))
+    days = cells.groupBy(*_DAY).agg(*_totals(sleep), F.sort_array(F.collect_list(activity)).alias("activities"), top.alias("top"))
+    return days.withColumns({"top_activity": F.col("top.name"), "top_seconds": -F.col("top.s")}).drop("top")
 
 
 def day_picture(chunks: DataFrame, sleep: str = "A0", markers: DataFrame | None = None) -> DataFrame:
     """One row a tenant and day, with activities and overlaps nested as arrays of structs, and the day's marker if typed
-    markers are given."""
-    cells = day_cells(chunks)
-    known = F.when((F.col("source") == "embed") & F.col("name").isNotNull(), F.struct("category", "name", "sessions", F.col(_D).alias("total_seconds")))
-    totals = cells.groupBy(*_DAY).agg(*_totals(sleep), F.sort_array(F.collect_list(known)).alias("activities"))
-    overlaps = day_screen_overlap(chunks).groupBy(*_DAY).agg(F.sort_array(F.collect_list(F.struct("name", "category", "activity_seconds", "overlap_seconds", "overlap_percent"))).alias("overlaps"))
-    out = totals.join(_top(cells, sleep), _DAY, "left").join(overlaps, _DAY, "left")
+    markers are given. The chunks' parts of days are stored once, as all of it is made of them."""
+    parts = materialize(day_parts(chunks), "day_parts")
+    overlaps = _overlap(parts).groupBy(*_DAY).agg(F.sort_array(F.collect_list(F.struct("name", "category", "activity_seconds", "overlap_seconds", "overlap_percent"))).alias("overlaps"))
+    out = _whole_days(parts, sleep).join(overlaps, _DAY, "left")
     if markers is not None:
         out = out.join(markers.select(*_DAY, F.struct("mood", "habits", "people", "quick_note_markdown").alias("marker")), _DAY, "left")
     return out
@@ -138,19 +155,23 @@ def month_habits(markers: DataFrame) -> DataFrame:
 
 
 def daily_comparison(chunks: DataFrame, days: int) -> DataFrame:
-    daily = day_activities(chunks).groupBy(*_DAY, "name").agg(F.sum("total_seconds").alias("total_seconds"))
+    return _comparison(day_cells(chunks), days)
+
+
+def _comparison(cells: DataFrame, days: int) -> DataFrame:
+    daily = _activities(cells).groupBy(*_DAY, "name").agg(F.sum("total_seconds").alias("total_seconds"))
     return activity_day_comparison(daily, days)
 
 
 def daily_note(chunks: DataFrame, issues: DataFrame | None = None, sleep: str = "A0") -> DataFrame:
-    """Texts of each tenant's daily note."""
-    lines = daily_comparison(chunks, 7)
+    """Texts of each tenant's daily note, from the chunks' parts of days, which are stored once."""
+    parts = materialize(day_parts(chunks), "day_parts")
+    lines = _comparison(_cells(parts), 7)
     line = F.concat(F.col("name"), F.lit(" - "), human_duration(F.col("total_seconds")), F.lit(" | "), percent_change(F.col("total_seconds"), F.col("previous_mean")))
     activities = lines.groupBy(*_DAY).agg(F.array_join(F.array_sort(F.collect_list(line)), "\n").alias("activity_lines"))
-    over = day_screen_overlap(chunks).filter("overlap_seconds > 0")
+    over = _overlap(parts).filter("overlap_seconds > 0")
     screen = over.groupBy(*_DAY).agg(F.array_join(F.array_sort(F.collect_list(F.format_string("%s: %.1f%%", "name", "overlap_percent"))), "\n").alias("screen_lines"))
-    cells = day_cells(chunks)
-    base = cells.groupBy(*_DAY).agg(*_totals(sleep)).join(_top(cells, sleep), _DAY, "left").join(activities, _DAY, "left").join(screen, _DAY, "left")
+    base = _whole_days(parts, sleep).join(activities, _DAY, "left").join(screen, _DAY, "left")
     out = base.select(*_DAY, iso_week(F.col("day")).alias("week"), human_duration(F.col("tracked_seconds")).alias("tracked"), text_duration(F.col("screen_seconds")).alias("screen"), human_duration(F.col("sleep_seconds")).alias("sleep"), F.coalesce("top_activity", F.lit("—")).alias("top"), F.coalesce("activity_lines", F.lit("")).alias("activity_lines"), F.coalesce("screen_lines", F.lit("")).alias("screen_lines"))
     if issues is not None:
         from .validate import report

@@ -26,18 +26,23 @@ def _neighbour(df: DataFrame, columns: dict[str, str], *, ahead: bool = False) -
     return neighbour(df, ["tenant_id"], list(_ORDER), columns, ahead=ahead)
 
 
+def _active(screen: str, unlocked: str, down: str) -> Column:
+    return F.when(F.col(down), False).when(F.col(screen).isNull() | F.col(unlocked).isNull(), None).otherwise(F.col(screen) & F.col(unlocked))
+
+
 def states(log: DataFrame) -> DataFrame:
-    """log with screen, unlocked, down and active after each row; active is null while screen or lock is unknown."""
+    """log with screen, unlocked, down and active after each row, and the same before it (was_screen, was_unlocked, was_down,
+    was); active is null while screen or lock is unknown. was_seen is null in a tenant's first row."""
     known = log.filter(F.col("event").isin(*_KNOWN))
-    s = last_known(known, ["tenant_id"], list(_ORDER), {"screen": _signal(*SIGNALS["screen"]), "unlocked": _signal(*SIGNALS["keyguard"]), "down": _signal("DEVICE_SHUTDOWN", "DEVICE_STARTUP")})
-    s = s.withColumn("down", F.coalesce("down", F.lit(False)))
-    active = F.when(F.col("down"), False).when(F.col("screen").isNull() | F.col("unlocked").isNull(), None).otherwise(F.col("screen") & F.col("unlocked"))
-    return s.withColumn("active", active)
+    values = {"screen": _signal(*SIGNALS["screen"]), "unlocked": _signal(*SIGNALS["keyguard"]), "down": _signal("DEVICE_SHUTDOWN", "DEVICE_STARTUP"), "seen": F.lit(True)}
+    s = last_known(known, ["tenant_id"], list(_ORDER), values, before="was_")
+    s = s.withColumns({c: F.coalesce(c, F.lit(False)) for c in ("down", "was_down")})
+    return s.withColumns({"active": _active("screen", "unlocked", "down"), "was": _active("was_screen", "was_unlocked", "was_down")}).drop("seen")
 
 
 def active_intervals(log: DataFrame) -> DataFrame:
     """Active-screen intervals: tenant_id, seq of the start, start_timestamp, end_timestamp."""
-    state = _neighbour(states(log), {"was": "active"})
+    state = states(log)
     now, was = F.coalesce("active", F.lit(False)), F.coalesce("was", F.lit(False))
     ends = log.groupBy(F.col("tenant_id").alias("_tenant")).agg(F.max(F.when(F.col("event").isin(*_KNOWN), F.col("ts"))).alias("log_end"))
     turns = _neighbour(state.withColumn("turn", F.when(now != was, now)).filter("turn is not null"), {"following": "ts"}, ahead=True).filter("turn")
@@ -57,19 +62,18 @@ def drop_short(intervals: DataFrame, least: int = MIN_SECONDS) -> DataFrame:
 
 def anomalies(log: DataFrame) -> DataFrame:
     """Rows that repeat the state that they set, and startups without a shutdown."""
-    s = _neighbour(states(log), {"was_screen": "screen", "was_unlocked": "unlocked", "was_down": "down"})
+    s = states(log)
     same = F.lit(False)
     for column, (on, off) in {"screen": SIGNALS["screen"], "unlocked": SIGNALS["keyguard"]}.items():
         same = same | (F.col("event").isin(on, off) & F.col(f"was_{column}").eqNullSafe(F.col(column)) & F.col(column).isNotNull())
-    was_down = F.coalesce("was_down", F.lit(False))
-    kind = F.when((F.col("event") == "DEVICE_STARTUP") & ~was_down, "startup_without_shutdown").when((F.col("event") == "DEVICE_SHUTDOWN") & was_down, "repeated_state").when(same, "repeated_state")
+    kind = F.when((F.col("event") == "DEVICE_STARTUP") & ~F.col("was_down"), "startup_without_shutdown").when((F.col("event") == "DEVICE_SHUTDOWN") & F.col("was_down"), "repeated_state").when(same, "repeated_state")
     return s.withColumn("anomaly", kind).filter("anomaly is not null").select("tenant_id", "seq", "ts", "event", "anomaly")
 
 
 def unknown_ranges(log: DataFrame, *, until: datetime | None = None) -> DataFrame:
     """Runs of rows whose active state is unknown, up to the next known row. A trailing run ends at `until`, or is left out."""
-    s = _neighbour(states(log).withColumn("unknown", F.col("active").isNull()), {"was_unknown": "unknown"})
-    turns = _neighbour(s.filter(F.col("unknown") != F.coalesce("was_unknown", F.lit(False))), {"end_timestamp": "ts"}, ahead=True)
+    s = states(log).withColumn("unknown", F.col("active").isNull())
+    turns = _neighbour(s.filter(F.col("unknown") != (F.col("was_seen").isNotNull() & F.col("was").isNull())), {"end_timestamp": "ts"}, ahead=True)
     if until:
         turns = turns.withColumn("end_timestamp", F.coalesce("end_timestamp", F.lit(until).cast("timestamp_ntz")))
     return turns.filter("unknown and end_timestamp is not null").select("tenant_id", "seq", F.col("ts").alias("start_timestamp"), "end_timestamp")
@@ -99,7 +103,7 @@ def signal_intervals(log: DataFrame, on: str, off: str, start: datetime, end: da
 def windowed(log: DataFrame, start: datetime, end: datetime) -> DataFrame:
     """Active intervals inside [start, end): rows before start set the state only. stop says what ended each one."""
     lo, hi = F.lit(start).cast("timestamp_ntz"), F.lit(end).cast("timestamp_ntz")
-    s = _neighbour(states(log.filter(F.col("ts") < hi)), {"was": "active"})
+    s = states(log.filter(F.col("ts") < hi))
     now, was = F.coalesce("active", F.lit(False)), F.coalesce("was", F.lit(False))
     turns = s.withColumn("turn", F.when(now != was, now)).filter("turn is not null")
     ended = _neighbour(turns, {"end_timestamp": "ts", "stop": "event"}, ahead=True).filter("turn")

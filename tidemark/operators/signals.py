@@ -58,8 +58,7 @@ def window_report(log: DataFrame, start: datetime, end: datetime) -> DataFrame:
 
     Rows before the range set the state that it begins with, an interval or unknown range that is open there is cut to it."""
     _, hi = _range(start, end)
-    state = phone.states(log.filter(F.col("ts") <= hi))
-    state = materialize(phone._neighbour(state, {"was": "active", "was_screen": "screen", "was_unlocked": "unlocked", "was_down": "down"}), "states")
+    state = materialize(phone.states(log.filter(F.col("ts") <= hi)), "states")
     turned = phone._neighbour(state.filter(~F.col("active").eqNullSafe(F.col("was"))), {"until": "ts", "until_seq": "seq", "until_event": "event"}, ahead=True)
     closed = F.col("until").isNotNull()
     spans = turned.filter("active IS NULL OR active").select(

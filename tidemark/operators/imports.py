@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
@@ -33,19 +34,19 @@ class Import:
             discard(table)
 
 
-def import_events(stored: DataFrame, incoming: DataFrame) -> Import:
+def import_events(stored: DataFrame, incoming: DataFrame, apart: Sequence[str] = ()) -> Import:
     """Append the new events and rebuild. Only tables of the scratch folder are written, so the same serves as a preview; sinks
-    are in readers.
+    are in readers. Equal events that differ in an expression of `apart` are all appended (merge.judge_incoming).
 
     summary: tenant_id, total, new and duplicates of the import, first and last time, chunks and warnings afterwards."""
-    judged = materialize(merge.judge_incoming(stored, incoming), "judged")
+    judged = materialize(merge.judge_incoming(stored, incoming, apart), "judged")
     events = stored.unionByName(judged.filter("NOT known").select("first.*").select(stored.columns))
     built = materialize(build.build(events), "built")
     counts = judged.groupBy(F.col("first.tenant_id").alias("tenant_id")).agg(
         F.sum("n").alias("total"),
         F.min("first.timestamp").alias("first_timestamp"),
         F.max("first.timestamp").alias("last_timestamp"),
-        F.count(F.when(~F.col("known"), 1)).alias("new"),
+        F.count(F.when(F.col("new"), 1)).alias("new"),
     )
     is_chunk = (F.col("kind") == "chunk") & (F.col("end_timestamp") >= F.col("start_timestamp"))
     made = built.groupBy("tenant_id").agg(F.count(F.when(is_chunk, 1)).alias("chunks"), F.count(F.when(~is_chunk, 1)).alias("warnings"))

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .carry import numbered
@@ -15,9 +16,15 @@ _REPEATS = 10_000
 EVENT_KEY = ("tenant_id", "timestamp", "event_kind", "category", "name")
 
 
-def _key(df: DataFrame) -> DataFrame:
+def _key(df: DataFrame, apart: Sequence[str] = ()) -> DataFrame:
+    """df with its event key; the expressions `apart` tell equal events apart, as columns _apart0 and so on."""
     blank = {"category", "name"}
-    return df.select("*", F.struct(*[(F.coalesce(c, F.lit("")) if c in blank else F.col(c)).alias(c) for c in EVENT_KEY]).alias("_key"))
+    key = F.struct(*[(F.coalesce(c, F.lit("")) if c in blank else F.col(c)).alias(c) for c in EVENT_KEY])
+    return df.select("*", key.alias("_key"), *[F.expr(x).alias(n) for x, n in zip(apart, _names(apart), strict=True)])
+
+
+def _names(apart: Sequence[str]) -> list[str]:
+    return [f"_apart{i}" for i in range(len(apart))]
 
 
 def canonical_ids(events: DataFrame) -> DataFrame:
@@ -26,27 +33,39 @@ def canonical_ids(events: DataFrame) -> DataFrame:
     return _key(events).join(low, "_key").select("tenant_id", "id", "canonical_id")
 
 
-def deduplicate(events: DataFrame) -> DataFrame:
+def deduplicate(events: DataFrame, apart: Sequence[str] = ()) -> DataFrame:
     """Of equal events the one with the smallest id."""
     low = F.min_by(F.struct(*events.columns), "id")
-    return _key(events).groupBy("_key").agg(low.alias("e")).select("e.*")
+    return _key(events, apart).groupBy("_key", *_names(apart)).agg(low.alias("e")).select("e.*")
+
 
+def new_events(incoming: DataFrame, stored: DataFrame, apart: Sequence[str] = ()) -> DataFrame:
+    """Incoming events without those stored already; of repeats the first. Equal events that differ in an expression of
+    `apart` are no repeats."""
+    keys = ["_key", *_names(apart)]
+    fresh = _key(deduplicate(incoming, apart), apart).join(_key(stored, apart).select(keys).distinct(), keys, "left_anti")
+    return fresh.drop(*keys)
 
-def new_events(incoming: DataFrame, stored: DataFrame) -> DataFrame:
-    """Incoming events without those stored already; of repeats the first."""
-    fresh = _key(deduplicate(incoming)).join(_key(stored).select("_key").distinct(), "_key", "left_anti")
-    return fresh.drop("_key")
 
+def judge_incoming(stored: DataFrame, incoming: DataFrame, apart: Sequence[str] = ()) -> DataFrame:
+    """A row for each distinct event of the import: first (the one with the smallest id), n (how often it comes), whether the
+    stored events have it already, and whether it counts as new. One scan of each table and one shuffle of keys.
 
-def judge_incoming(stored: DataFrame, incoming: DataFrame) -> DataFrame:
-    """A row for each distinct event of the import: first (the one with the smallest id), n (how often it comes), and whether
-    the stored events have it already. One scan of each table and one shuffle of keys."""
+    Equal events that differ in an expression of `apart` are distinct; only the one with the smallest id, stored ones
+    included, counts as new."""
     columns = incoming.columns
     row = F.struct(*columns)
-    both = _key(incoming).select("_key", row.alias("row"), "id", F.lit(1).alias("n"), F.lit(False).alias("old"))
-    both = both.unionByName(_key(stored).select("_key", F.lit(None).cast(both.schema["row"].dataType).alias("row"), F.lit(None).cast("long").alias("id"), F.lit(0).alias("n"), F.lit(True).alias("old")))
-    judged = both.groupBy("_key").agg(F.min_by("row", "id").alias("first"), F.sum("n").alias("n"), F.bool_or("old").alias("known"))
-    return judged.filter("n > 0").drop("_key")
+    keys = ["_key", *_names(apart)]
+    both = _key(incoming, apart).select(*keys, row.alias("row"), "id", F.lit(1).alias("n"), F.lit(False).alias("old"))
+    nothing = F.lit(None).cast(both.schema["row"].dataType)
+    both = both.unionByName(_key(stored, apart).select(*keys, nothing.alias("row"), "id", F.lit(0).alias("n"), F.lit(True).alias("old")))
+    first = F.min_by("row", F.when(~F.col("old"), F.col("id")))
+    found = (both.repartition("_key") if apart else both).groupBy(*keys)
+    judged = found.agg(first.alias("first"), F.sum("n").alias("n"), F.bool_or("old").alias("known"), F.min("id").alias("low"))
+    new = ~F.col("known")
+    if apart:
+        new &= F.col("low") == F.min("low").over(Window.partitionBy("_key"))
+    return judged.withColumn("new", new).filter("n > 0").drop(*keys, "low")
 
 
 def repoint(table: DataFrame, ids: DataFrame, columns: list[str]) -> DataFrame:

@@ -28,10 +28,12 @@ _KEY_DAY = ["tenant_id", "source", "day"]
 
 @dataclass(frozen=True)
 class Store:
-    """Events and what is built from them, in a folder that all executors share."""
+    """Events and what is built from them, in a folder that all executors share. Equal events that differ in an expression of
+    `apart` are no repeats (merge.new_events)."""
 
     spark: SparkSession
     path: str
+    apart: tuple[str, ...] = ()
 
     def _table(self, name: str, schema: str) -> DataFrame:
         return self.spark.read.schema(schema).parquet(f"{self.path}/{name}").filter(F.col("version") <= self.version())
@@ -59,7 +61,7 @@ class Store:
         version = self.version() + 1
         dated = incoming.withColumn("day", F.to_date("timestamp"))
         days = _days(dated)
-        fresh = merge.new_events(dated, self.events().filter(F.col("day").isin(days)))
+        fresh = merge.new_events(dated, self.events().filter(F.col("day").isin(days)), self.apart)
         self._append(fresh.select([c for c in self.events().columns]), "events", version)
         added = self._read("events", EVENTS, version)
         touched = build.bucket_rows(added).select(_KEY_DAY).distinct()

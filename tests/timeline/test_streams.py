@@ -157,6 +157,16 @@ def test_import_of_files_once_each(spark, tmp_path, monkeypatch):
     assert len(set(ids)) == len(ids)
 
 
+def test_many_small_logs_are_few_batches(spark, tmp_path):
+    for k in range(20):
+        (tmp_path / f"logs/log={k}").mkdir(parents=True)
+        (tmp_path / f"logs/log={k}/a.csv").write_text(f"timestamp,event,task\n2026-01-01 10:00:0{k % 10},start,a\nsoon,end,a\n")
+    target = str(tmp_path / "target")
+    streams.import_tracker_files(spark, str(tmp_path / "logs"), target, tenant_id=F.col("log"), folders="log long")
+    assert streams.imported_events(spark, target).count() == streams.rejected_lines(spark, target).count() == 20
+    assert len(list((tmp_path / "target/events").glob("batch=*"))) == 1
+
+
 def test_r2_has_all_chunks(spark):
     columns = [c.split()[0] for c in streams.CHUNKS.split(", ")]
     want = build.chunks_of(build.build(adapter.events(spark, SF))).select(*[F.col(c).cast(t) for c, t in (x.split() for x in streams.CHUNKS.split(", "))])

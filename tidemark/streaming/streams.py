@@ -46,18 +46,22 @@ def run_stateful(df: DataFrame, tag: str) -> tuple[DataFrame, str]:
     return spark.read.schema(df.schema).parquet(f"{place}/rows"), f"{place}/state"
 
 
+#: Bytes of the files of a micro-batch of the import.
+BATCH_BYTES = 512 << 20
 IMPORTED = "tenant_id long, timestamp timestamp_ntz, device_source string, event_kind string, category string, name string, file string, line long, id long, day date"
 
 
-def import_tracker_files(spark: SparkSession, path: str, target: str, *, tenant_id: Column, folders: str = "", files_per_trigger: int = 8) -> None:
+def import_tracker_files(spark: SparkSession, path: str, target: str, *, tenant_id: Column, folders: str = "", files_per_trigger: int | None = None) -> None:
     """Import the tracker CSV files under path that are new since the last call, under target: events (new ones only, each
     once), rejected (lines that can't be read, with file, line and reason), and the stream's state.
 
     A micro-batch writes folders of its own number and replaces them if it runs again after a failure, and it compares its
-    events with those of earlier numbers on its own days only. So a restart neither repeats nor loses a row. `folders` are the
-    types of partition folders ("log long"), of which tenant_id may be made."""
+    events with those of earlier numbers on its own days only. So a restart neither repeats nor loses a row. A micro-batch takes
+    BATCH_BYTES of files, or files_per_trigger of them if that is given: many small logs are few micro-batches. `folders` are
+    the types of partition folders ("log long"), of which tenant_id may be made."""
     schema = "value string" + (f", {folders}" if folders else "")
-    lines = placed_lines(spark.readStream.format("text").schema(schema).option("maxFilesPerTrigger", files_per_trigger).load(path))
+    size = ("maxBytesPerTrigger", BATCH_BYTES) if files_per_trigger is None else ("maxFilesPerTrigger", files_per_trigger)
+    lines = placed_lines(spark.readStream.format("text").schema(schema).option(*size).load(path))
 
     def write(batch: DataFrame, number: int) -> None:
         batch.persist()
@@ -77,7 +81,8 @@ def _write_batch(events: DataFrame, rejected: DataFrame, target: str, number: in
     if number and first is not None:
         known = imported_events(spark, target).filter((F.col("batch") < number) & F.col("day").between(first, last))
         fresh = new_events(dated, known)
-    fresh.select([x.split()[0] for x in IMPORTED.split(", ")]).write.mode("overwrite").partitionBy("day").parquet(f"{target}/events/batch={number}")
+    # files of a day follow its size
+    fresh.select([x.split()[0] for x in IMPORTED.split(", ")]).hint("rebalance", "day").write.mode("overwrite").partitionBy("day").parquet(f"{target}/events/batch={number}")
 
 
 def imported_events(spark: SparkSession, target: str) -> DataFrame:

@@ -81,6 +81,18 @@ def test_late_events_are_repaired(spark, tmp_path):
     assert 0 < len(waiting_rows(spark, state)) < 150
 
 
+def test_states_are_shared_by_tenants(spark, tmp_path):
+    """A state holds some tenants' keys, each with its own machine; a null source is a key, too."""
+    t0 = datetime(2026, 1, 1)
+    rng = random.Random(8)
+    rows = [(t, k * 40 + t, t0 + timedelta(hours=k), rng.choice(["pc", None]), "interval_start" if k % 2 == 0 else "interval_end", "c", "a") for k in range(20) for t in range(40)]
+    micro_batches(spark, str(tmp_path / "in"), rows, lag=0, parts=4)
+    steps, state = run_chunks(spark, str(tmp_path / "in"))
+    groups = spark.read.format("statestore").option("path", state).option("stateVarName", "reached").load().select("key").distinct().count()
+    assert 0 < groups <= 3
+    assert pairs(streams.with_tail(steps, spark.createDataFrame(rows, streams.EVENTS))) == pairs(build.chunks_of(batch_build(spark, rows)))
+
+
 def test_fold_in_any_cut():
     rng = random.Random(2)
     events = [(k, k % 7, rng.random() < 0.5, "c", rng.choice("ab")) for k in range(300)]

@@ -60,21 +60,27 @@ def _wake(handle: StatefulProcessorHandle, at_ms: int) -> None:
         handle.registerTimer(at_ms)
 
 
+#: Tenants whose keys share a state: what a call to the state costs is paid once for their keys.
+TENANTS = 16
+_IDLE = (-(1 << 62), 0, False, None, None, None, None)
+
+
 class Intervals(StatefulProcessor):
-    """The state machine of a tenant's source: events wait in a list until the watermark passes them, and are then taken in
-    (time, id) order. One that belongs before the last event taken is late."""
+    """The state machines of the sources of some tenants: events wait in a list until the watermark passes them, and are then
+    taken in (time, id) order of their key. One that belongs before the last event taken of its key is late."""
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.waiting = handle.getListState("waiting", "ts long, id long, is_start boolean, category string, name string")
-        self.reached = handle.getValueState("reached", "ts long, id long, open boolean, start_ts long, start_id long, category string, name string")
+        self.waiting = handle.getListState("waiting", "tenant_id long, source string, ts long, id long, is_start boolean, category string, name string")
+        self.reached = handle.getListState("reached", "tenant_id long, source string, ts long, id long, open boolean, start_ts long, start_id long, category string, name string")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         first = None
         for pdf in rows:
             times = _micros(pdf["timestamp"])
+            tenants = [None if pd.isna(x) else int(x) for x in pdf["tenant_id"]]
             is_start = (pdf["event_kind"] == "interval_start").tolist()
-            events = list(zip(times, pdf["id"].tolist(), is_start, _texts(pdf["category"]), _texts(pdf["name"]), strict=True))
+            events = list(zip(tenants, _texts(pdf["device_source"]), times, pdf["id"].tolist(), is_start, _texts(pdf["category"]), _texts(pdf["name"]), strict=True))
             if events:
                 self.waiting.appendList(events)
                 first = min(times) if first is None else min(first, *times)
@@ -84,20 +90,26 @@ class Intervals(StatefulProcessor):
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         passed = timerValues.getCurrentWatermarkInMs() * 1000
-        events = sorted((tuple(e) for e in self.waiting.get()), key=lambda e: e[:2])
-        ready = [e for e in events if e[0] < passed]
-        rest = events[len(ready) :]
+        ready, rest = {}, []
+        for e in self.waiting.get():
+            if e[2] < passed:
+                ready.setdefault(tuple(e[:2]), []).append(tuple(e[2:]))
+            else:
+                rest.append(tuple(e))
         if rest:
             self.waiting.put(rest)
-            _wake(self.handle, rest[0][0] // 1000 + 1)
+            _wake(self.handle, min(e[2] for e in rest) // 1000 + 1)
         else:
             self.waiting.clear()
         if ready:
-            state = self.reached.get() if self.reached.exists() else (-(1 << 62), 0, False, None, None, None, None)
-            steps, state = fold(ready, state)
-            self.reached.update(state)
-            if steps:
-                yield _frame([(key[0], key[1], *s) for s in steps])
+            reached = {tuple(r[:2]): tuple(r[2:]) for r in self.reached.get()} if self.reached.exists() else {}
+            out = []
+            for own, events in ready.items():
+                steps, reached[own] = fold(sorted(events, key=lambda e: e[:2]), reached.get(own, _IDLE))
+                out += [(*own, *s) for s in steps]
+            self.reached.put([(*own, *state) for own, state in reached.items()])
+            if out:
+                yield _frame(out)
 
 
 def _texts(column: pd.Series) -> list[str | None]:
@@ -129,7 +141,7 @@ def fold(events: list[tuple], state: tuple) -> tuple[list[tuple], tuple]:
 
 
 def _frame(rows: list[tuple]) -> pd.DataFrame:
-    pdf = pd.DataFrame(rows, columns=[c.split()[0] for c in STEPS.split(", ")])
+    pdf = pd.DataFrame(rows, columns=[c.split()[0] for c in STEPS.split(", ")]).astype({"tenant_id": "Int64"})
     for c in ("start_timestamp", "end_timestamp"):
         pdf[c] = pd.to_datetime(pdf[c].astype("Int64"), unit="us")
     return pdf.astype({"start_event_id": "Int64", "end_event_id": "Int64"})
@@ -138,7 +150,8 @@ def _frame(rows: list[tuple]) -> pd.DataFrame:
 def interval_steps(events: DataFrame, delay: str) -> DataFrame:
     """STEPS of a stream of start and end events."""
     kept = events.filter(F.col("event_kind").isin("interval_start", "interval_end")).withColumn("timestamp", F.col("timestamp").cast("timestamp"))
-    return watched(kept, "timestamp", delay).groupBy("tenant_id", "device_source").transformWithStateInPandas(Intervals(), STEPS, "Append", "EventTime")
+    kept = kept.withColumn("tenants", F.floor(F.col("tenant_id") / TENANTS))
+    return watched(kept, "timestamp", delay).groupBy("tenants").transformWithStateInPandas(Intervals(), STEPS, "Append", "EventTime")
 
 
 class Totals(StatefulProcessor):

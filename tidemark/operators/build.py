@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 KEY = ("tenant_id", "source")
 #: Events of one bucket, and of one portion of a task's stream, at most.
-BUCKET, PORTION = 1_000, 200_000
+BUCKET, PORTION = 1_000, 50_000
 _STATE = "struct<id: bigint, ts: timestamp_ntz, category: string, name: string>"
 #: kind is chunk, duplicate_start, orphan_end, mismatch or unclosed.
 OUT = "tenant_id long, source string, kind string, start_event_id long, start_timestamp timestamp_ntz, end_event_id long, end_timestamp timestamp_ntz, category string, name string, open_category string, open_name string"
@@ -203,11 +203,19 @@ def _entry_batch(row: pa.RecordBatch, entry: list, final: bool) -> pa.RecordBatc
     return pa.RecordBatch.from_arrays([*(row.column(c) for c in ("tenant_id", "source", "day", "part")), pa.array(entry, _STATE_TYPE), pa.array([final])], _ENTRY)
 
 
+def _pieces(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """The batch in pieces of whole buckets with PORTION events, or with one bucket more."""
+    if not batch.num_rows:
+        return
+    before = np.cumsum(pc.list_value_length(batch.column("ts")).to_numpy(zero_copy_only=False)) // PORTION
+    cuts = [0, *(np.flatnonzero(np.diff(before)) + 1).tolist(), batch.num_rows]
+    for at, end in zip(cuts, cuts[1:], strict=False):
+        yield batch.slice(at, end - at)
+
+
 def _results(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Chunks and warnings of buckets entered with known states."""
-    for batch in batches:
-        if not batch.num_rows:
-            continue
+    for batch in (part for whole in batches for part in _pieces(whole)):
         column = {c: batch.column(c).flatten() for c in ("ts", "id", "is_start", "category", "name")}
         bounds = np.concatenate([[0], np.cumsum(pc.list_value_length(batch.column("ts")).to_numpy(zero_copy_only=False))]).astype(np.int64)
         entry = batch.column("entry")

@@ -414,6 +414,15 @@ def plain_feature(pcm):
     return f"samples={len(pcm)};peak={max(map(abs, pcm), default=0)};rms={math.isqrt(sum(x * x for x in pcm) // max(1, len(pcm)))};crossings={crossings};crc32={zlib.crc32(struct.pack(f'<{len(pcm)}h', *pcm)):08x}"
 
 
+def test_op6_stores_all_samples_of_16_khz(spark, tmp_path, monkeypatch):
+    stored = []
+    monkeypatch.setattr(media, "describe", lambda pcm: stored.append(pcm) or pcm)
+    spark.createDataFrame([(1, "abc" * 50), (2, None)], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    QUERIES["op6_media_columns"](spark, str(tmp_path))
+    for r in stored[0].collect():  # 16-bit samples, two for each of the media at 8 kHz, which hold one or two a byte
+        assert r.rate == 16000 and len(r.pcm) >= 4 * r.payload_bytes > 0
+
+
 @pytest.mark.parametrize("rate", [16000, 4000])
 def test_op6_round_trip(spark, rate):
     for docs in (spark.read.parquet(f"{SF}/documents.parquet").filter("n_chars < 20000"), odd_docs(spark)):

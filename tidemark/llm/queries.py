@@ -38,13 +38,9 @@ def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.near_duplicates(read_table(spark, sf_dir, "documents"))
 
 
-#: Samples a second of the PCM that op6 stores; the disk limit has room for no higher rate (figures in the README).
-PCM_RATE = 4000
-
-
 def op6_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     stored = media.store_texts(read_table(spark, sf_dir, "documents"))
-    return media.describe(media.store_pcm(stored, rate=PCM_RATE))
+    return media.describe(media.store_pcm(stored))
 
 
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

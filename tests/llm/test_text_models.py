@@ -423,6 +423,23 @@ def test_op6_stores_all_samples_of_16_khz(spark, tmp_path, monkeypatch):
         assert r.rate == 16000 and len(r.pcm) >= 4 * r.payload_bytes > 0
 
 
+def test_op6_packs_any_samples_without_loss():
+    rng = np.random.default_rng(5)
+    blocks = rng.integers(0, 256, (40, 64), np.uint8)
+    kinds = [np.empty(0, np.int16), np.array([-32768], np.int16), np.array([32767, -32768] * 70, np.int16), np.arange(-500, 500, dtype=np.int16), media.MULAW_TABLE[rng.integers(0, 256, 777)]]
+    kinds += [rng.integers(-32768, 32768, n).astype(np.int16) for n in (1, 120, 121, 122, 5000)] + [media.decode_adpcm(blocks).reshape(-1)[:n] for n in (4840, 4000)]
+    kinds += [media.resample(x, 8000, 16000) for x in kinds]
+    broken = kinds[-1].copy()
+    broken[4001] += 1  # one sample that doesn't interpolate its neighbours
+    kinds.append(broken)
+    packed = media.pack_samples(kinds)
+    assert all(np.array_equal(x, y) for x, y in zip(kinds, media.unpack_samples(packed), strict=True))
+    assert all(len(p) <= 2 * len(x) + 11 + 2 for x, p in zip(kinds, packed, strict=True))
+    texts = [(w * 200).encode()[:6400] for w in ("The quick brown fox jumps over the lazy dog. ", "Pack my box with five dozen jugs. ")]
+    made = [media.resample(x, 8000, 16000) for x in media.expand([media.parse_wav(media.wav(t, c)) for t in texts for c in media.CODECS])]
+    assert sum(map(len, media.pack_samples(made))) < sum(2 * len(x) for x in made) / 3
+
+
 @pytest.mark.parametrize("rate", [16000, 4000])
 def test_op6_round_trip(spark, rate):
     for docs in (spark.read.parquet(f"{SF}/documents.parquet").filter("n_chars < 20000"), odd_docs(spark)):

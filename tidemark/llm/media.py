@@ -1,6 +1,8 @@
 """Telephony audio columns: mu-law, A-law and IMA ADPCM in WAV containers, expanded to PCM and resampled.
 
 Media are stored, and so is the PCM that is made of the stored media; digests and features come from what is read back.
+PCM is stored without loss in fewer bytes (`pack_samples`): samples that interpolate their neighbours, few distinct values
+and ADPCM steps are told by what differs from them, so any PCM comes back sample by sample.
 
 mu-law and A-law expand through 256-entry tables; ADPCM decodes one sample position of all blocks of a
 batch at a time, so the Python loop runs over the samples of a block, not over blocks or documents.
@@ -31,6 +33,8 @@ UNIT = 64
 SLICE_BYTES = 4_000_000
 ALAW, MULAW, ADPCM = 6, 7, 17
 CODECS = (MULAW, ALAW, ADPCM)
+#: How media and PCM are written: zstd at a level that takes more CPU time for fewer bytes.
+DENSE = {"compression": "zstd", "parquet.compression.codec.zstd.level": "12"}
 MEDIA = "doc_id long, n_bytes long, codec int, media binary"
 
 # Fixed values of the IMA ADPCM format.
@@ -139,6 +143,117 @@ def expand(parsed: list[tuple[int, int, int, memoryview]]) -> list[np.ndarray]:
     return out
 
 
+#: Samples that one ADPCM block of UNIT bytes gives: the predictor of stored samples starts anew after as many.
+RUN = 2 * (UNIT - 4) + 1
+FORM_RAW, FORM_MULAW, FORM_ALAW, FORM_STEPS, HALVED = 0, 1, 2, 3, 4
+#: For each 16-bit value its code in the table, or -1.
+_PLACES = {form: np.full(65536, -1, np.int16) for form in (FORM_MULAW, FORM_ALAW)}
+for _form, _table in ((FORM_MULAW, MULAW_TABLE), (FORM_ALAW, ALAW_TABLE)):
+    _PLACES[_form][_table.view(np.uint16)] = np.arange(256)
+
+
+def _step_code(now: np.ndarray, then: np.ndarray, index: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The ADPCM code next to each change, and what it leaves (modulo 2 ** 16)."""
+    step, size, code = STEPS[index], np.abs(then - now), np.zeros(len(index), np.int64)
+    for bit in (4, 2, 1):
+        fits = size >= step
+        code += bit * fits
+        size, step = size - step * fits, step >> 1
+    code += 8 * (then < now)
+    return code, (then - np.clip(now + ADPCM_CHANGE[index * 16 + code], -32768, 32767)).astype(np.int16)
+
+
+def _step_codes(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Codes and rests of runs; a column is a run. Where a sample is at its limit, several codes fit: the smallest is taken if
+    only then the next change leaves no rest, else the largest."""
+    index = np.full(x.shape[1], len(STEPS) - 1, np.int16)
+    codes, rest = np.empty((len(x) - 1, x.shape[1]), np.uint8), np.empty((len(x) - 1, x.shape[1]), np.int16)
+    for k in range(len(x) - 1):
+        code, left = _step_code(x[k], x[k + 1], index)
+        at_limit = np.flatnonzero((x[k + 1] == 32767) | (x[k + 1] == -32768))
+        small = np.zeros(len(at_limit), bool)
+        if k + 2 < len(x):
+            ahead = [_step_code(x[k + 1, at_limit], x[k + 2, at_limit], ADPCM_NEXT[index[at_limit] * 16 + c])[1] == 0 for c in (code[at_limit], 7)]
+            small = ahead[0] & ~ahead[1] & (left[at_limit] == 0)
+        large = at_limit[~small]
+        code[large] = 7 + 8 * (x[k + 1, large] < 0)
+        left[large] = (x[k + 1, large] - np.clip(x[k, large] + ADPCM_CHANGE[index[large] * 16 + code[large]], -32768, 32767)).astype(np.int16)
+        codes[k], rest[k] = code, left
+        index = ADPCM_NEXT[index * 16 + code]
+    return codes, rest
+
+
+def _from_step_codes(first: np.ndarray, codes: np.ndarray, rest: np.ndarray) -> np.ndarray:
+    codes, rest = np.ascontiguousarray(codes.T), np.ascontiguousarray(rest.T)
+    index = np.full(len(first), len(STEPS) - 1, np.int16)
+    out = np.empty((RUN, len(first)), np.int16)
+    out[0] = first
+    for k in range(RUN - 1):
+        at = index * 16 + codes[k]
+        out[k + 1] = np.clip(out[k] + ADPCM_CHANGE[at], -32768, 32767).astype(np.int16) + rest[k]
+        index = ADPCM_NEXT[at]
+    return out.T
+
+
+def pack_samples(pcm: list[np.ndarray]) -> list[bytes]:
+    """16-bit samples without loss: a byte for the form, the number of samples, and
+    FORM_RAW: the samples; FORM_MULAW and FORM_ALAW (all samples are values of that table): a byte a sample; FORM_STEPS: runs of
+    RUN samples as first sample, 4-bit ADPCM codes, a bit for each code that leaves a rest, and the rests.
+    HALVED: every second sample is what `resample` makes of its neighbours, and is left out of these."""
+    out: list[bytes] = [b""] * len(pcm)
+    stepwise: list[tuple[int, int, np.ndarray]] = []
+    for i, x in enumerate(pcm):
+        whole, form = np.ascontiguousarray(x, np.int16), 0
+        x = whole
+        if len(whole) and len(whole) % 2 == 0 and np.array_equal(resample(whole[::2], 1, 2), whole):
+            x, form = np.ascontiguousarray(whole[::2]), HALVED
+        for kind, places in _PLACES.items():
+            codes = places[x.view(np.uint16)]
+            if codes.min(initial=0) >= 0:
+                out[i] = struct.pack("<Bq", form | kind, len(x)) + codes.astype(np.uint8).tobytes()
+                break
+        else:
+            out[i] = struct.pack("<Bq", form | FORM_RAW, len(x)) + x.astype("<i2").tobytes()
+            stepwise.append((i, form, x))
+    if stepwise:
+        runs = [np.pad(x, (0, -len(x) % RUN), "edge").reshape(-1, RUN) for _, _, x in stepwise]
+        columns = np.ascontiguousarray(np.concatenate(runs).T).astype(np.int32)
+        codes, rest = (c.T for c in _step_codes(columns))
+        bounds = np.cumsum([0, *map(len, runs)])
+        for (i, form, x), own, lo, hi in zip(stepwise, runs, bounds[:-1], bounds[1:], strict=True):
+            left = rest[lo:hi] != 0
+            packed = b"".join([struct.pack("<Bq", form | FORM_STEPS, len(x)), own[:, 0].astype("<i2").tobytes(), (codes[lo:hi, ::2] | codes[lo:hi, 1::2] << 4).tobytes(), np.packbits(left).tobytes(), rest[lo:hi][left].astype("<i2").tobytes()])
+            out[i] = min(out[i], packed, key=len)
+    return out
+
+
+def unpack_samples(packed: list[bytes]) -> list[np.ndarray]:
+    out: list[np.ndarray] = [np.empty(0, np.int16)] * len(packed)
+    forms: list[int] = []
+    stepwise: list[tuple] = []
+    for i, data in enumerate(packed):
+        form, n = struct.unpack_from("<Bq", data)
+        forms.append(form)
+        kind = form & ~HALVED
+        if kind in (FORM_MULAW, FORM_ALAW):
+            out[i] = (MULAW_TABLE if kind == FORM_MULAW else ALAW_TABLE)[np.frombuffer(data, np.uint8, n, 9)]
+        elif kind == FORM_STEPS:
+            runs, half = -(-n // RUN), (RUN - 1) // 2
+            pairs = np.frombuffer(data, np.uint8, runs * half, 9 + 2 * runs).reshape(runs, half)
+            at, bits = 9 + (2 + half) * runs, runs * (RUN - 1)
+            left = np.unpackbits(np.frombuffer(data, np.uint8, -(-bits // 8), at), count=bits).astype(bool)
+            rest = np.zeros(bits, np.int16)
+            rest[left] = np.frombuffer(data, "<i2", offset=at + -(-bits // 8))
+            stepwise.append((i, n, np.frombuffer(data, "<i2", runs, 9), np.stack([pairs & 15, pairs >> 4], axis=2).reshape(runs, -1), rest.reshape(runs, -1)))
+        else:
+            out[i] = np.frombuffer(data, "<i2", n, 9)
+    if stepwise:
+        samples = _from_step_codes(*(np.concatenate([s[k] for s in stepwise]) for k in (2, 3, 4)))
+        for (i, n, first, *_), own in zip(stepwise, np.split(samples, np.cumsum([len(s[2]) for s in stepwise])[:-1]), strict=True):
+            out[i] = own.reshape(-1)[:n]
+    return [resample(x, 1, 2) if form & HALVED else x for x, form in zip(out, forms, strict=True)]
+
+
 def feature(pcm: np.ndarray) -> str:
     """Samples, peak, root mean square, zero crossings and a checksum of the resampled PCM, all whole numbers."""
     wide = pcm.astype(np.int64)
@@ -189,9 +304,9 @@ def _decoded(batches: Iterator[pa.RecordBatch], rate: int):
 DIGESTS = "payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string"
 
 
-def to_pcm(media: DataFrame, *, rate: int = 16000) -> DataFrame:
+def to_pcm(media: DataFrame, *, rate: int = 16000, packed: bool = False) -> DataFrame:
     """What stored media hold: doc_id, n_bytes, codec, sizes and digests of payload and medium, rate, and the resampled 16-bit
-    PCM."""
+    PCM (packed: as pack_samples gives it)."""
     names = ["doc_id", "n_bytes", "codec", *(c.split()[0] for c in DIGESTS.split(", ")), "rate", "pcm"]
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -204,15 +319,25 @@ def to_pcm(media: DataFrame, *, rate: int = 16000) -> DataFrame:
                 pa.array([len(x) for x in raw], pa.int64()),
                 pa.array([hashlib.sha256(x).hexdigest() for x in raw]),
             ]
-            samples = pa.array([x.astype("<i2").tobytes() for x in pcm], pa.binary())
+            samples = pa.array(pack_samples(pcm) if packed else [x.astype("<i2").tobytes() for x in pcm], pa.binary())
             yield pa.RecordBatch.from_arrays([*batch.columns[:3], *digests, pa.array([rate] * len(pcm), pa.int32()), samples], names)
 
     return media.select("doc_id", "n_bytes", "codec", "media").mapInArrow(read, f"doc_id long, n_bytes long, codec int, {DIGESTS}, rate int, pcm binary")
 
 
 def store_pcm(media: DataFrame, *, rate: int = 16000) -> DataFrame:
-    """The PCM of stored media, stored on shared storage and read back."""
-    return materialize(to_pcm(media, rate=rate), "pcm", compression="zstd")
+    """The PCM of stored media, stored on shared storage without loss and read back."""
+    stored = materialize(to_pcm(media, rate=rate, packed=True), "pcm", **DENSE)
+    names = stored.columns
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            column = batch.column(len(names) - 1)
+            for lo, hi in slices(pc.binary_length(column).to_numpy(zero_copy_only=False)):
+                samples = [x.astype("<i2").tobytes() for x in unpack_samples(column[lo:hi].to_pylist())]
+                yield pa.RecordBatch.from_arrays([*batch.slice(lo, hi - lo).columns[:-1], pa.array(samples, pa.binary())], names)
+
+    return stored.mapInArrow(read, stored.schema)
 
 
 def describe(pcm: DataFrame) -> DataFrame:
@@ -230,4 +355,4 @@ def describe(pcm: DataFrame) -> DataFrame:
 
 def store_texts(docs: DataFrame, **kwargs) -> DataFrame:
     """Media of all documents, stored on shared storage and read back."""
-    return materialize(encode_texts(docs, **kwargs), "media", compression="zstd")
+    return materialize(encode_texts(docs, **kwargs), "media", **DENSE)

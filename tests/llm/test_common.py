@@ -97,3 +97,12 @@ def test_long_words_of_two_letters_differ():
         a += a.translate(str.maketrans("ab", "ba"))
     b = a.translate(str.maketrans("ab", "ba"))
     assert len(set(common.word_table(pa.array([f"{a} {b} {a[:300]} {b[:300]}"], pa.large_string())).hashes.tolist())) == 4
+
+
+def test_lean_tasks_drop_what_tokenizers_remember():
+    from tidemark.llm import tokens
+
+    tokens._encoders["a vocabulary"] = object()
+    batches = [pa.RecordBatch.from_pydict({"x": [1, 2]}), pa.RecordBatch.from_pydict({"x": [3]})]
+    assert list(common.lean(lambda own: (b.slice(1) for b in own))(iter(batches))) == [b.slice(1) for b in batches]
+    assert "a vocabulary" not in tokens._encoders

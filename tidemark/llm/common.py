@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import ctypes
 import re
-from collections.abc import Iterator
+import sys
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -32,6 +34,23 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def lean(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """run for a Python worker that served other stages before: what tokenizers remember there goes first, and at the end of
+    the task its memory goes back to the system. Workers outlive stages, and an executor may hold several."""
+
+    def alone(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if tokens := sys.modules.get(f"{__package__}.tokens"):
+            tokens._encoders.clear()
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+                trim(0)
+
+    return alone
+
+
 def free_name(df: DataFrame, name: str) -> str:
     """A column name that df does not have (names are compared without case)."""
     taken = {c.lower() for c in df.columns}

@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, mix, pieces, spread, strings, word_hashes
+from .common import lean, materialize, mix, pieces, spread, strings, word_hashes
 
 SIMILARITY, RECALL = 0.8, 0.999
 #: Steps after which a word's bits repeat, and sampled places of a walk.
@@ -334,4 +334,4 @@ def _find_block(docs: DataFrame, items: Items) -> DataFrame:
                     ["doc_id", "item_id", "edits", "first_word", "n_words", "passages"],
                 )
 
-    return docs.mapInArrow(match, MATCHES)
+    return docs.mapInArrow(lean(match), MATCHES)

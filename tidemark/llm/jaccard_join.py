@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, group_stream, local_components, materialize, mix, pairs_in_groups, pieces, scratch, shingle_hashes, strings, word_hashes
+from .common import components, group_stream, lean, local_components, materialize, mix, pairs_in_groups, pieces, scratch, shingle_hashes, strings, word_hashes
 
 WIDTH, THRESHOLD = 5, 0.8
 VALUES, ROWS = 120, 5
@@ -89,7 +89,7 @@ def sketch(docs: DataFrame, width: int) -> DataFrame:
                 ids = [set_id(s) if len(s) else None for s in found]
                 yield pa.RecordBatch.from_arrays([batch.column(0)[lo:hi], pa.array(ids, pa.binary()), pa.array([signature(s).tobytes() if len(s) else None for s in found], pa.binary())], ["doc_id", "set_id", "sig"])
 
-    return docs.mapInArrow(run, "doc_id long, set_id binary, sig binary")
+    return docs.mapInArrow(lean(run), "doc_id long, set_id binary, sig binary")
 
 
 def _signatures(column: pa.ChunkedArray) -> np.ndarray:
@@ -109,7 +109,7 @@ def buckets(sets: DataFrame) -> DataFrame:
             rows = pa.array(np.repeat(np.arange(batch.num_rows), bands))
             yield pa.RecordBatch.from_arrays([pa.array(key.reshape(-1).view(np.int64)), pa.array(np.tile(np.arange(bands, dtype=np.int32), batch.num_rows)), batch.column(0).take(rows)], ["bucket", "band", "set_id"])
 
-    return sets.select("set_id", "sig").mapInArrow(run, "bucket long, band int, set_id binary")
+    return sets.select("set_id", "sig").mapInArrow(lean(run), "bucket long, band int, set_id binary")
 
 
 def in_blocks(members: DataFrame, key: str, size: str) -> DataFrame:
@@ -180,7 +180,7 @@ def candidate_edges(sets: DataFrame, threshold: float) -> DataFrame:
             ids = table.column("set_id")
             yield pa.RecordBatch.from_arrays([ids.take(pa.array(child)).combine_chunks(), ids.take(pa.array(label[child])).combine_chunks()], ["a", "b"])
 
-    return bucket_members(sets).mapInArrow(run, "a binary, b binary")
+    return bucket_members(sets).mapInArrow(lean(run), "a binary, b binary")
 
 
 def surviving_members(sets: DataFrame, threshold: float) -> DataFrame:
@@ -192,7 +192,7 @@ def surviving_members(sets: DataFrame, threshold: float) -> DataFrame:
             rows = pa.array(np.unique(np.concatenate(surviving(table, bounds, least))))
             yield pa.RecordBatch.from_arrays([table.column(c).take(rows).combine_chunks() for c in ("bucket", "x", "y", "own", "band", "set_id")], ["home", "x", "y", "own", "band", "set_id"])
 
-    return bucket_members(sets).mapInArrow(run, "home long, x int, y int, own int, band int, set_id binary")
+    return bucket_members(sets).mapInArrow(lean(run), "home long, x int, y int, own int, band int, set_id binary")
 
 
 class Overlaps:
@@ -249,7 +249,7 @@ def verified(members: DataFrame, threshold: float) -> DataFrame:
                 columns = [ids, ids.take(pa.array(local_components(hi - lo, i, j)))]
                 yield pa.RecordBatch.from_arrays([*(c.combine_chunks() for c in columns), pa.array(links)], ["set_id", "label", "links"])
 
-    return members.repartition("home", "x", "y").sortWithinPartitions("home", "x", "y", "set_id").mapInArrow(run, "set_id binary, label binary, links long")
+    return members.repartition("home", "x", "y").sortWithinPartitions("home", "x", "y", "set_id").mapInArrow(lean(run), "set_id binary, label binary, links long")
 
 
 def shingles_of(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
@@ -264,7 +264,7 @@ def shingles_of(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.binary()), pa.array([r[1] for r in rows], pa.binary())], ["set_id", "shingles"])
 
     joined = docs.join(wanted.select(F.col("rep").alias("doc_id"), "set_id"), "doc_id").select("text", "set_id")
-    return joined.mapInArrow(run, "set_id binary, shingles binary")
+    return joined.mapInArrow(lean(run), "set_id binary, shingles binary")
 
 
 def near_duplicates(docs: DataFrame, *, threshold: float = THRESHOLD, width: int = WIDTH, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import char_slices, code_points, discard, materialize, mix, pieces, strings
+from .common import char_slices, code_points, discard, lean, materialize, mix, pieces, strings
 
 WIDTH = 4
 SLOTS_LOG2 = 22
@@ -108,7 +108,7 @@ def learn(labelled: DataFrame, *, sample: int = SAMPLE, text: str = "text", lang
                         g, n = np.unique(grams[of == i], return_counts=True)
                         yield pa.RecordBatch.from_arrays([pa.array(g.view(np.int64)), pa.array(np.full(len(g), i), pa.int32()), pa.array(n, pa.int64())], ["gram", "lang", "n"])
 
-    counted = picked.mapInArrow(count, "gram long, lang int, n long").groupBy("gram", "lang").agg(F.sum("n").alias("n"))
+    counted = picked.mapInArrow(lean(count), "gram long, lang int, n long").groupBy("gram", "lang").agg(F.sum("n").alias("n"))
     counted = materialize(counted, "ngrams", compression="zstd")
     totals = {r.lang: r.n for r in counted.groupBy("lang").agg(F.sum("n").alias("n")).collect()}
     rate = F.col("n") / F.create_map(*[F.lit(x) for k, v in (totals or {0: 1}).items() for x in (k, float(v))])[F.col("lang")]
@@ -124,7 +124,7 @@ def learn(labelled: DataFrame, *, sample: int = SAMPLE, text: str = "text", lang
             yield pa.RecordBatch.from_arrays([pa.array(places), pa.array(np.tile(word, HASHES)), pa.array(np.tile(mask, HASHES))], ["slot", "word", "mask"])
 
     # at most 2 ** SLOTS_LOG2 rows a mask word, whatever the corpus
-    table = known.mapInArrow(slots, "slot int, word long, mask long").groupBy("slot", "word").agg(F.bit_or("mask").alias("mask")).toArrow()
+    table = known.mapInArrow(lean(slots), "slot int, word long, mask long").groupBy("slot", "word").agg(F.bit_or("mask").alias("mask")).toArrow()
     discard(counted)
     slot, word, mask = (table[c].to_numpy() for c in ("slot", "word", "mask"))
     for k, words in enumerate(filters):
@@ -168,7 +168,7 @@ def predict(docs: DataFrame, model: Model, *, text: str = "text", keep: tuple[st
     schema = ", ".join(f"`{c}` {types[c]}" for c in keep) + f", `{out_names[0]}` string, `{out_names[1]}` double"
     inputs = [F.col(f"`{c}`").alias(f"kept_{i}") for i, c in enumerate(keep)]
     inputs += [F.col(text).cast("string").alias("text")] if text not in keep else []
-    return docs.select(*inputs).mapInArrow(decide, schema)
+    return docs.select(*inputs).mapInArrow(lean(decide), schema)
 
 
 def held_out(doc_id: str = "doc_id"):

@@ -205,6 +205,30 @@ def test_op3_recall_of_near_repeats(spark, case):
         assert case == "third leader" or (i in copies and len(set(w) - set(copies[i])) <= 8)
 
 
+def test_op3_target_among_many_variants(spark):
+    """A copy of one of 24 variants of a passage that is near to no other variant: neither the first nor the last before it."""
+    rng, docs, copies = random.Random(24), [], {}
+    new = lambda n: [f"v{rng.randrange(10**6)}" for _ in range(n)]
+    kinds = ["replace", "insert", "delete"]
+    for g in range(40):
+        lead = new(rng.randrange(80, 150))
+        own = [changed(rng, lead, kinds, 0.55, 0.75) for _ in range(24)]
+        while True:
+            k = rng.randrange(24)
+            copy = changed(rng, own[k], kinds, 0.82, 1)
+            if all(shingle_similarity(copy, o) < 0.75 for i, o in enumerate(own) if i != k):
+                break
+        docs += [(1000 * g + i, new(rng.randrange(40)) + o + new(rng.randrange(40))) for i, o in enumerate(own)]
+        copies[1000 * g + 999] = copy
+        docs.append((1000 * g + 999, new(rng.randrange(40)) + copy + new(rng.randrange(40))))
+    df = spark.createDataFrame([(i, " ".join(w)) for i, w in docs], "doc_id long, text string")
+    text, got = dict(docs), {}
+    for r in substring_dedup.repeated_passages(df).filter("not is_first").collect():
+        got.setdefault(r.doc_id, []).extend(text[r.doc_id][r.first_word : r.first_word + r.n_words])
+    found = [i for i, copy in copies.items() if len(set(copy) & set(got.get(i, []))) >= 0.8 * len(set(copy))]
+    assert len(found) >= 0.9 * len(copies), len(found)
+
+
 def test_scan_against_brute_force():
     rng = random.Random(3)
     for _ in range(300):

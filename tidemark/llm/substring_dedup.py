@@ -40,7 +40,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import discard, free_name, group_stream, materialize, mix, pieces, powers_to, scratch, shingle_hashes, spread, strings, word_hashes, word_table
+from .common import discard, free_name, group_stream, lean, materialize, mix, pieces, powers_to, scratch, shingle_hashes, spread, strings, word_hashes, word_table
 
 WIDTH, WORDS, SIMILARITY = 5, 50, 0.8
 #: Hash functions, and how many must agree on a region.
@@ -50,6 +50,8 @@ SLIP = 12
 #: A slot with this share of the rows of about SAMPLE documents is dealt to SPREAD slots.
 SAMPLE, HOT_SHARE, SPREAD = 4_000, 1 / 2000, 64
 SEGMENT_WORDS = 4096
+#: Rows of a run that late rows meet in one place.
+BLOCK = 1024
 #: Requests for one segment are handled in so many parts at most.
 PARTS = 1024
 SPAN = ("first_word", "end_word", "char_start", "char_end")
@@ -94,11 +96,16 @@ def compact_windows(values: np.ndarray, offsets: np.ndarray, least: int) -> tupl
     return lo - shift, c - shift, hi - shift
 
 
-def run_hashes(grams: np.ndarray, starts: np.ndarray, length: int) -> np.ndarray:
-    """Hashes of grams[s : s + length] for each start: differences of prefix sums of a polynomial."""
-    power = powers_to(len(grams) + 1)
+def run_sums(grams: np.ndarray) -> np.ndarray:
+    """Prefix sums of a polynomial, from which the hash of any run follows."""
     sums = np.zeros(len(grams) + 1, np.uint64)
-    np.cumsum(grams * power[0, : len(grams)], dtype=np.uint64, out=sums[1:])
+    np.cumsum(grams * powers_to(len(grams) + 1)[0, : len(grams)], dtype=np.uint64, out=sums[1:])
+    return sums
+
+
+def run_hashes(sums: np.ndarray, starts: np.ndarray, length: int) -> np.ndarray:
+    """Hashes of grams[s : s + length] for each start."""
+    power = powers_to(len(sums))
     return mix((sums[starts + length] - sums[starts]) * power[1, starts], length)
 
 
@@ -115,12 +122,18 @@ def thinned(key: np.ndarray, row: np.ndarray, place: np.ndarray, apart: int) ->
     return order[new]
 
 
-def beside(grams: np.ndarray, c: np.ndarray, start: np.ndarray, end: np.ndarray, half: int) -> np.ndarray:
-    """Two 32-bit hashes: of the half window that begins at c, and of the one that ends there (0 without room)."""
+def near_run(least: int) -> int:
+    """Shingles of a run that a near repeat has in common with its passage: at similarity 0.8 a changed word costs ten of
+    them in both texts together, so there is a change for every 45 at most, and of two runs left one has 21 of 46."""
+    return least // 3 + 1
+
+
+def beside(sums: np.ndarray, c: np.ndarray, start: np.ndarray, end: np.ndarray, half: int) -> np.ndarray:
+    """Two 32-bit hashes: of the run of `half` shingles that begins at c, and of the one that ends there (0 without room)."""
     out = np.zeros(len(c), np.uint64)
     for shift, first in ((32, c), (0, c - half + 1)):
         room = (first >= start) & (first + half <= end)
-        out[room] |= np.maximum(run_hashes(grams, first[room], half) >> np.uint64(32), np.uint64(1)) << np.uint64(shift)
+        out[room] |= np.maximum(run_hashes(sums, first[room], half) >> np.uint64(32), np.uint64(1)) << np.uint64(shift)
     return out
 
 
@@ -144,12 +157,13 @@ def windows(docs: DataFrame, width: int, least: int, hot: np.ndarray) -> DataFra
             for lo, hi in pieces(texts):
                 words, offsets, _ = word_hashes(texts[lo:hi])
                 grams, bounds = shingle_hashes(words, offsets, width)
+                sums = run_sums(grams)
                 for f in range(FUNCTIONS):
                     hashed = mix(grams, 101 + f)
                     left, c, right = compact_windows((hashed >> np.uint64(32)).astype(np.uint32), bounds, least)
                     row = np.searchsorted(bounds, c, "right") - 1
                     key = hashed[c]
-                    near = beside(grams, c, bounds[row], bounds[row + 1], least // 2) if f == 0 else np.zeros(len(c), np.uint64)
+                    near = beside(sums, c, bounds[row], bounds[row + 1], least // 2 if f == 0 else near_run(least))
                     kept = thinned(key ^ mix(near, 5), row, c, least // 2)
                     left, c, right, row, key, near = (x[kept] for x in (left, c, right, row, key, near))
                     doc = ids[lo:hi][row]
@@ -160,7 +174,7 @@ def windows(docs: DataFrame, width: int, least: int, hot: np.ndarray) -> DataFra
                     columns = [np.where(is_hot, dealt, slot), doc, pack(c - bounds[row], c - left, right - c, f), near.view(np.int64), np.where(is_hot, slot, 0)]
                     yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], ["slot", "doc_id", "at", "beside", "hot"])
 
-    return docs.mapInArrow(run, WINDOWS)
+    return docs.mapInArrow(lean(run), WINDOWS)
 
 
 def hot_keys(docs: DataFrame, width: int, least: int) -> np.ndarray:
@@ -193,12 +207,12 @@ def meetings(shared: DataFrame) -> DataFrame:
     return met.unionByName(leads.filter("m.doc_id < doc_id").select("doc_id", "at", "m")).select("doc_id", "at", F.col("m.doc_id").alias("source"), F.col("m.at").alias("source_at"))
 
 
-def uncovered(rows: DataFrame, spans: DataFrame, width: int, least: int) -> DataFrame:
+def uncovered(rows: DataFrame, spans: DataFrame, width: int, around: int) -> DataFrame:
     """rows (doc_id, place) with open: whether no passage that the document repeats covers them, and copied: whether an exact repeat
-    covers all runs of `least` shingles around them."""
+    covers `around` shingles before them and twice as many behind."""
     known = spans.groupBy("doc_id").agg(F.collect_set(F.struct("first_word", "end_word", "exact")).alias("known"))
     covers = lambda x: (x["first_word"] <= F.col("place")) & (F.col("place") + width <= x["end_word"])
-    wide = lambda x: (x["exact"] == 1) & (x["first_word"] <= F.greatest(F.col("place") - least, F.lit(0))) & (F.col("place") + 2 * least + width <= x["end_word"])
+    wide = lambda x: (x["exact"] == 1) & (x["first_word"] <= F.greatest(F.col("place") - around, F.lit(0))) & (F.col("place") + 2 * around + width <= x["end_word"])
     no = F.lit(False)
     return rows.join(known, "doc_id", "left").withColumns({"open": ~F.coalesce(F.exists("known", covers), no), "copied": F.coalesce(F.exists("known", wide), no)}).drop("known")
 
@@ -209,6 +223,29 @@ def later_meetings(shared: DataFrame, spans: DataFrame, width: int, least: int)
     return uncovered(rows, spans, width, least).filter("open").select("doc_id", "at", "source", "source_at")
 
 
+def crowds(shared: DataFrame, spans: DataFrame, width: int, least: int) -> DataFrame:
+    """run, doc_id, at, late: the windows of slots in which a row has earlier ones that it did not meet, once for each run of
+    near_run shingles beside their minimum. late: no passage covers the row yet. Rows well inside an exact copy of earlier text
+    are left out: what they are copied from is there itself, and so are the copy's rows near its ends."""
+    of = F.col("at").bitwiseAND((1 << _FUNCTION) - 1)
+    unmet = (F.col("hot") != 0) | F.coalesce((F.col("before.doc_id") != F.col("first.doc_id")) | (F.col("before.at") != F.col("first.at")), F.lit(False))
+    rows = shared.filter(of != 0).select("doc_id", "at", F.shiftright("at", 2 * _REACH + _FUNCTION).alias("place"), F.when(F.col("hot") != 0, F.col("hot")).otherwise(F.col("slot")).alias("key"), "beside", unmet.alias("unmet"))
+    open_keys = uncovered(rows.filter("unmet").select("doc_id", "place", "key"), spans, width, least).filter("open").select("key").distinct()
+    own = uncovered(rows.join(open_keys, "key", "left_semi"), spans, width, near_run(least) // 2).filter("not copied")
+    halves = F.array(F.shiftrightunsigned("beside", 32), F.col("beside").bitwiseAND(0xFFFFFFFF))
+    return own.select("doc_id", "at", (F.col("open") & F.col("unmet")).alias("late"), "key", F.posexplode(halves).alias("side", "half")).filter("half != 0").select(F.xxhash64("key", "side", "half").alias("run"), "doc_id", "at", "late")
+
+
+def all_meetings(crowd: DataFrame) -> DataFrame:
+    """doc_id, at, source, source_at for each late row and every earlier document's row with its run. The rows of a run are dealt to
+    blocks of about BLOCK, each of which its late rows meet by itself."""
+    runs = crowd.groupBy("run").agg(F.min("doc_id").alias("a"), F.max(F.when(F.col("late"), F.col("doc_id"))).alias("b"), F.count("*").alias("n")).filter("a < b")
+    near = crowd.join(runs.select("run", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")), "run")
+    late = near.filter("late").select("run", "doc_id", "at", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
+    earlier = near.select("run", F.col("doc_id").alias("source"), F.col("at").alias("source_at"), F.pmod(F.xxhash64("doc_id", "at"), F.col("blocks")).cast("int").alias("block"))
+    return late.join(earlier, ["run", "block"]).filter("source < doc_id").select("doc_id", "at", "source", "source_at")
+
+
 def scan(pair: np.ndarray, at: np.ndarray, source_at: np.ndarray, least: int) -> tuple[np.ndarray, ...]:
     """Interval join of the windows that pairs share: pair, start, end, and least and largest distance of each region in
     which intervals of ENOUGH functions meet over `least` places or more. pair must ascend."""
@@ -281,7 +318,7 @@ def regions(met: DataFrame, width: int, least: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays(columns, names)
 
     schema = ", ".join(f"{n} long" for n in names[:-2]) + ", place array<long>, of array<long>"
-    return pairs.select("doc_id", "source", "at", "source_at").mapInArrow(run, schema)
+    return pairs.select("doc_id", "source", "at", "source_at").mapInArrow(lean(run), schema)
 
 
 def segments(docs: DataFrame) -> DataFrame:
@@ -304,7 +341,7 @@ def segments(docs: DataFrame) -> DataFrame:
                 same = pa.array([k] * len(cuts))
                 yield pa.RecordBatch.from_arrays([batch.column(0).take(same), batch.column(1).take(same), pa.array(range(len(cuts)), pa.int64()), pa.array(starts, pa.int64()), pa.array(cuts, pa.string())], names)
 
-    return docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text").mapInArrow(run, "doc_id long, text_hash long, segment long, char_start long, text string")
+    return docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text").mapInArrow(lean(run), "doc_id long, text_hash long, segment long, char_start long, text string")
 
 
 PIECES = "id long, role int, text_hash long, segment long, first_word long, char_start long, text string"
@@ -341,7 +378,7 @@ def fetch(docs: DataFrame, wanted: DataFrame) -> DataFrame:
                 columns = zip(*rows, strict=True) if rows else [()] * len(names)
                 yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(columns, _PIECE_TYPES, strict=True)], names)
 
-    return joined.mapInArrow(run, PIECES)
+    return joined.mapInArrow(lean(run), PIECES)
 
 
 _PIECE_TYPES = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string())
@@ -478,7 +515,7 @@ def compare(found: DataFrame, texts: DataFrame, width: int, least: int, similari
             columns = zip(*rows, strict=True) if rows else [()] * len(names)
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in columns], names)
 
-    return both.mapInArrow(run, ", ".join(f"{n} long" for n in names))
+    return both.mapInArrow(lean(run), ", ".join(f"{n} long" for n in names))
 
 
 def missed(shared: DataFrame, spans: DataFrame, width: int, least: int) -> DataFrame:
@@ -535,9 +572,9 @@ def exact_runs(wanted: DataFrame, texts: DataFrame, width: int, least: int) -> D
                     e = s + least + width - 1
                     first, last = words.offsets[k] + s, words.offsets[k] + e - 1
                     spans.append(np.stack([np.full(n[k], column["open"][head]), np.full(n[k], column["doc_id"][head]), np.full(n[k], column["text_hash"][head]), column["first_word"][head] + s, column["first_word"][head] + e, column["char_start"][head] + words.starts[first], column["char_start"][head] + words.ends[last]]))
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (run_hashes(grams, starts, least).view(np.int64), *np.concatenate(spans, axis=1))], names)
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (run_hashes(run_sums(grams), starts, least).view(np.int64), *np.concatenate(spans, axis=1))], names)
 
-    return sorted_pieces.mapInArrow(run, ", ".join(f"{n} long" for n in names))
+    return sorted_pieces.mapInArrow(lean(run), ", ".join(f"{n} long" for n in names))
 
 
 def merged(spans: DataFrame) -> DataFrame:
@@ -568,11 +605,15 @@ def repeated_passages(docs: DataFrame, *, words: int = WORDS, similarity: float
         discard(found)
         later = materialize(regions(later_meetings(shared, passages, width, least), width, least), "regions", compression="zstd")
         wanted = materialize(missed(shared, passages, width, least), "missed", compression="zstd")
-        discard(shared)
         texts = materialize(fetch(base, sides(later).unionByName(wanted.drop("open"))), "texts", compression="zstd")
         passages = passages.unionByName(materialize(compare(later, texts.filter("id >= 0"), width, least, similarity), "passages", compression="zstd"))
         runs = materialize(exact_runs(wanted, texts.filter("id < 0"), width, least), "runs", compression="zstd")
         discard(texts)
+        crowd = materialize(crowds(shared, passages, width, least), "crowds", compression="zstd")
+        discard(shared)
+        others = materialize(regions(all_meetings(crowd), width, least), "regions", compression="zstd")
+        discard(crowd)
+        passages = passages.unionByName(materialize(compare(others, fetch(base, sides(others)), width, least, similarity), "passages", compression="zstd"))
         place = ("doc_id", "text_hash", *SPAN)
         first = runs.groupBy("key").agg(F.min(F.struct(*place)).alias("lead"), F.max("doc_id").alias("last")).filter("lead.doc_id < last")
         more = runs.filter("open = 1").join(first, "key").filter("doc_id > lead.doc_id").select(*place, F.col("lead.doc_id").alias("source"), F.col("lead.text_hash").alias("source_hash"), *(F.col(f"lead.{c}").alias(f"source_{c}") for c in SPAN), F.lit(1).cast("long").alias("exact"))
@@ -605,4 +646,4 @@ def cut(docs: DataFrame, passages: DataFrame, *, doc_id: str = "doc_id", text: s
     own, hashed, cuts = (free_name(docs, n) for n in ("cut_id", "cut_hash", "cuts"))
     ids = places.select(F.col("doc_id").alias(own), F.col("text_hash").alias(hashed), F.col("cuts").alias(cuts))
     joined = docs.join(ids, (F.col(doc_id).cast("long") == F.col(own)) & (F.xxhash64(F.col(text).cast("string")) == F.col(hashed)), "left").drop(own, hashed)
-    return joined.mapInArrow(run, schema)
+    return joined.mapInArrow(lean(run), schema)

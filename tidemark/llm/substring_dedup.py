@@ -17,8 +17,10 @@ contain it, under every function for an exact repeat and under most for a near o
 4. A window of the first function that no passage covers may still be an exact repeat of a document that its row did not
    meet. Rows whose half windows before or after c are equal are grouped, and where one is not covered, the hashes of all
    runs of `least` shingles around them are compared. So exact repeats are found whatever leads their slots.
+5. A window that no passage covers after both meetings meets every earlier row of its slot with the same run of shingles
+   beside the minimum. Different texts that stay open in one run cost their pairs, dealt to blocks.
 
-A near repeat is found if it is near to one of the documents that it meets (tests measure how many are). Beside a found
+Near repeats are found by hashes (tests measure how many are). Beside a found
 passage, under `words` words that only another document shares may stay.
 
 Result: one row for each maximal repeated passage of a document: doc_id, first_word and n_words (in words that have a

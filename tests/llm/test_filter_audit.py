@@ -1,6 +1,7 @@
 """The filter audit, its matrix and its dictionary against plain Python."""
 
 import itertools
+import random
 import re
 from collections import Counter
 
@@ -99,3 +100,17 @@ def test_empty(spark):
     one = spark.createDataFrame([(1, "a", "s")], docs.schema)
     got = filter_audit.audit(one, labels).collect()
     assert len(got) == 600 and {r.shapley for r in got if r.filter_order[r.step - 1] == "A"} == {120}
+
+
+def test_op13_shards_are_small(spark):
+    """Shards are stored and then shuffled as they are: a cell of the matrix takes few bytes there, and its numbers come back."""
+    rng = random.Random(3)
+    texts = [" ".join(f"w{int(rng.paretovariate(0.7))}" for _ in range(400)) for _ in range(500)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+    (shard,) = filter_audit._local_shards(docs, "text").collect()
+    cells = sum(len(set(t.split())) for t in texts)
+    assert len(shard.bounds) + len(shard.columns) + len(shard.counts) < 4 * cells
+    matrix, _ = filter_audit.document_term_matrix(docs)
+    (row,) = matrix.collect()
+    bounds, counts = np.frombuffer(row.bounds, np.int32), np.frombuffer(row.counts, np.int32)
+    assert np.diff(bounds).tolist() == [len(set(t.split())) for t in texts] and len(row.terms) == 8 * cells and counts.sum() == 400 * len(texts)

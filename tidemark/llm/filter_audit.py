@@ -55,9 +55,17 @@ def compressed_rows(row: np.ndarray, column: np.ndarray, rows: int) -> tuple[np.
     return np.searchsorted(cells, np.arange(rows + 1) * width), cells % width, counts
 
 
+def _packed(numbers: np.ndarray) -> bytes:
+    """Whole numbers in few bytes: shards are stored and then shuffled. Most high bytes are zeros, so they go together."""
+    raw = np.ascontiguousarray(numbers.astype("<i4").view(np.uint8).reshape(-1, 4).T).tobytes()
+    return len(raw).to_bytes(8, "little") + pa.Codec("zstd", 1).compress(raw, asbytes=True)
+
+
 def _numbers(values: pa.Array) -> np.ndarray:
-    """Whole numbers stored as bytes in a column of one row."""
-    return np.frombuffer(values[0].as_buffer(), np.int32)
+    """Whole numbers stored by _packed in a column of one row."""
+    stored = values[0].as_py()
+    raw = pa.Codec("zstd").decompress(stored[8:], int.from_bytes(stored[:8], "little"), asbytes=True)
+    return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(4, -1).T).view("<i4").ravel()
 
 
 def _shard(number: int, parts: list[tuple[pa.Array, np.ndarray, pa.Array, np.ndarray]]) -> pa.RecordBatch:
@@ -68,7 +76,7 @@ def _shard(number: int, parts: list[tuple[pa.Array, np.ndarray, pa.Array, np.nda
     arrays = [bounds, columns.indices.to_numpy(), np.concatenate([p[3] for p in parts]), pc.binary_length(words).to_numpy()]
     attributes = pa.concat_arrays([p[0] for p in parts])
     values = [pa.array([number], pa.int64()), pa.ListArray.from_arrays(pa.array([0, len(attributes)], pa.int32()), attributes)]
-    values += [pa.array([x.astype(np.int32).tobytes()], pa.binary()) for x in arrays]
+    values += [pa.array([_packed(x)], pa.binary()) for x in arrays]
     letters = pa.py_buffer(b"") if not len(words) else words.buffers()[2]
     return pa.RecordBatch.from_arrays([*values, pa.array([letters.to_pybytes()], pa.binary())], ["shard", "attributes", "bounds", "columns", "counts", "lengths", "letters"])
 
@@ -155,7 +163,8 @@ def document_term_matrix(docs: DataFrame, text: str = "text") -> tuple[DataFrame
 
     def renumber(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for one, terms in _renumbered(batches):
-            yield pa.RecordBatch.from_arrays([one.column(0), one.column(1), one.column(2), pa.array([terms.tobytes()], pa.binary()), one.column(4)], ["shard", "attributes", "bounds", "terms", "counts"])
+            bounds, counts = (pa.array([_numbers(one.column(k)).tobytes()], pa.binary()) for k in (2, 4))
+            yield pa.RecordBatch.from_arrays([one.column(0), one.column(1), bounds, pa.array([terms.tobytes()], pa.binary()), counts], ["shard", "attributes", "bounds", "terms", "counts"])
 
     kind = joined.schema["attributes"].dataType.simpleString()
     return joined.mapInArrow(renumber, f"shard long, attributes {kind}, bounds binary, terms binary, counts binary"), dictionary

@@ -1,6 +1,7 @@
 """Substring dedup against brute force over all runs of 50 words."""
 
 import random
+import time
 
 import numpy as np
 import pytest
@@ -229,6 +230,25 @@ def test_op3_target_among_many_variants(spark):
     assert len(found) >= 0.9 * len(copies), len(found)
 
 
+def test_match_costs_its_texts_not_each_shared_place():
+    """Two texts that share every second shingle: 20,000 shared places, none of which has a passage around it."""
+    n = 40_000
+    a, b = np.arange(n, dtype=np.uint64), np.arange(n, dtype=np.uint64)
+    b[1::2] += np.uint64(n)
+    places = np.arange(0, n, 2)
+    before = time.perf_counter()
+    assert substring_dedup.match(a, b, places, places, 100, 46, 0.8) == []
+    assert time.perf_counter() - before < 1.5
+    b[101:300] = a[101:300]
+    assert any(s <= 100 and e >= 300 for s, e, *_ in substring_dedup.match(a, b, places, places, 100, 46, 0.8))
+
+
+def test_rows_that_share_both_runs_meet_once(spark):
+    crowd = [(1, 5, 70, False, None), (1, 9, 71, True, None), (2, 5, 70, False, 1), (2, 9, 71, True, 1), (2, 4, 72, False, 3), (2, 3, 73, False, None)]
+    met = substring_dedup.all_meetings(spark.createDataFrame(crowd, "run long, doc_id long, at long, late boolean, twin long"))
+    assert sorted(map(tuple, met.collect())) == [(9, 71, 3, 73), (9, 71, 4, 72), (9, 71, 5, 70)]
+
+
 def test_scan_against_brute_force():
     rng = random.Random(3)
     for _ in range(300):

@@ -226,8 +226,9 @@ def later_meetings(shared: DataFrame, spans: DataFrame, width: int, least: int)
 
 
 def crowds(shared: DataFrame, spans: DataFrame, width: int, least: int) -> DataFrame:
-    """run, doc_id, at, late: the windows of slots in which a row has earlier ones that it did not meet, once for each run of
-    near_run shingles beside their minimum. late: no passage covers the row yet. Rows well inside an exact copy of earlier text
+    """run, doc_id, at, late, twin: the windows of slots in which a row has earlier ones that it did not meet, once for each run of
+    near_run shingles beside their minimum. late: no passage covers the row yet. twin: the run on the minimum's other side, where
+    rows that share it have met already. Rows well inside an exact copy of earlier text
     are left out: what they are copied from is there itself, and so are the copy's rows near its ends."""
     of = F.col("at").bitwiseAND((1 << _FUNCTION) - 1)
     unmet = (F.col("hot") != 0) | F.coalesce((F.col("before.doc_id") != F.col("first.doc_id")) | (F.col("before.at") != F.col("first.at")), F.lit(False))
@@ -235,17 +236,19 @@ def crowds(shared: DataFrame, spans: DataFrame, width: int, least: int) -> DataF
     open_keys = uncovered(rows.filter("unmet").select("doc_id", "place", "key"), spans, width, least).filter("open").select("key").distinct()
     own = uncovered(rows.join(open_keys, "key", "left_semi"), spans, width, near_run(least) // 2).filter("not copied")
     halves = F.array(F.shiftrightunsigned("beside", 32), F.col("beside").bitwiseAND(0xFFFFFFFF))
-    return own.select("doc_id", "at", (F.col("open") & F.col("unmet")).alias("late"), "key", F.posexplode(halves).alias("side", "half")).filter("half != 0").select(F.xxhash64("key", "side", "half").alias("run"), "doc_id", "at", "late")
+    return own.select("doc_id", "at", (F.col("open") & F.col("unmet")).alias("late"), "key", halves.alias("halves"), F.posexplode(halves).alias("side", "half")).filter("half != 0").select(F.xxhash64("key", "side", "half").alias("run"), "doc_id", "at", "late", F.expr("if(side = 1 and halves[0] != 0, halves[0], null)").alias("twin"))
 
 
 def all_meetings(crowd: DataFrame) -> DataFrame:
     """doc_id, at, source, source_at for each late row and every earlier document's row with its run. The rows of a run are dealt to
-    blocks of about BLOCK, each of which its late rows meet by itself."""
+    blocks of about BLOCK, each of which its late rows meet by itself. Few rows make many pairs: their partitions keep their number."""
+    parts = int(crowd.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     runs = crowd.groupBy("run").agg(F.min("doc_id").alias("a"), F.max(F.when(F.col("late"), F.col("doc_id"))).alias("b"), F.count("*").alias("n")).filter("a < b")
     near = crowd.join(runs.select("run", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")), "run")
-    late = near.filter("late").select("run", "doc_id", "at", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
-    earlier = near.select("run", F.col("doc_id").alias("source"), F.col("at").alias("source_at"), F.pmod(F.xxhash64("doc_id", "at"), F.col("blocks")).cast("int").alias("block"))
-    return late.join(earlier, ["run", "block"]).filter("source < doc_id").select("doc_id", "at", "source", "source_at")
+    late = near.filter("late").select("run", "doc_id", "at", "twin", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
+    earlier = near.select("run", F.col("doc_id").alias("source"), F.col("at").alias("source_at"), F.col("twin").alias("source_twin"), F.pmod(F.xxhash64("doc_id", "at"), F.col("blocks")).cast("int").alias("block"))
+    met = late.repartition(parts, "run", "block").join(earlier.repartition(parts, "run", "block"), ["run", "block"])
+    return met.filter("source < doc_id and not coalesce(twin = source_twin, false)").select("doc_id", "at", "source", "source_at")
 
 
 def scan(pair: np.ndarray, at: np.ndarray, source_at: np.ndarray, least: int) -> tuple[np.ndarray, ...]:
@@ -386,20 +389,33 @@ def fetch(docs: DataFrame, wanted: DataFrame) -> DataFrame:
 _PIECE_TYPES = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string())
 
 
-def stretch(gain: np.ndarray, covered: np.ndarray, place: int) -> tuple[int, int]:
-    """The longest [s, e) around place with no loss of gain (prefix sums), which starts and ends covered."""
-    s = int(np.argmax(gain[: place + 1] <= gain[place + 1 :].max()))
-    e = place + 1 + int(np.flatnonzero(gain[place + 1 :] >= gain[s])[-1])
-    return s + int(np.argmax(covered[s:e])), e - int(np.argmax(covered[s:e][::-1]))
+def stretches(gain: np.ndarray, covered: np.ndarray, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each of the places, which are covered, the longest [s, e) around it with no loss of gain (prefix sums), which starts
+    and ends covered."""
+    low, high = np.minimum.accumulate(gain[:-1]), np.maximum.accumulate(gain[::-1])[::-1]
+    s = np.searchsorted(-low, -high[places + 1])
+    e = np.searchsorted(-high, -gain[s], "right") - 1
+    marked = np.flatnonzero(covered)
+    return marked[np.searchsorted(marked, s)], marked[np.searchsorted(marked, e) - 1] + 1
 
 
 def exact_run(a: np.ndarray, b: np.ndarray, p: int, q: int) -> tuple[int, int]:
     """Start and end in a of the run around place p that is the same in b around q."""
-    back, ahead = min(p, q), min(len(a) - p, len(b) - q)
-    stop = np.flatnonzero(a[p - back : p + ahead] != b[q - back : q + ahead])
-    at = np.searchsorted(stop, back)
-    lo, hi = (stop[at - 1] + 1 if at else 0), (stop[at] if at < len(stop) else back + ahead)
-    return p - back + int(lo), p - back + int(hi)
+    starts, ends = exact_runs_around(a, b, np.array([p]), np.array([q]))
+    return int(starts[0]), int(ends[0])
+
+
+def exact_runs_around(a: np.ndarray, b: np.ndarray, p: np.ndarray, q: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The same for many places: those at one distance share a comparison."""
+    starts, ends = np.empty(len(p), np.int64), np.empty(len(p), np.int64)
+    apart = q - p
+    for d in set(apart.tolist()):
+        lo, hi = max(0, -d), min(len(a), len(b) - d)
+        stop = np.concatenate([[lo - 1], lo + np.flatnonzero(a[lo:hi] != b[lo + d : hi + d]), [hi]])
+        of = np.flatnonzero(apart == d)
+        at = np.searchsorted(stop, p[of])
+        starts[of], ends[of] = stop[at - 1] + 1, stop[at]
+    return starts, ends
 
 
 def match(a: np.ndarray, b: np.ndarray, p: np.ndarray, q: np.ndarray, inner: int, least: int, similarity: float) -> list[tuple[int, int, int, int, int]]:
@@ -412,12 +428,12 @@ def match(a: np.ndarray, b: np.ndarray, p: np.ndarray, q: np.ndarray, inner: int
     inside = (p < len(a)) & (q < len(b))
     p, q = p[inside], q[inside]
     same = a[p] == b[q]
-    seeds = list(zip(p[same].tolist(), q[same].tolist(), strict=True))
-    if not seeds:
+    p, q = p[same], q[same]
+    if not len(p):
         return []
-    s, e = exact_run(a, b, *seeds[0])
+    s, e = exact_run(a, b, int(p[0]), int(q[0]))
     if e - s >= max(inner, least):
-        apart = seeds[0][1] - seeds[0][0]
+        apart = int(q[0] - p[0])
         return [(s, e, s + apart, e + apart, 1)]
     found: list[tuple[int, int, int, int, int]] = []
     tried: list[tuple[int, int]] = []
@@ -426,12 +442,17 @@ def match(a: np.ndarray, b: np.ndarray, p: np.ndarray, q: np.ndarray, inner: int
     covered = _marks(other, len(values))[own]
     penalties = [similarity / (1 - similarity), 2 * similarity / (1 - similarity)] if similarity < 1 else []
     gains = [np.concatenate([[0], np.cumsum(np.where(covered, 1.0, -x - 1e-9))]) for x in penalties]
-    for i, j in seeds:
+    if gains:  # around most places of texts that are not near there is nothing long enough; exact runs are covered, too
+        s, e = stretches(gains[0], covered, p)
+        p, q = p[e - s >= least], q[e - s >= least]
+    around = [stretches(gain, covered, p) for gain in gains]
+    starts, run_ends = exact_runs_around(a, b, p, q)
+    for k, (i, j) in enumerate(zip(p.tolist(), q.tolist(), strict=True)):
         if any(s <= i < e for s, e, *_ in found):
             continue
         got = None
-        for gain in gains if not any(s <= i < e for s, e in tried) else []:
-            s, e = stretch(gain, covered, i)
+        for firsts, lasts in around if not any(s <= i < e for s, e in tried) else []:
+            s, e = int(firsts[k]), int(lasts[k])
             if e - s < least:
                 continue
             # the other's ends: where it has the first and the last shingle, nearest to their distance from j
@@ -446,7 +467,7 @@ def match(a: np.ndarray, b: np.ndarray, p: np.ndarray, q: np.ndarray, inner: int
                     break
             tried.append((s, e))
         if got is None:
-            s, e = exact_run(a, b, i, j)
+            s, e = int(starts[k]), int(run_ends[k])
             if e - s >= least:
                 got = (s, e, s + j - i, e + j - i, 1)
         if got:

@@ -286,3 +286,15 @@ def test_op3_hot_slots_and_long_texts(spark, monkeypatch):
         monkeypatch.setattr(substring_dedup, name, value)
     dealt = sorted((r.doc_id, r.first_word, r.n_words, r.char_start, r.char_end, r.is_first) for r in substring_dedup.repeated_passages(df).collect())
     assert [r for r in dealt if not r[5]] == [r for r in plain if not r[5]]
+
+
+def test_op3_repeated_words_meet_where_they_turn(spark):
+    """Texts that share nothing but 30 times one word: their rows inside of it don't meet each other."""
+    docs = [(k, " ".join([f"x{k}"] * 25 + ["the"] * 30 + [f"y{k}"] * 25)) for k in range(150)]
+    docs += [(200 + k, " ".join([f"x{k}"] * 9 + ["a"] * 20 + ["b"] * (20 + k) + ["c"] * 20 + [f"y{k}"] * 9)) for k in range(3)]
+    base = spark.createDataFrame(docs, "doc_id long, text string")
+    none = spark.createDataFrame([], "doc_id long, first_word long, end_word long, exact long")
+    crowd = substring_dedup.crowds(substring_dedup.shared_windows(base, 5, 46), none, 5, 46)
+    assert crowd.count() > 0 and substring_dedup.all_meetings(crowd).filter("doc_id < 200").count() == 0
+    rows = substring_dedup.repeated_passages(base).filter("not is_first").collect()
+    assert {r.doc_id for r in rows} == {201, 202} and all(r.n_words >= 60 for r in rows)

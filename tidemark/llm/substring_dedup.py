@@ -52,6 +52,8 @@ SLIP = 12
 #: A slot with this share of the rows of about SAMPLE documents is dealt to SPREAD slots.
 SAMPLE, HOT_SHARE, SPREAD = 4_000, 1 / 2000, 64
 SEGMENT_WORDS = 4096
+#: Places after which a shingle that returns is a repetition of a few words again and again.
+PERIOD = 4
 #: Rows of a run that late rows meet in one place.
 BLOCK = 1024
 #: Requests for one segment are handled in so many parts at most.
@@ -139,6 +141,35 @@ def beside(sums: np.ndarray, c: np.ndarray, start: np.ndarray, end: np.ndarray,
     return out
 
 
+def runs_beside(sums: np.ndarray, c: np.ndarray, start: np.ndarray, end: np.ndarray, half: int, turns: Turns) -> np.ndarray:
+    """The same, but where c lies in words that repeat on that side, the run is of the WIDTH shingles in which the repetition turns
+    into other text. A run inside a repetition says no more than c itself: all texts with enough of these words share it."""
+    out = beside(sums, c, start, end, half)
+    for shift, held, first in ((32, turns.on[c], turns.after[c]), (0, turns.back[c], turns.before[c] - WIDTH + 1)):
+        out[held] &= np.uint64(0xFFFFFFFF << (32 - shift))
+        room = held & (first >= start) & (first + WIDTH <= end)
+        out[room] |= np.maximum(mix(run_hashes(sums, first[room], WIDTH), 7) >> np.uint64(32), np.uint64(1)) << np.uint64(shift)
+    return out
+
+
+class Turns:
+    """For each shingle of some texts: whether it stands again within PERIOD places behind it (on) or before it (back), and from
+    there the first place that doesn't return behind it (after) and the last that doesn't before it (before): where the repetition
+    ends and begins."""
+
+    def __init__(self, grams: np.ndarray, bounds: np.ndarray):
+        n = len(grams)
+        self.on, self.back = np.zeros(n, bool), np.zeros(n, bool)
+        text = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
+        for d in range(1, min(PERIOD, n - 1) + 1):
+            same = (grams[d:] == grams[:-d]) & (text[d:] == text[:-d])
+            self.on[:-d] |= same
+            self.back[d:] |= same
+        at = np.arange(n)
+        self.after = np.minimum.accumulate(np.where(self.on, n, at)[::-1])[::-1] if n else at
+        self.before = np.maximum.accumulate(np.where(self.back, -1, at)) if n else at
+
+
 def pack(place: np.ndarray, back: np.ndarray, ahead: np.ndarray, function: int) -> np.ndarray:
     top = (1 << _REACH) - 1
     return (((place << _REACH | np.minimum(back, top)) << _REACH | np.minimum(ahead, top)) << _FUNCTION) | function
@@ -159,13 +190,13 @@ def windows(docs: DataFrame, width: int, least: int, hot: np.ndarray) -> DataFra
             for lo, hi in pieces(texts):
                 words, offsets, _ = word_hashes(texts[lo:hi])
                 grams, bounds = shingle_hashes(words, offsets, width)
-                sums = run_sums(grams)
+                sums, turns = run_sums(grams), Turns(grams, bounds)
                 for f in range(FUNCTIONS):
                     hashed = mix(grams, 101 + f)
                     left, c, right = compact_windows((hashed >> np.uint64(32)).astype(np.uint32), bounds, least)
                     row = np.searchsorted(bounds, c, "right") - 1
                     key = hashed[c]
-                    near = beside(sums, c, bounds[row], bounds[row + 1], least // 2 if f == 0 else near_run(least))
+                    near = runs_beside(sums, c, bounds[row], bounds[row + 1], near_run(least), turns) if f else beside(sums, c, bounds[row], bounds[row + 1], least // 2)
                     kept = thinned(key ^ mix(near, 5), row, c, least // 2)
                     left, c, right, row, key, near = (x[kept] for x in (left, c, right, row, key, near))
                     doc = ids[lo:hi][row]

@@ -298,3 +298,11 @@ def test_op3_repeated_words_meet_where_they_turn(spark):
     assert crowd.count() > 0 and substring_dedup.all_meetings(crowd).filter("doc_id < 200").count() == 0
     rows = substring_dedup.repeated_passages(base).filter("not is_first").collect()
     assert {r.doc_id for r in rows} == {201, 202} and all(r.n_words >= 60 for r in rows)
+
+
+def test_likeliest_regions_come_first(spark):
+    found = spark.createDataFrame([(1, 9, 5, 10, [0, 4]), (2, 9, 6, 12, [2, 8, 9]), (3, 8, 5, 0, [1])], "region long, doc_id long, source long, start long, place array<long>")
+    assert sorted(r.region for r in substring_dedup.likeliest(found).collect()) == [1, 2, 3]
+    assert sorted(r.region for r in substring_dedup.likeliest(found.filter("region < 3").withColumn("start", found.start * 0 + 10)).collect()) == [1, 2]
+    same = spark.createDataFrame([(1, 9, 5, 10, [2, 4]), (2, 9, 6, 12, [0, 2, 9])], "region long, doc_id long, source long, start long, place array<long>")
+    assert [r.region for r in substring_dedup.likeliest(same).collect()] == [2]

@@ -380,9 +380,17 @@ def segments(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text").mapInArrow(lean(run), "doc_id long, text_hash long, segment long, char_start long, text string")
 
 
+#: Buckets of document ids by which texts that no region needs are left out before they are cut.
+BUCKETS = 1 << 16
 PIECES = "id long, role int, text_hash long, segment long, first_word long, char_start long, text string"
 
 
+def asked_for(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """docs without most of those of which nothing is wanted; what is sent to all tasks has BUCKETS rows at most."""
+    bucket = F.pmod(F.xxhash64("doc_id"), F.lit(BUCKETS)).alias("bucket")
+    return docs.select("*", bucket).join(F.broadcast(wanted.select(bucket).distinct()), "bucket", "left_semi").drop("bucket")
+
+
 def fetch(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     """PIECES of the wanted words (id, role, doc_id, start, end), a row for each segment that they lie in.
 
@@ -523,6 +531,17 @@ class Side:
         return self.first_word + start, self.first_word + last + 1, self.char_start + int(self.starts[start]), self.char_start + int(self.ends[last])
 
 
+def places_of(found: DataFrame) -> DataFrame:
+    """region, doc_id, n and place: the shared minima of the regions as words of the document, and how many the region has."""
+    return found.select("region", "doc_id", F.size("place").alias("n"), F.col("start").alias("begin"), F.explode("place").alias("at")).select("region", "doc_id", "n", (F.col("begin") + F.col("at")).alias("place"))
+
+
+def likeliest(found: DataFrame) -> DataFrame:
+    """region: for each place of a document, the one in which it has most in common with a source."""
+    best = F.max_by("region", F.struct("n", -F.col("region")))
+    return places_of(found).groupBy("doc_id", "place").agg(best.alias("region")).select("region").distinct()
+
+
 def sides(found: DataFrame) -> DataFrame:
     """The words that the regions need: id, role (0: of the document, 1: of the source), doc_id, start, end."""
     both = F.array(F.struct(F.lit(0).alias("role"), "doc_id", "start", "end"), F.struct(F.lit(1).alias("role"), F.col("source").alias("doc_id"), F.col("source_start").alias("start"), F.col("source_end").alias("end")))
@@ -572,6 +591,14 @@ def compare(found: DataFrame, texts: DataFrame, width: int, least: int, similari
     return both.mapInArrow(lean(run), ", ".join(f"{n} long" for n in names))
 
 
+def compared(docs: DataFrame, found: DataFrame, width: int, least: int, similarity: float) -> DataFrame:
+    """The passages of regions that few of the documents have."""
+    with scratch(docs.sparkSession) as keep:
+        found = materialize(found, "regions", compression="zstd")
+        wanted = sides(found)
+        return keep(compare(found, fetch(asked_for(docs, wanted), wanted), width, least, similarity), "passages")
+
+
 def missed(shared: DataFrame, spans: DataFrame, width: int, least: int) -> DataFrame:
     """id, role, doc_id, start, end, open: words around the first function's windows that may hold an exact repeat not found
     yet, and those that it may repeat. What is copied from an earlier document is there once, in that document."""
@@ -667,7 +694,11 @@ def repeated_passages(docs: DataFrame, *, words: int = WORDS, similarity: float
         discard(shared)
         others = materialize(regions(all_meetings(crowd), width, least), "regions", compression="zstd")
         discard(crowd)
-        passages = passages.unionByName(materialize(compare(others, fetch(base, sides(others)), width, least, similarity), "passages", compression="zstd"))
+        tried = materialize(likeliest(others), "likeliest")
+        passages = passages.unionByName(compared(base, others.join(tried, "region", "left_semi"), width, least, similarity))
+        # a place that a passage covers by now needs no other source
+        open_regions = uncovered(places_of(others.join(tried, "region", "left_anti")), passages, width, least).filter("open").select("region").distinct()
+        passages = passages.unionByName(compared(base, others.join(open_regions, "region", "left_semi"), width, least, similarity))
         place = ("doc_id", "text_hash", *SPAN)
         first = runs.groupBy("key").agg(F.min(F.struct(*place)).alias("lead"), F.max("doc_id").alias("last")).filter("lead.doc_id < last")
         more = runs.filter("open = 1").join(first, "key").filter("doc_id > lead.doc_id").select(*place, F.col("lead.doc_id").alias("source"), F.col("lead.text_hash").alias("source_hash"), *(F.col(f"lead.{c}").alias(f"source_{c}") for c in SPAN), F.lit(1).cast("long").alias("exact"))

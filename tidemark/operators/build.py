@@ -16,6 +16,7 @@ So a key of any size is spread over its days, and no task holds a key's events o
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -109,15 +110,28 @@ class Jumps:
             on, jump = further, jump[jump]
 
 
-def _portions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+def _portions(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Table, np.ndarray]]:
+    """Portions of a stream sorted by key, day and time, and each row's place in its key and day. They hold whole buckets, so that
+    where a bucket begins follows from its key and day alone: a portion's last one, which may go on, waits for the next."""
     held: list[pa.RecordBatch] = []
-    for batch in batches:
-        held += [batch] if batch.num_rows else []
-        if sum(b.num_rows for b in held) >= PORTION:
-            yield pa.Table.from_batches(held).combine_chunks()
-            held = []
-    if held:
-        yield pa.Table.from_batches(held).combine_chunks()
+    before = 0  # events of the first held row's key and day that went out already
+    for batch in chain(batches, [None]):
+        held += [batch] if batch is not None and batch.num_rows else []
+        if not held or (batch is not None and sum(b.num_rows for b in held) < PORTION):
+            continue
+        table = pa.Table.from_batches(held).combine_chunks()
+        n = table.num_rows
+        key = codes(*(table.column(c) for c in ("tenant_id", "source", "day")))
+        new = np.ones(n, bool)
+        new[1:] = key[1:] != key[:-1]
+        group = np.append(np.flatnonzero(new), n)
+        inside = np.arange(n) - np.repeat(group[:-1], np.diff(group))
+        inside[: group[1]] += before
+        cut = n if batch is None else int(np.flatnonzero(inside % BUCKET == 0)[-1])
+        if cut:
+            yield table.slice(0, cut), inside[:cut]
+        if cut < n:
+            held, before = table.slice(cut).to_batches(), int(inside[cut])
 
 
 def _states(places: np.ndarray, table: dict[str, pa.Array]) -> pa.Array:
@@ -129,20 +143,9 @@ def _states(places: np.ndarray, table: dict[str, pa.Array]) -> pa.Array:
 
 def _effects(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Buckets of a stream sorted by key, day and time, with what each does to the state that it is entered with."""
-    last_key, last_part = None, 0
-    for table in _portions(batches):
+    for table, inside in _portions(batches):
         column = {c: table.column(c).combine_chunks() if isinstance(table.column(c), pa.ChunkedArray) else table.column(c) for c in table.column_names}
-        n = table.num_rows
-        key = codes(column["tenant_id"], column["source"], column["day"])
-        new = np.ones(n, bool)
-        new[1:] = key[1:] != key[:-1]
-        group = np.flatnonzero(new)
-        inside = np.arange(n) - np.repeat(group, np.diff(np.append(group, n)))
-        part = inside // BUCKET
-        first_key = tuple(column[c][0].as_py() for c in ("tenant_id", "source", "day"))
-        if first_key == last_key:
-            part[: group[1] if len(group) > 1 else n] += last_part + 1
-        last_key, last_part = tuple(column[c][n - 1].as_py() for c in ("tenant_id", "source", "day")), int(part[-1])
+        n, part = table.num_rows, inside // BUCKET
         bounds = np.append(np.flatnonzero(inside % BUCKET == 0), n)
         is_start = column["is_start"].to_numpy(zero_copy_only=False)
         jumps = Jumps(bounds, is_start, codes(column["category"], column["name"]))

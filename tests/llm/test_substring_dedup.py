@@ -306,3 +306,48 @@ def test_likeliest_regions_come_first(spark):
     assert sorted(r.region for r in substring_dedup.likeliest(found.filter("region < 3").withColumn("start", found.start * 0 + 10)).collect()) == [1, 2]
     same = spark.createDataFrame([(1, 9, 5, 10, [2, 4]), (2, 9, 6, 12, [0, 2, 9])], "region long, doc_id long, source long, start long, place array<long>")
     assert [r.region for r in substring_dedup.likeliest(same).collect()] == [2]
+
+
+def near_families(rng, members, n=120):
+    """Texts of which any two differ in one of ten words: they share many runs, and hardly any is near to another one."""
+    lead = [f"v{rng.randrange(10**6)}" for _ in range(n)]
+    return [(i, [w if rng.random() > 0.07 else f"new{rng.randrange(10**6)}" for w in lead]) for i in range(members)]
+
+
+def test_rows_of_a_run_are_judged_before_they_make_regions(spark):
+    docs = near_families(random.Random(31), 150)
+    base = spark.createDataFrame([(i, " ".join(w)) for i, w in docs], "doc_id long, text string").cache()
+    none = spark.createDataFrame([], "doc_id long, first_word long, end_word long, exact long")
+    crowd = substring_dedup.crowds(substring_dedup.shared_windows(base, 5, 46), none, 5, 46).cache()
+    met = substring_dedup.near_sources(substring_dedup.with_surroundings(base, substring_dedup.cells(crowd), 5), 46, 0.8).cache()
+    pairs = substring_dedup.each_source(met, 1, 1 << 30).count()
+    assert 0 < met.count() <= pairs and 4 * pairs < substring_dedup.all_meetings(crowd).count()
+    # what is kept lies around a passage of both texts
+    near = substring_dedup.compared(base, substring_dedup.regions(substring_dedup.each_source(met), 5, 46, 1), 5, 46, 0.8)
+    sources = {(r.doc_id, r.source) for r in substring_dedup.each_source(met).collect()}
+    found = {(r.doc_id, r.source) for r in near.collect()}
+    assert found <= sources and len(found) >= 0.9 * len(sources)
+
+
+def test_rows_of_a_run_are_dealt_to_cells(spark, monkeypatch):
+    crowd = spark.createDataFrame([(1, d, 70 + d, d % 3 == 0, None) for d in range(40)] + [(2, 5, 1, False, None)], "run long, doc_id long, at long, late boolean, twin long")
+    whole = sorted(map(tuple, substring_dedup.all_meetings(crowd).collect()))
+    assert whole == sorted((d, 70 + d, s, 70 + s) for d in range(0, 40, 3) for s in range(d))
+    monkeypatch.setattr(substring_dedup, "BLOCK", 9)
+    dealt = substring_dedup.cells(crowd)
+    assert dealt.groupBy("run", "a", "b").count().count() > 9
+    assert sorted(map(tuple, substring_dedup.all_meetings(crowd).collect())) == whole
+
+
+def test_near_stretches():
+    at, least = substring_dedup.AROUND + substring_dedup.SLIP, 46
+    text = np.arange(1, 2 * at + 2, dtype=np.uint16)
+    other = lambda *gone: np.where(np.isin(np.arange(len(text)), gone), text + 1000, text).astype(np.uint16)
+    judge = lambda b: tuple(int(x[0]) for x in substring_dedup.near_stretches(text[None], b[None], least, 0.8)[:3])
+    assert judge(other()) == (1, -60, 61)
+    assert judge(other(*range(at + 9, at + 14), *range(0, at - 39), *range(at + 30, 2 * at + 1))) == (1, -39, 9)
+    assert judge(other(*range(at + 20, 2 * at + 1), *range(0, at - 20)))[0] == 0
+    assert judge(other(*range(at + 30, 2 * at + 1)))[0] == 1
+    moved = np.concatenate([text[3 : at + 5], [2000, 2001, 2002], text[at + 5 :]]).astype(np.uint16)  # three words more before the place
+    moved = np.concatenate([moved, np.zeros(len(text) - len(moved), np.uint16)])
+    assert moved[at - 3] == text[at] and judge(np.roll(moved, 3))[0] == 1

@@ -57,6 +57,12 @@ SEGMENT_WORDS = 4096
 PERIOD = 4
 #: Rows of a run that late rows meet in one place.
 BLOCK = 1024
+#: First rank and number of the sources that are compared at once; the last of these are all others.
+RANKS = ((1, 1), (2, 2), (4, 1 << 30))
+#: Pairs of rows that are judged in one portion.
+PAIRS = 1 << 18
+#: Shingles on each side of a row's place by which two rows of a run are judged.
+AROUND = 60
 #: Requests for one segment are handled in so many parts at most.
 PARTS = 1024
 SPAN = ("first_word", "end_word", "char_start", "char_end")
@@ -248,7 +254,7 @@ def uncovered(rows: DataFrame, spans: DataFrame, width: int, around: int) -> Dat
     covers = lambda x: (x["first_word"] <= F.col("place")) & (F.col("place") + width <= x["end_word"])
     wide = lambda x: (x["exact"] == 1) & (x["first_word"] <= F.greatest(F.col("place") - around, F.lit(0))) & (F.col("place") + 2 * around + width <= x["end_word"])
     no = F.lit(False)
-    return rows.join(known, "doc_id", "left").withColumns({"open": ~F.coalesce(F.exists("known", covers), no), "copied": F.coalesce(F.exists("known", wide), no)}).drop("known")
+    return rows.join(known.hint("shuffle_hash"), "doc_id", "left").withColumns({"open": ~F.coalesce(F.exists("known", covers), no), "copied": F.coalesce(F.exists("known", wide), no)}).drop("known")
 
 
 def later_meetings(shared: DataFrame, spans: DataFrame, width: int, least: int) -> DataFrame:
@@ -266,26 +272,162 @@ def crowds(shared: DataFrame, spans: DataFrame, width: int, least: int) -> DataF
     unmet = (F.col("hot") != 0) | F.coalesce((F.col("before.doc_id") != F.col("first.doc_id")) | (F.col("before.at") != F.col("first.at")), F.lit(False))
     rows = shared.filter(of != 0).select("doc_id", "at", F.shiftright("at", 2 * _REACH + _FUNCTION).alias("place"), F.when(F.col("hot") != 0, F.col("hot")).otherwise(F.col("slot")).alias("key"), "beside", unmet.alias("unmet"))
     open_keys = uncovered(rows.filter("unmet").select("doc_id", "place", "key"), spans, width, least).filter("open").select("key").distinct()
-    own = uncovered(rows.join(open_keys, "key", "left_semi"), spans, width, near_run(least) // 2).filter("not copied")
+    own = uncovered(rows.join(open_keys.hint("shuffle_hash"), "key", "left_semi"), spans, width, near_run(least) // 2).filter("not copied")
     halves = F.array(F.shiftrightunsigned("beside", 32), F.col("beside").bitwiseAND(0xFFFFFFFF))
     return own.select("doc_id", "at", (F.col("open") & F.col("unmet")).alias("late"), "key", halves.alias("halves"), F.posexplode(halves).alias("side", "half")).filter("half != 0").select(F.xxhash64("key", "side", "half").alias("run"), "doc_id", "at", "late", F.expr("if(side = 1 and halves[0] != 0, halves[0], null)").alias("twin"))
 
 
+def cells(crowd: DataFrame) -> DataFrame:
+    """The rows of runs in which a late row has earlier ones, dealt to cells (run, a, b) of about BLOCK rows on each side: each late
+    row meets each earlier document's row of its run in one cell. from_late, from_source: the sides on which a row stands there."""
+    runs = crowd.groupBy("run").agg(F.min("doc_id").alias("first"), F.max(F.when(F.col("late"), F.col("doc_id"))).alias("last"), F.count("*").alias("n")).filter("first < last")
+    near = crowd.join(runs.select("run", "last", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")).hint("shuffle_hash"), "run").filter("late or doc_id < last").drop("last")
+    every, own = F.sequence(F.lit(0), F.col("blocks") - 1), F.pmod(F.xxhash64("doc_id", "at"), F.col("blocks")).cast("int")
+    cell = lambda a, b, late, source: F.struct(a.alias("a"), b.alias("b"), late.alias("from_late"), source.alias("from_source"))
+    asks = F.when(F.col("late"), F.transform(every, lambda j: cell(own, j, F.lit(True), own == j)))
+    answers = F.transform(F.filter(every, lambda i: ~F.col("late") | (i != own)), lambda i: cell(i, own, F.lit(False), F.lit(True)))
+    return near.withColumn("cell", F.explode(F.concat(F.coalesce(asks, F.slice(answers, 1, 0)), answers))).select("run", "cell.*", *(c for c in near.columns if c not in ("run", "late", "blocks")))
+
+
+def near_stretches(own: np.ndarray, other: np.ndarray, least: int, similarity: float) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """For each row of the shingles around two places: whether a passage of `least` shingles lies around them, as match() would find
+    it, where it starts and ends, and by how much it is near enough. Zeros stand for no shingle; the middle shingles are equal."""
+    n, wide = own.shape
+    span = wide - 2 * SLIP
+    mid = span // 2
+    ok, starts, ends, margin = np.zeros(n, bool), np.zeros(n, np.int64), np.zeros(n, np.int64), np.zeros(n)
+    middle = own[:, SLIP : SLIP + span]
+    covered = np.zeros((n, span), bool)
+    for d in range(2 * SLIP + 1):
+        covered |= middle == other[:, d : d + span]
+    covered &= middle != 0
+    covered[:, mid] = True
+    # of fewer covered places no stretch is long and covered enough
+    left = np.flatnonzero(np.count_nonzero(covered, axis=1) >= int(least * similarity))
+    column = np.arange(span)
+    for x in (similarity / (1 - similarity), 2 * similarity / (1 - similarity)) if similarity < 1 else (span,):
+        on = covered[left]
+        gain = np.zeros((len(left), span + 1), np.float32)
+        np.cumsum(np.where(on, np.float32(1), np.float32(-x)), axis=1, out=gain[:, 1:])
+        s = np.argmax(gain[:, : mid + 1] <= gain[:, mid + 1 :].max(axis=1, initial=-np.inf)[:, None], axis=1)
+        base = np.take_along_axis(gain, s[:, None], 1)
+        e = span - np.argmax((gain >= base)[:, ::-1], axis=1)
+        inside = on & (column >= s[:, None]) & (column < e[:, None])
+        s, e = np.argmax(inside, axis=1), span - np.argmax(inside[:, ::-1], axis=1)
+        long = np.flatnonzero(e - s >= least)
+        k, s, e = left[long], s[long], e[long]
+        places = np.arange(wide)
+        of = [np.argmin(np.where(other[k] == middle[k, at][:, None], np.abs(places - (SLIP + at)[:, None]), wide), axis=1) for at in (s, e - 1)]
+        here = np.where((column >= s[:, None]) & (column < e[:, None]), middle[k], np.uint16(0))
+        there = np.where((places >= of[0][:, None]) & (places <= of[1][:, None]), other[k], np.uint16(0))
+        whole = _distinct(np.concatenate([here, there], axis=1))
+        common = _distinct(here) + _distinct(there) - whole
+        near = common >= (similarity - 0.01) * whole  # two of these hashes may be equal
+        ok[k[near]], starts[k[near]], ends[k[near]], margin[k[near]] = True, s[near] - mid, e[near] - mid, (common - similarity * whole)[near]
+        left = left[~ok[left]]
+    return ok, starts, ends, margin
+
+
+def _distinct(codes: np.ndarray) -> np.ndarray:
+    """How many different values other than zero each row has."""
+    codes = np.sort(codes, axis=1)
+    return np.count_nonzero((codes[:, 1:] != codes[:, :-1]) & (codes[:, 1:] != 0), axis=1) + (codes[:, 0] != 0)
+
+
+MET = "doc_id long, at long, found_at array<long>, source array<long>, source_at array<long>"
+
+
+def near_sources(dealt: DataFrame, least: int, similarity: float) -> DataFrame:
+    """MET: for each late row of a cell the earlier documents' rows that it meets; with rows' surroundings (`around`) only those in
+    which a passage lies around both places, the likeliest first. The places then reach over that passage."""
+    parts = int(dealt.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    columns = ["run", "a", "b", "doc_id", "at", "twin", "from_late", "from_source", *(["around"] if "around" in dealt.columns else [])]
+    ordered = dealt.select(columns).repartition(parts, "run", "a", "b").sortWithinPartitions("run", "a", "b", "doc_id", "at")
+    names = [c.split()[0] for c in MET.split(", ")]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table, bounds in group_stream(batches, 3):
+            doc, at = (table.column(c).to_numpy() for c in ("doc_id", "at"))
+            twin = table.column("twin")
+            has, twin = twin.is_valid().to_numpy(), pc.fill_null(twin, 0).to_numpy()
+            asks, answers = (table.column(c).to_numpy() for c in ("from_late", "from_source"))
+            around = np.frombuffer(b"".join(table.column("around").to_pylist()), np.uint16).reshape(len(doc), -1) if "around" in table.column_names else None
+            late = np.flatnonzero(asks)
+            group = np.searchsorted(bounds, late, "right") - 1
+            # rows of a cell ascend by document: a row meets those before its own
+            total = np.cumsum(late - bounds[group])
+            cuts = [0, *(np.flatnonzero(np.diff(total // PAIRS)) + 1).tolist(), len(late)]
+            for lo, hi in zip(cuts, cuts[1:], strict=False):
+                own = np.repeat(late[lo:hi], (late - bounds[group])[lo:hi])
+                other = spread(bounds[group][lo:hi], (late - bounds[group])[lo:hi])
+                use = answers[other] & (doc[other] < doc[own]) & ~(has[own] & has[other] & (twin[own] == twin[other]))
+                own, other = own[use], other[use]
+                place, back, ahead, function = unpack(at[own])
+                of, of_back, of_ahead, of_function = unpack(at[other])
+                margin = np.zeros(len(own))
+                if around is not None:
+                    found = [near_stretches(around[own[k : k + 4096]], around[other[k : k + 4096]], least, similarity) for k in range(0, len(own), 4096)]
+                    ok, start, end, margin = (np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.empty(0, t) for t in (bool, np.int64, np.int64, float))
+                    own, other, place, of, function, of_function, start, end, margin = (x[ok] for x in (own, other, place, of, function, of_function, start, end, margin))
+                    back = of_back = -start
+                    ahead = of_ahead = end - 1
+                order = np.lexsort((doc[other], -margin, own))
+                mine = own[order]
+                heads = np.flatnonzero(np.concatenate([[True], mine[1:] != mine[:-1]])) if len(mine) else np.empty(0, np.int64)
+                offsets = pa.array(np.append(heads, len(mine)), pa.int32())
+                lists = [pack(place, back, ahead, function)[order], doc[other][order], pack(of, of_back, of_ahead, of_function)[order]]
+                yield pa.RecordBatch.from_arrays([pa.array(doc[mine[heads]]), pa.array(at[mine[heads]]), *(pa.ListArray.from_arrays(offsets, pa.array(x, pa.int64())) for x in lists)], names)
+
+    return ordered.mapInArrow(lean(run), MET)
+
+
+def each_source(met: DataFrame, first: int = 1, most: int = 1 << 30) -> DataFrame:
+    """doc_id, at, source, source_at of MET: `most` sources from that rank on."""
+    some = F.slice(F.arrays_zip("found_at", "source", "source_at"), first, most)
+    return met.select("doc_id", F.explode(some).alias("m")).select("doc_id", F.col("m.found_at").alias("at"), "m.source", "m.source_at")
+
+
 def all_meetings(crowd: DataFrame) -> DataFrame:
-    """doc_id, at, source, source_at for each late row and every earlier document's row with its run. The rows of a run are dealt to
-    blocks of about BLOCK, each of which its late rows meet by itself. Few rows make many pairs: their partitions keep their number."""
-    parts = int(crowd.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    runs = crowd.groupBy("run").agg(F.min("doc_id").alias("a"), F.max(F.when(F.col("late"), F.col("doc_id"))).alias("b"), F.count("*").alias("n")).filter("a < b")
-    near = crowd.join(runs.select("run", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")), "run")
-    late = near.filter("late").select("run", "doc_id", "at", "twin", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
-    earlier = near.select("run", F.col("doc_id").alias("source"), F.col("at").alias("source_at"), F.col("twin").alias("source_twin"), F.pmod(F.xxhash64("doc_id", "at"), F.col("blocks")).cast("int").alias("block"))
-    met = late.repartition(parts, "run", "block").join(earlier.repartition(parts, "run", "block"), ["run", "block"])
-    return met.filter("source < doc_id and not coalesce(twin = source_twin, false)").select("doc_id", "at", "source", "source_at")
-
-
-def scan(pair: np.ndarray, at: np.ndarray, source_at: np.ndarray, least: int) -> tuple[np.ndarray, ...]:
+    """doc_id, at, source, source_at for each late row and every earlier document's row with its run."""
+    return each_source(near_sources(cells(crowd), 0, 0))
+
+
+def with_surroundings(docs: DataFrame, dealt: DataFrame, width: int) -> DataFrame:
+    """dealt with the shingles around each row's place, AROUND on each side and SLIP more, as 16-bit hashes in bytes (`around`)."""
+    rows = [c for c in dealt.columns if c != "doc_id"]
+    lists = dealt.groupBy("doc_id").agg(F.collect_list(F.struct(*rows)).alias("rows"))
+    joined = asked_for(docs, dealt.select("doc_id")).join(lists, "doc_id").select("doc_id", "text", "rows")
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in dealt.schema)
+    reach = AROUND + SLIP
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = strings(batch.column(1))
+            for lo, hi in pieces(texts):
+                words, offsets, _ = word_hashes(texts[lo:hi])
+                grams, bounds = shingle_hashes(words, offsets, width)
+                codes = np.maximum(mix(grams, 77) >> np.uint64(48), np.uint64(1)).astype(np.uint16)
+                lists = batch.column(2)[lo:hi]
+                n = pc.list_value_length(lists).to_numpy(zero_copy_only=False)
+                text, flat = np.repeat(np.arange(hi - lo), n), lists.flatten()
+                for k in range(0, len(text), 8192):  # a long text may have very many rows
+                    some, own = flat.slice(k, 8192), text[k : k + 8192]
+                    place = bounds[own] + (some.field("at").to_numpy() >> 2 * _REACH + _FUNCTION)
+                    at = place[:, None] + np.arange(-reach, reach + 1)
+                    inside = (at >= bounds[own][:, None]) & (at < bounds[own + 1][:, None])
+                    around = np.where(inside, codes[np.where(inside, at, 0)], np.uint16(0)) if len(codes) else np.zeros(at.shape, np.uint16)
+                    raw = pa.FixedSizeBinaryArray.from_buffers(pa.binary(2 * at.shape[1]), len(around), [None, pa.py_buffer(np.ascontiguousarray(around).tobytes())]).cast(pa.binary())
+                    columns = {"doc_id": batch.column(0)[lo:hi].take(pa.array(own)), "around": raw} | {c: some.field(c) for c in rows}
+                    names = [*dealt_columns, "around"]
+                    yield pa.RecordBatch.from_arrays([columns[c] for c in names], names)
+
+    dealt_columns = dealt.columns
+    return joined.mapInArrow(lean(run), f"{schema}, around binary")
+
+
+def scan(pair: np.ndarray, at: np.ndarray, source_at: np.ndarray, least: int, enough: int = ENOUGH) -> tuple[np.ndarray, ...]:
     """Interval join of the windows that pairs share: pair, start, end, and least and largest distance of each region in
-    which intervals of ENOUGH functions meet over `least` places or more. pair must ascend."""
+    which intervals of `enough` functions meet over `least` places or more. pair must ascend."""
     c, back, ahead, function = unpack(at)
     of, of_back, of_ahead, _ = unpack(source_at)
     apart = of - c
@@ -307,12 +449,12 @@ def scan(pair: np.ndarray, at: np.ndarray, source_at: np.ndarray, least: int) ->
     new[1:] = (group[1:] != group[:-1]) | (start[1:] > reach[:-1])
     firsts = np.flatnonzero(new)
     group, start, end = group[firsts] >> _FUNCTION, start[firsts], np.maximum.reduceat(end, firsts)
-    # sweep: where ENOUGH intervals lie over each other
+    # sweep: where `enough` intervals lie over each other
     event = np.concatenate([start, end])
     of_cluster, turn = np.concatenate([group, group]), np.repeat([1, -1], len(start))
     order = np.lexsort((-turn, event, of_cluster))
     event, of_cluster, depth = event[order], of_cluster[order], np.cumsum(turn[order])
-    inside = depth >= ENOUGH
+    inside = depth >= enough
     rise = np.flatnonzero(inside & ~np.concatenate([[False], inside[:-1]]))
     fall = np.flatnonzero(~inside & np.concatenate([[False], inside[:-1]]))
     long = event[fall] - event[rise] >= least
@@ -320,10 +462,10 @@ def scan(pair: np.ndarray, at: np.ndarray, source_at: np.ndarray, least: int) ->
     return of_pair[k], event[rise][long], event[fall][long], low[k], high[k]
 
 
-def regions(met: DataFrame, width: int, least: int) -> DataFrame:
+def regions(met: DataFrame, width: int, least: int, enough: int = ENOUGH) -> DataFrame:
     """region (a number), doc_id, source, first words and end words in both, and the shared minima as words of the region."""
     functions = F.bit_count(F.bit_or(F.call_function("shiftleft", F.lit(1), F.col("at").bitwiseAND((1 << _FUNCTION) - 1).cast("int"))))
-    pairs = met.groupBy("doc_id", "source").agg(functions.alias("n"), F.collect_list("at").alias("at"), F.collect_list("source_at").alias("source_at")).filter(F.col("n") >= ENOUGH)
+    pairs = met.groupBy("doc_id", "source").agg(functions.alias("n"), F.collect_list("at").alias("at"), F.collect_list("source_at").alias("source_at")).filter(F.col("n") >= enough)
     names = ["region", "doc_id", "source", "start", "end", "source_start", "source_end", "inner", "place", "of"]
     near = int(least * SIMILARITY)
 
@@ -335,7 +477,7 @@ def regions(met: DataFrame, width: int, least: int) -> DataFrame:
             at, source_at = (batch.column(k).flatten().to_numpy() for k in (2, 3))
             if not len(at):
                 continue
-            of_pair, start, end, low, high = scan(pair, at, source_at, near)
+            of_pair, start, end, low, high = scan(pair, at, source_at, near, enough)
             c, of = unpack(at)[0], unpack(source_at)[0]
             bounds = np.searchsorted(pair, np.arange(batch.num_rows + 1))
             places, others = [], []
@@ -609,7 +751,7 @@ def missed(shared: DataFrame, spans: DataFrame, width: int, least: int) -> DataF
     keyed = uncovered(rows, spans, width, least).filter("not copied").select("doc_id", "place", "open", "key", F.posexplode(halves).alias("side", "half")).filter("half != 0").select("doc_id", "place", "open", F.xxhash64("key", "side", "half").alias("key"))
     # a group whose later documents are all covered has nothing to find
     keys = keyed.groupBy("key").agg(F.min("doc_id").alias("a"), F.max(F.when(F.col("open"), F.col("doc_id"))).alias("b")).filter("a < b").select("key")
-    near = keyed.join(keys, "key", "left_semi").groupBy("doc_id", "place").agg(F.max("open").alias("open"))
+    near = keyed.join(keys.hint("shuffle_hash"), "key", "left_semi").groupBy("doc_id", "place").agg(F.max("open").alias("open"))
     ranges = near.select("doc_id", "open", F.greatest(F.col("place") - (least - 1), F.lit(0)).alias("start"), (F.col("place") + least + least // 2 + width).alias("end"))
     return united(ranges, ["doc_id", "open"], "start", "end").select((-1 - F.monotonically_increasing_id()).alias("id"), F.lit(0).alias("role"), "doc_id", "start", "end", "open")
 
@@ -693,13 +835,12 @@ def repeated_passages(docs: DataFrame, *, words: int = WORDS, similarity: float
         discard(texts)
         crowd = materialize(crowds(shared, passages, width, least), "crowds", compression="zstd")
         discard(shared)
-        others = materialize(regions(all_meetings(crowd), width, least), "regions", compression="zstd")
+        met = materialize(near_sources(with_surroundings(base, cells(crowd), width), least, similarity), "met", compression="zstd")
         discard(crowd)
-        tried = materialize(likeliest(others), "likeliest")
-        passages = passages.unionByName(compared(base, others.join(tried, "region", "left_semi"), width, least, similarity))
-        # a place that a passage covers by now needs no other source
-        open_regions = uncovered(places_of(others.join(tried, "region", "left_anti")), passages, width, least).filter("open").select("region").distinct()
-        passages = passages.unionByName(compared(base, others.join(open_regions, "region", "left_semi"), width, least, similarity))
+        met = met.withColumn("place", F.shiftright("at", 2 * _REACH + _FUNCTION))
+        for first, most in RANKS:  # a place that a passage covers by now needs no other source
+            rest = uncovered(met.filter(F.size("source") >= first), passages, width, least).filter("open") if first > 1 else met
+            passages = passages.unionByName(compared(base, regions(each_source(rest, first, most), width, least, 1), width, least, similarity))
         place = ("doc_id", "text_hash", *SPAN)
         first = runs.groupBy("key").agg(F.min(F.struct(*place)).alias("lead"), F.max("doc_id").alias("last")).filter("lead.doc_id < last")
         more = runs.filter("open = 1").join(first, "key").filter("doc_id > lead.doc_id").select(*place, F.col("lead.doc_id").alias("source"), F.col("lead.text_hash").alias("source_hash"), *(F.col(f"lead.{c}").alias(f"source_{c}") for c in SPAN), F.lit(1).cast("long").alias("exact"))

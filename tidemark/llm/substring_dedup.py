@@ -19,7 +19,8 @@ contain it, under every function for an exact repeat and under most for a near o
    runs of `least` shingles around them are compared. So exact repeats are found whatever leads their slots.
 5. A window that no passage covers after both meetings meets every earlier row of its slot with the same run of shingles
    beside the minimum; in words that repeat again and again this is the run in which the repetition ends or begins.
-   Different texts that stay open in one run cost their pairs, dealt to blocks; the likeliest regions are compared first.
+   Different texts that stay open in one run cost their pairs, dealt to cells: in arrays, the shingles around both places
+   decide in which a passage lies. The likeliest source of each place is compared first, others while it stays open.
 
 Near repeats are found by hashes (tests measure how many are). Beside a found
 passage, under `words` words that only another document shares may stay.
